@@ -1 +1,10 @@
-"""Operators for training-data preparation; nothing outside this folder imports it."""
+"""Operators for training-data preparation; nothing outside this folder imports it.
+
+Their Python code travels to the executors inside the tasks, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
