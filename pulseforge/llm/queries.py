@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe
+from pulseforge.llm import bpe, packing
 
 QUERIES: dict = {
+    "op6_packing": packing.op6_packing,
     "op8_bpe": bpe.op8_bpe,
 }
 ORACLES: dict[str, str] = {}
