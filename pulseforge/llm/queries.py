@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, packing
+from pulseforge.llm import bpe, licences, packing
 
 QUERIES: dict = {
     "op6_packing": packing.op6_packing,
+    "op7_licences": licences.op7_licences,
     "op8_bpe": bpe.op8_bpe,
 }
 ORACLES: dict[str, str] = {}
