@@ -8,8 +8,10 @@ token that only later merges use, so this order gives what merging each word for
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,6 +23,10 @@ from pulseforge.llm import common
 SPACES = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Marks that often end a word; each run of them is one word of its own.
+MARKS = ".,;:!?"
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from U+0100."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -170,7 +176,7 @@ class Encoder:
             if tables["lower"]
             else regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
         )
-        self.odd = regex.compile(rf"(?! |\n)[{SPACES}\x1c-\x1f]")
+        self.odd = re.compile(rf"[\t\x0b-\r\x1c-\x1f{SPACES[4:]}]")
         self.gap = regex.compile(rf"[{SPACES}]+")
 
     def split(self, text: str) -> list[str]:
@@ -194,35 +200,45 @@ class Encoder:
             self.ids.clear()
             self.names.clear()
             fresh = list(chunks)
-        words: dict[bytes, int] = {}
-        plans = []
-        for c in fresh:
-            plan = []
-            pieces = [(None, c)]
-            if self.special and (hits := list(self.special.finditer(c))):
-                pieces, lo = [], 0
-                for h in hits:
-                    pieces += [(None, c[lo : h.start()]), (h[0], "")]
-                    lo = h.end()
-                pieces.append((None, c[lo:]))
-            for token, part in pieces:
-                if token is not None:
-                    plan.append(-1 - self.t["special"][token])
-                    continue
-                for w in self.words.findall(self.normal(part) if self.t["lower"] else part):
-                    plan.append(words.setdefault(w.encode("utf-8", "surrogatepass"), len(words)))
+        lower = self.t["lower"]
+        text = "\n".join(fresh)
+        special = self.special if any(x in text for x in self.t["special"]) else None
+        words: dict[str, int] = {}
+        number = words.setdefault
+        plain, rest, plans = [], [], []
+        for c in fresh:  # most chunks are letters, then perhaps marks: two words
+            low = self.normal(c) if lower else c
+            core = low.rstrip(MARKS)
+            if (core[1:] if core[:1] == " " else core).isalpha() and not (special and special.search(c)):
+                tail = low[len(core) :]
+                plain.append((c, number(core, len(words)), number(tail, len(words)) if tail else -1))
+            else:
+                rest.append(c)
+        for c in rest:
+            plan, lo = [], 0
+            for h in special.finditer(c) if special else ():
+                plan += [number(w, len(words)) for w in self.find(c[lo : h.start()])]
+                plan.append(-1 - self.t["special"][h[0]])
+                lo = h.end()
+            plan += [number(w, len(words)) for w in self.find(c[lo:])]
             plans.append(plan)
-        ids, counts = encode_words(self.t, list(words))
+        ids, counts = encode_words(self.t, [w.encode("utf-8", "surrogatepass") for w in words])
         ends = np.cumsum(counts)
-        names = self.t["names"]
-        raw, four = ids.astype("<u4").tobytes(), (ends * 4).tolist()
-        starts = [0, *four[:-1]] if four else []
-        strung = list(map(names.__getitem__, ids.tolist()))
-        for c, plan in zip(fresh, plans, strict=True):
-            packed = b"".join([raw[starts[k] : four[k]] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in plan])
-            self.ids[c] = packed
-            if self.t["lower"]:
-                self.names[c] = " ".join([" ".join(strung[starts[k] // 4 : four[k] // 4]) if k >= 0 else names[-1 - k] for k in plan])
+        raw, stops = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+        packed = [raw[i:j] for i, j in zip([0, *stops], stops)]  # noqa: B905
+        packed.append(b"")
+        self.ids.update([(c, packed[i] + packed[j]) for c, i, j in plain])
+        self.ids.update([(c, b"".join([packed[k] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in plan])) for c, plan in zip(rest, plans, strict=True)])
+        if lower:
+            names, stops = self.t["names"], ends.tolist()
+            strung = list(map(names.__getitem__, ids.tolist()))
+            told = [" ".join(strung[i:j]) for i, j in zip([0, *stops], stops)]  # noqa: B905
+            self.names.update([(c, told[i] if j < 0 else f"{told[i]} {told[j]}") for c, i, j in plain])
+            self.names.update([(c, " ".join([told[k] if k >= 0 else names[-1 - k] for k in plan])) for c, plan in zip(rest, plans, strict=True)])
+
+    def find(self, part: str) -> list[str]:
+        """Words of a part without special tokens."""
+        return self.words.findall(self.normal(part) if self.t["lower"] else part)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -235,9 +251,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """Chunks of each text, all of them in the cache."""
-        split = list(map(self.split, texts))
-        fresh = set().union(*split)
-        self.learn(fresh)
+        held = gc.isenabled()
+        gc.disable()  # millions of new objects, none of them in cycles
+        try:
+            split = list(map(self.split, texts))
+            self.learn(set().union(*split))
+        finally:
+            if held:
+                gc.enable()
         return split
 
 
