@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, licences, packing
+from pulseforge.llm import bpe, fingerprints, licences, packing
 
 QUERIES: dict = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op6_packing": packing.op6_packing,
     "op7_licences": licences.op7_licences,
     "op8_bpe": bpe.op8_bpe,
