@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, licences, packing
+from pulseforge.llm import bpe, fingerprints, languages, licences, packing
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op5_languages": languages.op5_languages,
     "op6_packing": packing.op6_packing,
     "op7_licences": licences.op7_licences,
     "op8_bpe": bpe.op8_bpe,
