@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, languages, licences, packing
+from pulseforge.llm import bpe, fingerprints, languages, licences, packing, toxicity
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_languages": languages.op5_languages,
     "op6_packing": packing.op6_packing,
     "op7_licences": licences.op7_licences,
