@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, cols: list[str], work: Callable[[Iterator[tuple]], Iterable], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, cols: list[str], work: Callable[[Iterator[tuple]], Iterable], schema: str, most: int = CHUNK_CHARS) -> DataFrame:
     """Map each partition through work, which gets lists of columns (a few MB of text at once) and yields record batches."""
 
     def run(batches):
-        return work(chunks(batches, cols))
+        return work(chunks(batches, cols, most=most))
 
     return df.select(*cols).mapInArrow(run, schema)
 
@@ -134,3 +134,28 @@ class MemberBits:
 
         slot = F.pmod(F.xxhash64(F.col(col)), F.lit(1 << bits))
         return df.select("*", slot.alias("__slot")).mapInArrow(run, df.schema)
+
+
+def by_range(df: DataFrame, order: str, parts: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds the column `bucket`: the number of the id range (of about equal rows in df) of the long column `order`.
+
+    The function's `parts` tells how many ranges there are at most. Equal values share a range; the ranges follow each
+    other in the order of their values.
+    """
+    import math
+
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = []
+    if parts > 1:
+        probabilities = [i / parts for i in range(1, parts)]
+        cuts = sorted(set(df.select(F.col(order).cast("double").alias("x")).approxQuantile("x", probabilities, 0.1 / parts)))
+    cuter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="x", outputCol="bucket") if cuts else None
+
+    def add(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("x", F.col(order).cast("double"))
+        rows = cuter.transform(rows) if cuter else rows.withColumn("bucket", F.lit(0))
+        return rows.withColumn("bucket", F.col("bucket").cast("int")).drop("x")
+
+    add.parts = len(cuts) + 1
+    return add

@@ -7,7 +7,6 @@ with the bucket's first row, so that a collision of the hash never joins differe
 
 from __future__ import annotations
 
-import math
 import unicodedata
 
 from pyspark.sql import DataFrame
@@ -95,21 +94,13 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     Columns key, text, halo; sorted within partitions by halo and id. Rows of one id stand in the order of their texts'
     hashes; null ids come first.
     """
-    from pyspark.ml.feature import Bucketizer
-
     spark = df.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     ids = df.select(key.alias("order"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = ids.count()
-    parts = min(100_000, max(parts, -(-total // RANGE_ROWS)))
-    cuts = sorted(set(ids.select(F.col("order").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 and total else []
-    cuter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="x", outputCol="bucket") if cuts else None
-
-    def bucketed(rows):
-        rows = rows.withColumn("x", F.col("order").cast("double"))
-        return (cuter.transform(rows) if cuter else rows.withColumn("bucket", F.lit(0.0))).withColumn("bucket", F.col("bucket").cast("int")).drop("x")
-
+    parts = min(100_000, max(parts, -(-total // RANGE_ROWS))) if total else 1
+    bucketed = common.by_range(ids, "order", parts)
     firsts = sorted((r["bucket"], r["first"]) for r in bucketed(ids).groupBy("bucket").agg(F.min("order").alias("first")).collect())
     halo = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
     extra = F.broadcast(spark.createDataFrame(halo, "order long, before int"))  # a row for each range
@@ -118,7 +109,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     there = F.struct(F.col("before").alias("part"), F.lit(1).alias("halo"))
     rows = rows.select("key", "text", "order", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to"))
     rows = rows.select("key", "text", "order", F.col("to.part").alias("part"), F.col("to.halo").alias("halo"))
-    return rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("halo", "order", F.xxhash64("text")).select("key", "text", "halo")
+    return rows.repartitionById(bucketed.parts, F.col("part")).sortWithinPartitions("halo", "order", F.xxhash64("text")).select("key", "text", "halo")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, languages, licences, packing, toxicity
+from pulseforge.llm import bpe, fingerprints, languages, licences, packing, topk, toxicity
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_topk": topk.op4_topk,
     "op5_languages": languages.op5_languages,
     "op6_packing": packing.op6_packing,
     "op7_licences": licences.op7_licences,
     "op8_bpe": bpe.op8_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_topk": topk.OP4_SQL,
+}
