@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import heapq
+import itertools
 import json
 import re
 
@@ -26,6 +27,9 @@ SPACES = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 #: Marks that often end a word; each run of them is one word of its own.
 MARKS = ".,;:!?"
 
+#: Characters of text whose new words are encoded at once.
+LOT_CHARS = 8 << 20
+
 
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from U+0100."""
@@ -60,7 +64,11 @@ def load_tables(path: str) -> dict:
         names[i] = token
     for t in spec["added_tokens"]:
         names[t["id"]] = t["content"]
+    byte, end = [vocab[c] for c in chars], [vocab[c + suffix] for c in chars]
+    at = {k: i for i, k in enumerate(keys)}
+    pairs = np.array([[at.get(a << 32 | b, -1) for a in byte for b in second] for second in (byte, end)], dtype=np.int32)
     return {
+        "pairs": pairs,
         "first": np.array([vocab[c] for c in chars], dtype=np.int32),
         "last": np.array([vocab[c + suffix] for c in chars], dtype=np.int32),
         "keys": np.array(keys, dtype=np.int64)[order],
@@ -123,9 +131,11 @@ def encode_words(t: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 heapq.heappush(heap, k)
             index[k].append(at[lo:hi])
 
-    for lo in range(0, n, 1 << 20):
-        at = np.arange(lo, min(n, lo + (1 << 20)), dtype=np.int32)
-        rank[lo : lo + len(at)] = rank_of(at)
+    if n > 1:
+        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        final = np.zeros(n, bool)
+        final[ends] = True
+        rank[:-1] = np.where(final[:-1], -1, np.where(final[1:], t["pairs"][1][pair], t["pairs"][0][pair]))
     at = np.flatnonzero(rank >= 0).astype(np.int32)
     if len(at):
         enter(at, rank[at])
@@ -163,78 +173,108 @@ def encode_words(t: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids[alive], np.add.reduceat(alive.astype(np.int64), starts)
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of pool one after the other."""
+    shift = starts - (np.cumsum(sizes) - sizes)
+    return pool[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+
+
 class Encoder:
     """Encodes texts with a cache of chunks (what stands between white space) that is emptied when it is full."""
 
-    def __init__(self, tables: dict, most: int = 300_000):
+    def __init__(self, tables: dict, most: int = 600_000):
         import regex
 
-        self.t, self.most, self.ids, self.names = tables, most, {}, {}
+        self.t, self.most = tables, most
+        self.clear()
         self.special = regex.compile("|".join(map(regex.escape, sorted(tables["special"], key=len, reverse=True)))) if tables["special"] else None
         self.words = (
             regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+")
             if tables["lower"]
             else regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
         )
-        self.odd = re.compile(rf"[\t\x0b-\r\x1c-\x1f{SPACES[4:]}]")
+        self.odd = re.compile(rf"[\x01\t\x0b-\r\x1c-\x1f{SPACES[4:]}]")
         self.gap = regex.compile(rf"[{SPACES}]+")
 
     def split(self, text: str) -> list[str]:
-        """Chunks whose encodings, joined, are the text's."""
+        """Keys of chunks whose encodings, joined, are the text's; chunk() tells what a key stands for."""
         if self.t["lower"]:
             if self.odd.search(text):
                 return [x for x in self.gap.split(text) if x]
             return text.split()
         if "  " in text or " \n" in text or "\n\n\n" in text or text.endswith("\n\n") or self.odd.search(text):
-            return [text]
+            return ["\x01" + text]
         parts = text.replace("\n", " \n").split(" ")
-        parts[1:] = [x if x[:1] == "\n" else " " + x for x in parts[1:]]
-        return [x for x in parts if x]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks that the cache lacks."""
-        fresh = [c for c in chunks if c not in self.ids]
+        parts[0] = "\x01" + parts[0]
+        return parts
+
+    def chunk(self, key: str) -> str:
+        """A key stands for itself if it begins with a line end or texts are spaced out anyway, for its rest after \\x01, and else for a blank and itself."""
+        if self.t["lower"] or key[:1] == "\n":
+            return key
+        return key[1:] if key[:1] == "\x01" else " " + key
+
+    def learn(self, keys: set[str]) -> None:
+        """Encode keys that the cache lacks."""
+        fresh = [c for c in keys if c not in self.index]
         if not fresh:
             return
-        if len(self.ids) + len(fresh) > self.most:
-            self.ids.clear()
-            self.names.clear()
-            fresh = list(chunks)
+        if len(self.index) + len(fresh) > self.most:
+            self.clear()
+            fresh = list(keys)
         lower = self.t["lower"]
         text = "\n".join(fresh)
         special = self.special if any(x in text for x in self.t["special"]) else None
-        words: dict[str, int] = {}
+        lows = self.normal(text).split("\n") if lower else fresh
+        cores = [k.rstrip(MARKS) for k in lows]
+        plain = list(map(str.isalpha, cores))  # most keys are letters, then perhaps marks: two words
+        first = list(itertools.compress(cores, plain))
+        words = dict.fromkeys(first if lower else map(" ".__add__, first))
+        words = dict(zip(words, range(1, len(words) + 1), strict=True))
         number = words.setdefault
-        plain, rest, plans = [], [], []
-        for c in fresh:  # most chunks are letters, then perhaps marks: two words
-            low = self.normal(c) if lower else c
-            core = low.rstrip(MARKS)
-            if (core[1:] if core[:1] == " " else core).isalpha() and not (special and special.search(c)):
-                tail = low[len(core) :]
-                plain.append((c, number(core, len(words)), number(tail, len(words)) if tail else -1))
-            else:
-                rest.append(c)
-        for c in rest:
-            plan, lo = [], 0
+        flat = np.zeros((len(first), 2), np.int64)
+        flat[:, 0] = list(map(words.__getitem__, first if lower else map(" ".__add__, first)))
+        tails = [k[len(c) :] for k, c in zip(itertools.compress(lows, plain), first, strict=True)]
+        marks = {t: number(t, len(words) + 1) if t else 0 for t in set(tails)}
+        flat[:, 1] = list(map(marks.__getitem__, tails))
+        rest: list[int] = []
+        sizes: list[int] = []
+        odd = [k for k, ok in zip(fresh, plain, strict=True) if not ok]
+        for key in odd:
+            at, lo, c = len(rest), 0, self.chunk(key)
+            if c[:1] == "\n" and (core := c[1:].rstrip(MARKS)).isalpha():
+                rest += (number("\n", len(words) + 1), number(core, len(words) + 1))
+                rest.append(number(c[1 + len(core) :], len(words) + 1) if len(core) + 1 < len(c) else 0)
+                sizes.append(3)
+                continue
             for h in special.finditer(c) if special else ():
-                plan += [number(w, len(words)) for w in self.find(c[lo : h.start()])]
-                plan.append(-1 - self.t["special"][h[0]])
+                rest += [number(w, len(words) + 1) for w in self.find(c[lo : h.start()])]
+                rest.append(-1 - self.t["special"][h[0]])
                 lo = h.end()
-            plan += [number(w, len(words)) for w in self.find(c[lo:])]
-            plans.append(plan)
+            rest += [number(w, len(words) + 1) for w in self.find(c[lo:])]
+            rest.append(0)
+            sizes.append(len(rest) - at)
+        fresh = [*itertools.compress(fresh, plain), *odd]
+        sizes = np.concatenate([np.full(len(first), 2, np.int64), np.array(sizes, np.int64)])
+        plan = np.concatenate([flat.ravel(), np.array(rest, np.int64)])
         ids, counts = encode_words(self.t, [w.encode("utf-8", "surrogatepass") for w in words])
-        ends = np.cumsum(counts)
-        raw, stops = ids.astype("<u4").tobytes(), (ends * 4).tolist()
-        packed = [raw[i:j] for i, j in zip([0, *stops], stops)]  # noqa: B905
-        packed.append(b"")
-        self.ids.update([(c, packed[i] + packed[j]) for c, i, j in plain])
-        self.ids.update([(c, b"".join([packed[k] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in plan])) for c, plan in zip(rest, plans, strict=True)])
-        if lower:
-            names, stops = self.t["names"], ends.tolist()
-            strung = list(map(names.__getitem__, ids.tolist()))
-            told = [" ".join(strung[i:j]) for i, j in zip([0, *stops], stops)]  # noqa: B905
-            self.names.update([(c, told[i] if j < 0 else f"{told[i]} {told[j]}") for c, i, j in plain])
-            self.names.update([(c, " ".join([told[k] if k >= 0 else names[-1 - k] for k in plan])) for c, plan in zip(rest, plans, strict=True)])
+        counts = np.concatenate([[0], counts, [1]])
+        starts = np.cumsum(counts) - counts
+        token = plan < 0
+        at = np.where(token, len(counts) - 1, plan)
+        made = gather(np.append(ids, 0).astype(np.int32), starts[at], counts[at])
+        held = counts[at]
+        if token.any():
+            made[(np.cumsum(held) - held)[token]] = -1 - plan[token]
+        held = np.add.reduceat(held, np.cumsum(sizes) - sizes)
+        self.index.update(zip(fresh, range(len(self.starts), len(self.starts) + len(fresh)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(held) - held])
+        self.sizes = np.concatenate([self.sizes, held])
+        self.pool = np.concatenate([self.pool, made])
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def find(self, part: str) -> list[str]:
         """Words of a part without special tokens."""
@@ -247,19 +287,23 @@ class Encoder:
             return text.lower()
         import unicodedata
 
-        return "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # Python's one rule by context is the final sigma
 
-    def encode(self, texts: list[str]) -> list[list[str]]:
-        """Chunks of each text, all of them in the cache."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
         held = gc.isenabled()
         gc.disable()  # millions of new objects, none of them in cycles
         try:
             split = list(map(self.split, texts))
             self.learn(set().union(*split))
+            n = np.fromiter(map(len, split), np.int64, len(split))
+            at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))
         finally:
             if held:
                 gc.enable()
-        return split
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n)]
+        return gather(self.pool, self.starts[at], sizes), np.diff(ends, prepend=0)
 
 
 def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,19 +319,17 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def work(parts):
         import pyarrow as pa
 
-        encoder = Encoder(sent.value)
+        encoder, names = Encoder(sent.value), sent.value["names"]
         for keys, texts in parts:
-            split = encoder.encode([x or "" for x in texts])
-            raw = [b"".join(map(encoder.ids.__getitem__, c)) for c in split]
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            values = pa.array(np.frombuffer(b"".join(raw), np.int32))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            decoded = pa.array([" ".join(filter(None, map(encoder.names.__getitem__, c))) for c in split], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(offsets, values), decoded], names=["key", "ids", "decoded"])
+            ids, sizes = encoder.encode([x or "" for x in texts])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            strung = list(map(names.__getitem__, ids.tolist()))
+            decoded = pa.array([" ".join(strung[i:j]) for i, j in itertools.pairwise(ends.tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), decoded], names=["key", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return common.map_rows(rows, ["key", "text"], work, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", id_col)
+    return common.map_rows(rows, ["key", "text"], work, f"key {kind}, ids array<int>, decoded string", LOT_CHARS).withColumnRenamed("key", id_col)
 
 
 def decode_ids(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -188,9 +188,11 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             nonlocal kind
             for keys, texts in parts:
                 kind = kind or pa.array(keys).type
-                chunks = encoder.encode([x or "" for x in texts])
-                for key, c in zip(keys, chunks, strict=True):
-                    yield from packer.add(key, b"".join(map(encoder.ids.__getitem__, c)) + end)
+                ids, sizes = encoder.encode([x or "" for x in texts])
+                raw, at = ids.astype("<u4").tobytes(), 0
+                for key, n in zip(keys, (sizes * 4).tolist(), strict=True):
+                    yield from packer.add(key, raw[at : at + n] + end)
+                    at += n
                     if packer.held >= LOT:
                         yield from packer.flush(False)
             yield from packer.flush(True)
@@ -201,7 +203,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = common.map_rows(rows, ["key", "text"], work, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = common.map_rows(rows, ["key", "text"], work, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long", bpe.LOT_CHARS)
     return out.withColumnRenamed("key", id_col)
 
 
