@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, languages, licences, packing, topk, toxicity
+from pulseforge.llm import bpe, fingerprints, languages, licences, neardup, packing, topk, toxicity
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -12,6 +12,7 @@ QUERIES: dict = {
     "op6_packing": packing.op6_packing,
     "op7_licences": licences.op7_licences,
     "op8_bpe": bpe.op8_bpe,
+    "op9_neardup": neardup.op9_neardup,
 }
 ORACLES: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
