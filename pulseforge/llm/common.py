@@ -104,9 +104,9 @@ class MemberBits:
         import numpy as np
 
         spark = members.sparkSession
-        slot = F.pmod(F.xxhash64(F.col(col)), F.lit(1 << bits))
+        self.bits = bits
         words = (
-            members.select(slot.alias("s"))
+            members.select(self.slot(col).alias("s"))
             .groupBy((F.col("s") / 64).cast("int").alias("w"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
             .toPandas()
@@ -114,7 +114,11 @@ class MemberBits:
         table = np.zeros(1 << (bits - 6), dtype=np.int64)
         if len(words):
             table[words["w"].to_numpy()] = words["b"].to_numpy()
-        self.bits, self.sent = bits, spark.sparkContext.broadcast(table.view(np.uint8))
+        self.sent = spark.sparkContext.broadcast(table.view(np.uint8))
+
+    def slot(self, col):
+        """A value's place in the bitmap."""
+        return F.pmod(F.xxhash64(F.col(col) if isinstance(col, str) else col), F.lit(1 << self.bits))
 
     def keep(self, df: DataFrame, col: str) -> DataFrame:
         """Rows of df whose col may be a member."""
@@ -132,8 +136,20 @@ class MemberBits:
                 kept = b.filter(pa.array(hit.astype(bool)))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
-        slot = F.pmod(F.xxhash64(F.col(col)), F.lit(1 << bits))
-        return df.select("*", slot.alias("__slot")).mapInArrow(run, df.schema)
+        return df.select("*", self.slot(col).alias("__slot")).mapInArrow(run, df.schema)
+
+    def split(self, df: DataFrame, col) -> DataFrame:
+        """df and __may: whether col may be a member. The rows themselves stay out of Python."""
+        sent = self.sent
+
+        def may(slot):
+            import numpy as np
+            import pandas as pd
+
+            slot = slot.to_numpy()
+            return pd.Series(((sent.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool))
+
+        return df.withColumn("__may", F.pandas_udf(may, "boolean", F.PandasUDFType.SCALAR)(F.coalesce(self.slot(col), F.lit(0))))
 
 
 def by_range(df: DataFrame, order: str, parts: int) -> Callable[[DataFrame], DataFrame]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, languages, licences, neardup, packing, topk, toxicity
+from pulseforge.llm import bpe, fingerprints, languages, licences, linededup, neardup, packing, topk, toxicity
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_linededup": linededup.op3_linededup,
     "op4_topk": topk.op4_topk,
     "op5_languages": languages.op5_languages,
     "op6_packing": packing.op6_packing,
