@@ -152,6 +152,25 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return common.map_rows(rows, ["key", "text"], work, f"key {kind}, score double").withColumnRenamed("key", id_col)
 
 
+def score_rows(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """docs with all its columns and the score of each row."""
+    names = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = sent.value
+        table = np.zeros(1 << BITS, np.float32)
+        table[m["at"]] = m["w"]
+        for t in batches:
+            parts = [score_texts(m, table, texts) for (texts,) in common.chunks([t], [text_col], text_col)]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*names, "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, score double")
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside fold 0."""
     docs = common.table(spark, sf_dir, "documents")
