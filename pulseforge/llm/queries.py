@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, languages, licences, linededup, neardup, packing, topk, toxicity
+from pulseforge.llm import bpe, fingerprints, languages, licences, linededup, neardup, packing, topk, toxicity, warc
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -14,7 +14,9 @@ QUERIES: dict = {
     "op7_licences": licences.op7_licences,
     "op8_bpe": bpe.op8_bpe,
     "op9_neardup": neardup.op9_neardup,
+    "op10_warc": warc.op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
