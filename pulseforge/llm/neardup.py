@@ -21,8 +21,8 @@ from pulseforge.llm import common
 WORDS, NEED = 5, 75
 #: Hashes of a signature, rows of a band, hashes that are compared at a time, and the probability that a true pair is dropped at a step.
 HASHES, ROWS, STEP, MISS = 128, 4, 32, 1e-5
-#: Members of a block of a band bucket, and candidates that each member gets for each other component in the first pass.
-BLOCK, FIRST = 256, 4
+#: Members of a block of a band bucket, and passes in which each member gets only its best candidate of another component.
+BLOCK, PASSES = 256, 3
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -151,10 +151,12 @@ class Linker:
         best = shared.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
         tried = self.verify(self.screen(best.select(F.col("id").alias("a"), "b")))
         links = tried.where("linked").select("a", "b")
-        for first in (FIRST, None):
+        for best in [True] * PASSES + [False]:
             comps = components(links)
-            pairs = self.across(comps, first).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            again = self.verify(common.cut(pairs, "pairs"))
+            pairs = self.across(comps, best).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            if best:
+                pairs = pairs.groupBy("asker").agg(F.max(F.struct("matches", "a", "b", "ma", "mb")).alias("x")).select("x.*")
+            again = self.verify(common.cut(pairs.select("a", "b", "ma", "mb").dropDuplicates(), "pairs"))
             tried = tried.unionByName(again)
             links = links.unionByName(again.where("linked").select("a", "b"))
         comps = components(links)
@@ -234,11 +236,11 @@ class Linker:
         found = joined.mapInArrow(run, "a long, b long, linked boolean")
         return common.cut(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
-    def across(self, comps: DataFrame, first: int | None) -> DataFrame:
-        """Pairs of members of a bucket in different components that the comparison of signatures leaves.
+    def across(self, comps: DataFrame, best: bool) -> DataFrame:
+        """Pairs of members of a bucket in different components that the comparison of signatures leaves, with the asking member and the matches.
 
-        With `first`, each member gets only its best so many for each other component in a block; a later call without it
-        gives all that are left.
+        With `best`, each member gets only its best of each block, which joins most components; a later call without it
+        gives all pairs that are left.
         """
         rows = self.members.join(comps, "id", "left").select("key", "id", "leader", F.coalesce("comp", "id").alias("comp"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("comp", "id").alias("main")).where("low <> high")
@@ -265,21 +267,19 @@ class Linker:
                     continue
                 matches = survive(np.broadcast_to(np.frombuffer(sig, np.uint16), (len(other), HASHES)), sigs[other], need)
                 hit = np.flatnonzero(matches >= 0)
-                hit = hit[np.lexsort((own[other[hit]], -matches[hit]))]
-                taken: dict[int, int] = {}
-                for k in other[hit].tolist():
-                    taken[int(comp[k])] = taken.get(int(comp[k]), 0) + 1
-                    if first is not None and taken[int(comp[k])] > first:
-                        continue
+                if best and len(hit):
+                    hit = hit[np.lexsort((own[other[hit]], -matches[hit]))][:1]
+                for k, m in zip(other[hit].tolist(), matches[hit].tolist(), strict=True):
                     j = int(own[k])
-                    yield (i, j, mark, stand_[k][3]) if i > j else (j, i, stand_[k][3], mark)
+                    yield (i, m, i, j, mark, stand_[k][3]) if i > j else (i, m, j, i, stand_[k][3], mark)
 
         def run(batches):
             import pyarrow as pa
 
             def out(rows):
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["a", "b", "ma", "mb"])
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["asker", "matches", "a", "b", "ma", "mb"])
 
             at, group, found = None, [], []
             for t in batches:
@@ -294,7 +294,7 @@ class Linker:
             found += compare(group)
             yield out(found)
 
-        return dealt.mapInArrow(run, "a long, b long, ma binary, mb binary").dropDuplicates(["a", "b", "ma", "mb"])
+        return dealt.mapInArrow(run, "asker long, matches int, a long, b long, ma binary, mb binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

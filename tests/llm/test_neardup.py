@@ -50,7 +50,7 @@ def test_query_equals_brute_force(spark):
 
 def test_chains_hot_groups_and_edges(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 8)
-    monkeypatch.setattr(nd, "FIRST", 1)
+    monkeypatch.setattr(nd, "PASSES", 1)
     rng = random.Random(5)
     base = [f"w{rng.randrange(900)}" for _ in range(120)]
     docs = [(0, None), (1, ""), (2, " \t\n"), (3, "one two"), (4, "ONE\ttwo"), (5, "one two three four five"), (6, " ".join(base))]
