@@ -115,15 +115,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array([raw[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["id", "y", "raw"])
 
     found = common.map_rows(rows.select(F.col("id").cast("long"), F.col("y").cast("int"), "text"), ["id", "y", "text"], work, "id long, y int, raw binary")
-    found = found.withColumn("o", order).toPandas().sort_values(["o", "id"])
-    found = found.drop_duplicates("id")
-    model = Ftrl()
-    if found["y"].nunique() == 2:
-        pairs = [(np.frombuffer(raw, np.int32).astype(np.int64), float(y)) for raw, y in zip(found["raw"], found["y"], strict=True)]
-        for _ in range(EPOCHS):
-            for at, y in pairs:
-                model.learn(at, y)
-    return model.compact()
+    def train(batches):
+        """The bounded sample in one task: one row with the model, or none."""
+        import pyarrow as pa
+
+        pairs, last = [], None
+        for t in batches:
+            for i, y, raw in zip(t.column("id").to_pylist(), t.column("y").to_pylist(), t.column("raw"), strict=True):
+                if i != last:  # of rows of one id the first counts
+                    pairs.append((np.frombuffer(raw.as_py(), np.int32), float(y)))
+                last = i
+        if len({y for _, y in pairs}) == 2:
+            model = Ftrl()
+            for _ in range(EPOCHS):
+                for at, y in pairs:
+                    model.learn(at, y)
+            m = model.compact()
+            yield pa.RecordBatch.from_arrays([pa.array([m["at"].tobytes()]), pa.array([m["w"].tobytes()]), pa.array([m["bias"]])], names=["at", "w", "bias"])
+
+    one = found.withColumn("o", order).repartition(1).sortWithinPartitions("o", "id", F.xxhash64("raw")).select("id", "y", "raw")
+    told = one.mapInArrow(train, "at binary, w binary, bias double").collect()
+    if not told:
+        return {"at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "bias": 0.0}
+    return {"at": np.frombuffer(told[0].at, np.int32), "w": np.frombuffer(told[0].w, np.float32), "bias": told[0].bias}
 
 
 def score_texts(m: dict, table: np.ndarray, texts: list[str | None]) -> np.ndarray:
