@@ -1 +1,72 @@
+"""Queries of the kernels, which SQL can't express; tests hold them against their definitions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulseforge.operators import features as fx
+from pulseforge.operators import models, signals
+from pulseforge.plans.registry import query
+from pulseforge.sources import tables
+
+
+def _synthetic(spark, d):
+    """A beat train for each user of the events table: rate and polarity follow from the user's id, noise from its values."""
+    users = tables.read(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
+    fs, seconds = 250, 20
+    rows = users.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(fs * seconds - 1))))
+    period = F.lit(0.7) + (F.col("user_id") % 5) * 0.1
+    phase = F.pmod(F.col("idx") / F.lit(float(fs)), period) - 0.3
+    pulse = F.exp(-F.pow(phase / 0.012, F.lit(2.0))) * F.when(F.col("user_id") % 2 == 0, 1.0).otherwise(-1.0)
+    wave = 0.15 * F.exp(-F.pow((phase - 0.25) / 0.04, F.lit(2.0)))
+    noise = 0.01 * F.sin(F.col("idx") * F.col("m"))
+    return rows.select(F.col("user_id").alias("rec"), F.col("idx").cast("long").alias("idx"), (pulse + wave + noise).alias("x"))
+
+
+@query("rpeaks")
+def rpeaks(spark, d):
+    return signals.rpeaks(_synthetic(spark, d), 250.0)
+
+
+@query("lf_hf")
+def lf_hf(spark, d):
+    nn = tables.intervals(tables.signal(spark, d)).withColumn("w", F.floor(F.col("idx") / 32).cast("long"))
+    hours = nn.select("rec", "w", (F.col("t") / 3600).alias("t"), (F.col("nn") / 3600).alias("nn"))
+    return signals.spectral_windows(hours)
+
+
+def _design(spark, d):
+    rows = fx.temporal(tables.signal(spark, d), ["x"], "rec", ["idx"], 3)
+    person = (F.col("rec") % 8).alias("person")
+    return rows.where("rec < 40").select("rec", "idx", person, "x", "x_rm3", "x_rs3", "x_slope", F.lead("x").over(_next()).alias("y")).where("y is not null")
+
+
+def _next():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("rec").orderBy("idx")
+
+
+COLS = ["x", "x_rm3", "x_rs3", "x_slope"]
+
+
+@query("mlp_loso")
+def mlp_loso(spark, d):
+    return models.loso(_design(spark, d), COLS, "y", "person", ["rec", "idx"], model="network")
+
+
+@query("logistic_loso")
+def logistic_loso(spark, d):
+    rows = _design(spark, d).withColumn("y", (F.col("x_rm3") > 0).cast("int"))
+    return models.loso(rows, ["x", "x_rs3", "x_slope"], "y", "person", ["rec", "idx"])
+
+
+@query("personalize")
+def personalize(spark, d):
+    rows = _design(spark, d).withColumn("order", F.col("rec") * 10_000 + F.col("idx"))
+    return models.personalise(rows, COLS, "y", "person", "order")
+
+
+@query("mutual_info")
+def mutual_info(spark, d):
+    return models.information_by_fold(_design(spark, d), COLS, "y", "person")
