@@ -22,7 +22,7 @@ WORDS, NEED = 5, 75
 #: Hashes of a signature, rows of a band, hashes that are compared at a time, and the probability that a true pair is dropped at a step.
 HASHES, ROWS, STEP, MISS = 128, 4, 32, 1e-5
 #: Members of a block of a band bucket, and passes in which each member gets only its best candidate of another component.
-BLOCK, PASSES = 256, 3
+BLOCK, PASSES = 256, 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -132,6 +132,24 @@ def components(edges: DataFrame, cut=common.cut) -> DataFrame:
     return labels
 
 
+class Shingles:
+    """Sets of compressed texts by their marks; the last few hundred thousand shingles are kept."""
+
+    def __init__(self, most: int = 500_000):
+        import zstandard
+
+        self.open, self.held, self.size, self.most = zstandard.ZstdDecompressor(), {}, 0, most
+
+    def of(self, mark: bytes, z: bytes) -> np.ndarray:
+        if mark not in self.held:
+            found = shingles(self.open.decompress(z).decode("utf-8", "surrogatepass"))
+            if self.size + len(found) > self.most:
+                self.held, self.size = {}, 0
+            self.held[mark] = found
+            self.size += len(found)
+        return self.held[mark]
+
+
 class Linker:
     """The steps over one table of documents."""
 
@@ -144,27 +162,36 @@ class Linker:
         rows = common.cut(sketch(self.docs, "id", "text"), "sketch")
         full = rows.where("id is not null and mark is not null")
         self.reps = common.cut(full.groupBy("mark").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "reps")
-        bands = self.reps.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.xxhash64(b, F.expr("sig").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("key"))
+        bands = self.reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.xxhash64(b, F.expr("sig").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
         leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
         self.members = common.cut(bands.join(leaders, "key"), "members")
         shared = self.members.where("id <> leader").groupBy("id", "leader").count()
         best = shared.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
         tried = self.verify(self.screen(best.select(F.col("id").alias("a"), "b")))
-        links = tried.where("linked").select("a", "b")
-        for best in [True] * PASSES + [False]:
-            comps = components(links)
-            pairs = self.across(comps, best).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            if best:
-                pairs = pairs.groupBy("asker").agg(F.max(F.struct("matches", "a", "b", "ma", "mb")).alias("x")).select("x.*")
+        comps = self.absorb(self.reps.select("id", F.col("id").alias("comp")), tried)
+        for _ in range(PASSES):
+            pairs = self.across(comps).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.groupBy("asker").agg(F.max(F.struct("matches", "a", "b", "ma", "mb")).alias("x")).select("x.*")
             again = self.verify(common.cut(pairs.select("a", "b", "ma", "mb").dropDuplicates(), "pairs"))
+            if again.where("linked").isEmpty():
+                break
+            comps = self.absorb(comps, again)
             tried = tried.unionByName(again)
-            links = links.unionByName(again.where("linked").select("a", "b"))
-        comps = components(links)
+        links = common.cut(self.across(comps, exact=True).select("a", "b", F.lit(True).alias("linked")).distinct(), "links")
+        if not links.isEmpty():
+            comps = self.absorb(comps, links)
         classes = self.reps.select("mark", "id").join(comps, "id", "left").select("mark", F.coalesce("comp", "id").alias("found"))
         named = rows.where("mark is not null").join(classes, "mark", "left").select("id", "n", "found")
         alone = rows.where("mark is null").select("id", "n", F.lit(None).cast("long").alias("found"))
         return named.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"))
 
+    def absorb(self, comps: DataFrame, tried: DataFrame) -> DataFrame:
+        """comps (id, comp of every class) with the components joined that the verified links connect."""
+        end = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        edges = tried.where("linked").join(end("a"), "a").join(end("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        up = components(edges).select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        return common.cut(comps.distinct().join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), "comps")
+
     def screen(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that the comparison of signatures leaves, with the marks of both."""
         side = lambda c: self.reps.select(F.col("id").alias(c), F.col("mark").alias(f"m{c}"), F.col("sig").alias(f"s{c}"))
@@ -181,9 +208,8 @@ class Linker:
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "sa", "sb")
         return common.cut(joined.mapInArrow(run, "a long, b long, ma binary, mb binary"), "screened")
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """id, mark and compressed text of the ids in pairs (and perhaps of a few others)."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """id, mark and compressed text of the ids (and perhaps of a few others)."""
         bits = common.MemberBits(ids, "id")
 
         def work(parts):
@@ -207,23 +233,13 @@ class Linker:
         spark = pairs.sparkSession
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long, linked boolean")
-        texts = common.cut(self.texts(pairs), "texts")
+        texts = common.cut(self.texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
         side = lambda c: texts.select(F.col("id").alias(c), F.col("mark").alias(f"m{c}"), F.col("z").alias(f"z{c}"))
 
         def run(batches):
             import pyarrow as pa
-            import zstandard
-
-            open_ = zstandard.ZstdDecompressor()
-            held: dict[bytes, np.ndarray] = {}
-
-            def of(mark, z):
-                if mark not in held:
-                    if len(held) > 200:
-                        held.clear()
-                    held[mark] = shingles(open_.decompress(z).decode("utf-8", "surrogatepass"))
-                return held[mark]
 
+            of = Shingles().of
             for t in batches:
                 told = []
                 for ma, za, mb, zb in zip(*(t.column(i).to_pylist() for i in range(2, 6)), strict=True):
@@ -236,46 +252,66 @@ class Linker:
         found = joined.mapInArrow(run, "a long, b long, linked boolean")
         return common.cut(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
-    def across(self, comps: DataFrame, best: bool) -> DataFrame:
-        """Pairs of members of a bucket in different components that the comparison of signatures leaves, with the asking member and the matches.
+    def across(self, comps: DataFrame, exact: bool = False) -> DataFrame:
+        """Pairs of members of a bucket in different components: asker, matches, a, b and their marks.
 
-        With `best`, each member gets only its best of each block, which joins most components; a later call without it
-        gives all pairs that are left.
+        Without `exact`, each member gets the pair of a block that has most matching hashes. With it, all pairs that the
+        comparison of signatures leaves are verified on the full sets inside the block's task, each pair in the first band
+        that it shares, and one linked pair for each member and other component is returned.
         """
-        rows = self.members.join(comps, "id", "left").select("key", "id", "leader", F.coalesce("comp", "id").alias("comp"))
+        rows = self.members.join(comps, "id").select("key", "band", "id", "comp")
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("comp", "id").alias("main")).where("low <> high")
         rows = rows.join(mixed.select("key", "size", "main"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         # members of the leader's component stand in blocks; all others stand in blocks too and also ask every block
-        stand = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "comp")
-        ask = rows.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "comp")
+        stand = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind"), "band", "id", "comp")
+        ask = rows.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("kind"), "band", "id", "comp")
         need = self.need
         dealt = stand.unionByName(ask).join(self.reps.select("id", "mark", "sig"), "id")
+        if exact:
+            dealt = common.cut(dealt, "dealt")
+            dealt = dealt.join(common.cut(self.texts(dealt.select("id").distinct()), "texts"), ["id", "mark"])
+        else:
+            dealt = dealt.withColumn("z", F.lit(None).cast("binary"))
         parts = int(self.reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "kind").select("key", "block", "kind", "id", "comp", "mark", "sig")
+        dealt = dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "kind").select("key", "block", "kind", "band", "id", "comp", "mark", "sig", "z")
 
-        def compare(group):
+        def compare(group, shingles_of):
             """Survivors between the asking and the standing rows of one block."""
-            stand_, ask_ = [r for r in group if r[0] == 0], [r for r in group if r[0] == 1]
+            stand_, ask_ = [r for r in group if r[0] < 2], [r for r in group if r[0] == 2]
             if not stand_ or not ask_:
                 return
-            own = np.array([r[1] for r in stand_])
-            comp = np.array([r[2] for r in stand_])
-            sigs = np.frombuffer(b"".join(r[4] for r in stand_), np.uint16).reshape(-1, HASHES)
-            for _, i, c, mark, sig in ask_:
-                other = np.flatnonzero(comp != c)
+            own, comp = np.array([r[2] for r in stand_]), np.array([r[3] for r in stand_])
+            asks_too = np.array([r[0] == 1 for r in stand_])
+            sigs = np.frombuffer(b"".join(r[5] for r in stand_), np.uint16).reshape(-1, HASHES)
+            for _, band, i, c, mark, sig, z in ask_:
+                mine = np.frombuffer(sig, np.uint16)
+                other = np.flatnonzero((comp != c) & ~(asks_too & (own > i)) if exact else comp != c)
                 if not len(other):
                     continue
-                matches = survive(np.broadcast_to(np.frombuffer(sig, np.uint16), (len(other), HASHES)), sigs[other], need)
+                matches = survive(np.broadcast_to(mine, (len(other), HASHES)), sigs[other], need)
                 hit = np.flatnonzero(matches >= 0)
-                if best and len(hit):
-                    hit = hit[np.lexsort((own[other[hit]], -matches[hit]))][:1]
+                hit = hit[np.lexsort((own[other[hit]], -matches[hit]))]
+                done = set()
                 for k, m in zip(other[hit].tolist(), matches[hit].tolist(), strict=True):
+                    if exact:
+                        first = int((mine.reshape(-1, ROWS) == sigs[k].reshape(-1, ROWS)).all(1).argmax())
+                        if first != band or comp[k] in done:
+                            continue
+                        x, y = shingles_of(mark, z), shingles_of(stand_[k][4], stand_[k][6])
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * both < NEED * (len(x) + len(y) - both):
+                            continue
+                        done.add(comp[k])
                     j = int(own[k])
-                    yield (i, m, i, j, mark, stand_[k][3]) if i > j else (i, m, j, i, stand_[k][3], mark)
+                    yield (i, m, i, j, mark, stand_[k][4]) if i > j else (i, m, j, i, stand_[k][4], mark)
+                    if not exact:
+                        break
 
         def run(batches):
             import pyarrow as pa
 
+            sets = Shingles()
+
             def out(rows):
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -283,15 +319,15 @@ class Linker:
 
             at, group, found = None, [], []
             for t in batches:
-                for key, block, *row in zip(*(t.column(i).to_pylist() for i in range(7)), strict=True):
+                for key, block, *row in zip(*(t.column(i).to_pylist() for i in range(9)), strict=True):
                     if (key, block) != at:
-                        found += compare(group)
+                        found += compare(group, sets.of)
                         at, group = (key, block), []
                         if len(found) > 5000:
                             yield out(found)
                             found = []
                     group.append(row)
-            found += compare(group)
+            found += compare(group, sets.of)
             yield out(found)
 
         return dealt.mapInArrow(run, "asker long, matches int, a long, b long, ma binary, mb binary")
