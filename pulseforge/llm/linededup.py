@@ -7,7 +7,7 @@ and extended word by word both ways, and a run of at least RUN words is deleted
 occurrence gives no such run, the occurrences are told apart by more of their words and compared again, at last by
 whole windows of RUN words. So every word that goes stands in a run of at least RUN words that also stands earlier (in
 the order of ids and places), and every fingerprint inside such a run is part of a deleted run; where a run has several
-earlier copies of different extent, words at its ends may stay.
+earlier copies of different extent, or repeats one word, words at its ends may stay.
 """
 
 from __future__ import annotations
@@ -71,6 +71,10 @@ def winnow(texts: list[str | None]):
     least = _slide(h, w, np.minimum)
     pad = np.zeros(w - 1, np.uint64)
     chosen = (_slide(np.concatenate([pad, least, pad]), w, np.maximum) == h) & inside & (sizes >= RUN)[doc[: len(h)]]
+    # in a run of one word all lines are equal: its first two lines and every sixteenth place of the text are enough
+    again = np.concatenate([[False], h[1:] == h[:-1]])
+    third = again & np.concatenate([[False], again[:-1]])
+    chosen &= ~third | ((np.arange(len(h)) - bounds[doc[: len(h)]]) % 16 == 0)
     at = np.flatnonzero(chosen)
     return h[at], doc[at], at - bounds[doc[at]], words, bounds
 
