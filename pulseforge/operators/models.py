@@ -129,6 +129,63 @@ def tune_head(net: Network, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np
     return tuned, at
 
 
+def neighbour_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Exact distance (the greater of those in x and y) of each of at least k + 1 points to its k-th neighbour.
+
+    Points lie in strips of about equal size by x, sorted by y inside. The nearest in y of the own strip bound the distance;
+    then strips are visited outwards for as long as they come within the bound, and in each the points of that range of y.
+    """
+    n = len(x)
+    width = min(n, max(k + 1, int(np.sqrt(n * k))))
+    strips = n // width
+    strip = np.empty(n, np.int64)
+    strip[np.argsort(x, kind="stable")] = np.minimum(np.arange(n) // width, strips - 1)
+    order = np.lexsort((y, strip))
+    x, y, strip = x[order], y[order], strip[order]
+    start = np.searchsorted(strip, np.arange(strips + 1))
+    least, most = np.minimum.reduceat(x, start[:-1]), np.maximum.reduceat(x, start[:-1])
+    ys = np.sort(y)
+    place = strip * (n + 1) + np.searchsorted(ys, y)  # ascending
+    near = np.clip(np.arange(n) - k // 2, start[strip], start[strip + 1] - k - 1)[:, None] + np.arange(k + 1)
+    bound = np.maximum(np.abs(x[near] - x[:, None]), np.abs(y[near] - y[:, None])).max(1)
+    best = np.full((n, k + 1), np.inf)
+
+    def visit(at, other):
+        wide = bound[at] * (1 + 1e-9) + 1e-300
+        lo = np.searchsorted(place, other * (n + 1) + np.searchsorted(ys, y[at] - wide, "left"))
+        hi = np.searchsorted(place, other * (n + 1) + np.searchsorted(ys, y[at] + wide, "right"))
+        some = hi > lo
+        at, lo, size = at[some], lo[some], (hi - lo)[some]
+        by = np.argsort(size)
+        at, lo, size = at[by], lo[by], size[by]
+        i = 0
+        while i < len(at):
+            j = min(len(at), i + 4096)
+            while j > i + 1 and (j - i) * size[j - 1] > 1 << 20:
+                j = i + (j - i + 1) // 2
+            mine, many = at[i:j], np.arange(size[j - 1])
+            those = np.minimum(lo[i:j, None] + many, n - 1)
+            away = np.maximum(np.abs(x[those] - x[mine, None]), np.abs(y[those] - y[mine, None]))
+            away[many >= size[i:j, None]] = np.inf
+            best[mine] = np.partition(np.hstack([best[mine], away]), k, 1)[:, : k + 1]
+            bound[mine] = np.minimum(bound[mine], best[mine].max(1))
+            i = j
+
+    visit(np.arange(n), strip)
+    for way in (1, -1):
+        at, step = np.arange(n), 0
+        while len(at):
+            step += way
+            at = at[(strip[at] + step >= 0) & (strip[at] + step < strips)]
+            other = strip[at] + step
+            gap = least[other] - x[at] if way > 0 else x[at] - most[other]
+            at = at[gap <= bound[at]]
+            visit(at, strip[at] + step)
+    told = np.empty(n)
+    told[order] = best.max(1)
+    return told
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Nearest-neighbour estimate of the mutual information of two columns in nats, at least 0 (ranks break ties, so it is deterministic)."""
     n = len(x)
@@ -137,20 +194,18 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     x, y = ((v - v.mean()) / (v.std() or 1.0) + 1e-10 * np.argsort(np.argsort(v, kind="stable")) for v in (x.astype(float), y.astype(float)))
     gamma = lambda v: np.log(v) - 1 / (2 * v) - 1 / (12 * v**2)
     total = 0.0
-    xs, ys = np.sort(x), np.sort(y)
-    for lo in range(0, n, 512):
-        dx, dy = np.abs(x[lo : lo + 512, None] - x), np.abs(y[lo : lo + 512, None] - y)
-        r = np.partition(np.maximum(dx, dy), k, 1)[:, k]
-        for s, v in ((xs, x[lo : lo + 512]), (ys, y[lo : lo + 512])):
-            count = np.searchsorted(s, v + r, "left") - np.searchsorted(s, v - r, "right")
-            total -= gamma(np.maximum(count, 1).astype(float)).sum()
+    r = neighbour_distances(x, y, k)
+    for v in (x, y):
+        own = np.sort(v)
+        count = np.searchsorted(own, v + r, "left") - np.searchsorted(own, v - r, "right")
+        total -= gamma(np.maximum(count, 1).astype(float)).sum()
     return max(0.0, float(gamma(float(n)) + gamma(float(k)) + total / n))
 
 
 def folds(df: DataFrame, person: str) -> DataFrame:
-    """Each row once for every fold (person), with __test for the held-out ones. Persons are few; the explode is by their array."""
+    """Each row once for every fold (person), with __test for the held-out ones. Persons are few; the explode is by their array, and a fixed number of partitions keeps folds from being merged into one task."""
     people = df.select(person).distinct()
-    return df.join(F.broadcast(people.agg(F.collect_set(person).alias("__all")))).withColumn("__fold", F.explode("__all")).drop("__all").withColumn("__test", F.col(person) == F.col("__fold"))
+    return df.join(F.broadcast(people.agg(F.collect_set(person).alias("__all")))).withColumn("__fold", F.explode("__all")).drop("__all").withColumn("__test", F.col(person) == F.col("__fold")).repartition(64, "__fold")
 
 
 def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], model: str = "logistic", hidden: int = 10, alpha: float = 0.01, fpr: float = 0.05) -> DataFrame:

@@ -38,7 +38,7 @@ def lf_hf(spark, d):
 def _design(spark, d):
     rows = fx.temporal(tables.signal(spark, d), ["x"], "rec", ["idx"], 3)
     person = (F.col("rec") % 8).alias("person")
-    return rows.where("rec < 40").select("rec", "idx", person, "x", "x_rm3", "x_rs3", "x_slope", F.lead("x").over(_next()).alias("y")).where("y is not null")
+    return rows.select("rec", "idx", person, "x", "x_rm3", "x_rs3", "x_slope", F.lead("x").over(_next()).alias("y")).where("y is not null")
 
 
 def _next():

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulseforge.operators import models, signals
+from pulseforge.plans import registry
 
 
 def train(bpm, fs, seconds, sign=1.0, transient=1.0):
@@ -67,3 +68,24 @@ def test_folds_do_not_leak(spark):
     b = {(r.person, r.i): r.p for r in models.loso(other, ["x"], "y", "person", ["i"], model="network").collect()}
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a if k[0] == 2) and len(a) == 120
     assert any(abs(a[k] - b[k]) > 1 for k in a if k[0] == 1)
+
+
+def test_neighbour_distances_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for x, y in (rng.normal(size=(2, 700)), rng.standard_cauchy((2, 300)), np.round(rng.normal(size=(2, 400)), 1), rng.normal(size=(2, 4))):
+        away = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+        assert (models.neighbour_distances(x, y, 3) == np.partition(away, 3, 1)[:, 3]).all()
+
+
+def test_all_recordings_take_part(spark):
+    path = "/root/testdata/sf0.01"
+    sizes = spark.read.parquet(f"{path}/events.parquet").groupBy("user_id").count().where("count > 1").collect()
+    want = {r["user_id"]: r["count"] - 1 for r in sizes}
+    for name in ("mlp_loso", "logistic_loso"):
+        got = registry.QUERIES[name](spark, path).groupBy("rec").agg(F.count("p").alias("n")).collect()
+        assert {r.rec: r.n for r in got} == want and max(want) > 40
+    tested = {r.person: r.n_test for r in registry.QUERIES["personalize"](spark, path).collect()}
+    for person, n in tested.items():
+        own = sum(c for rec, c in want.items() if rec % 8 == person)
+        assert n == own - int(np.ceil(0.6 * own))
+    assert len(tested) == 8
