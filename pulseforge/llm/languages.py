@@ -2,12 +2,13 @@
 
 Words (runs of letters, lower case, with a boundary before and after) are scored by a character model of order five for
 each language. Counts come from all training rows; the models stand in sorted arrays of 64-bit n-gram hashes, one row
-for each n-gram and one column for each language. A text gets the language of the lowest cross-entropy per character.
+for each n-gram and one column for each language, or in slices where they are large. A text gets the language of the lowest cross-entropy per character.
 Texts whose lowest cross-entropy is beyond what texts of their length have on calibration rows are rejected.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pulseforge.llm import common
 
 ORDER = 5
-#: Most n-grams of the broadcast model; beyond it, those of the lowest counts are left out (about 100 MB for five languages).
+#: Most n-grams that are held at once. A larger model is estimated by joins and scored slice by slice; no n-gram is left out.
 MAX_GRAMS = 2_000_000
 #: Distinct words that a task holds before it turns them into n-gram counts.
 MAX_WORDS = 400_000
@@ -196,18 +197,12 @@ def word_scores(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: DataFrame) -> dict:
-    """Models of all rows (text, lang) with text and language."""
+    """Models of all rows (text, lang) with text and language: arrays as estimate() gives them, or slices."""
     counts = common.cut(gram_counts(rows.where("text is not null and lang is not null")), "grams")
     total = counts.count()
-    if total > MAX_GRAMS:
-        steps = counts.where("n > 1").groupBy(F.least(F.col("count"), F.lit(100_000)).alias("c")).count().orderBy("c").collect()
-        least, gone = 1, 0
-        for r in steps:
-            if total - gone <= MAX_GRAMS:
-                break
-            gone, least = gone + r["count"], r["c"] + 1
-        counts = counts.where((F.col("n") == 1) | (F.col("count") >= least))
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if total > MAX_GRAMS:
+        return sliced(counts, langs, -(-total // MAX_GRAMS))
     code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1 if langs else F.lit(0)
     columns = {"lang": np.int16, "n": np.int8, "hash": np.uint64, "ctx": np.uint64, "sfx": np.uint64, "begins": bool, "count": np.float64}
     rows = counts.select(code.cast("short").alias("lang"), F.col("n").cast("byte").alias("n"), "hash", "ctx", "sfx", "begins", "count").toArrow()
@@ -216,6 +211,90 @@ def fit(rows: DataFrame) -> dict:
     return estimate(langs, table)
 
 
+def gains(counts: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """The models of estimate() by joins, as lang, n, hash and gain, and what an event has at least by language.
+
+    A word's log probability is the sum of the gains of all its n-grams and of that for each event. The gain of an n-gram
+    is what it has over backing off from it, and the back-off weight that it gives the event after it as a context.
+    """
+    left = counts.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("sfx").alias("hash")).agg(F.count("*").alias("left"))
+    amount = F.when((F.col("n") == ORDER) | F.col("begins"), F.col("count")).otherwise(F.coalesce("left", F.lit(1)))
+    rows = common.cut(counts.join(left, ["lang", "n", "hash"], "left").select("lang", "n", "hash", "ctx", "sfx", amount.cast("double").alias("amount")), "amounts")
+    size = rows.where("n = 1").select("hash").distinct().count() + 1
+    ones = rows.groupBy("lang", "n").agg(F.count_if(F.col("amount") == 1).alias("n1"), F.count_if(F.col("amount") == 2).alias("n2"))
+    d = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    groups = rows.groupBy("lang", "n", "ctx").agg(F.sum("amount").alias("total"), F.count("*").alias("kinds"))
+    groups = groups.join(F.broadcast(ones.select("lang", "n", d.alias("d"))), ["lang", "n"])
+    groups = common.cut(groups.select("lang", "n", "ctx", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight")), "contexts")
+    rows = rows.join(groups, ["lang", "n", "ctx"])
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-30)))
+    lower, parts = None, []
+    for k in range(1, ORDER + 1):
+        own = rows.where(F.col("n") == k)
+        own = own.withColumn("below", F.lit(1 / size)) if k == 1 else own.join(lower, ["lang", "sfx"])
+        own = own.withColumn("p", F.greatest(F.col("amount") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below"))
+        own = common.cut(own.select("lang", "n", "hash", "p", (log("p") - log("weight") - log("below")).alias("own")), "order")
+        lower = own.select("lang", F.col("hash").alias("sfx"), F.col("p").alias("below"))
+        parts.append(own.drop("p"))
+    back = groups.where("n > 1").select("lang", (F.col("n") - 1).alias("n"), F.col("ctx").alias("hash"), log("weight").alias("back"))
+    found = functools.reduce(DataFrame.unionByName, parts).join(back, ["lang", "n", "hash"], "left")
+    none = {r["lang"]: math.log(r["weight"] / size) for r in groups.where("n = 1").collect()}
+    return found.select("lang", "n", "hash", (F.col("own") + F.coalesce("back", F.lit(0.0))).alias("gain")), none
+
+
+def sliced(counts: DataFrame, langs: list[str], parts: int) -> dict:
+    """A model in parts that are broadcast one by one: for each order the sorted hashes, where their rows begin, and languages and gains of the rows."""
+    found, none = gains(counts)
+    code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+    found = common.cut(found.select(code.cast("short").alias("lang"), F.col("n").cast("byte").alias("n"), "hash", "gain", F.pmod(F.xxhash64("hash"), F.lit(parts)).alias("slice")), "gains")
+    sent = []
+    for i in range(parts):
+        rows = found.where(F.col("slice") == i).select("lang", "n", "hash", "gain").toArrow()
+        lang, n, h, gain = (rows.column(c).to_numpy() for c in ("lang", "n", "hash", "gain"))
+        h, orders = h.view(np.uint64), []
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero(n == k)
+            at = at[np.argsort(h[at], kind="stable")]
+            keys, first = np.unique(h[at], return_index=True)
+            orders.append((keys, np.append(first, len(at)), lang[at], gain[at]))
+        del rows
+        sent.append(counts.sparkSession.sparkContext.broadcast(orders))
+    return {"langs": langs, "none": np.array([none[x] for x in langs]), "slices": sent}
+
+
+def sliced_scores(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_scores() of a model in slices, of which one is held at a time."""
+    word, orders = grams(words)
+    size, held = len(words), len(m["langs"])
+    events = np.bincount(word, minlength=size)
+    total = np.zeros(size * held)
+    for part in m["slices"]:
+        for (keys, first, lang, gain), (h, _, _, valid, _) in zip(part.value, orders, strict=True):
+            if not len(keys):
+                continue
+            at = np.searchsorted(keys, h)
+            at[at == len(keys)] = 0
+            hit = np.flatnonzero(valid & (keys[at] == h))
+            at = at[hit]
+            many = first[at + 1] - first[at]
+            rows = np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            total += np.bincount(np.repeat(word[hit], many) * held + lang[rows], weights=gain[rows], minlength=size * held)
+        vars(part).pop("_value", None)
+    return total.reshape(size, held) + events[:, None] * m["none"], events
+
+
+class Held:
+    """A model in slices in place of a broadcast one: the slices are broadcast already."""
+
+    def __init__(self, value: dict):
+        self.value = value
+
+
+def send(spark, m: dict):
+    """A model for the executors."""
+    return Held(m) if "slices" in m else spark.sparkContext.broadcast(m)
+
+
 def scored_batches(parts, m: dict):
     """For each list of texts: best language, cross-entropy, events and share as arrays."""
     import gc
@@ -231,7 +310,7 @@ def scored_batches(parts, m: dict):
         size = len(texts)
         best, h, n, share = [None] * size, [None] * size, np.zeros(size, np.int64), np.zeros(size)
         if index and langs:
-            total, events = word_scores(m, list(index))
+            total, events = (sliced_scores if "slices" in m else word_scores)(m, list(index))
             sizes = np.fromiter(map(len, split), np.int64, size)
             ids = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
             has = np.flatnonzero(sizes)
@@ -288,7 +367,7 @@ def identify(df: DataFrame, train: DataFrame, calibration: DataFrame | None = No
     in order. Languages, sources and ids are never read from df. Without calibration rows nothing with letters is
     rejected. Rejection: the cross-entropy lies further above its language's mean than usual for that many characters.
     """
-    model = df.sparkSession.sparkContext.broadcast(fit(train))
+    model = send(df.sparkSession, fit(train))
     limits = calibrate(common.cut(cross_entropies(calibration, model, id_col, text_col), "calibration")) if calibration is not None else {}
     out = cross_entropies(df, model, id_col, text_col)
     return out.select(
@@ -311,7 +390,7 @@ def usual(limits: dict[str, tuple[float, float, float]]):
 
 def accept_rows(df: DataFrame, train: DataFrame, calibration: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of df, with all their columns, that identify() accepts."""
-    model = df.sparkSession.sparkContext.broadcast(fit(train))
+    model = send(df.sparkSession, fit(train))
     limits = calibrate(common.cut(cross_entropies(calibration, model, text_col, text_col).drop(text_col), "calibration"))
     names = df.columns
 

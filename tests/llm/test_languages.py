@@ -106,3 +106,21 @@ def test_edges(spark):
     assert got[None][0].lang_pred == "en" and {r.lang_pred for r in got[5]} == {"de"} and got[6][0].lang_pred in ("de", "en")
     assert {r.lang_pred for r in lg.identify(df, train.limit(0)).collect()} == {"und"}
     assert lg.identify(df.limit(0), train).count() == 0
+
+
+def test_large_models_keep_all_ngrams(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-1, "vlaai kermis «mofers» sjoen aovend", "li"), (-2, "sjoen kermis a«b", None)], docs.schema)
+    docs = docs.limit(80).union(rare)
+    told = []
+    for most in (lg.MAX_GRAMS, 5000):
+        monkeypatch.setattr(lg, "MAX_GRAMS", most)
+        told.append({r.doc_id: r for r in lg.identify(docs, docs.select("text", "lang")).collect()})
+    model = lg.fit(docs)
+    assert len(model["slices"]) > 1
+    assert sum(len(rows[0]) for part in model["slices"] for rows in part.value) == lg.gram_counts(docs.where("lang is not null")).select("n", "hash").distinct().count()
+    assert told[0].keys() == told[1].keys() and told[1][-2].lang_pred == "li"
+    for i, a in told[0].items():
+        b = told[1][i]
+        assert a.lang_pred == b.lang_pred and a.n_scored == b.n_scored
+        assert a.cross_entropy is None and b.cross_entropy is None or abs(a.cross_entropy - b.cross_entropy) < 1e-4
