@@ -197,8 +197,24 @@ def word_scores(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: DataFrame) -> dict:
-    """Models of all rows (text, lang) with text and language: arrays as estimate() gives them, or slices."""
-    counts = common.cut(gram_counts(rows.where("text is not null and lang is not null")), "grams")
+    """Models of all rows (text, lang) with text and language."""
+    return models_of(common.cut(gram_counts(rows.where("text is not null and lang is not null")), "grams"))
+
+
+def fit_calibrated(train: DataFrame, calibration: DataFrame, text_col: str = "text"):
+    """Models of train and calibration rows together, sent to the executors, and limits of calibration rows by models of train alone."""
+    usable = "text is not null and lang is not null"
+    own = common.cut(gram_counts(train.where(usable)), "grams")
+    model = send(train.sparkSession, models_of(own))
+    limits = calibrate(common.cut(cross_entropies(calibration, model, text_col, text_col).drop(text_col), "calibration"))
+    model.destroy()
+    both = own.unionByName(gram_counts(calibration.where(usable))).groupBy("lang", "n", "hash")
+    both = both.agg(F.sum("count").alias("count"), F.first("ctx").alias("ctx"), F.first("sfx").alias("sfx"), F.first("begins").alias("begins"))
+    return send(train.sparkSession, models_of(common.cut(both, "grams"))), limits
+
+
+def models_of(counts: DataFrame) -> dict:
+    """Models of counts: arrays as estimate() gives them, or slices."""
     total = counts.count()
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if total > MAX_GRAMS:
@@ -289,6 +305,10 @@ class Held:
     def __init__(self, value: dict):
         self.value = value
 
+    def destroy(self) -> None:
+        for part in self.value["slices"]:
+            part.destroy()
+
 
 def send(spark, m: dict):
     """A model for the executors."""
@@ -360,15 +380,17 @@ def calibrate(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
 
 
 def identify(df: DataFrame, train: DataFrame, calibration: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language of every row of df from models of train (text, lang).
+    """Language of every row of df from models of train and calibration rows (text, lang); the limits come from models of train alone.
 
     Returns id_col, lang_pred, score, cross_entropy, n_scored, accepted. A null text or one without letters is `und`
     with score 0 and rejected; so is every row if train has no language. Equal cross-entropies go to the first language
     in order. Languages, sources and ids are never read from df. Without calibration rows nothing with letters is
     rejected. Rejection: the cross-entropy lies further above its language's mean than usual for that many characters.
     """
-    model = send(df.sparkSession, fit(train))
-    limits = calibrate(common.cut(cross_entropies(calibration, model, id_col, text_col), "calibration")) if calibration is not None else {}
+    if calibration is None:
+        model, limits = send(df.sparkSession, fit(train)), {}
+    else:
+        model, limits = fit_calibrated(train, calibration, text_col)
     out = cross_entropies(df, model, id_col, text_col)
     return out.select(
         id_col,
@@ -390,8 +412,7 @@ def usual(limits: dict[str, tuple[float, float, float]]):
 
 def accept_rows(df: DataFrame, train: DataFrame, calibration: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of df, with all their columns, that identify() accepts."""
-    model = send(df.sparkSession, fit(train))
-    limits = calibrate(common.cut(cross_entropies(calibration, model, text_col, text_col).drop(text_col), "calibration"))
+    model, limits = fit_calibrated(train, calibration, text_col)
     names = df.columns
 
     def run(batches):
@@ -410,7 +431,7 @@ def accept_rows(df: DataFrame, train: DataFrame, calibration: DataFrame, text_co
 
 
 def folds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Training and calibration rows: folds 2 to 4, and fold 1; fold 0 is held out."""
+    """Rows that train, and rows that calibrate before they train too: folds 2 to 4, and fold 1; fold 0 is held out."""
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     return rows.where(common.crc_fold() >= 2), rows.where(common.crc_fold() == 1)
 

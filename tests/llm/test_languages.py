@@ -124,3 +124,11 @@ def test_large_models_keep_all_ngrams(spark, monkeypatch):
         b = told[1][i]
         assert a.lang_pred == b.lang_pred and a.n_scored == b.n_scored
         assert a.cross_entropy is None and b.cross_entropy is None or abs(a.cross_entropy - b.cross_entropy) < 1e-4
+
+
+def test_calibration_rows_teach_too(spark):
+    kind = "doc_id long, text string, lang string"
+    train = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")], kind)
+    calibration = spark.createDataFrame([(3, "vlaai kermis mofers sjoen aovend", "li"), (4, "the cat and the mat", "en")], kind)
+    df = spark.createDataFrame([(5, "sjoen aovend"), (6, "the cat sat"), (7, "der hund")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in lg.identify(df, train, calibration).collect()} == {5: "li", 6: "en", 7: "de"}
