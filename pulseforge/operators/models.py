@@ -53,7 +53,7 @@ def minimise(f, w: np.ndarray, steps: int = 200, memory: int = 10, tol: float =
     return w
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 2000) -> np.ndarray:
     """Balanced L2-penalised weights, the intercept last and without penalty."""
     n, pos = len(y), max(1.0, y.sum())
     weight = np.where(y == 1, n / (2 * pos), n / (2 * max(1.0, n - pos)))
@@ -65,7 +65,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
         value = c * (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * w[:-1] @ w[:-1]
         return value, c * wide.T @ (weight * (p - y)) + np.append(w[:-1], 0)
 
-    return minimise(loss, np.zeros(x.shape[1] + 1))
+    return minimise(loss, np.zeros(x.shape[1] + 1), steps)
 
 
 class Network:
@@ -90,7 +90,7 @@ class Network:
         _, _, c, d = self.parts(self.w)
         return self.hidden(x) @ c + d
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300) -> Network:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 1000) -> Network:
         n = len(x)
 
         def loss(w):

@@ -89,3 +89,11 @@ def test_all_recordings_take_part(spark):
         own = sum(c for rec, c in want.items() if rec % 8 == person)
         assert n == own - int(np.ceil(0.6 * own))
     assert len(tested) == 8
+
+
+def test_fits_have_the_steps_of_the_reference(monkeypatch):
+    given = []
+    monkeypatch.setattr(models, "minimise", lambda f, w, steps=200, **rest: given.append(steps) or w)
+    models.fit_logistic(np.ones((4, 1)), np.array([0.0, 1, 0, 1]))
+    models.Network(1, 2, 1).fit(np.ones((4, 1)), np.ones((4, 1)))
+    assert given == [2000, 1000]
