@@ -14,10 +14,11 @@ def window_features(stream: DataFrame, ts: str = "ts", rec: str = "rec", x: str
     return rows.agg(F.count("*").alias("n"), F.avg(F.abs(x)).alias("aSKNA"), F.var_pop(x).alias("varSKNA"), F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rmsSKNA"), F.max(F.abs(x)).alias("peak"))
 
 
-def expanding_normaliser(stream: DataFrame, rec: str = "rec", order: str = "idx", x: str = "x", keep: int = 5000) -> DataFrame:
+def expanding_normaliser(stream: DataFrame, rec: str = "rec", order: str = "idx", x: str = "x", window: int | None = None) -> DataFrame:
     """Each sample less the median of those before it, over their interquartile range (null until four are known).
 
-    The state of a recording is the sorted list of its last `keep` samples; rows must arrive in order within a batch's
+    The state of a recording is the list of all its samples so far, or with `window` of its last so many, and then the
+    median and range are those of that window only. Rows must arrive in order within a batch's
     recording, and are sorted by `order` inside a batch.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,9 +26,13 @@ def expanding_normaliser(stream: DataFrame, rec: str = "rec", order: str = "idx"
     def step(key, batches: Iterator, state: GroupState):
         import bisect
 
-        import numpy as np
         import pandas as pd
 
+        def quantile(ranked, p):
+            at = (len(ranked) - 1) * p
+            lo = int(at)
+            return ranked[lo] + (ranked[min(lo + 1, len(ranked) - 1)] - ranked[lo]) * (at - lo)
+
         (held,) = state.get if state.exists else ([],)
         seen = list(held)
         ranked = sorted(seen)
@@ -36,13 +41,13 @@ def expanding_normaliser(stream: DataFrame, rec: str = "rec", order: str = "idx"
             out = []
             for v in pdf[x]:
                 if ranked:
-                    q1, q2, q3 = np.percentile(ranked, [25, 50, 75])
+                    q1, q2, q3 = (quantile(ranked, p) for p in (0.25, 0.5, 0.75))
                     out.append((v - q2) / (q3 - q1) if len(ranked) >= 4 and q3 > q1 else None)
                 else:
                     out.append(None)
                 seen.append(float(v))
                 bisect.insort(ranked, float(v))
-                if len(seen) > keep:
+                if window is not None and len(seen) > window:
                     ranked.pop(bisect.bisect_left(ranked, seen.pop(0)))
             yield pd.DataFrame({rec: pdf[rec], order: pdf[order], "z": pd.Series(out, index=pdf.index, dtype="float64")})
         state.update((seen,))

@@ -63,3 +63,16 @@ def test_streams(spark, tmp_path):
     assert alarms == sorted(expect)
     w = run(causal.window_features(stream(), length="10 seconds", slide="5 seconds", late="0 seconds"), "w").collect()
     assert w and all(r.n <= 10 for r in w)
+
+
+def test_expanding_normaliser_keeps_long_recordings(spark, tmp_path):
+    values = np.arange(5200.0) ** 1.5
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)], "rec long, idx long, x double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    q = causal.expanding_normaliser(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("long").start()
+    q.processAllAvailable()
+    q.stop()
+    z = {r.idx: r.z for r in spark.table("long").collect()}
+    for i in (5000, 5001, 5199):
+        q1, q2, q3 = np.percentile(values[:i], [25, 50, 75])
+        assert abs(z[i] - (values[i] - q2) / (q3 - q1)) < 1e-9
