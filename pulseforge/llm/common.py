@@ -51,6 +51,23 @@ def chunks(batches, cols: list[str], text: str = "text", most: int = CHUNK_CHARS
             yield tuple(part.column(batch.schema.get_field_index(c)).to_pylist() for c in cols)
 
 
+def arrays(batches, cols: list[str], text: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple]:
+    """Arrow columns of consecutive rows, cut so that their texts hold about `most` bytes (a single longer text is a lot of its own)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            part = batch.slice(lo, hi - lo)
+            yield tuple(part.column(c) for c in cols)
+            lo = hi
+
+
 def record_batch(schema: list[tuple], columns: list) -> object:
     """A record batch from (name, arrow type) pairs and as many lists or arrays."""
     import pyarrow as pa

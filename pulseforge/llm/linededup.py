@@ -1,129 +1,228 @@
-"""Deletion of repeated runs of lines by winnowing.
-
-The hashed lines are rolling: the eight words from each word on, because repeated passages begin and end inside the
-lines that line ends make. Of every window of line hashes the least is a fingerprint, so that any two equal runs of at
-least RUN words share one. Fingerprints that occur once are dropped; each other occurrence is joined with the first one
-and extended word by word both ways, and a run of at least RUN words is deleted at the later place. Where the first
-occurrence gives no such run, the occurrences are told apart by more of their words and compared again, at last by
-whole windows of RUN words. So every word that goes stands in a run of at least RUN words that also stands earlier (in
-the order of ids and places), and every fingerprint inside such a run is part of a deleted run; where a run has several
-earlier copies of different extent, or repeats one word, words at its ends may stay.
+"""Deletion of repeated lines and runs by winnowing over line hashes.
+
+Hashed lines are of two kinds: the lines that line ends make, and, because copied passages begin and end inside those,
+the rolling lines of LINE words from each word on. A window of the first kind is one line, as a single line may be a
+copy; a window of the second kind is RUN words, and its least rolling line is its fingerprint, so that two equal
+windows always have the same one. The windows that follow each other with one fingerprint make a stretch of words.
+
+1. Hashes of lines and fingerprints are counted; those that stand once are left out by a bitmap.
+2. Places of lines and stretches are joined by content with the first place; later ones go as a whole.
+3. Where one fingerprint lies in unequal stretches (a copy begins or ends there, or was edited), the match is extended
+   both ways from it: each window of RUN words that holds the fingerprint is joined with its first place.
+
+So a word goes exactly if it stands in a line of at least LEAST words that is an earlier line, or in a window of RUN
+words that stands earlier, in the order of ids and places; windows of one text may overlap. Only numbers are shuffled,
+besides the texts that have something to extend or to delete.
 """
 
 from __future__ import annotations
 
-import itertools
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseforge.llm import common
 
-#: Words of a run that is deleted, and of a rolling line.
-RUN, LINE = 50, 8
-#: Words kept on each side of a fingerprint: as far as a run of RUN words that holds it can reach.
-SIDE = RUN - LINE
-#: Words of one side that tell occurrences apart the second time: every run of RUN words has as many on one side.
-APART = SIDE // 2
-
-#: Bytes that part words become blanks, A-Z become a-z; digits, letters and bytes from 0x80 stay.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def folded(text: str | None) -> bytes:
-    return text.encode("utf-8", "surrogatepass").translate(FOLD) if text else b""
-
-
-def _slide(a: np.ndarray, w: int, op) -> np.ndarray:
-    """op over a[i : i + w] for each i that has as many."""
-    done = 1
-    while done < w:
-        step = min(done, w - done)
-        a = op(a[:-step], a[step:])
-        done += step
-    return a
-
-
-def winnow(texts: list[str | None]):
-    """Fingerprints of texts: hash, index of the text, place of the first word; and all word hashes with the bounds of the texts."""
-    split = [folded(t).split() for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    n = int(bounds[-1])
-    words = np.fromiter(map(zlib.crc32, itertools.chain.from_iterable(split)), np.uint32, n)
-    words[words == 0] = 1
-    empty = np.zeros(0, np.int64)
-    if n < RUN:
-        return np.zeros(0, np.uint64), empty, empty, words, bounds
-    h = words[: n - LINE + 1].astype(np.uint64)
-    for k in range(1, LINE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : n - LINE + 1 + k]
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    inside = doc[: n - LINE + 1] == doc[LINE - 1 :]
-    h = np.where(inside, np.minimum(h, _NONE - np.uint64(1)), _NONE)
-    w = SIDE + 1
-    least = _slide(h, w, np.minimum)
-    pad = np.zeros(w - 1, np.uint64)
-    chosen = (_slide(np.concatenate([pad, least, pad]), w, np.maximum) == h) & inside & (sizes >= RUN)[doc[: len(h)]]
-    # in a run of one word all lines are equal: its first two lines and every sixteenth place of the text are enough
-    again = np.concatenate([[False], h[1:] == h[:-1]])
-    third = again & np.concatenate([[False], again[:-1]])
-    chosen &= ~third | ((np.arange(len(h)) - bounds[doc[: len(h)]]) % 16 == 0)
-    at = np.flatnonzero(chosen)
-    return h[at], doc[at], at - bounds[doc[at]], words, bounds
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """hash of every fingerprint of docs (id, text)."""
-
-    def work(parts):
+#: Words of the shortest line that goes alone, of a window, and of a rolling line.
+LEAST, RUN, LINE = 3, 50, 8
+
+#: Bytes that part words become 0, A-Z become a-z; digits, letters and bytes from 0x80 stay.
+FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 0 for b in range(256)], np.uint8)
+
+#: Bytes whose words are hashed at once.
+BLOCK = 1 << 20
+#: Low bits of a key of the least rolling line: its place, so that of equal lines the first is taken.
+PLACE = np.uint64(28)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to n."""
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        a = np.full(n + 1, b, np.uint64)
+        a[0] = 1
+        both.append(np.cumprod(a))
+    return both[0], both[1]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    for shift, times in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+    return h ^ (h >> np.uint64(32))
+
+
+class Words:
+    """Words of a column of texts: starts and ends in bytes, hashes, and the texts' bounds in words."""
+
+    #: Odd bases of the sums that hash bytes to words and words to stretches (two of these).
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+    _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _bytes = _mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def __init__(self, texts, hashed: bool = True):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
+        self.at = at - at[0]
+        folded = FOLD[self.data]
+        inside = folded != 0
+        edge = np.zeros(len(folded) + 1, bool)  # a text begins here
+        edge[self.at] = True
+        before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(inside) else inside
+        after = np.concatenate([inside[1:], [False]]) & ~edge[1:] if len(inside) else inside
+        self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        self.bounds = np.searchsorted(self.starts, self.at)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        if hashed:
+            self.hash(folded)
+
+    @classmethod
+    def powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if base not in cls._tables or len(cls._tables[base][0]) <= n:
+            cls._tables[base] = _powers(base, max(n, 1 << 16) * 3 // 2)
+        return cls._tables[base]
+
+    def hash(self, folded: np.ndarray) -> None:
+        n = len(self.starts)
+        words = np.zeros(n, np.uint64)
+        cuts = np.unique(np.concatenate([np.searchsorted(self.starts, np.arange(0, len(folded) + BLOCK, BLOCK)), [n]]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            a, b = int(self.starts[lo]), int(self.ends[hi - 1])
+            up, down = self.powers(self.BASES[0], b - a)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(self._bytes[folded[a:b]] * up[: b - a], out=sums[1:])
+            s, e = self.starts[lo:hi] - a, self.ends[lo:hi] - a
+            words[lo:hi] = (sums[e] - sums[s]) * down[s]
+        words = _mix(words + (self.ends - self.starts).astype(np.uint64))
+        self.sums = []
+        for base in self.BASES[1:]:
+            up, down = self.powers(base, n)
+            self.sums.append((np.concatenate([[np.uint64(0)], np.cumsum(words * up[:n])]), down))
+
+    def content(self, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hashes of the words from lo to before hi."""
+        sums, down = self.sums[which]
+        return _mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+    def check(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """A second hash of 32 bits; content and check together tell stretches apart."""
+        return (self.content(lo, hi, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word ranges of the lines of at least LEAST words."""
+        if not len(self.starts):
+            return (np.zeros(0, np.int64),) * 2
+        line = np.searchsorted(np.flatnonzero((self.data == 10) | (self.data == 13)), self.starts)
+        first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (self.doc[1:] != self.doc[:-1])]))
+        last = np.append(first[1:], len(line))
+        keep = last - first >= LEAST
+        return first[keep], last[keep]
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ranges of the windows that follow each other with one fingerprint, and the fingerprint."""
+        n = len(self.starts)
+        if n < RUN:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.arange(n - LINE + 1)
+        h = self.content(at, at + LINE)
+        key = h >> PLACE << PLACE | at.astype(np.uint64)
+        width, done = RUN - LINE + 1, 1
+        while done < width:
+            step = min(done, width - done)
+            key = np.minimum(key[:-step], key[step:])
+            done += step
+        at = np.flatnonzero(self.doc[: n - RUN + 1] == self.doc[RUN - 1 :])
+        if not len(at):
+            return at, at, np.zeros(0, np.uint64)
+        least = (key[at] & np.uint64((1 << 28) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1])]))
+        last = np.append(first[1:], len(at)) - 1
+        return at[first], at[last] + RUN, h[least[first]]
+
+
+def marks(words: Words) -> tuple[np.ndarray, ...]:
+    """content, check, fingerprint (0 for lines), lo and hi of all lines and stretches, in words of the whole column, and whether an equal one stands earlier in the same text."""
+    a, b = words.lines()
+    s, e, f = words.stretches()
+    lo, hi = np.concatenate([a, s]), np.concatenate([b, e])
+    f = np.concatenate([np.zeros(len(a), np.uint64), np.maximum(f, np.uint64(1)) if len(f) else f])
+    h, c = words.content(lo, hi), words.check(lo, hi)
+    order = np.lexsort((lo, f != 0, h, words.doc[lo])) if len(lo) else np.zeros(0, np.int64)
+    again = np.zeros(len(lo), bool)
+    if len(lo) > 1:
+        x, y = order[1:], order[:-1]
+        again[x] = (h[x] == h[y]) & (c[x] == c[y]) & (words.doc[lo[x]] == words.doc[lo[y]]) & ((f[x] != 0) == (f[y] != 0))
+    return h, c, f, lo, hi, again
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """hash: content of each line and fingerprint of each stretch, once for equal ones of a text."""
+
+    def run(batches):
         import pyarrow as pa
 
-        for (texts,) in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(winnow(texts)[0].view(np.int64))], names=["hash"])
+        for (texts,) in common.arrays(batches, ["text"]):
+            h, _, f, _, _, again = marks(Words(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(f == 0, h, f)[~again].view(np.int64))], names=["hash"])
 
-    return common.map_rows(docs, ["text"], work, "hash long")
+    return docs.select("text").mapInArrow(run, "hash long")
 
 
-def occurrences(docs: DataFrame, repeated: common.MemberBits) -> DataFrame:
-    """hash, id, at (word) and the SIDE words before and after the line of each fingerprint that may be repeated; missing words are 0."""
+def _places(docs: DataFrame, repeated: HashBits) -> DataFrame:
+    """Lines and stretches that may stand elsewhere too: content h, check c, fingerprint f (null for lines), id, th, lo, hi. Rows without h are repeated inside their text."""
     sent, bits = repeated.sent, repeated.bits
 
-    def work(parts):
+    def run(batches):
         import pyarrow as pa
 
-        for keys, texts in parts:
-            h, doc, at, words, bounds = winnow(texts)
-            if len(h):
-                # the bitmap is over Spark's hash of the fingerprint
-                hit = _member(sent.value, bits, h)
-                h, doc, at = h[hit], doc[hit], at[hit]
-            place = bounds[doc] + at
-            reach = np.concatenate([np.arange(-SIDE, 0), np.arange(LINE, LINE + SIDE)])
-            rows = place[:, None] + reach
-            ok = (rows >= bounds[doc][:, None]) & (rows < bounds[doc + 1][:, None])
-            side = np.where(ok, words[np.clip(rows, 0, max(0, len(words) - 1))], 0) if len(h) else np.zeros((0, 2 * SIDE))
-            raw, step = np.ascontiguousarray(side, "<u4").tobytes(), 8 * SIDE
+        for ids, ths, texts in common.arrays(batches, ["id", "th", "text"]):
+            words = Words(texts)
+            h, c, f, lo, hi, again = marks(words)
+            hit = np.flatnonzero(again | _member(sent.value, bits, np.where(f == 0, h, f)))
+            doc, own = words.doc[lo[hit]], again[hit]
+            base = words.bounds[doc]
+            doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array([keys[d] for d in doc.tolist()], pa.int64()), pa.array(at, pa.int64()), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())],
-                names=["hash", "id", "at", "side"],
-            )
+                [
+                    pa.array(h[hit].view(np.int64), mask=own), pa.array(c[hit], mask=own), pa.array(f[hit].view(np.int64), mask=own | (f[hit] == 0)),
+                    ids.take(doc), ths.take(doc), pa.array((lo[hit] - base).astype(np.int32)), pa.array((hi[hit] - base).astype(np.int32)),
+                ],
+                names=["h", "c", "f", "id", "th", "lo", "hi"],
+            )
+
+    return docs.mapInArrow(run, "h long, c int, f long, id long, th long, lo int, hi int")
 
-    return common.map_rows(docs, ["id", "text"], work, "hash long, id long, at long, side binary")
 
+def _windows(rows: DataFrame) -> DataFrame:
+    """Windows of RUN words inside the parts (lo, hi) of each text: content h, check c, id, th, lo."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for ids, ths, texts, parts in common.arrays(batches, ["id", "th", "text", "parts"]):
+            words = Words(texts)
+            doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+            flat = parts.flatten()
+            first, last = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            n = np.maximum(last - first - RUN + 1, 0)
+            at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            doc = np.repeat(doc, n)
+            lo = at + words.bounds[doc]
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words.content(lo, lo + RUN).view(np.int64)), pa.array(words.check(lo, lo + RUN)), ids.take(doc), ths.take(doc), pa.array(at.astype(np.int32))],
+                names=["h", "c", "id", "th", "lo"],
+            )
 
-def _slot(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(7)) & np.uint64((1 << bits) - 1)
+    return rows.select("id", "th", "text", "parts").mapInArrow(run, "h long, c int, id long, th long, lo int")
 
 
 def _member(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    slot = _slot(h, bits)
+    slot = (h >> np.uint64(7)) & np.uint64((1 << bits) - 1)
     return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -134,125 +233,101 @@ class HashBits(common.MemberBits):
         return F.expr(f"shiftrightunsigned({col}, 7) & {(1 << self.bits) - 1}L")
 
 
-def extended(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal words to the left and to the right of the lines of pairs of occurrences."""
-    same = (x == y) & (x != 0)
-    left = np.cumprod(same[:, SIDE - 1 :: -1] if SIDE > 1 else same[:, :1], axis=1, dtype=np.int64).sum(1)
-    right = np.cumprod(same[:, SIDE:], axis=1, dtype=np.int64).sum(1)
-    return left, right
+PLACE_COLS = ("id", "th", "lo")
 
 
-def compared(rows: DataFrame, key: list[str], tag: str) -> DataFrame:
-    """Each occurrence but the first of its key, extended against the first: the columns of rows, lo, hi (words) of the equal run."""
-    first = rows.groupBy(*key).agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("size")).where("size > 1")
-    # two rows of one id may stand at one place (repeated rows); one of them is enough to compare with
-    heads = rows.join(first.select(*key, F.col("f.id").alias("id"), F.col("f.at").alias("at")), [*key, "id", "at"]).select(*key, F.col("id").alias("fid"), F.col("at").alias("fat"), F.col("side").alias("head")).dropDuplicates(key)
-    names = rows.columns
-    joined = rows.join(heads, key).where("id <> fid or at <> fat").select(*names, "head")
+def _later(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows whose content has its first place elsewhere."""
+    return rows.join(first.select("h", "c", F.col("p.id").alias("pid"), F.col("p.th").alias("pth"), F.col("p.lo").alias("plo")), ["h", "c"]).where("id <> pid or th <> pth or lo <> plo")
 
-    def run(batches):
-        import pyarrow as pa
-
-        for t in batches:
-            side, head = (np.frombuffer(b"".join(t.column(n).to_pylist()), "<u4").reshape(-1, 2 * SIDE) for n in ("side", "head"))
-            left, right = extended(side, head)
-            at = t.column("at").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*t.columns[:-1], pa.array(at - left), pa.array(at + LINE + right)], names=[*names, "lo", "hi"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return common.cut(joined.mapInArrow(run, f"{kinds}, lo long, hi long"), tag)
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th (hash of the text: rows of one id are told apart by their texts) and text of the rows that have both."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lo, hi: runs of words (from lo to before hi) of at least RUN words that also stand earlier. Runs may overlap; rows without id have none."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    often = fingerprints(docs).groupBy("hash").count().where("count > 1")
-    rows = common.cut(occurrences(docs, HashBits(often, "hash", 26)), "places")
-    told = compared(rows, ["hash"], "told")
-    out = told.where(F.col("hi") - F.col("lo") >= RUN).select("id", "lo", "hi")
-    apart = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.xxhash64(F.expr(f"substring(side, {4 * (SIDE - APART) + 1}, {4 * APART})")).alias("h")), F.struct(F.lit(1).alias("s"), F.xxhash64(F.expr(f"substring(side, {4 * SIDE + 1}, {4 * APART})")).alias("h"))))
-    # the first occurrence itself may match others of the rest; so the rest holds all occurrences of hashes that have one left
-    open_ = told.where(F.col("hi") - F.col("lo") < RUN).select("hash").distinct()
-    rest = rows.join(open_, "hash", "left_semi").select("*", apart.alias("x")).select("hash", "id", "at", "side", F.col("x.s").alias("s"), F.col("x.h").alias("h"))
-    again = compared(rest, ["hash", "s", "h"], "again")
-    out = out.unionByName(again.where(F.col("hi") - F.col("lo") >= RUN).select("id", "lo", "hi"))
-    open_ = again.where(F.col("hi") - F.col("lo") < RUN).select("hash", "s", "h").distinct()
-    last = rest.join(open_, ["hash", "s", "h"], "left_semi").select("hash", "id", "at", "side").distinct()
-
-    def windows(batches):
-        """Every whole window of RUN words that holds the line, by its words."""
-        import pyarrow as pa
-        import xxhash
-
-        for t in batches:
-            out = []
-            for i, at, h, side in zip(t.column("id").to_pylist(), t.column("at").to_pylist(), t.column("hash").to_pylist(), t.column("side").to_pylist(), strict=True):
-                w = np.frombuffer(side, "<u4")
-                for left in range(SIDE + 1):
-                    words = w[SIDE - left : 2 * SIDE - left]
-                    if (words != 0).all():
-                        out.append((xxhash.xxh3_128_digest(words.tobytes() + int(h).to_bytes(8, "little", signed=True) + bytes([left])), i, at - left))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int64(), pa.int64()], strict=True)], names=["mark", "id", "lo"])
-
-    whole = common.cut(last.mapInArrow(windows, "mark binary, id long, lo long").distinct(), "windows")
-    first = whole.groupBy("mark").agg(F.min(F.struct("id", "lo")).alias("f"), F.count("*").alias("size")).where("size > 1")
-    later = whole.join(first, "mark").where("id <> f.id or lo <> f.lo").select("id", "lo", (F.col("lo") + RUN).alias("hi"))
-    return out.unionByName(later)
-
-
-def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the words of the runs and the blanks after them, and how many words went."""
-    import re
-
-    raw = text.encode("utf-8", "surrogatepass")
-    words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(FOLD))]
-    parts, at, gone, done = [], 0, 0, 0
+    """id, th, lo, hi: lines and runs of words (from lo to before hi) that also stand earlier; they may overlap. th is xxhash64 of the text."""
+    docs = _keyed(df, id_col, text_col)
+    often = _counted(docs).groupBy("hash").count().where("count > 1")
+    rows = common.cut(_places(docs, HashBits(often, "hash", 26)), "places")
+    own = rows.where("h is null").select("id", "th", "lo", "hi")
+    rows = rows.where("h is not null")
+    one = common.cut(rows.groupBy("h", "c").agg(F.min(F.struct(*PLACE_COLS)).alias("p"), F.count("*").alias("n"), F.max("f").alias("f"), F.max(F.col("hi") - F.col("lo")).alias("size")), "firsts")
+    later = _later(rows, one.where("n > 1")).select("id", "th", "lo", "hi")
+    # fingerprints in unequal stretches: one place of each stretch is enough, the others are later as a whole
+    held = one.where("f is not null")
+    unequal = held.groupBy("f").count().where("count > 1").select("f")
+    parts = held.join(unequal, "f", "left_semi").groupBy("p.id", "p.th").agg(F.collect_list(F.struct(F.col("p.lo").alias("lo"), (F.col("p.lo") + F.col("size")).alias("hi"))).alias("parts"))
+    parts = common.cut(parts, "parts")
+    texts = common.MemberBits(parts.select("id"), "id").keep(docs, "id").join(parts, ["id", "th"])
+    whole = common.cut(_windows(texts.dropDuplicates(["id", "th"])), "windows")
+    first = whole.groupBy("h", "c").agg(F.min(F.struct(*PLACE_COLS)).alias("p"), F.count("*").alias("n")).where("n > 1")
+    extended = _later(whole, first).select("id", "th", "lo", (F.col("lo") + RUN).cast("int").alias("hi"))
+    return own.unionByName(later).unionByName(extended)
+
+
+def without(words: Words, i: int, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """Text i without the words of the runs and what stands behind each up to the next word, and how many words went.
+
+    A line end stays where a run begins inside a line and reaches over its end.
+    """
+    a, b = int(words.bounds[i]), int(words.bounds[i + 1])
+    lo_byte, hi_byte = int(words.at[i]), int(words.at[i + 1])
+    raw, at, done, gone, parts = words.data, lo_byte, 0, 0, []
+    merged: list[list[int]] = []
     for lo, hi in sorted(runs):
-        lo, hi = max(lo, done), min(hi, len(words))
+        lo, hi = max(lo, 0), min(hi, b - a)
         if hi <= lo:
             continue
-        begin, end = words[lo][0], words[hi][0] if hi < len(words) else len(raw)
-        if lo == 0:
-            begin = 0
-        parts.append(raw[at:begin])
-        at, done, gone = end, hi, gone + hi - lo
-    parts.append(raw[at:])
-    return b"".join(parts).decode("utf-8", "surrogatepass"), gone
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    for lo, hi in merged:
+        begin = int(words.starts[a + lo]) if lo else lo_byte
+        end = int(words.starts[a + hi]) if a + hi < b else hi_byte
+        parts.append(raw[at:begin].tobytes())
+        inside = lo and hi < b - a and b"\n" not in raw[int(words.ends[a + lo - 1]) : begin].tobytes()
+        if inside and b"\n" in raw[begin:end].tobytes():
+            parts.append(b"\n")
+        at, gone = end, gone + hi - lo
+    parts.append(raw[at:hi_byte].tobytes())
+    return b"".join(parts).decode("utf-8"), gone
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with repeated runs deleted from text_col at their later places, and words_removed.
+    """df with lines and runs that stand earlier deleted from text_col, and words_removed (long).
 
-    All columns and rows of df stay (a text may become empty). Null and empty texts, texts of fewer than RUN words and
-    rows without id stay as they are. Rows of one id lose the runs of all of them; a repeated row (same id and text)
-    counts as one place and so loses nothing to its twin. An empty table gives no rows.
+    All columns and rows of df stay (a text may become empty); a column words_removed of df is replaced. Null and empty
+    texts, texts of fewer than LEAST words and rows without id stay as they are (words_removed is 0). Rows of one id are
+    told apart by their texts; a repeated row (same id and text) counts as one place and so loses nothing to its twin.
+    An empty table gives no rows.
     """
-    runs = common.cut(repeated_runs(df, id_col, text_col), "runs")
-    spans = runs.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("__runs"))
-    has = common.MemberBits(runs.select("id"), "id")
-    mine = F.col(id_col).cast("long")
-    rows = has.split(df, mine)
-    touched = rows.where("__may").drop("__may").withColumn("__id", mine).join(spans.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
+    df = df.drop("words_removed") if "words_removed" in df.columns else df
+    runs = repeated_runs(df, id_col, text_col)
+    spans = common.cut(runs.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    has = common.MemberBits(spans.select("id"), "id")
+    rows = has.split(df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")), "id")
+    plain = rows.where("not __may").select("row.*", F.lit(0).cast("long").alias("words_removed"))
 
     def run(batches):
         import pyarrow as pa
 
         for t in batches:
-            texts, gone = [], []
-            for text, runs in zip(t.column(text_col).to_pylist(), t.column("__runs").to_pylist(), strict=True):
-                new, n = without(text, [(r["lo"], r["hi"]) for r in runs]) if runs and text else (text, 0)
-                texts.append(new)
-                gone.append(n)
-            cols = [pa.array(texts, pa.string()) if n == text_col else t.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.int64())], names=[*names, "words_removed"])
+            runs, row = t.column("runs").to_pylist(), t.column("row")
+            words = Words(t.column("text"), hashed=False)
+            old = t.column("text").to_pylist()
+            new = [without(words, i, [(r["lo"], r["hi"]) for r in spans]) if spans else (old[i], 0) for i, spans in enumerate(runs)]
+            cols = [pa.array([x for x, _ in new], pa.string()) if n == text_col else row.field(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in new], pa.int64())], names=[*names, "words_removed"])
 
     names = df.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    edited = touched.mapInArrow(run, f"{kinds}, words_removed long")
-    return rows.where("not __may").drop("__may").withColumn("words_removed", F.lit(0).cast("long")).unionByName(edited)
+    edited = rows.where("__may").drop("__may").join(spans, ["id", "th"], "left").select("row", "text", "runs").mapInArrow(run, f"{kinds}, words_removed long")
+    return plain.unionByName(edited)
 
 
 def op3_linededup(spark, sf_dir: str) -> DataFrame:
-    """All documents without their repeated runs."""
+    """All documents without their repeated lines and runs."""
     return dedup_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "words_removed")
