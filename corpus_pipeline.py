@@ -28,9 +28,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated runs; n_chars follows the text, and documents of which nothing is left go."""
+    """Documents without their repeated lines and runs; n_chars follows the text, and documents of which no word is left go.
+
+    Texts that lose nothing stay as they are, null and empty ones too.
+    """
     out = linededup.dedup_lines(docs)
-    out = out.where((F.col("words_removed") == 0) | (F.length(F.trim("text")) > 0))
+    out = out.where((F.col("words_removed") == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return out.withColumn("n_chars", F.when(F.col("words_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
