@@ -11,8 +11,8 @@ windows always have the same one. The windows that follow each other with one fi
    both ways from it: each window of RUN words that holds the fingerprint is joined with its first place.
 
 So a word goes exactly if it stands in a line of at least LEAST words that is an earlier line, or in a window of RUN
-words that stands earlier, in the order of ids and places; windows of one text may overlap. Only numbers are shuffled,
-besides the texts that have something to extend or to delete.
+words that stands earlier: in a text of a smaller id, or in the same text before it (windows of one text may overlap).
+Only numbers are shuffled, besides the texts that have something to extend or to delete.
 """
 
 from __future__ import annotations
@@ -151,12 +151,17 @@ def marks(words: Words) -> tuple[np.ndarray, ...]:
     lo, hi = np.concatenate([a, s]), np.concatenate([b, e])
     f = np.concatenate([np.zeros(len(a), np.uint64), np.maximum(f, np.uint64(1)) if len(f) else f])
     h, c = words.content(lo, hi), words.check(lo, hi)
-    order = np.lexsort((lo, f != 0, h, words.doc[lo])) if len(lo) else np.zeros(0, np.int64)
+    return h, c, f, lo, hi, repeated_inside(words.doc[lo] if len(lo) else lo, lo, h, c, f != 0)
+
+
+def repeated_inside(doc: np.ndarray, lo: np.ndarray, h: np.ndarray, c: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether an equal one (of the same kind) begins earlier in the same text."""
     again = np.zeros(len(lo), bool)
     if len(lo) > 1:
+        order = np.lexsort((lo, kind, h, doc))
         x, y = order[1:], order[:-1]
-        again[x] = (h[x] == h[y]) & (c[x] == c[y]) & (words.doc[lo[x]] == words.doc[lo[y]]) & ((f[x] != 0) == (f[y] != 0))
-    return h, c, f, lo, hi, again
+        again[x] = (h[x] == h[y]) & (c[x] == c[y]) & (doc[x] == doc[y]) & (kind[x] == kind[y])
+    return again
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -198,7 +203,7 @@ def _places(docs: DataFrame, repeated: HashBits) -> DataFrame:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """Windows of RUN words inside the parts (lo, hi) of each text: content h, check c, id, th, lo."""
+    """Windows of RUN words inside the parts (lo, hi) of each text: content h, check c, id, th, lo. Rows without h are repeated inside their text."""
 
     def run(batches):
         import pyarrow as pa
@@ -212,9 +217,11 @@ def _windows(rows: DataFrame) -> DataFrame:
             at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             doc = np.repeat(doc, n)
             lo = at + words.bounds[doc]
+            h, c = words.content(lo, lo + RUN), words.check(lo, lo + RUN)
+            own = repeated_inside(doc, lo, h, c, np.zeros(len(lo), bool))
             doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words.content(lo, lo + RUN).view(np.int64)), pa.array(words.check(lo, lo + RUN)), ids.take(doc), ths.take(doc), pa.array(at.astype(np.int32))],
+                [pa.array(h.view(np.int64), mask=own), pa.array(c, mask=own), ids.take(doc), ths.take(doc), pa.array(at.astype(np.int32))],
                 names=["h", "c", "id", "th", "lo"],
             )
 
@@ -233,12 +240,10 @@ class HashBits(common.MemberBits):
         return F.expr(f"shiftrightunsigned({col}, 7) & {(1 << self.bits) - 1}L")
 
 
-PLACE_COLS = ("id", "th", "lo")
-
-
-def _later(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """Rows whose content has its first place elsewhere."""
-    return rows.join(first.select("h", "c", F.col("p.id").alias("pid"), F.col("p.th").alias("pth"), F.col("p.lo").alias("plo")), ["h", "c"]).where("id <> pid or th <> pth or lo <> plo")
+def _told(rows: DataFrame) -> DataFrame:
+    """Rows (h, c, id, ...) whose content stands in more than one place, and `first`: the least id that has it. Sums by content are combined before the shuffle; a hot content's rows are split by the join."""
+    first = rows.groupBy("h", "c").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    return rows.join(first, ["h", "c"])
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,18 +257,16 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     often = _counted(docs).groupBy("hash").count().where("count > 1")
     rows = common.cut(_places(docs, HashBits(often, "hash", 26)), "places")
     own = rows.where("h is null").select("id", "th", "lo", "hi")
-    rows = rows.where("h is not null")
-    one = common.cut(rows.groupBy("h", "c").agg(F.min(F.struct(*PLACE_COLS)).alias("p"), F.count("*").alias("n"), F.max("f").alias("f"), F.max(F.col("hi") - F.col("lo")).alias("size")), "firsts")
-    later = _later(rows, one.where("n > 1")).select("id", "th", "lo", "hi")
-    # fingerprints in unequal stretches: one place of each stretch is enough, the others are later as a whole
-    held = one.where("f is not null")
+    told = common.cut(_told(rows.where("h is not null")).where("id > first or f is not null").select("id", "th", "lo", "hi", "f", (F.col("id") > F.col("first")).alias("later")), "told")
+    later = told.where("later").select("id", "th", "lo", "hi")
+    # fingerprints in unequal stretches: the first place of each stretch is enough, the others are later as a whole
+    held = told.where("not later and f is not null")
     unequal = held.groupBy("f").count().where("count > 1").select("f")
-    parts = held.join(unequal, "f", "left_semi").groupBy("p.id", "p.th").agg(F.collect_list(F.struct(F.col("p.lo").alias("lo"), (F.col("p.lo") + F.col("size")).alias("hi"))).alias("parts"))
+    parts = held.join(unequal, "f", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
     parts = common.cut(parts, "parts")
     texts = common.MemberBits(parts.select("id"), "id").keep(docs, "id").join(parts, ["id", "th"])
-    whole = common.cut(_windows(texts.dropDuplicates(["id", "th"])), "windows")
-    first = whole.groupBy("h", "c").agg(F.min(F.struct(*PLACE_COLS)).alias("p"), F.count("*").alias("n")).where("n > 1")
-    extended = _later(whole, first).select("id", "th", "lo", (F.col("lo") + RUN).cast("int").alias("hi"))
+    whole = common.cut(_windows(texts), "windows")
+    extended = whole.where("h is null").unionByName(_told(whole.where("h is not null")).where("id > first").select(*whole.columns)).select("id", "th", "lo", (F.col("lo") + RUN).cast("int").alias("hi"))
     return own.unionByName(later).unionByName(extended)
 
 
@@ -301,7 +304,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     All columns and rows of df stay (a text may become empty); a column words_removed of df is replaced. Null and empty
     texts, texts of fewer than LEAST words and rows without id stay as they are (words_removed is 0). Rows of one id are
-    told apart by their texts; a repeated row (same id and text) counts as one place and so loses nothing to its twin.
+    told apart by their texts and lose nothing to each other, so a repeated row loses nothing to its twin.
     An empty table gives no rows.
     """
     df = df.drop("words_removed") if "words_removed" in df.columns else df
