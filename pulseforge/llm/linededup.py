@@ -5,9 +5,8 @@ the rolling lines of LINE words from each word on. A window of the first kind is
 copy; a window of the second kind is RUN words, and its least rolling line is its fingerprint, so that two equal
 windows always have the same one. The windows that follow each other with one fingerprint make a stretch of words.
 
-1. Hashes of lines and fingerprints are counted; those that stand once are left out by a bitmap.
-2. Places of lines and stretches are joined by content with the first place; later ones go as a whole.
-3. Where one fingerprint lies in unequal stretches (a copy begins or ends there, or was edited), the match is extended
+1. Places of lines and stretches are joined by content with the first place; later ones go as a whole.
+2. Where one fingerprint lies in unequal stretches (a copy begins or ends there, or was edited), the match is extended
    both ways from it: each window of RUN words that holds the fingerprint is joined with its first place.
 
 So a word goes exactly if it stands in a line of at least LEAST words that is an earlier line, or in a window of RUN
@@ -164,37 +163,22 @@ def repeated_inside(doc: np.ndarray, lo: np.ndarray, h: np.ndarray, c: np.ndarra
     return again
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """hash: content of each line and fingerprint of each stretch, once for equal ones of a text."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for (texts,) in common.arrays(batches, ["text"]):
-            h, _, f, _, _, again = marks(Words(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(f == 0, h, f)[~again].view(np.int64))], names=["hash"])
-
-    return docs.select("text").mapInArrow(run, "hash long")
-
-
-def _places(docs: DataFrame, repeated: HashBits) -> DataFrame:
-    """Lines and stretches that may stand elsewhere too: content h, check c, fingerprint f (null for lines), id, th, lo, hi. Rows without h are repeated inside their text."""
-    sent, bits = repeated.sent, repeated.bits
+def _places(docs: DataFrame) -> DataFrame:
+    """Lines and stretches: content h, check c, fingerprint f (null for lines), id, th, lo, hi. Rows without h are repeated inside their text."""
 
     def run(batches):
         import pyarrow as pa
 
         for ids, ths, texts in common.arrays(batches, ["id", "th", "text"]):
             words = Words(texts)
-            h, c, f, lo, hi, again = marks(words)
-            hit = np.flatnonzero(again | _member(sent.value, bits, np.where(f == 0, h, f)))
-            doc, own = words.doc[lo[hit]], again[hit]
+            h, c, f, lo, hi, own = marks(words)
+            doc = words.doc[lo]
             base = words.bounds[doc]
             doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h[hit].view(np.int64), mask=own), pa.array(c[hit], mask=own), pa.array(f[hit].view(np.int64), mask=own | (f[hit] == 0)),
-                    ids.take(doc), ths.take(doc), pa.array((lo[hit] - base).astype(np.int32)), pa.array((hi[hit] - base).astype(np.int32)),
+                    pa.array(h.view(np.int64), mask=own), pa.array(c, mask=own), pa.array(f.view(np.int64), mask=own | (f == 0)),
+                    ids.take(doc), ths.take(doc), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32)),
                 ],
                 names=["h", "c", "f", "id", "th", "lo", "hi"],
             )
@@ -210,9 +194,7 @@ def _windows(rows: DataFrame) -> DataFrame:
 
         for ids, ths, texts, parts in common.arrays(batches, ["id", "th", "text", "parts"]):
             words = Words(texts)
-            doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
-            flat = parts.flatten()
-            first, last = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            doc, first, last = unpacked(parts)
             n = np.maximum(last - first - RUN + 1, 0)
             at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             doc = np.repeat(doc, n)
@@ -228,16 +210,18 @@ def _windows(rows: DataFrame) -> DataFrame:
     return rows.select("id", "th", "text", "parts").mapInArrow(run, "h long, c int, id long, th long, lo int")
 
 
-def _member(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    slot = (h >> np.uint64(7)) & np.uint64((1 << bits) - 1)
-    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def packed(lo, hi):
+    """A range of words in one long."""
+    return F.shiftleft(F.col(lo).cast("long"), 32).bitwiseOR(F.col(hi).cast("long") if isinstance(hi, str) else hi.cast("long"))
 
 
-class HashBits(common.MemberBits):
-    """Bitmap over the bits of hashes themselves."""
-
-    def slot(self, col: str):
-        return F.expr(f"shiftrightunsigned({col}, 7) & {(1 << self.bits) - 1}L")
+def unpacked(ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, lo and hi of a column of lists of packed ranges."""
+    flat = ranges.flatten().to_numpy()
+    counts = np.diff(ranges.offsets.to_numpy())
+    if ranges.null_count:
+        counts = np.where(ranges.is_valid().to_numpy(zero_copy_only=False), counts, 0)
+    return np.repeat(np.arange(len(ranges)), counts), flat >> 32, flat & 0xFFFFFFFF
 
 
 def _told(rows: DataFrame) -> DataFrame:
@@ -254,15 +238,14 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th, lo, hi: lines and runs of words (from lo to before hi) that also stand earlier; they may overlap. th is xxhash64 of the text."""
     docs = _keyed(df, id_col, text_col)
-    often = _counted(docs).groupBy("hash").count().where("count > 1")
-    rows = common.cut(_places(docs, HashBits(often, "hash", 26)), "places")
+    rows = common.cut(_places(docs), "places")
     own = rows.where("h is null").select("id", "th", "lo", "hi")
     told = common.cut(_told(rows.where("h is not null")).where("id > first or f is not null").select("id", "th", "lo", "hi", "f", (F.col("id") > F.col("first")).alias("later")), "told")
     later = told.where("later").select("id", "th", "lo", "hi")
     # fingerprints in unequal stretches: the first place of each stretch is enough, the others are later as a whole
     held = told.where("not later and f is not null")
     unequal = held.groupBy("f").count().where("count > 1").select("f")
-    parts = held.join(unequal, "f", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    parts = held.join(unequal, "f", "left_semi").groupBy("id", "th").agg(F.collect_set(packed("lo", "hi")).alias("parts"))
     parts = common.cut(parts, "parts")
     texts = common.MemberBits(parts.select("id"), "id").keep(docs, "id").join(parts, ["id", "th"])
     whole = common.cut(_windows(texts), "windows")
@@ -270,33 +253,37 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.unionByName(later).unionByName(extended)
 
 
-def without(words: Words, i: int, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """Text i without the words of the runs and what stands behind each up to the next word, and how many words went.
+def without(words: Words, row: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """The texts without the words of the ranges (row, lo, hi) and what stands behind each run up to the next word, and how many words went from each.
 
     A line end stays where a run begins inside a line and reaches over its end.
     """
-    a, b = int(words.bounds[i]), int(words.bounds[i + 1])
-    lo_byte, hi_byte = int(words.at[i]), int(words.at[i + 1])
-    raw, at, done, gone, parts = words.data, lo_byte, 0, 0, []
-    merged: list[list[int]] = []
-    for lo, hi in sorted(runs):
-        lo, hi = max(lo, 0), min(hi, b - a)
-        if hi <= lo:
-            continue
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
-        else:
-            merged.append([lo, hi])
-    for lo, hi in merged:
-        begin = int(words.starts[a + lo]) if lo else lo_byte
-        end = int(words.starts[a + hi]) if a + hi < b else hi_byte
-        parts.append(raw[at:begin].tobytes())
-        inside = lo and hi < b - a and b"\n" not in raw[int(words.ends[a + lo - 1]) : begin].tobytes()
-        if inside and b"\n" in raw[begin:end].tobytes():
-            parts.append(b"\n")
-        at, gone = end, gone + hi - lo
-    parts.append(raw[at:hi_byte].tobytes())
-    return b"".join(parts).decode("utf-8"), gone
+    import pyarrow as pa
+
+    first, size, n = words.bounds[row], np.diff(words.bounds)[row], len(words.starts)
+    lo, hi = np.clip(lo, 0, size) + first, np.clip(hi, 0, size) + first
+    some = hi > lo
+    steps = np.bincount(lo[some], minlength=n + 1) - np.bincount(hi[some], minlength=n + 1)
+    gone = np.cumsum(steps)[:n] > 0
+    # runs of words that go, cut where texts begin
+    text = words.doc
+    join = np.concatenate([[False], gone[:-1] & (text[1:] == text[:-1])]) if n else gone
+    nxt = np.concatenate([gone[1:] & (text[1:] == text[:-1]), [False]]) if n else gone
+    i, j = np.flatnonzero(gone & ~join), np.flatnonzero(gone & ~nxt) + 1
+    d = text[i]
+    heads, tails = i == words.bounds[d], j == words.bounds[d + 1]
+    begin = np.where(heads, words.at[d], words.starts[i])
+    end = np.where(tails, words.at[d + 1], words.starts[np.minimum(j, max(n - 1, 0))]) if n else begin
+    size = len(words.data)
+    keep = np.cumsum(np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size] <= 0
+    line = np.flatnonzero(words.data == 10)
+    ends = lambda x: np.searchsorted(line, x)  # noqa: E731  line ends before a byte
+    inside = ~heads & ~tails & (ends(end) > ends(begin))
+    inside[inside] &= ends(words.starts[i[inside]]) == ends(words.ends[i[inside] - 1])
+    keep[line[ends(end[inside]) - 1]] = True
+    at = np.concatenate([[0], np.cumsum(keep)])[words.at]
+    made = pa.Array.from_buffers(pa.large_string(), len(words.at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(words.data[keep])])
+    return made, np.bincount(text[gone], minlength=len(words.at) - 1)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,21 +296,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     df = df.drop("words_removed") if "words_removed" in df.columns else df
     runs = repeated_runs(df, id_col, text_col)
-    spans = common.cut(runs.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    spans = common.cut(runs.groupBy("id", "th").agg(F.collect_list(packed("lo", "hi")).alias("runs")), "runs")
     has = common.MemberBits(spans.select("id"), "id")
     rows = has.split(df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")), "id")
     plain = rows.where("not __may").select("row.*", F.lit(0).cast("long").alias("words_removed"))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for t in batches:
-            runs, row = t.column("runs").to_pylist(), t.column("row")
-            words = Words(t.column("text"), hashed=False)
-            old = t.column("text").to_pylist()
-            new = [without(words, i, [(r["lo"], r["hi"]) for r in spans]) if spans else (old[i], 0) for i, spans in enumerate(runs)]
-            cols = [pa.array([x for x, _ in new], pa.string()) if n == text_col else row.field(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in new], pa.int64())], names=[*names, "words_removed"])
+        for row, texts, runs in common.arrays(batches, ["row", "text", "runs"]):
+            new, gone = without(Words(texts, hashed=False), *unpacked(runs))
+            new = pc.if_else(texts.is_valid(), new.cast(texts.type), texts)
+            yield pa.RecordBatch.from_arrays([*(new if n == text_col else row.field(n) for n in names), pa.array(gone)], names=[*names, "words_removed"])
 
     names = df.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
