@@ -34,14 +34,21 @@ def combinations(classes: int = CLASSES, depth: int = 3) -> np.ndarray:
     return np.array(found, dtype=np.float64)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, most: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |ax - b|, by the active set method."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises |ax - b|, by the active set method.
+
+    Each step frees a column and lowers |ax - b|, so no set of free columns comes twice and the loop ends by itself; the
+    guard against rounding (a step that lowers nothing) ends it at the best x found.
+    """
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
     gram, ab = a.T @ a, a.T @ b
     tol = 1e-8 * max(1.0, float(np.abs(ab).max(initial=0)))
-    for _ in range(most):
+    left = np.inf
+    while True:
         w = ab - gram @ x
+        if left <= (left := float(((a @ x - b) ** 2).sum())):
+            break
         w[free] = -np.inf
         k = int(np.argmax(w))
         if w[k] <= tol:
@@ -159,6 +166,37 @@ class Packer:
             self.held = left
 
 
+def load_encoder(path: str) -> dict:
+    """What a task needs to encode as the tokenizer file does: for byte-level merges in the order of their ids the tokens' bytes and special tokens, else the tables of bpe."""
+    import json
+
+    spec = json.loads(open(path, encoding="utf-8").read())
+    model, special = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+    level = (spec.get("pre_tokenizer") or {}).get("type"), spec.get("normalizer"), model.get("end_of_word_suffix")
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    byte = {c: b for b, c in enumerate(bpe.byte_chars())}
+    letters = [model["vocab"].get(c, -1) for c in byte]
+    if level != ("ByteLevel", None, None) or letters == [] or min(letters) < 0 or max(letters) >= merged[0] or any(x >= y for x, y in itertools.pairwise(merged)):
+        return {"tables": bpe.load_tables(path)}
+    ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
+    return {"ranks": ranks, "special": special, "pattern": rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"}
+
+
+def encoder_of(loaded: dict):
+    """A function from texts to the ids of all, one after the other as unsigned 32-bit integers, and how many each has."""
+    if "tables" in loaded:
+        return bpe.Encoder(loaded["tables"]).encode
+    import tiktoken
+
+    own = tiktoken.Encoding("packing", pat_str=loaded["pattern"], mergeable_ranks=loaded["ranks"], special_tokens=loaded["special"])
+
+    def encode(texts: list[str]):
+        parts = [own.encode_to_numpy(t, allowed_special="all") for t in texts]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    return encode
+
+
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = END_ID) -> DataFrame:
     """Pack every document's ids and an end id into sequences of at most window tokens (a power of two).
 
@@ -166,14 +204,14 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     offset. A null or empty text is its end id alone; repeated rows and null ids are packed like others; an empty table
     gives no rows; other columns are ignored. Sequences are full or of a power of two, so there is no padding.
     """
-    sent = df.sparkSession.sparkContext.broadcast(bpe.load_tables(tokenizer_path))
+    sent = df.sparkSession.sparkContext.broadcast(load_encoder(tokenizer_path))
     end = int(end_id).to_bytes(4, "little")
 
     def work(parts):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = bpe.Encoder(sent.value)
+        encode = encoder_of(sent.value)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         kind = None
 
@@ -188,7 +226,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             nonlocal kind
             for keys, texts in parts:
                 kind = kind or pa.array(keys).type
-                ids, sizes = encoder.encode([x or "" for x in texts])
+                ids, sizes = encode([x or "" for x in texts])
                 raw, at = ids.astype("<u4").tobytes(), 0
                 for key, n in zip(keys, (sizes * 4).tolist(), strict=True):
                     yield from packer.add(key, raw[at : at + n] + end)
