@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from pulseforge.llm import common
 
-#: Bits of a feature's hash; most labelled texts that a model is fitted on; most weights that a model may have.
-BITS, SAMPLE, MAX_WEIGHTS = 22, 12_000, 200_000
+#: Bits of a feature's hash, which bound what is broadcast (8 bytes for each of at most 2**BITS weights); most labelled texts that a model is fitted on.
+BITS, SAMPLE = 22, 12_000
 EPOCHS, ALPHA, BETA, L1, L2 = 5, 2.0, 1.0, 6.0, 0.0
 #: Weight of a toxic row; there are fewer of them.
 POSITIVE = 2.0
@@ -81,9 +81,6 @@ class Ftrl:
         at = np.flatnonzero(self.z[:-1])
         w = self.weights(at)
         at, w = at[w != 0], w[w != 0]
-        if len(at) > MAX_WEIGHTS:  # the largest, in the order of their indices
-            top = np.sort(np.argsort(-np.abs(w), kind="stable")[:MAX_WEIGHTS])
-            at, w = at[top], w[top]
         return {"at": at.astype(np.int32), "w": w.astype(np.float32), "bias": float(self.weights(np.array([self.bias]))[0])}
 
 
@@ -167,7 +164,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def score_rows(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with all its columns and the score of each row."""
+    """docs with all its columns and the score of each row; a column score of docs is replaced. Null and empty texts have the score of no features."""
+    docs = docs.drop("score")
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
