@@ -10,7 +10,7 @@ the k best of these are the result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseforge.llm import common
@@ -77,6 +77,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     A candidate never answers a query of its own id. Equal scores go to the smaller id. Rows whose vector is null, or
     holds null or non-finite components, or whose id is null, take no part; shorter vectors count as if filled with
     zeros; of rows of one id each stands for itself. Empty tables give no rows. Fewer than k candidates are all returned.
+    Scores are exact, also beyond 2**53; one of the k best that doesn't fit a long raises an OverflowError.
     Queries are sent to every group of candidates in turn, which is the whole work of an exact search; neither side is
     broadcast.
     """
@@ -84,7 +85,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     def whole(df):
         x = F.col(vector_col).cast("array<double>")
         good = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        return df.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * 1024.0).cast("double")).alias("v"))
+        return df.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: v * 1024.0).alias("v"))
 
     rows = whole(candidates)
     total = candidates.count()
@@ -102,13 +103,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         def matrix(rows):
             dim = max(map(len, rows), default=0)
             if all(len(r) == dim for r in rows):
-                return np.array(rows, dtype=float).reshape(len(rows), dim)
-            return np.array([[*r, *[0.0] * (dim - len(r))] for r in rows])
+                return np.floor(np.array(rows, dtype=float).reshape(len(rows), dim))
+            return np.floor(np.array([[*r, *[0.0] * (dim - len(r))] for r in rows]))
 
         def answers():
             out = list(search_group(np.array(ids, np.int64), forward[0], np.array(held_ids, np.int64), matrix(held), k))
             q, i, s = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in s], pa.int64())], names=["query_id", "id", "score"])
+            if any(x >> 63 not in (0, -1) for x in s):
+                raise OverflowError("a score among the best doesn't fit a long")
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "id", "score"])
 
         forward = [None]
         for b in batches:
@@ -131,9 +134,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
             yield answers()
 
     found = dealt.unionByName(asked).repartitionById(groups, F.col("part")).sortWithinPartitions("kind", "id").mapInArrow(run, "query_id long, id long, score long")
-    rank = F.struct((-F.col("score")).alias("down"), "id", "score")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(rank)), 1, k).alias("best"))  # at most k from each group
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), F.col("b.score").alias("score"))
+    # the k best of each partition are kept before the shuffle, so no query's answers of all groups meet at once
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
