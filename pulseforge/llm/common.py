@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,14 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, cols: list[str], work: Callable[[Iterator[tuple]], Iterable], schema: str, most: int = CHUNK_CHARS) -> DataFrame:
-    """Map each partition through work, which gets lists of columns (a few MB of text at once) and yields record batches."""
+    """Map each partition through work, which gets lists of columns (a few MB of text at once) and yields record batches.
+
+    A result column of the name of one of cols gets that column's Arrow type, so ids of any type come through.
+    """
 
     def run(batches):
-        return work(chunks(batches, cols, most=most))
+        kinds: dict = {}
+
+        def noted():
+            for b in batches:
+                kinds.update(zip(b.schema.names, b.schema.types, strict=True))
+                yield b
+
+        for out in work(chunks(noted(), cols, most=most)):
+            yield typed(out, kinds)
 
     return df.select(*cols).mapInArrow(run, schema)
 
 
+def typed(batch, kinds: dict):
+    """The batch with the columns that kinds names cast to its types."""
+    import pyarrow as pa
+
+    columns = [c if c.type == kinds.get(n, c.type) else c.cast(kinds[n]) for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def chunks(batches, cols: list[str], text: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple]:
     """Column lists of consecutive rows, cut so that their texts hold about `most` characters."""
     import pyarrow as pa
@@ -79,12 +99,18 @@ def record_batch(schema: list[tuple], columns: list) -> object:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder of its own; on a cluster this raises.
+    """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="pulseforge-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
