@@ -24,6 +24,10 @@ MAX_GRAMS = 2_000_000
 #: Distinct words that a task holds before it turns them into n-gram counts.
 MAX_WORDS = 400_000
 UNDETERMINED = "und"
+#: Share of usual rows that may be rejected; shares above the two measured quantiles; rows that a length class needs for a limit of its own.
+REJECT, NEAR, FAR, LEAST = 1e-4, 0.10, 0.03, 200
+#: Length classes: powers of two of the number of characters.
+CLASSES = 32
 
 #: Bytes that can't be part of a word become blanks, A-Z become a-z.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -365,18 +369,39 @@ def cross_entropies(df: DataFrame, model, id_col: str = "doc_id", text_col: str
     return common.map_rows(rows, ["key", "text"], work, f"key {kind}, lang_pred string, cross_entropy double, n_scored long, share double").withColumnRenamed("key", id_col)
 
 
-def calibrate(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """By language the mean cross-entropy, its spread for one character, and how many spreads are still usual."""
-    rows = scored.where("cross_entropy is not null").select("lang_pred", "cross_entropy", F.col("n_scored").cast("double").alias("n"))
-    first = {r[0]: r[1] for r in rows.groupBy("lang_pred").agg(F.avg("cross_entropy")).collect()}
-    if not first:
-        return {}
-    mean = F.create_map(*itertools.chain.from_iterable((F.lit(x), F.lit(v)) for x, v in first.items()))[F.col("lang_pred")]
-    off = rows.withColumn("off", F.col("cross_entropy") - mean)
-    spread = {r[0]: math.sqrt(r[1]) for r in off.groupBy("lang_pred").agg(F.avg(F.col("off") * F.col("off") * F.col("n"))).collect()}
-    wide = F.create_map(*itertools.chain.from_iterable((F.lit(x), F.lit(max(v, 1e-9))) for x, v in spread.items()))[F.col("lang_pred")]
-    tail = {r[0]: r[1] for r in off.groupBy("lang_pred").agg(F.percentile_approx(F.col("off") * F.sqrt("n") / wide, 0.999, 10_000)).collect()}
-    return {x: (first[x], max(spread[x], 1e-9), max(8.0, 2 * tail[x])) for x in first}
+def length_class(n):
+    """Power of two of the number of scored characters, CLASSES - 1 at most."""
+    return F.least(F.floor(F.log2(F.greatest(n, F.lit(1)))), F.lit(CLASSES - 1)).cast("int")
+
+
+def calibrate(scored: DataFrame) -> dict[str, list[float]]:
+    """By language the greatest cross-entropy that is accepted for each length class.
+
+    The limit is where a share of REJECT of the usual rows would lie above. It is carried on from two measured quantiles
+    (shares of NEAR and FAR above them) by an exponential tail, so that garbled rows among the calibration rows, as long
+    as they are fewer than FAR, hardly move it. A class with fewer than LEAST rows takes the limit of the nearest one that
+    has enough (of two the longer), shorter ones with a distance from the median that grows as the root of the length
+    ratio; a language without such a class takes the limit of all its rows. Only a few numbers for each language and
+    class come to the driver.
+    """
+    rows = scored.where("cross_entropy is not null").select("lang_pred", "cross_entropy", length_class(F.col("n_scored")).alias("size"))
+    told = F.percentile_approx("cross_entropy", F.array(F.lit(0.5), F.lit(1 - NEAR), F.lit(1 - FAR)), 10_000)
+    found = rows.rollup("lang_pred", "size").agg(F.count("*").alias("n"), told.alias("q"), F.grouping_id().alias("level")).where("level < 2").collect()
+    steps = math.log(NEAR / REJECT) / math.log(NEAR / FAR)
+    measured: dict[str, dict[int | None, tuple[float, float]]] = {}
+    for r in found:
+        middle, near, far = r["q"]
+        if r["level"] == 1 or r["n"] >= LEAST:
+            measured.setdefault(r["lang_pred"], {})[None if r["level"] else r["size"]] = (middle, near + steps * (far - near))
+    limits = {}
+    for lang, by in measured.items():
+        own = sorted(c for c in by if c is not None)
+        limits[lang] = []
+        for c in range(CLASSES):
+            at = min(own, key=lambda x: (abs(x - c), -x)) if own else None
+            middle, limit = by[at]
+            limits[lang].append(middle + (limit - middle) * (2 ** ((at - c) / 2) if at is not None and c < at else 1.0))
+    return limits
 
 
 def identify(df: DataFrame, train: DataFrame, calibration: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,7 +410,7 @@ def identify(df: DataFrame, train: DataFrame, calibration: DataFrame | None = No
     Returns id_col, lang_pred, score, cross_entropy, n_scored, accepted. A null text or one without letters is `und`
     with score 0 and rejected; so is every row if train has no language. Equal cross-entropies go to the first language
     in order. Languages, sources and ids are never read from df. Without calibration rows nothing with letters is
-    rejected. Rejection: the cross-entropy lies further above its language's mean than usual for that many characters.
+    rejected. Rejection: the cross-entropy lies above the limit of its language and length class (see calibrate).
     """
     if calibration is None:
         model, limits = send(df.sparkSession, fit(train)), {}
@@ -402,32 +427,29 @@ def identify(df: DataFrame, train: DataFrame, calibration: DataFrame | None = No
     )
 
 
-def usual(limits: dict[str, tuple[float, float, float]]):
+def usual(limits: dict[str, list[float]]):
     """Whether a row of cross_entropies() is accepted."""
     most = F.lit(None).cast("double")
-    for lang, (mean, wide, times) in limits.items():
-        most = F.when(F.col("lang_pred") == lang, F.lit(mean) + F.lit(times * wide) / F.sqrt("n_scored") + F.lit(0.35 * mean)).otherwise(most)
+    for lang, by in limits.items():
+        most = F.when(F.col("lang_pred") == lang, F.array(*map(F.lit, by))[length_class(F.col("n_scored"))]).otherwise(most)
     return F.col("lang_pred").isNotNull() & F.coalesce(F.col("cross_entropy") <= most, F.lit(True))
 
 
 def accept_rows(df: DataFrame, train: DataFrame, calibration: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of df, with all their columns, that identify() accepts."""
     model, limits = fit_calibrated(train, calibration, text_col)
-    names = df.columns
+    rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        for t in batches:
-            at = t.schema.get_field_index(text_col)
-            told = [pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.int64())]
-            parts = list(scored_batches(common.chunks([t], [text_col], text_col), model.value))
-            if parts:
-                told = [pa.concat_arrays([p[i] for p in parts]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*t.columns, *told], names=[*names, "lang_pred", "cross_entropy", "n_scored"])
+        for row, texts in common.arrays(batches, ["row", "text"]):
+            for told in scored_batches([(texts.to_pylist(),)], model.value):
+                yield pa.RecordBatch.from_arrays([row, *told[:3]], names=["row", "lang_pred", "cross_entropy", "n_scored"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, lang_pred string, cross_entropy double, n_scored long").where(usual(limits)).select(*names)
+    out = rows.mapInArrow(run, f"row {kind}, lang_pred string, cross_entropy double, n_scored long")
+    return out.where(usual(limits)).select("row.*")
 
 
 def folds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
