@@ -448,7 +448,7 @@ def accept_rows(df: DataFrame, train: DataFrame, calibration: DataFrame, text_co
             for told in scored_batches([(texts.to_pylist(),)], model.value):
                 yield pa.RecordBatch.from_arrays([row, *told[:3]], names=["row", "lang_pred", "cross_entropy", "n_scored"])
 
-    out = rows.mapInArrow(run, f"row {kind}, lang_pred string, cross_entropy double, n_scored long")
+    out = rows.mapInArrow(common.lean(run), f"row {kind}, lang_pred string, cross_entropy double, n_scored long")
     return out.where(usual(limits)).select("row.*")
 
 

@@ -183,7 +183,7 @@ def _places(docs: DataFrame) -> DataFrame:
                 names=["h", "c", "f", "id", "th", "lo", "hi"],
             )
 
-    return docs.mapInArrow(run, "h long, c int, f long, id long, th long, lo int, hi int")
+    return docs.mapInArrow(common.lean(run), "h long, c int, f long, id long, th long, lo int, hi int")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _windows(rows: DataFrame) -> DataFrame:
                 names=["h", "c", "id", "th", "lo"],
             )
 
-    return rows.select("id", "th", "text", "parts").mapInArrow(run, "h long, c int, id long, th long, lo int")
+    return rows.select("id", "th", "text", "parts").mapInArrow(common.lean(run), "h long, c int, id long, th long, lo int")
 
 
 def packed(lo, hi):
@@ -312,7 +312,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     names = df.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    edited = rows.where("__may").drop("__may").join(spans, ["id", "th"], "left").select("row", "text", "runs").mapInArrow(run, f"{kinds}, words_removed long")
+    edited = rows.where("__may").drop("__may").join(spans, ["id", "th"], "left").select("row", "text", "runs").mapInArrow(common.lean(run), f"{kinds}, words_removed long")
     return plain.unionByName(edited)
 
 

@@ -206,7 +206,7 @@ class Linker:
                 yield pa.RecordBatch.from_arrays(kept.columns[:4], names=["a", "b", "ma", "mb"])
 
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "sa", "sb")
-        return common.cut(joined.mapInArrow(run, "a long, b long, ma binary, mb binary"), "screened")
+        return common.cut(joined.mapInArrow(common.lean(run), "a long, b long, ma binary, mb binary"), "screened")
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """id, mark and compressed text of the ids (and perhaps of a few others)."""
@@ -249,7 +249,7 @@ class Linker:
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(told, pa.bool_())], names=["a", "b", "linked"])
 
         joined = pairs.join(side("a"), ["a", "ma"]).join(side("b"), ["b", "mb"]).select("a", "b", "ma", "za", "mb", "zb")
-        found = joined.mapInArrow(run, "a long, b long, linked boolean")
+        found = joined.mapInArrow(common.lean(run), "a long, b long, linked boolean")
         return common.cut(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
     def across(self, comps: DataFrame, exact: bool = False) -> DataFrame:
@@ -330,7 +330,7 @@ class Linker:
             found += compare(group, sets.of)
             yield out(found)
 
-        return dealt.mapInArrow(run, "asker long, matches int, a long, b long, ma binary, mb binary")
+        return dealt.mapInArrow(common.lean(run), "asker long, matches int, a long, b long, ma binary, mb binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ from pulseforge.llm import common
 
 #: Bits of a feature's hash, which bound what is broadcast (8 bytes for each of at most 2**BITS weights); most labelled texts that a model is fitted on.
 BITS, SAMPLE = 22, 12_000
+#: Characters of text whose features are made at once.
+CHUNK = 1 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 5, 2.0, 1.0, 6.0, 0.0
 #: Weight of a toxic row; there are fewer of them.
 POSITIVE = 2.0
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             raw = values.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array([raw[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["id", "y", "raw"])
 
-    found = common.map_rows(rows.select(F.col("id").cast("long"), F.col("y").cast("int"), "text"), ["id", "y", "text"], work, "id long, y int, raw binary")
+    found = common.map_rows(rows.select(F.col("id").cast("long"), F.col("y").cast("int"), "text"), ["id", "y", "text"], work, "id long, y int, raw binary", CHUNK)
     def train(batches):
         """The bounded sample in one task: one row with the model, or none."""
         import pyarrow as pa
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([m["at"].tobytes()]), pa.array([m["w"].tobytes()]), pa.array([m["bias"]])], names=["at", "w", "bias"])
 
     one = found.withColumn("o", order).repartition(1).sortWithinPartitions("o", "id", F.xxhash64("raw")).select("id", "y", "raw")
-    told = one.mapInArrow(train, "at binary, w binary, bias double").collect()
+    told = one.mapInArrow(common.lean(train), "at binary, w binary, bias double").collect()
     if not told:
         return {"at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "bias": 0.0}
     return {"at": np.frombuffer(told[0].at, np.int32), "w": np.frombuffer(told[0].w, np.float32), "bias": told[0].bias}
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return common.map_rows(rows, ["key", "text"], work, f"key {kind}, score double").withColumnRenamed("key", id_col)
+    return common.map_rows(rows, ["key", "text"], work, f"key {kind}, score double", CHUNK).withColumnRenamed("key", id_col)
 
 
 def score_rows(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -176,11 +178,11 @@ def score_rows(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
         table = np.zeros(1 << BITS, np.float32)
         table[m["at"]] = m["w"]
         for t in batches:
-            parts = [score_texts(m, table, texts) for (texts,) in common.chunks([t], [text_col], text_col)]
+            parts = [score_texts(m, table, texts) for (texts,) in common.chunks([t], [text_col], text_col, CHUNK)]
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(common.lean(run), f"{kinds}, score double")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
