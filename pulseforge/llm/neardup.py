@@ -262,9 +262,11 @@ class Linker:
         rows = self.members.join(comps, "id").select("key", "band", "id", "comp")
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("comp", "id").alias("main")).where("low <> high")
         rows = rows.join(mixed.select("key", "size", "main"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        # members of the leader's component stand in blocks; all others stand in blocks too and also ask every block
-        stand = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind"), "band", "id", "comp")
-        ask = rows.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("kind"), "band", "id", "comp")
+        # members of the leader's component stand in blocks; all others stand in blocks too and also ask every block, in
+        # blocks (turns) themselves: a group holds a block that stands and a block that asks, whatever the bucket's size
+        every, own = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        stand = rows.select("key", own.alias("block"), every.alias("turn"), F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind"), "band", "id", "comp")
+        ask = rows.where("comp <> main").select("key", every.alias("block"), own.alias("turn"), F.lit(2).alias("kind"), "band", "id", "comp")
         need = self.need
         dealt = stand.unionByName(ask).join(self.reps.select("id", "mark", "sig"), "id")
         if exact:
@@ -273,7 +275,7 @@ class Linker:
         else:
             dealt = dealt.withColumn("z", F.lit(None).cast("binary"))
         parts = int(self.reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "kind").select("key", "block", "kind", "band", "id", "comp", "mark", "sig", "z")
+        dealt = dealt.repartition(parts, "key", "block", "turn").sortWithinPartitions("key", "block", "turn", "kind").select("key", "block", "turn", "kind", "band", "id", "comp", "mark", "sig", "z")
 
         def compare(group, shingles_of):
             """Survivors between the asking and the standing rows of one block."""
@@ -319,10 +321,10 @@ class Linker:
 
             at, group, found = None, [], []
             for t in batches:
-                for key, block, *row in zip(*(t.column(i).to_pylist() for i in range(9)), strict=True):
-                    if (key, block) != at:
+                for key, block, turn, *row in zip(*(t.column(i).to_pylist() for i in range(10)), strict=True):
+                    if (key, block, turn) != at:
                         found += compare(group, sets.of)
-                        at, group = (key, block), []
+                        at, group = (key, block, turn), []
                         if len(found) > 5000:
                             yield out(found)
                             found = []
