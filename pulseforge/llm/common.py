@@ -105,6 +105,18 @@ def arrays(batches, cols: list[str], text: str = "text", most: int = CHUNK_CHARS
             lo = hi
 
 
+def whole_rows(batches, text_col: str, others: list[str] = (), most: int = CHUNK_CHARS) -> Iterator[tuple]:
+    """Lots of consecutive rows as (row, text, *others): batches hold whole rows in the struct column `row`, so that their texts are sent once."""
+    import pyarrow as pa
+
+    def unwrapped():
+        for b in batches:
+            row = b.column("row")
+            yield pa.RecordBatch.from_arrays([row, row.field(text_col), *(b.column(c) for c in others)], names=["row", "text", *others])
+
+    return arrays(unwrapped(), ["row", "text", *others], most=most)
+
+
 def record_batch(schema: list[tuple], columns: list) -> object:
     """A record batch from (name, arrow type) pairs and as many lists or arrays."""
     import pyarrow as pa

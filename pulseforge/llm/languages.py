@@ -23,6 +23,8 @@ ORDER = 5
 MAX_GRAMS = 2_000_000
 #: Distinct words that a task holds before it turns them into n-gram counts.
 MAX_WORDS = 400_000
+#: Distinct words whose n-grams are held at once.
+WORDS = 1 << 15
 UNDETERMINED = "und"
 #: Share of usual rows that may be rejected; shares above the two measured quantiles; rows that a length class needs for a limit of its own.
 REJECT, NEAR, FAR, LEAST = 1e-4, 0.10, 0.03, 200
@@ -84,6 +86,13 @@ def counted(lang: str, words: dict[bytes, int]):
         yield [lang] * len(u), np.full(len(u), k, np.int32), u.view(np.int64), ctx[at].view(np.int64), sfx[at].view(np.int64), begins[at], count
 
 
+def parted(words: dict[bytes, int], most: int | None = None):
+    """The words in dictionaries of at most WORDS (or `most`)."""
+    items = iter(words.items())
+    while part := dict(itertools.islice(items, most or WORDS)):
+        yield part
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """n-gram counts by language of rows (text, lang)."""
 
@@ -97,8 +106,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
 
         def out(langs):
-            for lang in langs:
-                for cols in counted(lang, held.pop(lang)):
+            for lang, words in ((x, part) for x in langs for part in parted(held.pop(x))):
+                for cols in counted(lang, words):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["lang", "n", "hash", "ctx", "sfx", "begins", "count"])
 
         for texts, langs in parts:
@@ -334,7 +343,12 @@ def scored_batches(parts, m: dict):
         size = len(texts)
         best, h, n, share = [None] * size, [None] * size, np.zeros(size, np.int64), np.zeros(size)
         if index and langs:
-            total, events = (sliced_scores if "slices" in m else word_scores)(m, list(index))
+            distinct = list(index)
+            if "slices" in m:  # one pass over the slices for all words
+                total, events = sliced_scores(m, distinct)
+            else:
+                told = [word_scores(m, distinct[lo : lo + WORDS]) for lo in range(0, len(distinct), WORDS)]
+                total, events = np.concatenate([t for t, _ in told]), np.concatenate([e for _, e in told])
             sizes = np.fromiter(map(len, split), np.int64, size)
             ids = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
             has = np.flatnonzero(sizes)
@@ -438,13 +452,13 @@ def usual(limits: dict[str, list[float]]):
 def accept_rows(df: DataFrame, train: DataFrame, calibration: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of df, with all their columns, that identify() accepts."""
     model, limits = fit_calibrated(train, calibration, text_col)
-    rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = df.select(F.struct("*").alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        for row, texts in common.arrays(batches, ["row", "text"]):
+        for row, texts in common.whole_rows(batches, text_col):
             for told in scored_batches([(texts.to_pylist(),)], model.value):
                 yield pa.RecordBatch.from_arrays([row, *told[:3]], names=["row", "lang_pred", "cross_entropy", "n_scored"])
 

@@ -298,21 +298,21 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     runs = repeated_runs(df, id_col, text_col)
     spans = common.cut(runs.groupBy("id", "th").agg(F.collect_list(packed("lo", "hi")).alias("runs")), "runs")
     has = common.MemberBits(spans.select("id"), "id")
-    rows = has.split(df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")), "id")
+    rows = has.split(df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th")), "id")
     plain = rows.where("not __may").select("row.*", F.lit(0).cast("long").alias("words_removed"))
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for row, texts, runs in common.arrays(batches, ["row", "text", "runs"]):
+        for row, texts, runs in common.whole_rows(batches, text_col, ["runs"]):
             new, gone = without(Words(texts, hashed=False), *unpacked(runs))
             new = pc.if_else(texts.is_valid(), new.cast(texts.type), texts)
             yield pa.RecordBatch.from_arrays([*(new if n == text_col else row.field(n) for n in names), pa.array(gone)], names=[*names, "words_removed"])
 
     names = df.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    edited = rows.where("__may").drop("__may").join(spans, ["id", "th"], "left").select("row", "text", "runs").mapInArrow(common.lean(run), f"{kinds}, words_removed long")
+    edited = rows.where("__may").drop("__may").join(spans, ["id", "th"], "left").select("row", "runs").mapInArrow(common.lean(run), f"{kinds}, words_removed long")
     return plain.unionByName(edited)
 
 

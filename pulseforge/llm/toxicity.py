@@ -21,6 +21,8 @@ BITS, SAMPLE = 22, 12_000
 #: Characters of text whose features are made at once.
 CHUNK = 1 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 5, 2.0, 1.0, 6.0, 0.0
+#: Bias of a model that had no rows of both labels: nothing counts as toxic.
+UNTAUGHT = -1.0
 #: Weight of a toxic row; there are fewer of them.
 POSITIVE = 2.0
 
@@ -90,14 +92,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of at most `sample` labelled rows (those of the lowest hashed ids), taken in the order of their hashed ids.
 
     Rows with a null id, label or text teach nothing; of rows of one id the first label counts. Without rows of both
-    labels the model has no weights.
+    labels the model has no weights and the bias UNTAUGHT.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.col("id"), F.lit(11))
     taught = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     taught = taught.orderBy(order).limit(sample).toPandas()  # bounded by `sample`
     if not len(taught):
-        return {"at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "bias": 0.0}
+        return {"at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "bias": UNTAUGHT}
     small = F.broadcast(spark.createDataFrame(taught))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(small, "id")
 
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one = found.withColumn("o", order).repartition(1).sortWithinPartitions("o", "id", F.xxhash64("raw")).select("id", "y", "raw")
     told = one.mapInArrow(common.lean(train), "at binary, w binary, bias double").collect()
     if not told:
-        return {"at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "bias": 0.0}
+        return {"at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "bias": UNTAUGHT}
     return {"at": np.frombuffer(told[0].at, np.int32), "w": np.frombuffer(told[0].w, np.float32), "bias": told[0].bias}
 
 

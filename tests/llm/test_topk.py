@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 from pulseforge.llm import topk
 
@@ -56,3 +57,12 @@ def test_large_sums_are_exact():
     a = np.array([[2.0**40, 3.0], [2.0**40, 4.0]])
     got = list(topk.search_group(np.array([1, 2]), a, np.array([9]), np.array([[2.0**40, 1.0]]), 2))
     assert got == [(9, 2, 2**80 + 4), (9, 1, 2**80 + 3)]
+
+
+def test_scores_that_do_not_fit_and_short_vectors(spark):
+    df = spark.createDataFrame([(0, [1e17, 2e17]), (1, [1e17, 1.0])], "vec_id int, embedding array<double>")
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_k(df, df.where("vec_id = 0")).collect()
+    near = spark.createDataFrame([(0, [3e6]), (1, [2e6, 5.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(near, near.where("vec_id = 0")).collect()]
+    assert got == [(0, 1, 1, 3072000000 * 2048000000), (0, 2, 2, 3072000000 * 1024)]
