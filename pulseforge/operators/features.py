@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseforge.functions import ranges
+from pulseforge.functions.expanding import expanding_scaled
+from pulseforge.functions.pairs import correlations
 from pulseforge.functions.stats import finite, quantile, safe_corr
 
 FIRST_ROWS, LEAST_ROWS = 10, 4
@@ -47,7 +50,8 @@ def log_shift(df: DataFrame, cols: list[str]) -> DataFrame:
 def impute_median(df: DataFrame, cols: list[str], rec: str) -> DataFrame:
     """NaN and infinities become null; nulls get the recording's median, then that of all rows."""
     clean = df.withColumns({c: finite(F.col(c)) for c in cols})
-    every = clean.agg(*[quantile(c, 0.5).alias(f"__{c}") for c in cols])
+    told = ranges.quantiles(long_form(clean, cols, []), ["feature"], "value", [0.5])
+    every = told.agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"__{c}") for c in cols])  # one row
     w = _all(rec)
     return clean.join(F.broadcast(every)).withColumns({c: F.coalesce(F.col(c), quantile(c, 0.5, w), F.col(f"__{c}")) for c in cols}).drop(*[f"__{c}" for c in cols])
 
@@ -81,16 +85,7 @@ def normalise(df: DataFrame, cols: list[str], rec: str, order: list[str], method
             early = {c: F.col(f"__q{c}")[1] for c in cols}
         out = out.withColumns({f"__c{c}": early[c] for c in cols}).withColumns({f"__s{c}": F.col(f"__q{c}")[2] - F.col(f"__q{c}")[0] for c in cols})
     elif method == "expanding":
-        w = Window.partitionBy(rec).orderBy(*order)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        number = F.row_number().over(w)
-        out = df.withColumn("__n", number).withColumns({f"__q{c}": quantile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), before) for c in cols})
-        enough = {c: F.count(c).over(before) >= LEAST_ROWS for c in cols}
-        out = out.withColumns({f"__r{c}": F.when(enough[c], F.col(f"__q{c}")[2] - F.col(f"__q{c}")[0]) for c in cols})
-        first = {c: F.lit(None).cast("double") if strict else quantile(F.when(F.col("__n") <= FIRST_ROWS, F.col(c)), 0.5, every) for c in cols}
-        fill = (lambda c: F.col(f"__r{c}")) if strict else (lambda c: F.first(f"__r{c}", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-        out = out.withColumns({f"__c{c}": F.coalesce(F.col(f"__q{c}")[1], first[c]) for c in cols} | {f"__s{c}": fill(c) for c in cols})
-        out = out.drop("__n", *[f"__r{c}" for c in cols])
+        return expanding_scaled(df, cols, rec, order, {c: name(c) for c in cols}, FIRST_ROWS, LEAST_ROWS, strict)
     else:
         raise ValueError(f"no such method: {method}")
     spread = {c: F.stddev_samp(c).over(every) for c in cols}
@@ -121,22 +116,17 @@ def temporal(df: DataFrame, cols: list[str], rec: str, order: list[str], k: int
 
 
 def prune(df: DataFrame, cols: list[str], least_var: float = 1e-8, most_corr: float = 0.95) -> list[str]:
-    """Columns that stay: those that vary, less those correlated with one of larger variance.
+    """Columns that stay, in descending order of variance: those that vary, less those correlated with one kept before.
 
-    Two aggregations over all rows give variances and cross moments; only these numbers come to the driver.
+    One pass over the rows gives variances and correlations; only these numbers come to the driver.
     """
-    spread = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
-    kept = sorted([c for c in cols if spread[c] is not None and spread[c] > least_var], key=lambda c: (-spread[c], cols.index(c)))
-    if len(kept) < 2:
-        return kept
-    pairs = [(a, b) for i, a in enumerate(kept) for b in kept[:i]]
-    told = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    r = {p: abs(told[i] or 0.0) for i, p in enumerate(pairs)}
-    stay: list[str] = []
-    for c in kept:
-        if all(r.get((c, o), r.get((o, c), 0.0)) <= most_corr for o in stay):
-            stay.append(c)
-    return stay
+    var, r = correlations(df, cols)
+    order = sorted((i for i in range(len(cols)) if var[i] > least_var), key=lambda i: (-var[i], i))
+    stay: list[int] = []
+    for i in order:
+        if not any(abs(r[i, j]) > most_corr for j in stay):  # NaN is no correlation
+            stay.append(i)
+    return [cols[i] for i in stay]
 
 
 def long_form(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
@@ -147,7 +137,8 @@ def long_form(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
 def feature_stats(df: DataFrame, cols: list[str], target: str, person: str) -> DataFrame:
     """For each column: share of finite values, median, 5th and 95th percentile, pooled correlation with the target, and the median of the correlations within persons (of more than four rows)."""
     rows = long_form(df, cols, [person, target]).withColumn("value", finite(F.col("value")))
-    pooled = rows.groupBy("feature").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("finite_share"), quantile("value", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("q"), safe_corr(F.col("value"), F.col(target)).alias("r_pooled"))
+    pooled = rows.groupBy("feature").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("finite_share"), safe_corr(F.col("value"), F.col(target)).alias("r_pooled"))
+    pooled = pooled.join(ranges.quantiles(rows, ["feature"], "value", [0.5, 0.05, 0.95]).select("feature", "q"), "feature", "left")
     own = rows.groupBy("feature", person).agg(safe_corr(F.col("value"), F.col(target)).alias("r"), F.count("value").alias("n")).where("n > 4")
     within = own.groupBy("feature").agg(quantile("r", 0.5).alias("r_within"))
     return pooled.join(within, "feature", "left").select("feature", "finite_share", F.col("q")[0].alias("median"), F.col("q")[1].alias("p5"), F.col("q")[2].alias("p95"), "r_pooled", "r_within")

@@ -13,7 +13,7 @@ def as_of(probes: DataFrame, readings: DataFrame, rec: str = "rec", t: str = "t"
     as near. Valid if the nearer neighbour is within `reach`; otherwise the value is null. Both tables are put into one
     ordered window, so there is one shuffle by recording and no pair of rows is compared.
     """
-    marks = readings.where(F.col(value).isNotNull()).select(rec, t, F.col(value).alias("__y"), F.lit(0).alias("__probe"))
+    marks = readings.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(rec, t, F.col(value).alias("__y"), F.lit(0).alias("__probe"))
     asked = probes.withColumn("__probe", F.lit(1))
     rows = asked.unionByName(marks, allowMissingColumns=True)
     here = F.when(F.col("__probe") == 0, F.struct(F.col(t).alias("t"), F.col("__y").alias("y")))

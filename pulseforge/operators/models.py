@@ -68,48 +68,119 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 2000
     return minimise(loss, np.zeros(x.shape[1] + 1), steps)
 
 
+ACTIVATIONS = {
+    # value, and slope by that value
+    "logistic": (lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500))), lambda h: h * (1 - h)),
+    "tanh": (np.tanh, lambda h: 1 - h * h),
+    "relu": (lambda v: np.maximum(v, 0), lambda h: (h > 0).astype(float)),
+    "identity": (lambda v: v, np.ones_like),
+}
+
+
+def architectures(spec: str) -> list[tuple[int, ...]]:
+    """Hidden layers that a text names: commas part architectures, 10x2 stands for two layers of ten."""
+    found = []
+    for part in filter(None, (p.strip().lower() for p in str(spec).split(","))):
+        width, _, depth = part.partition("x")
+        found.append((int(width),) * int(depth or 1))
+    if not found:
+        raise ValueError(f"no architecture in {spec!r}")
+    return found
+
+
 class Network:
-    """One hidden layer of logistic units and linear outputs."""
+    """Hidden layers of one kind of units, and linear outputs (task regression) or one logistic output (task classes)."""
 
-    def __init__(self, inputs: int, hidden: int, outputs: int, alpha: float = 0.01, seed: int = 0):
+    def __init__(self, inputs: int, hidden: int | tuple[int, ...], outputs: int, alpha: float = 0.01, seed: int = 0, activation: str = "logistic", task: str = "regression", solver: str = "lbfgs", rate: float = 1e-3, early_stopping: bool = False):
         rng = np.random.default_rng(seed)
-        self.shapes = [(inputs, hidden), (hidden,), (hidden, outputs), (outputs,)]
-        self.alpha = alpha
-        bound = [np.sqrt(2 / (inputs + hidden)), np.sqrt(2 / (inputs + hidden)), np.sqrt(2 / (hidden + outputs)), np.sqrt(2 / (hidden + outputs))]
-        self.w = np.concatenate([rng.uniform(-b, b, int(np.prod(s))) for s, b in zip(self.shapes, bound, strict=True)])
+        sizes = [inputs, *((hidden,) if isinstance(hidden, int) else hidden), outputs]
+        self.shapes = [s for a, b in zip(sizes, sizes[1:], strict=False) for s in ((a, b), (b,))]
+        self.settings = {"hidden": hidden, "alpha": alpha, "seed": seed, "activation": activation, "task": task, "solver": solver, "rate": rate, "early_stopping": early_stopping}
+        self.alpha, self.activation, self.task, self.solver, self.rate, self.early_stopping, self.seed = alpha, activation, task, solver, rate, early_stopping and solver != "lbfgs", seed
+        gain = 2 if activation == "logistic" else 6
+        bounds = [np.sqrt(gain / (a + b)) for a, b in zip(sizes, sizes[1:], strict=False) for _ in range(2)]
+        self.w = np.concatenate([rng.uniform(-b, b, int(np.prod(s))) for s, b in zip(self.shapes, bounds, strict=True)])
 
     def parts(self, w: np.ndarray) -> list[np.ndarray]:
         cuts = np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1]
         return [v.reshape(s) for v, s in zip(np.split(w, cuts), self.shapes, strict=True)]
 
+    def layers(self, x: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        """The inputs and the values of all hidden layers."""
+        parts, out = self.parts(w), [x]
+        for a, b in zip(parts[:-2:2], parts[1:-2:2], strict=True):
+            out.append(ACTIVATIONS[self.activation][0](out[-1] @ a + b))
+        return out
+
     def hidden(self, x: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-        a, b, _, _ = self.parts(self.w if w is None else w)
-        return 1 / (1 + np.exp(-np.clip(x @ a + b, -500, 500)))
+        """Values of the last hidden layer."""
+        return self.layers(x, self.w if w is None else w)[-1]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        _, _, c, d = self.parts(self.w)
-        return self.hidden(x) @ c + d
+        """Outputs; probabilities for classes."""
+        c, d = self.parts(self.w)[-2:]
+        out = self.hidden(x) @ c + d
+        return ACTIVATIONS["logistic"][0](out) if self.task == "classes" else out
+
+    def loss(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Half the mean squared error (mean log-loss for classes) with the L2 penalty, and its gradient."""
+        n, parts = len(x), self.parts(w)
+        values = self.layers(x, w)
+        out = values[-1] @ parts[-2] + parts[-1]
+        if self.task == "classes":
+            value = float((np.logaddexp(0, out) - y * out).sum() / n)
+            back = (ACTIVATIONS["logistic"][0](out) - y) / n
+        else:
+            back = (out - y) / n
+            value = float(((out - y) ** 2).sum() / (2 * n))
+        grads: list[np.ndarray] = []
+        for k in range(len(parts) // 2 - 1, -1, -1):
+            a = parts[2 * k]
+            grads = [values[k].T @ back + self.alpha * a / n, back.sum(0), *grads]
+            value += self.alpha * float((a**2).sum()) / (2 * n)
+            if k:
+                back = back @ a.T * ACTIVATIONS[self.activation][1](values[k])
+        return value, np.concatenate([g.ravel() for g in grads])
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 1000) -> Network:
-        n = len(x)
-
-        def loss(w):
-            a, b, c, d = self.parts(w)
-            h = self.hidden(x, w)
-            e = h @ c + d - y
-            back = e @ c.T * h * (1 - h) / n
-            grads = [x.T @ back + self.alpha * a / n, back.sum(0), h.T @ e / n + self.alpha * c / n, e.sum(0) / n]
-            value = (e**2).sum() / (2 * n) + self.alpha * ((a**2).sum() + (c**2).sum()) / (2 * n)
-            return value, np.concatenate([g.ravel() for g in grads])
-
-        self.w = minimise(loss, self.w, steps)
+        """lbfgs over all rows, or adam or sgd over batches of 200; early stopping (adam, sgd) holds out a tenth of the rows and ends ten epochs after the best."""
+        if self.solver == "lbfgs":
+            self.w = minimise(lambda w: self.loss(w, x, y), self.w, steps)
+            return self
+        rng = np.random.default_rng(self.seed)
+        order = rng.permutation(len(x))
+        held, own = (order[: max(1, len(x) // 10)], order[max(1, len(x) // 10) :]) if self.early_stopping else (order[:0], order)
+        m, v, best, kept, calm, t = np.zeros_like(self.w), np.zeros_like(self.w), np.inf, self.w.copy(), 0, 0
+        for _ in range(steps):
+            rng.shuffle(own)
+            seen = 0.0
+            for lo in range(0, len(own), 200):
+                at = own[lo : lo + 200]
+                value, g = self.loss(self.w, x[at], y[at])
+                seen += value * len(at) / len(own)
+                t += 1
+                if self.solver == "adam":
+                    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                    self.w = self.w - self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                else:
+                    m = 0.9 * m - self.rate * g
+                    self.w = self.w + 0.9 * m - self.rate * g
+            now = self.loss(self.w, x[held], y[held])[0] if len(held) else seen
+            if now < best - 1e-4:
+                best, kept, calm = now, self.w.copy(), 0
+            else:
+                calm += 1
+                if calm > 10:
+                    break
+        if len(held):
+            self.w = kept
         return self
 
 
 def tune_head(net: Network, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, rate: float = 0.01, steps: int = 500, l2: float = 1e-3, patience: int = 50, bias_only: bool = False) -> tuple[Network, int]:
     """Full-batch Adam on the last layer with the hidden layer frozen; keeps the weights of the best validation error and its epoch."""
     h, hv = net.hidden(x), net.hidden(xv)
-    _, _, c, d = (p.copy() for p in net.parts(net.w))
+    c, d = (p.copy() for p in net.parts(net.w)[-2:])
     m, v = [np.zeros_like(c), np.zeros_like(d)], [np.zeros_like(c), np.zeros_like(d)]
     best, at, kept = np.inf, 0, (c.copy(), d.copy())
     for k in range(1, steps + 1):
@@ -123,9 +194,8 @@ def tune_head(net: Network, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np
             best, at, kept = err, k, (c.copy(), d.copy())
         elif k - at > patience:
             break
-    tuned = Network(*net.shapes[0], net.shapes[3][0], net.alpha)
-    a, b, _, _ = net.parts(net.w)
-    tuned.w = np.concatenate([a.ravel(), b.ravel(), kept[0].ravel(), kept[1].ravel()])
+    tuned = Network(net.shapes[0][0], net.settings["hidden"], net.shapes[-1][0], net.alpha, activation=net.activation)
+    tuned.w = np.concatenate([net.w[: len(net.w) - kept[0].size - kept[1].size], kept[0].ravel(), kept[1].ravel()])
     return tuned, at
 
 
@@ -208,8 +278,12 @@ def folds(df: DataFrame, person: str) -> DataFrame:
     return df.join(F.broadcast(people.agg(F.collect_set(person).alias("__all")))).withColumn("__fold", F.explode("__all")).drop("__all").withColumn("__test", F.col(person) == F.col("__fold")).repartition(64, "__fold")
 
 
-def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], model: str = "logistic", hidden: int = 10, alpha: float = 0.01, fpr: float = 0.05) -> DataFrame:
-    """Out-of-fold predictions: keys, person, y, p, thr (threshold at the training rows' false-positive rate; null for regression)."""
+def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], model: str = "logistic", hidden: int | tuple[int, ...] = 10, alpha: float = 0.01, fpr: float = 0.05, rest: str | None = None) -> DataFrame:
+    """Out-of-fold predictions: keys, person, y, p, thr (threshold at the training rows' false-positive rate; null for regression).
+
+    model: logistic, classifier (a network with log-loss) or network (regression). The threshold comes from training rows
+    of label 0, of those only the ones where the column `rest` is true if it is given.
+    """
     import pandas as pd
 
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -222,11 +296,16 @@ def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], m
             return out.assign(p=np.nan, thr=np.nan)
         mean, dev = scaler(x[~test])
         z = (x - mean) / dev
-        if model == "logistic":
-            w = fit_logistic(z[~test], target[~test])
-            p = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -500, 500)))
-            rest = p[~test][target[~test] == 0]
-            thr = float(np.quantile(rest, 1 - fpr)) if len(rest) else np.nan
+        if model in ("logistic", "classifier"):
+            if model == "logistic":
+                w = fit_logistic(z[~test], target[~test])
+                p = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -500, 500)))
+            else:
+                p = Network(len(cols), hidden, 1, alpha, task="classes").fit(z[~test], target[~test][:, None]).predict(z)[:, 0]
+            quiet = ~test & (target == 0)
+            if rest:
+                quiet &= pdf[rest].fillna(False).to_numpy(bool)
+            thr = float(np.quantile(p[quiet], 1 - fpr)) if quiet.any() else np.nan
         else:
             m, s = scaler(target[~test][:, None])
             net = Network(len(cols), hidden, 1, alpha).fit(z[~test], (target[~test][:, None] - m) / s)
@@ -234,38 +313,53 @@ def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], m
         return out.assign(p=p[test], thr=thr)
 
     kinds = dict(df.dtypes)
-    rows = folds(df.select(*keys, person, y, *cols), person)
+    rows = folds(df.select(*keys, person, y, *cols, *([rest] if rest else [])), person)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, person, y]) + ", p double, thr double"
     return rows.groupBy("__fold").applyInPandas(kernel, schema)
 
 
-def personalise(df: DataFrame, cols: list[str], y: str, person: str, order: str, hidden: int = 10) -> DataFrame:
-    """Per person: error before and after tuning the head of a network fitted on all others, with the calibration-mean and bias-only controls."""
+def personalise(df: DataFrame, cols: list[str], y: str, person: str, order: str, hidden: int = 10, calibration: int = 3, steps: int = 1000) -> DataFrame:
+    """Per person: error on the last 40 % of rows before and after tuning the head of a network fitted on all others, with controls.
+
+    Controls: zero (mean of the first `calibration` rows), amean (mean of the first half) and bias only. Also the
+    correlation of tuned predictions and truth and the ratio of their deviations. The head is tuned on the first half and
+    stopped on the next tenth; without rows there the last of the first half take their place. Persons with fewer than
+    three rows in a slice give no row.
+    """
     import pandas as pd
 
+    names = ["person", "n_test", "mae_pre", "mae_post", "mae_zero", "mae_amean", "mae_bias", "r", "sd_ratio", "best_epoch"]
+
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([person, order])
         test = pdf["__test"].to_numpy()
         x, target = np.nan_to_num(pdf[cols].to_numpy(float)), pdf[[y]].to_numpy(float)
         own = np.flatnonzero(test)
-        n = len(own)
-        a, v, t = own[: n // 2], own[n // 2 : int(np.ceil(0.6 * n))], own[int(np.ceil(0.6 * n)) :]
-        cols_ = ["person", "n_test", "mae_pre", "mae_post", "mae_amean", "mae_bias", "best_epoch"]
+        place = np.arange(len(own)) / max(1, len(own))
+        a, v, t = own[place < 0.5], own[(place >= 0.5) & (place < 0.6)], own[place >= 0.6]
+        if not len(v) and len(a) >= 4:
+            cut = int(np.ceil(0.85 * (len(a) - 1)))
+            a, v = a[:cut], a[cut:]
         if min(len(a), len(v), len(t)) < 3 or test.all():
-            return pd.DataFrame(columns=cols_)
+            return pd.DataFrame(columns=names)
         mean, dev = scaler(x[~test])
         z = (x - mean) / dev
         m, s = scaler(target[~test])
         u = (target - m) / s
-        net = Network(len(cols), hidden, 1).fit(z[~test], u[~test])
+        net = Network(len(cols), hidden, 1).fit(z[~test], u[~test], steps)
         tuned, epoch = tune_head(net, z[a], u[a], z[v], u[v])
         biased, _ = tune_head(net, z[a], u[a], z[v], u[v], bias_only=True)
         err = lambda p: float(np.abs(p * s + m - target[t]).mean())
-        return pd.DataFrame([[key[0], len(t), err(net.predict(z[t])), err(tuned.predict(z[t])), float(np.abs(target[a].mean() - target[t]).mean()), err(biased.predict(z[t])), epoch]], columns=cols_)
+        post = tuned.predict(z[t]) * s + m
+        sd = float(target[t].std())
+        r = float(np.corrcoef(post[:, 0], target[t][:, 0])[0, 1]) if sd > 0 and post.std() > 0 else np.nan
+        row = [key[0], len(t), err(net.predict(z[t])), err(tuned.predict(z[t])), float(np.abs(target[own[:calibration]].mean() - target[t]).mean()), float(np.abs(target[a].mean() - target[t]).mean()), err(biased.predict(z[t])), r, float(post.std() / sd) if sd > 0 else np.nan, epoch]
+        return pd.DataFrame([row], columns=names)
 
     kind = dict(df.dtypes)[person]
     rows = folds(df.select(person, order, y, *cols), person)
-    return rows.groupBy("__fold").applyInPandas(kernel, f"person {kind}, n_test long, mae_pre double, mae_post double, mae_amean double, mae_bias double, best_epoch long")
+    schema = f"person {kind}, n_test long, " + ", ".join(f"{n} double" for n in names[2:-1]) + ", best_epoch long"
+    return rows.groupBy("__fold").applyInPandas(kernel, schema)
 
 
 def information_by_fold(df: DataFrame, cols: list[str], y: str, person: str) -> DataFrame:
@@ -278,3 +372,258 @@ def information_by_fold(df: DataFrame, cols: list[str], y: str, person: str) ->
 
     kind = dict(df.dtypes)[person]
     return folds(df.select(person, y, *cols), person).groupBy("__fold").applyInPandas(kernel, f"fold {kind}, feature string, mi double")
+
+
+def person_moments(df: DataFrame, columns: list[str], person: str) -> DataFrame:
+    """person, n and moments: sums of the products of (1, columns), row by row of that square matrix.
+
+    Each batch adds up its rows by person in numpy, and a person's few partial sums are added in Spark; no row is shuffled.
+    """
+    kind, size = dict(df.dtypes)[person], len(columns) + 1
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            who = pc.dictionary_encode(b.column(0))
+            codes, people = who.indices.to_numpy(zero_copy_only=False), who.dictionary
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns))]])
+            sums = [(x[codes == k].T @ x[codes == k]).ravel().tolist() for k in range(len(people))]
+            yield pa.RecordBatch.from_arrays([people, pa.array(sums, pa.list_(pa.float64()))], names=[person, "part"])
+
+    whole = df.where(F.col(person).isNotNull() & F.forall(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull() & ~F.isnan(v)))
+    parts = whole.select(person, *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(run, f"{person} {kind}, part array<double>")
+    sums = parts.select(person, F.posexplode("part").alias("i", "v")).groupBy(person, "i").agg(F.sum("v").alias("v"))
+    rows = sums.groupBy(person).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("moments"))  # size**2 numbers
+    return rows.select(person, F.col("moments")[0].alias("n"), "moments").where(F.size("moments") == size * size)
+
+
+def loso_ridge(df: DataFrame, cols: list[str], targets: list[str], person: str, alpha: float = 10.0) -> DataFrame:
+    """df with <target>_pred: ridge on columns that are standardised on the other persons, penalty alpha, intercept free.
+
+    The moments of all persons less those of the held-out one give each fold's normal equations, so rows are read once,
+    whatever the number of folds. A person without others has null predictions. Also <target>_base, the others' mean.
+    """
+    d, t = len(cols), len(targets)
+    size = d + t + 1
+    own = person_moments(df, [*cols, *targets], person)
+    total = own.select(F.posexplode("moments").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("all"))  # one row
+    kind = dict(df.dtypes)[person]
+
+    def solve(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for who, mine, all_ in zip(f[person], f["moments"], f["all"], strict=True):
+                m = (np.array(all_) - np.array(mine)).reshape(size, size)
+                n = m[0, 0]
+                if n < 1:
+                    out.append((who, None, None, None))
+                    continue
+                mean = m[0] / n
+                c = m[1:, 1:] - n * np.outer(mean[1:], mean[1:])
+                spread = np.maximum(np.diag(c)[:d] / n, 0)
+                spread = np.where(spread > 1e-24, spread, 1.0)
+                w = np.linalg.lstsq(c[:d, :d] + alpha * np.diag(spread), c[:d, d:], rcond=None)[0]
+                out.append((who, w.T.ravel().tolist(), (mean[d + 1 :] - mean[1 : d + 1] @ w).tolist(), mean[d + 1 :].tolist()))
+            yield pd.DataFrame(out, columns=[person, "__w", "__b", "__m"])
+
+    fits = own.join(F.broadcast(total)).mapInPandas(solve, f"{person} {kind}, __w array<double>, __b array<double>, __m array<double>")
+    rows = df.join(fits, person, "left")
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    dot = lambda j: F.aggregate(F.zip_with(x, F.slice("__w", j * d + 1, d), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    new = {f"{c}_pred": dot(j) + F.col("__b")[j] for j, c in enumerate(targets)} | {f"{c}_base": F.col("__m")[j] for j, c in enumerate(targets)}
+    return rows.withColumns(new).drop("__w", "__b", "__m")
+
+
+def newton_logistic(df: DataFrame, cols: list[str], y: str, person: str, c: float = 1.0, steps: int = 30, tol: float = 1e-8) -> tuple[list, np.ndarray]:
+    """Persons, and for each the weights (intercept last, in raw units) of a balanced L2 logistic regression on all others.
+
+    All folds take their Newton steps together: one pass over the rows adds up gradient and Hessian of every fold, so no
+    row is copied and no fold meets in one task. What comes to the driver is folds x columns**2 numbers a pass.
+    """
+    d = len(cols)
+    told = person_moments(df, [*cols, y], person).collect()  # a row of (d + 2)**2 numbers for each person
+    people = sorted(r[person] for r in told)
+    by = {r[person]: np.array(r["moments"]).reshape(d + 2, d + 2) for r in told}
+    total = sum(by.values())
+    fits, scale = np.zeros((len(people), d + 1)), []
+    for p in people:
+        m = total - by[p]
+        n, pos = m[0, 0], m[0, d + 1]
+        mean = m[0, 1 : d + 1] / max(n, 1)
+        dev = np.sqrt(np.maximum(np.diag(m)[1 : d + 1] / max(n, 1) - mean * mean, 0))
+        scale.append((mean, np.where(dev > 1e-12, dev, 1.0), n / (2 * max(pos, 1.0)), n / (2 * max(n - pos, 1.0))))
+    rows = df.select(person, F.col(y).cast("double"), *[F.col(x).cast("double") for x in cols]).where(F.forall(F.array(y, *cols), lambda v: v.isNotNull() & ~F.isnan(v)))
+
+    def sums(frames):
+        import pandas as pd
+
+        grad, hess = np.zeros((len(people), d + 1)), np.zeros((len(people), d + 1, d + 1))
+        for f in frames:
+            who, target, x = f.iloc[:, 0].to_numpy(), f.iloc[:, 1].to_numpy(), f.iloc[:, 2:].to_numpy()
+            for k, p in enumerate(people):
+                mean, dev, up, down = scale[k]
+                use = who != p
+                z = np.column_stack([(x[use] - mean) / dev, np.ones(use.sum())])
+                q = 1 / (1 + np.exp(-np.clip(z @ fits[k], -500, 500)))
+                weight = np.where(target[use] == 1, up, down)
+                grad[k] += z.T @ (weight * (q - target[use]))
+                hess[k] += (z * (weight * q * (1 - q))[:, None]).T @ z
+        yield pd.DataFrame({"g": [grad.ravel().tolist()], "h": [hess.ravel().tolist()]})
+
+    free = np.append(np.ones(d), 0.0) / c  # the intercept isn't penalised
+    for _ in range(steps):
+        parts = rows.mapInPandas(sums, "g array<double>, h array<double>").collect()  # a row for each partition
+        grad = sum(np.array(r.g) for r in parts).reshape(fits.shape)
+        hess = sum(np.array(r.h) for r in parts).reshape(len(people), d + 1, d + 1)
+        step = np.array([np.linalg.lstsq(hess[k] + np.diag(free + 1e-12), grad[k] + free * fits[k], rcond=None)[0] for k in range(len(people))])
+        fits = fits - step * np.minimum(1.0, 5.0 / np.maximum(np.abs(step).max(1, keepdims=True), 1e-300))
+        if np.abs(step).max(initial=0) < tol:
+            break
+    raw = np.array([np.append(w[:-1] / s[1], w[-1] - (w[:-1] / s[1]) @ s[0]) for w, s in zip(fits, scale, strict=True)])
+    return people, raw
+
+
+def loso_logistic(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], fpr: float = 0.05, rest: str | None = None) -> DataFrame:
+    """Out-of-fold probabilities and thresholds like loso(model="logistic"), without a fold meeting in one task: keys, person, y, p, thr."""
+    from pulseforge.functions import ranges
+
+    people, raw = newton_logistic(df, cols, y, person)
+    spark, kind = df.sparkSession, dict(df.dtypes)[person]
+    fits = spark.createDataFrame([(p, w.tolist()) for p, w in zip(people, raw, strict=True)], f"{person} {kind}, __w array<double>")
+    x = F.array(*[F.col(c).cast("double") for c in cols], F.lit(1.0))
+    chance = lambda w: 1 / (1 + F.exp(-F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))
+    quiet = df.where((F.col(y) == 0) & (F.col(rest) if rest else F.lit(True)))
+    every = F.array(*[F.struct(F.lit(p).cast(kind).alias("fold"), F.array(*map(F.lit, w.tolist())).alias("w")) for p, w in zip(people, raw, strict=True)])
+    scores = quiet.select(person, x.alias("__x"), F.explode(every).alias("f")).where(F.col(person) != F.col("f.fold"))
+    scores = scores.select(F.col("f.fold").alias(person), (1 / (1 + F.exp(-F.aggregate(F.zip_with("__x", "f.w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))).alias("p"))
+    cuts = ranges.quantiles(scores, [person], "p", [1 - fpr]).select(person, F.col("q")[0].alias("thr"))
+    return df.join(fits, person).join(cuts, person, "left").select(*keys, person, y, chance(F.col("__w")).alias("p"), "thr")
+
+
+def nested_loso(df: DataFrame, cols: list[str], targets: list[str], person: str, t: str, keys: list[str], specs: list[tuple[int, ...]], mode: str = "none", calibration: float = 60.0, alpha: float = 0.01, steps: int = 1000) -> DataFrame:
+    """Out-of-fold predictions of networks whose architecture is chosen inside each fold by an inner leave-one-person-out (the first of the least mean error).
+
+    Returns keys, person, picked, and by target <t>_true, <t>_pred and <t>_zero (what it has to beat: the calibration value
+    with mode offset, else the training mean). With mode offset each person's values are taken less the mean of the first
+    `calibration` of their time. One group for each fold; a single spec isn't searched for.
+    """
+    import pandas as pd
+
+    def offsets(values, times, who):
+        out = np.zeros_like(values)
+        if mode == "offset":
+            for p in np.unique(who):
+                mine = who == p
+                early = mine & (times <= times[mine].min() + calibration)
+                out[mine] = values[early if early.sum() >= 3 else mine].mean(0)
+        return out
+
+    def fitted(x, y, off, spec):
+        mean, dev = scaler(x)
+        net = Network(x.shape[1], spec, y.shape[1], alpha).fit((x - mean) / dev, y - off, steps)
+        return lambda v: net.predict((v - mean) / dev)
+
+    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keys)
+        test, who, times = pdf["__test"].to_numpy(), pdf[person].to_numpy(), pdf[t].to_numpy(float)
+        x, y = np.nan_to_num(pdf[cols].to_numpy(float)), pdf[targets].to_numpy(float)
+        off = offsets(y, times, who)
+        out = pdf.loc[test, [*keys, person]].copy()
+        best = specs[0] if len(specs) == 1 else None
+        if best is None:
+            least = np.inf
+            for spec in specs:
+                errors = []
+                for p in np.unique(who[~test]):
+                    inner, held = ~test & (who != p), who == p
+                    if inner.any():
+                        errors.append(np.abs(fitted(x[inner], y[inner], off[inner], spec)(x[held]) + off[held] - y[held]).mean())
+                mae = float(np.mean(errors)) if errors else np.inf
+                if best is None or mae < least:
+                    best, least = spec, mae
+        out["picked"] = "x".join(map(str, best))
+        alone = test.all()
+        pred = np.full((test.sum(), len(targets)), np.nan) if alone else fitted(x[~test], y[~test], off[~test], best)(x[test]) + off[test]
+        base = off[test] if mode == "offset" else np.broadcast_to(y[~test].mean(0) if not alone else np.nan, pred.shape)
+        for j, c in enumerate(targets):
+            out[f"{c}_true"], out[f"{c}_pred"], out[f"{c}_zero"] = y[test][:, j], pred[:, j], base[:, j]
+        return out
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, person]) + ", picked string, " + ", ".join(f"`{c}_{s}` double" for c in targets for s in ("true", "pred", "zero"))
+    return folds(df.select(*dict.fromkeys([*keys, person, t, *targets, *cols])), person).groupBy("__fold").applyInPandas(kernel, schema)
+
+
+def learning_curve(df: DataFrame, cols: list[str], targets: list[str], person: str, order: str, hidden: tuple[int, ...] = (10,), step: int = 20, most: int = 200, alpha: float = 0.01) -> DataFrame:
+    """fold, iter, split (train, held-out), channel, mae and base (error of the training mean; null for train) of networks that are fitted on, `step` steps at a time."""
+    import pandas as pd
+
+    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([person, order])
+        test = pdf["__test"].to_numpy()
+        x, y = np.nan_to_num(pdf[cols].to_numpy(float)), pdf[targets].to_numpy(float)
+        rows = []
+        if not test.all():
+            mean, dev = scaler(x[~test])
+            z = (x - mean) / dev
+            base = np.abs(y[~test].mean(0) - y[test]).mean(0)
+            net = Network(len(cols), hidden, len(targets), alpha)
+            for it in range(step, most + 1, step):
+                net.fit(z[~test], y[~test], step)
+                err = np.abs(net.predict(z) - y)
+                for j, c in enumerate(targets):
+                    rows.append((key[0], it, "train", c, float(err[~test, j].mean()), None))
+                    rows.append((key[0], it, "held-out", c, float(err[test, j].mean()), float(base[j])))
+        return pd.DataFrame(rows, columns=["fold", "iter", "split", "channel", "mae", "base"])
+
+    kind = dict(df.dtypes)[person]
+    return folds(df.select(*dict.fromkeys([person, order, *targets, *cols])), person).groupBy("__fold").applyInPandas(kernel, f"fold {kind}, iter long, split string, channel string, mae double, base double")
+
+
+def ablation(df: DataFrame, sets: dict[str, list[str]], y: str, person: str, keys: list[str], models: tuple[str, ...] = ("ridge",), norm: str = "none") -> DataFrame:
+    """Errors (or AUC) of each feature set and model with persons held out: norm, feature_set, model, n_features, mae, me, sde, auc; with the training mean as baseline."""
+    from functools import reduce
+
+    from pulseforge.operators import scoring as sc
+
+    out = []
+    for name, cols in sets.items():
+        for model in models:
+            if model == "ridge":
+                rows = loso_ridge(df.select(*dict.fromkeys([*keys, person, y, *cols])), cols, [y], person).select(F.col(y).cast("double").alias("y"), F.col(f"{y}_pred").alias("p"))
+            elif model == "logistic":
+                rows = loso_logistic(df, cols, y, person, keys).select(F.col(y).cast("double").alias("y"), "p")
+            else:
+                rows = loso(df, cols, y, person, keys, model).select(F.col(y).cast("double").alias("y"), "p")
+            score = sc.regression_score(rows, "y", "p") if model in ("ridge", "network") else sc.roc_auc(rows.withColumn("y", F.col("y").cast("long"))).select("auc")
+            for c, kind in (("n", "long"), ("mae", "double"), ("me", "double"), ("sde", "double"), ("auc", "double")):
+                if c not in score.columns:
+                    score = score.withColumn(c, F.lit(None).cast(kind))
+            out.append(score.select(F.lit(norm).alias("norm"), F.lit(name).alias("feature_set"), F.lit(model).alias("model"), F.lit(len(cols)).alias("n_features"), "mae", "me", "sde", "auc"))
+    base = sc.loso_baselines(df.select(person, F.col(y).cast("double").alias("y")), "y", person)
+    out.append(sc.regression_score(base, "y", "train_mean").select(F.lit(norm).alias("norm"), F.lit("-").alias("feature_set"), F.lit("train mean").alias("model"), F.lit(0).alias("n_features"), "mae", "me", "sde", F.lit(None).cast("double").alias("auc")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def save_model(spark, path: str, net: Network, names: list[str], mean: np.ndarray, dev: np.ndarray, settings: dict | None = None) -> None:
+    """A network with its scaler and feature names as one row of JSON."""
+    import json
+
+    body = {"weights": net.w.tolist(), "inputs": net.shapes[0][0], "outputs": net.shapes[-1][0], "network": net.settings, "features": names, "mean": np.asarray(mean).tolist(), "dev": np.asarray(dev).tolist(), "settings": settings or {}}
+    spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark, path: str) -> tuple[Network, dict]:
+    """The network that save_model() wrote, and the rest of its row."""
+    import json
+
+    body = json.loads(spark.read.text(path).first()[0])
+    own = body["network"]
+    hidden = own.pop("hidden")
+    net = Network(body["inputs"], hidden if isinstance(hidden, int) else tuple(hidden), body["outputs"], **own)
+    net.w = np.array(body["weights"])
+    return net, body

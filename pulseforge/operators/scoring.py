@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseforge.functions.stats import quantile, try_ratio
+from pulseforge.functions import ranges
+from pulseforge.functions.stats import try_ratio
 
 # The limit of the spread of persons' mean errors by the size of the mean error (ISO 81060-2).
 ISO_LIMITS = [(0.0, 6.95), (0.5, 6.87), (1.0, 6.71), (1.5, 6.47), (2.0, 6.15), (2.5, 5.76), (3.0, 5.29), (3.5, 4.73), (4.0, 4.08), (4.5, 3.34), (5.0, 2.49)]
@@ -56,60 +57,80 @@ def loso_ridge(df: DataFrame, x: str, y: str, person: str, alpha: float = 10.0)
 
 
 def temporal_split(df: DataFrame, rec: str, order: list[str], adapt: float = 0.5, val: float = 0.6) -> DataFrame:
-    """slice: adapt, val or test by the row's place in its recording."""
+    """slice: adapt, val or test by the row's place in its recording.
+
+    A recording without val rows but with at least four adapt rows gives the last of these (from their 0.85 quantile of
+    places on) to val.
+    """
     w = Window.partitionBy(rec)
     place = (F.row_number().over(w.orderBy(*order)) - 1) / F.count("*").over(w)
-    return df.withColumn("place", place).withColumn("slice", F.when(F.col("place") < adapt, "adapt").when(F.col("place") < val, "val").otherwise("test"))
+    rows = df.withColumn("place", place)
+    n_adapt, n_val = F.sum((F.col("place") < adapt).cast("int")).over(w), F.sum(((F.col("place") >= adapt) & (F.col("place") < val)).cast("int")).over(w)
+    # places are k / n, so their quantile follows from the count
+    rows = rows.withColumn("__cut", F.when((n_val == 0) & (n_adapt >= 4), 0.85 * (n_adapt - 1) / F.count("*").over(w)))
+    early = F.col("place") < adapt
+    late = early & (F.col("place") >= F.col("__cut"))
+    return rows.withColumn("slice", F.when(late, "val").when(early, "adapt").when(F.col("place") < val, "val").otherwise("test")).drop("__cut")
+
 
+def blocked_cv_mean(df: DataFrame, rec: str, order: list[str], blocks: int = 5, gap: int = 1, y: str = "y", least_block: int = 3, least_train: int = 10) -> DataFrame:
+    """Contiguous blocks; each is predicted (p) by the mean of the rows more than `gap` rows away from it.
 
-def blocked_cv_mean(df: DataFrame, rec: str, order: list[str], blocks: int = 5, gap: int = 1, y: str = "y") -> DataFrame:
-    """Contiguous blocks; each is predicted by the mean of the blocks more than `gap` away (block sums, no pairs of rows)."""
+    Sums up to each row, taken at the edges of a block, give the training sums, so no pair of rows is compared. Blocks of
+    fewer than least_block rows, or with fewer than least_train training rows, have no prediction.
+    """
     w = Window.partitionBy(rec)
-    rows = df.withColumn("block", F.least(F.lit(blocks - 1), F.floor((F.row_number().over(w.orderBy(*order)) - 1) * blocks / F.count("*").over(w))).cast("int"))
-    sums = rows.groupBy(rec, "block").agg(F.sum(y).alias("s"), F.count(y).alias("c"))
-    near = Window.partitionBy(rec).orderBy("block").rangeBetween(-gap, gap)
+    rows = df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
+    rows = rows.withColumn("block", F.least(F.lit(blocks - 1), F.floor(F.col("__i") * blocks / F.col("__n"))).cast("int"))
+    ahead = w.orderBy("__i")
+    near = F.struct(F.sum(y).over(ahead.rowsBetween(-gap, -1)).alias("s"), F.count(y).over(ahead.rowsBetween(-gap, -1)).alias("c"))
+    far = F.struct(F.sum(y).over(ahead.rowsBetween(1, gap)).alias("s"), F.count(y).over(ahead.rowsBetween(1, gap)).alias("c"))
+    rows = rows.withColumns({"__near": near, "__far": far}) if gap else rows.withColumns({c: F.struct(F.lit(None).cast("double").alias("s"), F.lit(0).cast("long").alias("c")) for c in ("__near", "__far")})
+    sums = rows.groupBy(rec, "block").agg(F.sum(y).alias("s"), F.count(y).alias("c"), F.count("*").alias("m"), F.min_by("__near", "__i").alias("a"), F.max_by("__far", "__i").alias("b"))
     every = Window.partitionBy(rec)
-    means = sums.select(rec, "block", try_ratio(F.sum("s").over(every) - F.sum("s").over(near), F.sum("c").over(every) - F.sum("c").over(near)).alias("p"))
-    return rows.join(means, [rec, "block"])
-
-
-def _by_score(df: DataFrame, y: str, p: str) -> DataFrame:
-    return df.groupBy(p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    train = F.sum("c").over(every) - F.col("c") - F.col("a.c") - F.col("b.c")
+    total = F.sum("s").over(every) - zero("s") - zero("a.s") - zero("b.s")
+    means = sums.select(rec, "block", F.when((F.col("m") >= least_block) & (train >= least_train), try_ratio(total, train)).alias("p"))
+    return rows.drop("__i", "__n", "__near", "__far").join(means, [rec, "block"])
 
 
-def _parts(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def cumulated(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
+    """Distinct scores (of each group) in descending order with positives and negatives so far (tp, fp) and in all (n_pos, n_neg).
 
-
-def cumulated(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Distinct scores in descending order with positives and negatives so far (tp, fp) and in all (n_pos, n_neg).
-
-    Scores are dealt to ranges; sums within a range come from a window and those of the ranges before from a table with a
-    row for each range, so that no window runs over all scores.
+    Scores are dealt to ranges with fixed cut points; sums within a range come from a window and those of the ranges above
+    from a table with a row for each range, so that no window runs over all scores.
     """
-    counts = _by_score(df, y, p)
-    ranged = counts.repartitionByRange(_parts(df.sparkSession), F.desc(p)).withColumn("part", F.spark_partition_id())
-    ranged = ranged.persist()
-    parts = ranged.groupBy("part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    all_ = Window.partitionBy(F.lit(0))
-    parts = parts.select("part", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.sum("a").over(all_).alias("n_pos"), F.sum("b").over(all_).alias("n_neg"))
-    inside = Window.partitionBy("part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).join(F.broadcast(parts), "part")
-    return rows.select(p, "pos", "neg", (F.col("tp") + F.col("a0")).alias("tp"), (F.col("fp") + F.col("b0")).alias("fp"), "n_pos", "n_neg")
-
-
-def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Area under the ROC curve; ties count half."""
-    rows = cumulated(df, y, p)
+    by = by or []
+    counts = df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    counts = ranges.ranged(df, p, "part")(counts)
+    parts = counts.groupBy(*by, "part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    above = group.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.select(*by, "part", F.coalesce(F.sum("a").over(above), F.lit(0)).alias("a0"), F.coalesce(F.sum("b").over(above), F.lit(0)).alias("b0"), F.sum("a").over(group).alias("n_pos"), F.sum("b").over(group).alias("n_neg"))
+    inside = Window.partitionBy(*by, "part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).join(parts, [*by, "part"])
+    return rows.select(*by, p, "pos", "neg", (F.col("tp") + F.col("a0")).alias("tp"), (F.col("fp") + F.col("b0")).alias("fp"), "n_pos", "n_neg")
+
+
+def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve (of each group); ties count half."""
+    rows = cumulated(df, y, p, by)
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
-    return rows.agg(F.sum(area).alias("a"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg")).select(try_ratio(F.col("a"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    return rows.groupBy(*(by or [])).agg(F.sum(area).alias("a"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg")).select(*(by or []), try_ratio(F.col("a"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+
+
+def auc_summary(df: DataFrame, fold: str, y: str = "y", p: str = "p") -> DataFrame:
+    """Mean and sample deviation of the folds' AUC, how many folds are above a half, and the pooled AUC and average precision: one row."""
+    each = roc_auc(df, y, p, [fold]).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_sd"), F.count(F.when(F.col("auc") > 0.5, 1)).alias("n_above_half"))
+    pooled = roc_auc(df, y, p).select(F.col("auc").alias("auc_pooled"))
+    return each.join(F.broadcast(pooled)).join(F.broadcast(average_precision(df, y, p).select(F.col("ap").alias("ap_pooled"))))  # one row each
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Sum over distinct scores of the recall gained times the precision there."""
     rows = cumulated(df, y, p)
-    return rows.agg(F.sum(F.col("pos") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"), F.max(F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("prevalence"))
+    return rows.agg(F.sum(try_ratio(F.col("pos"), F.col("n_pos")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"), F.max(F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("prevalence"))
 
 
 def roc_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -165,7 +186,7 @@ def bland_altman(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
 
 def threshold_at_fpr(df: DataFrame, y: str, p: str, fpr: float, by: list[str]) -> DataFrame:
     """Quantile 1 - fpr of the scores of negatives, and the sensitivity and specificity at it."""
-    cut = df.where(F.col(y) == 0).groupBy(*by).agg(quantile(p, 1 - fpr).alias("threshold"))
+    cut = ranges.quantiles(df.where(F.col(y) == 0), by, p, [1 - fpr]).select(*by, F.col("q")[0].alias("threshold"))
     rows = df.join(cut, by)
     hit = (F.col(p) >= F.col("threshold")).cast("double")
     return rows.groupBy(*by, "threshold").agg(F.avg(F.when(F.col(y) == 1, hit)).alias("sens"), F.avg(F.when(F.col(y) == 0, 1 - hit)).alias("spec"))

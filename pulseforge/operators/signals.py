@@ -16,9 +16,55 @@ REFRACTORY, SLOPE_ZONE, SEARCH_BACK = 0.2, 0.36, 1.66
 
 
 def high_pass(x: np.ndarray, fs: float, corner: float = 0.08) -> np.ndarray:
+    """Zero-phase high-pass of second order; a corner outside the band raises."""
     return dsp.filtfilt(dsp.butter(2, corner, fs, "high"), x)
 
 
+def beat_envelope(x: np.ndarray, fs: float) -> tuple[np.ndarray, float]:
+    """Envelope of the 5-15 Hz band at about 100 Hz, and its rate."""
+    band = dsp.filtfilt(dsp.butter(2, (5.0, 15.0), fs, "band"), np.asarray(x, float))
+    step = max(1, round(fs / 1000))
+    slow = dsp.analytic_envelope(band[::step])
+    again = max(1, round(fs / step / 100))
+    return slow[::again], fs / step / again
+
+
+def channel_delay(raw: np.ndarray, filtered: np.ndarray, fs: float, span: float = 300.0, most: float = 60.0) -> tuple[float, float]:
+    """Delay of the filtered channel behind the raw one in seconds, from the envelopes of the first `span` seconds, and the correlation there; (0, 0) for less than ten seconds."""
+    n = min(len(raw), len(filtered), round(span * fs))
+    if n < 10 * fs:
+        return 0.0, 0.0
+    a, rate = beat_envelope(raw[:n], fs)
+    b, _ = beat_envelope(filtered[:n], fs)
+    return dsp.cross_delay(a, b, rate, most)
+
+
+def lead_in(x: np.ndarray, fs: float, factor: float = 3.0, most: float = 60.0, smooth: float = 0.2, settle: float = 2.0) -> float:
+    """Seconds of disturbance at the start: until the smoothed deviation from the median stays below `factor` times its steady value for `settle` seconds.
+
+    The steady value is the median over the minute after the longest lead-in, so it doesn't depend on how much was read.
+    A start that isn't disturbed gives 0, one that never settles gives `most`.
+    """
+    x = np.asarray(x, float)
+    if len(x) < round(2 * fs):
+        return 0.0
+    w = max(1, round(smooth * fs))
+    level = np.convolve(np.abs(x - np.median(x)), np.ones(w) / w, "same")
+    lo = min(round(most * fs), max(0, len(level) - round(5 * fs)))
+    steady = level[lo : lo + round(60 * fs)]
+    steady = float(np.median(steady if len(steady) >= round(5 * fs) else level[len(level) // 2 :]))
+    end = min(len(level), round(most * fs))
+    bad = level[:end] > factor * steady
+    if steady <= 0 or not end or not bad[0]:
+        return 0.0
+    # a clean sample ends the lead-in if the next bad one is at least the settling time away
+    where = np.flatnonzero(bad)
+    clean = np.flatnonzero(~bad)
+    nxt = np.append(where, end + round(settle * fs))[np.searchsorted(where, clean)]
+    quiet = clean[(nxt - clean >= max(1, round(settle * fs))) | (nxt >= end)]
+    return float(min(quiet[0] + w, end) / fs) if len(quiet) else float(end / fs)
+
+
 def filter_chain(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
     """Band-passed signal, its slope, the square of the slope, and its moving mean over 150 ms."""
     band = dsp.filtfilt(dsp.butter(2, (5.0, 15.0), fs, "band"), x)
@@ -27,58 +73,94 @@ def filter_chain(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
     return {"band": band, "slope": slope, "energy": np.convolve(slope**2, np.ones(width) / width, "same")}
 
 
-def decide(chain: dict[str, np.ndarray], fs: float, search_back: bool = False) -> np.ndarray:
-    """Indices of beats among the peaks of the energy, by two running levels (signal and noise) and a threshold between them."""
-    energy, slope = chain["energy"], np.abs(chain["slope"])
-    at = dsp.find_peaks(energy, max(1, round(REFRACTORY * fs)))
+class Levels:
+    """State of the beat decision: signal and noise levels, and the intervals that count as regular."""
+
+    def __init__(self, signal: float, noise: float, fs: float):
+        self.signal, self.noise, self.fs = signal, noise, fs
+        self.beats: list[int] = []
+        self.recent: list[int] = []
+        self.regular: list[int] = []
+        self.usual: float | None = None
+        self.steep = 0.0
+
+    @property
+    def threshold(self) -> float:
+        return self.noise + 0.25 * (self.signal - self.noise)
+
+    def t_wave(self, i: int, steep: float) -> bool:
+        """Too soon after the last beat and less than half as steep."""
+        return bool(self.beats) and i - self.beats[-1] < SLOPE_ZONE * self.fs and steep < 0.5 * self.steep
+
+    def take(self, i: int, height: float, steep: float) -> None:
+        if self.beats:
+            gap = i - self.beats[-1]
+            self.recent = [*self.recent, gap][-8:]
+            about = self.usual or gap
+            if 0.92 * about <= gap <= 1.16 * about:
+                self.regular = [*self.regular, gap][-8:]
+            self.usual = float(np.clip(np.mean(self.regular or self.recent), 0.3 * self.fs, 2.0 * self.fs))
+        self.beats.append(i)
+        self.signal, self.steep = 0.125 * height + 0.875 * self.signal, steep
+
+    def pass_over(self, height: float) -> None:
+        self.noise = 0.125 * height + 0.875 * self.noise
+
+
+def decide(energy: np.ndarray, fs: float, search_back: bool = False) -> np.ndarray:
+    """Indices of beats among the peaks of the energy, by two running levels (signal and noise) and a threshold between them.
+
+    Peaks over five times the 99th percentile are artefacts. search_back looks into a gap of more than 1.66 usual
+    intervals for the highest of all its peaks that stands a refractory time clear of both ends, is over half the
+    threshold and isn't a T wave.
+    """
+    clear = max(1, round(REFRACTORY * fs))
+    at = dsp.find_peaks(energy, clear)
     if not len(at):
         return at
-    at = at[energy[at] <= 5 * np.percentile(energy[at], 99)]
+    usual = energy[at] <= 5 * np.percentile(energy[at], 99)
+    at = at[usual] if usual.any() else at
     early = energy[at[at < 10 * fs]]
-    signal = float(np.percentile(early if len(early) >= 5 else energy[at], 75))
-    noise = float(np.median(energy[: max(1, int(10 * fs))]))
+    state = Levels(float(np.percentile(early if len(early) >= 5 else energy[at], 75)), float(np.median(energy[: max(1, int(10 * fs))])), fs)
     reach = max(1, round(0.075 * fs))
-    steep = [float(slope[max(0, i - reach) : i + reach + 1].max()) for i in at.tolist()]
-    beats: list[int] = []
-    missed: list[tuple[float, int]] = []
-    gaps: list[float] = []
-    last_steep = 0.0
-    for i, s in zip(at.tolist(), steep, strict=True):
-        level = noise + 0.25 * (signal - noise)
+    change = np.abs(np.diff(energy))
+    steep = {i: float(change[max(0, i - reach) : i].max(initial=0.0)) for i in at.tolist()}
+    for i in at.tolist():
+        if search_back and state.beats and state.usual and i - state.beats[-1] > SEARCH_BACK * state.usual:
+            gap = at[(at >= state.beats[-1] + clear) & (at < i - clear)]
+            if len(gap):
+                j = int(gap[np.argmax(energy[gap])])
+                if energy[j] > state.threshold / 2 and not state.t_wave(j, steep[j]):
+                    state.take(j, float(energy[j]), steep[j])
         height = float(energy[i])
-        if search_back and beats and gaps:
-            usual = float(np.clip(np.mean(gaps[-8:]), 0.3, 2.0))
-            if (i - beats[-1]) / fs > SEARCH_BACK * usual and missed:
-                h, j = max(missed)
-                if h > level / 2:
-                    beats.append(j)
-                    signal = 0.25 * h + 0.75 * signal
-                    missed = [m for m in missed if m[1] > j]
-        if height > level and not (beats and (i - beats[-1]) / fs < SLOPE_ZONE and s < 0.5 * last_steep):
-            if beats:
-                gap = (i - beats[-1]) / fs
-                usual = np.mean(gaps[-8:]) if gaps else gap
-                if 0.92 * usual <= gap <= 1.16 * usual:
-                    gaps.append(gap)
-            beats.append(i)
-            signal, last_steep, missed = 0.125 * height + 0.875 * signal, s, []
+        if height > state.threshold and not state.t_wave(i, steep[i]):
+            state.take(i, height, steep[i])
         else:
-            noise = 0.125 * height + 0.875 * noise
-            missed.append((height, i))
-    return np.array(sorted(set(beats)), int)
+            state.pass_over(height)
+    return np.array(state.beats, int)
 
 
-def refine(x: np.ndarray, at: np.ndarray, fs: float, scale: float = 1.0) -> np.ndarray:
-    """Extremum of the full-rate signal within 50 ms of each beat; one polarity for the whole recording."""
+def spans_of(x: np.ndarray, at: np.ndarray, fs: float, scale: float) -> list[tuple[int, int]]:
+    """50 ms to both sides of each coarse beat on the full-rate grid."""
     half = max(1, round(0.05 * fs))
-    spans = [(max(0, int(i * scale) - half), min(len(x), int(i * scale) + half + 1)) for i in at]
-    spans = [(a, b) for a, b in spans if b > a]
+    centre = np.clip(np.rint(np.asarray(at) * scale).astype(int), 0, max(0, len(x) - 1))
+    return [(max(0, c - half), min(len(x), c + half + 1)) for c in centre.tolist()]
+
+
+def upright(x: np.ndarray, spans: list[tuple[int, int]]) -> bool:
+    """Polarity of the whole recording: the mean height above the median at the beats is at least the mean depth."""
     if not spans:
+        return True
+    centre = float(np.median(x))
+    return float(np.mean([x[a:b].max() - centre for a, b in spans])) >= float(np.mean([centre - x[a:b].min() for a, b in spans]))
+
+
+def refine(x: np.ndarray, at: np.ndarray, fs: float, scale: float = 1.0) -> np.ndarray:
+    """Extremum of the full-rate signal within 50 ms of each beat; one polarity for the whole recording."""
+    if not len(at):
         return np.zeros(0, int)
-    centre = np.median(x)
-    up = np.median([x[a:b].max() - centre for a, b in spans])
-    down = np.median([centre - x[a:b].min() for a, b in spans])
-    pick = np.argmax if up >= down else np.argmin
+    spans = spans_of(x, at, fs, scale)
+    pick = np.argmax if upright(x, spans) else np.argmin
     return np.unique([a + int(pick(x[a:b])) for a, b in spans])
 
 
@@ -89,45 +171,62 @@ def detect(x: np.ndarray, fs: float, work_fs: float = 250.0, search_back: bool =
         return np.zeros(0, int)
     up, down = (int(work_fs), int(fs)) if fs != work_fs else (1, 1)
     slow = dsp.resample_poly(x, up, down) if fs != work_fs else x
-    return refine(x, decide(filter_chain(slow, work_fs), work_fs, search_back), fs, fs / work_fs)
+    return refine(x, decide(filter_chain(slow, work_fs)["energy"], work_fs, search_back), fs, fs / work_fs)
+
 
+#: What delineate() gives for each beat.
+LANDMARKS = ("baseline", "q_onset", "s_offset", "t_peak", "t_end", "qrs_dur", "st_level", "t_r_ratio", "r_amp", "tpte", "qt", "snr")
 
-def delineate(x: np.ndarray, beats: np.ndarray, fs: float) -> dict[str, np.ndarray]:
-    """Per beat: baseline, QRS onset and offset, ST level, T peak and end, and the noise before the beat; NaN where not found."""
-    names = ("base", "r_amp", "on", "off", "st", "t_amp", "t_at", "t_end", "noise", "height")
-    out = {n: np.full(len(beats), np.nan) for n in names}
-    ms = lambda v: max(1, round(v * fs / 1000))
-    for k, r in enumerate(beats.tolist()):
-        lo, hi = r - ms(100), r - ms(40)
-        if lo < 0 or r + ms(100) >= len(x):
+
+def delineate(x: np.ndarray, beats: np.ndarray, fs: float, up: bool = True) -> dict[str, np.ndarray]:
+    """LANDMARKS of each beat, NaN where not found; amplitudes count in the direction of the beat (up or down).
+
+    Times are samples (q_onset to t_end) or milliseconds (qrs_dur, tpte, qt). QRS bounds are where the slope falls to 0.08
+    of its greatest value in the complex; the T wave ends where the tangent at its steepest fall meets the baseline.
+    """
+    out = {n: np.full(len(beats), np.nan) for n in LANDMARKS}
+    if len(beats) < 2:
+        return out
+    n, sign = len(x), 1.0 if up else -1.0
+    s = lambda sec: int(sec * fs)
+    gaps = np.diff(beats) / fs
+    for k, (r, gap) in enumerate(zip(np.asarray(beats).tolist(), [gaps[0], *gaps.tolist()], strict=True)):
+        if r < s(0.1) or r + s(0.6) >= n:
             continue
-        quiet = x[lo:hi]
+        quiet = x[r - s(0.1) : r - s(0.04)]
         base = float(np.median(quiet))
-        out["base"][k], out["noise"][k], out["r_amp"][k] = base, float(np.std(quiet)), x[r] - base
-        q = r - ms(60) + int(np.argmin(x[r - ms(60) : r]))
-        s = r + int(np.argmin(x[r : r + ms(80)]))
-        slope = np.abs(np.diff(x[max(0, q - ms(60)) : s + ms(60)]))
-        least = 0.08 * slope.max() if len(slope) else 0.0
-        on = q
-        while on > max(0, q - ms(60)) and abs(x[on] - x[on - 1]) > least:
-            on -= 1
-        off = s
-        while off < min(len(x) - 1, s + ms(60)) and abs(x[off + 1] - x[off]) > least:
-            off += 1
-        out["on"][k], out["off"][k] = on, off
-        out["height"][k] = float(np.ptp(x[on : off + 1]))
-        if off + ms(60) < len(x):
-            out["st"][k] = x[off + ms(60)] - base
-        gap = (beats[k + 1] - r) / fs if k + 1 < len(beats) else 0.8
-        a, b = off + ms(40), min(len(x) - 1, r + int(min(0.6 * gap, 0.5) * fs))
-        if b - a > ms(40):
-            part = x[a:b] - base
-            t = a + int(np.argmax(np.abs(part)))
-            out["t_at"][k], out["t_amp"][k] = t, x[t] - base
-            tail = np.diff(x[t : min(len(x), t + ms(160))]) * (-1 if x[t] >= base else 1)
-            if len(tail) and tail.max() > 0:
-                j = int(np.argmax(tail))
-                out["t_end"][k] = t + j + abs(x[t + j] - base) / tail[j]
+        y = lambda a, b: (x[a:b] - base) * sign  # noqa: B023, E731
+        amp = float((x[r] - base) * sign)
+        out["baseline"][k], out["r_amp"][k] = base, amp
+        lo, hi = max(0, r - s(0.08)), min(n - 1, r + s(0.12))
+        slope = np.abs(np.diff(x[lo:hi]))
+        if len(slope) < 3:
+            continue
+        flat = slope <= 0.08 * slope.max()
+        trough = lo + int(np.argmin(y(lo, r))) if r > lo else r
+        # the last flat step before the Q trough (not before the first one), the first flat step after the S trough
+        calm = np.flatnonzero(flat[: trough - lo])
+        onset = lo + (max(int(calm[-1]) + 1, 1) if len(calm) else min(1, trough - lo))
+        trough = r + int(np.argmin(y(r, hi))) if hi > r else r
+        calm = np.flatnonzero(flat[trough - lo :])
+        j = min(trough + int(calm[0]) if len(calm) else hi, lo + max(len(slope) - 1, trough - lo))
+        out["q_onset"][k], out["s_offset"][k], out["qrs_dur"][k] = onset, j, (j - onset) / fs * 1000
+        if j + s(0.06) < n:
+            out["st_level"][k] = (x[j + s(0.06)] - base) * sign
+        a, b = j + s(0.04), min(n - 1, r + int(min(0.6 * gap, 0.5) * fs))
+        if b - a > s(0.02):
+            t = a + int(np.argmax(np.abs(y(a, b))))
+            out["t_peak"][k] = t
+            if amp:
+                out["t_r_ratio"][k] = (x[t] - base) * sign / amp
+            fall = np.diff(x[t:b])
+            if len(fall) > 2 and (step := fall[(i := int(np.argmin(sign * fall)))]) != 0:
+                end = t + i + (base - x[t + i]) / step
+                if t < end < b + s(0.1):
+                    out["t_end"][k], out["tpte"][k], out["qt"][k] = end, (end - t) / fs * 1000, (end - onset) / fs * 1000
+        noise, height = float(np.std(quiet)), float(np.ptp(x[lo : min(n, r + s(0.12))]))
+        if noise > 0 and height > 0:
+            out["snr"][k] = 20 * np.log10(height / noise)
     return out
 
 
@@ -146,12 +245,16 @@ def lf_hf(nn_ms: np.ndarray, at: np.ndarray) -> tuple[float, float, float, bool]
     return bands[0], bands[1], bands[0] / bands[1] if bands[1] else math.nan, span >= 2 / 0.04
 
 
-def nerve_chain(x: np.ndarray, fs: float, norm: str = "none", reference: float = 4.73) -> tuple[np.ndarray, np.ndarray]:
-    """Band-passed signal in microvolts and its rectified, integrated form at 100 Hz."""
+def nerve_chain(x: np.ndarray, fs: float, norm: str = "none", reference: float = 4.73, detrend: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Band-passed signal in microvolts and its rectified, integrated form at 100 Hz; detrend takes a cubic trend off first."""
     top = min(999.0, fs / 2 - 1)
     if top <= 500:
         raise ValueError(f"no band above 500 Hz at {fs} Hz")
-    band = dsp.filtfilt(dsp.butter(3, (500.0, top), fs, "band"), np.asarray(x, float) * 1000)
+    x = np.asarray(x, float) * 1000
+    if detrend and len(x) > 4:
+        t = np.linspace(-1, 1, len(x))
+        x = x - np.polyval(np.polyfit(t, x, 3), t)
+    band = dsp.filtfilt(dsp.butter(3, (500.0, top), fs, "band"), x).astype(np.float32).astype(float)
     if norm == "recording":
         band = band * (reference / band.std()) if band.std() > 0 else band
     elif norm != "none":

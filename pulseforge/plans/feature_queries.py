@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseforge.functions.stats import quantile, safe_corr, settle
+from pulseforge.functions import ranges
+from pulseforge.functions.pairs import correlations
+from pulseforge.functions.stats import settle
 from pulseforge.operators import features as fx
 from pulseforge.plans.registry import NN, SIG, query, r
 from pulseforge.sources import tables
@@ -109,8 +111,7 @@ def protocol_phase(spark, d):
 SELECT phase, {r('min(x)')} AS lo, {r('quantile_cont(x, 0.25)')} AS q1, {r('quantile_cont(x, 0.5)')} AS med, {r('quantile_cont(x, 0.75)')} AS q3, {r('max(x)')} AS hi FROM p GROUP BY phase""")
 def phase_five_numbers(spark, d):
     sig = tables.signal(spark, d).withColumn("h", F.col("t") / 3600)
-    q = F.percentile("x", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")
-    rows = fx.protocol_phase(sig, "h", 10.0, 4.5, 5.5).groupBy("phase").agg(q)
+    rows = ranges.quantiles(fx.protocol_phase(sig, "h", 10.0, 4.5, 5.5), ["phase"], "x", [0.0, 0.25, 0.5, 0.75, 1.0])
     return rows.select("phase", *[settle(F.col("q")[i]).alias(n) for i, n in enumerate(("lo", "q1", "med", "q3", "hi"))])
 
 
@@ -156,45 +157,55 @@ def dedup_anti(spark, d):
     return fx.drop_losers(tables.signal(spark, d), "rec", 3, 7).groupBy("rec").agg(F.count("*").alias("n"))
 
 
+#: Components of an embedding.
+DIM = 64
+COMPONENTS = [f"f{i}" for i in range(DIM)]
+
+
 def _wide(spark, d):
     """Embedding components as named columns, with the class as target."""
     rows = tables.read(spark, d, "embeddings")
-    return rows.select("vec_id", F.col("label").cast("double").alias("y"), (F.col("vec_id") % 12).alias("person"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
+    return rows.select("vec_id", F.col("label").cast("double").alias("y"), (F.col("vec_id") % 12).alias("person"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COMPONENTS)])
 
 
-WIDE = f"""wide AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, vec_id % 12 AS person, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(8))} FROM embeddings)"""
-LONG = f"""{WIDE}, lng AS (UNPIVOT wide ON {', '.join(f'f{i}' for i in range(8))} INTO NAME feature VALUE value)"""
+LONG = f"""lng AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, vec_id % 12 AS person, 'f' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range({DIM}) t(i))"""
 
 
 @query("corr_pooled_within", f"""WITH {LONG}, p AS (SELECT feature, covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0) AS r_pooled, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95, avg(CASE WHEN value IS NOT NULL THEN 1e0 ELSE 0e0 END) AS fin FROM lng GROUP BY feature),
 o AS (SELECT feature, person, covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0) AS r FROM lng GROUP BY 1, 2 HAVING count(value) > 4), w AS (SELECT feature, quantile_cont(r, 0.5) AS r_within FROM o GROUP BY 1)
 SELECT p.feature, {r('fin')} AS finite_share, {r('med')} AS median, {r('p5')} AS p5, {r('p95')} AS p95, {r('r_pooled')} AS r_pooled, {r('r_within')} AS r_within FROM p LEFT JOIN w ON p.feature = w.feature""")
 def corr_pooled_within(spark, d):
-    out = fx.feature_stats(_wide(spark, d), [f"f{i}" for i in range(8)], "y", "person")
+    out = fx.feature_stats(_wide(spark, d), COMPONENTS, "y", "person")
     return out.select("feature", *[settle(F.col(c)).alias(c) for c in out.columns[1:]])
 
 
 @query("corr_matrix", f"""WITH {LONG}, s AS (SELECT vec_id, feature, value FROM lng) SELECT a.feature AS f1, b.feature AS f2, {r('abs(covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0))')} AS r FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY 1, 2""")
 def corr_matrix(spark, d):
-    """All pairs of columns in one aggregation, then one row for each pair."""
-    cols = [f"f{i}" for i in range(8)]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    one = _wide(spark, d).agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), settle(F.abs(F.col(f"{a}_{b}"))).alias("r")) for a, b in pairs]))
-    return one.select(rows.alias("x")).select("x.*")
+    """All pairs of columns from one pass over the rows."""
+    _, r = correlations(_wide(spark, d), COMPONENTS)
+    pairs = [(a, b, None if r[i, j] != r[i, j] else float(abs(r[i, j]))) for i, a in enumerate(COMPONENTS) for j, b in enumerate(COMPONENTS) if a < b]
+    return spark.createDataFrame(pairs, "f1 string, f2 string, r double").select("f1", "f2", settle(F.col("r")).alias("r"))
 
 
 @query("topk_features", f"""WITH {LONG}, p AS (SELECT feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM lng GROUP BY feature)
 SELECT feature, {r('r')} AS r, CAST(row_number() OVER (ORDER BY {r('r')} DESC NULLS LAST, feature) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""")
 def topk_features(spark, d):
-    stats = fx.feature_stats(_wide(spark, d), [f"f{i}" for i in range(8)], "y", "person")
+    stats = fx.feature_stats(_wide(spark, d), COMPONENTS, "y", "person")
     top = stats.select("feature", settle(F.abs("r_pooled")).alias("r")).orderBy(F.desc_nulls_last("r"), "feature").limit(5)
     from pyspark.sql import Window
 
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("r"), "feature")))  # five rows
 
 
-@query("prune_collinear")
+_F4 = "(PARTITION BY rec ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+
+
+@query("prune_collinear", f"""WITH RECURSIVE {SIG}, f AS (SELECT event_id AS row_id, x, x * 0.5e0 + 3 AS x_twin, 1e0 AS x_const, coalesce(stddev_samp(x) OVER {_F4}, 0e0) AS x_rs3, coalesce(regr_sxy(x, CAST(idx AS DOUBLE)) OVER {_F4} / 5e0, 0e0) AS x_slope, x * x AS x_sq FROM sig),
+u AS (UNPIVOT f ON x, x_twin, x_const, x_rs3, x_slope, x_sq INTO NAME feature VALUE v), c AS (SELECT feature, row_number() OVER (ORDER BY var_pop(v) DESC, feature) AS rk FROM u GROUP BY feature HAVING var_pop(v) > 1e-8),
+p AS (SELECT a.feature, list(b.feature) AS twins FROM (SELECT a.feature, b.feature AS other FROM u a JOIN u b ON a.row_id = b.row_id AND a.feature <> b.feature GROUP BY 1, 2 HAVING abs(covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0)) > 0.95e0) a JOIN c b ON b.feature = a.other GROUP BY 1),
+o AS (SELECT c.feature, rk, coalesce(twins, []) AS twins FROM c LEFT JOIN p ON p.feature = c.feature),
+g AS (SELECT 1 AS k, [feature] AS kept FROM o WHERE rk = 1 UNION ALL SELECT k + 1, CASE WHEN len(list_intersect(kept, twins)) > 0 THEN kept ELSE list_append(kept, feature) END FROM g JOIN o ON rk = k + 1)
+SELECT unnest(kept) AS feature FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1)""")
 def prune_collinear(spark, d):
     """Columns of a wide frame that pruning keeps (a shifted copy and a constant go)."""
     rows = fx.temporal(tables.signal(spark, d), ["x"], "rec", ORDER, 3).withColumns({"x_twin": F.col("x") * 0.5 + 3, "x_const": F.lit(1.0), "x_sq": F.col("x") * F.col("x")})
@@ -207,7 +218,7 @@ SELECT level, grp, count(*) AS n, {r('quantile_cont(x, 0.25)')} AS q1, {r('quant
 def cohort_distributions(spark, d):
     sig = tables.signal(spark, d)
     both = F.explode(F.array(F.struct(F.lit("person").alias("level"), F.col("person").alias("grp")), F.struct(F.lit("pooled").alias("level"), F.lit(0).cast("long").alias("grp"))))
-    rows = sig.select("x", both.alias("k")).groupBy("k.level", "k.grp").agg(F.count("*").alias("n"), quantile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    rows = ranges.quantiles(sig.select("x", both.alias("k")).select("x", "k.*"), ["level", "grp"], "x", [0.25, 0.5, 0.75])
     return rows.select("level", "grp", "n", *[settle(F.col("q")[i]).alias(c) for i, c in enumerate(("q1", "med", "q3"))])
 
 

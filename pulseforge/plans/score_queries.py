@@ -49,7 +49,7 @@ def zero_delta(spark, d):
     return _told(rows.groupBy("person").agg(F.avg(F.abs(F.col("offset") - F.col("y"))).alias("mae_zero")))
 
 
-@query("gap_to_baseline", f"""WITH {OFFSET}, {BASE.split('),', 1)[1].lstrip() if False else "own AS (SELECT person, sum(y) AS s, count(y) AS n FROM pred GROUP BY 1), tot AS (SELECT sum(s) AS ss, sum(n) AS nn FROM own), m AS (SELECT p.person, avg(abs(off - y)) AS zero, avg(abs((ss - s) / nullif(nn - n, 0) - y)) AS train FROM pred p JOIN o USING (person) JOIN own USING (person), tot GROUP BY 1)"}
+@query("gap_to_baseline", f"""WITH {OFFSET}, {"own AS (SELECT person, sum(y) AS s, count(y) AS n FROM pred GROUP BY 1), tot AS (SELECT sum(s) AS ss, sum(n) AS nn FROM own), m AS (SELECT p.person, avg(abs(off - y)) AS zero, avg(abs((ss - s) / nullif(nn - n, 0) - y)) AS train FROM pred p JOIN o USING (person) JOIN own USING (person), tot GROUP BY 1)"}
 SELECT person, {r('zero - train')} AS gap, CASE WHEN zero < train THEN 'BEATS' ELSE 'does not beat' END AS verdict FROM m""")
 def gap_to_baseline(spark, d):
     """Gap of the calibration value to the mean of the others, and whether it is strictly better."""
@@ -82,11 +82,12 @@ def drift(spark, d):
     return _told(rows.groupBy("rec").agg((F.avg(late) - F.avg(early)).alias("drift"), F.stddev_pop(late).alias("sd_test")))
 
 
-@query("blocked_cv_mean", f"""WITH {SIG}, b AS (SELECT rec, x AS y, least(4, CAST(floor((row_number() OVER (PARTITION BY rec ORDER BY idx) - 1) * 5 / count(*) OVER (PARTITION BY rec)) AS INTEGER)) AS block FROM sig),
-g AS (SELECT rec, block, sum(y) AS s, count(y) AS c FROM b GROUP BY 1, 2), m AS (SELECT a.rec, a.block, sum(CASE WHEN abs(a.block - o.block) > 1 THEN o.s END) / sum(CASE WHEN abs(a.block - o.block) > 1 THEN o.c END) AS p FROM g a JOIN g o ON a.rec = o.rec GROUP BY 1, 2)
+@query("blocked_cv_mean", f"""WITH {SIG}, i AS (SELECT rec, x AS y, row_number() OVER (PARTITION BY rec ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY rec) AS n FROM sig),
+b AS (SELECT *, least(4, CAST(floor(i * 5 / n) AS INTEGER)) AS block FROM i), g AS (SELECT rec, block, min(i) AS lo, max(i) AS hi, count(*) AS m FROM b GROUP BY 1, 2),
+m AS (SELECT g.rec, g.block, CASE WHEN m >= 3 AND count(o.y) >= 10 THEN avg(o.y) END AS p FROM g JOIN b o ON o.rec = g.rec AND (o.i < g.lo - 2 OR o.i > g.hi + 2) GROUP BY g.rec, g.block, m)
 SELECT b.rec, b.block, count(*) AS n, {r('avg(abs(p - y))')} AS mae FROM b JOIN m ON m.rec = b.rec AND m.block = b.block GROUP BY 1, 2""")
 def blocked_cv_mean(spark, d):
-    rows = sc.blocked_cv_mean(tables.signal(spark, d).withColumnRenamed("x", "y"), "rec", ["idx"])
+    rows = sc.blocked_cv_mean(tables.signal(spark, d).withColumnRenamed("x", "y"), "rec", ["idx"], gap=2)
     return _told(rows.groupBy("rec", "block").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae")))
 
 
@@ -117,15 +118,9 @@ def threshold_fpr(spark, d):
 a AS (SELECT fold, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * sum(1 - y), 0) AS auc FROM k GROUP BY fold)
 SELECT {r('avg(auc)')} AS auc_mean, {r('stddev_samp(auc)')} AS auc_sd, count(CASE WHEN auc > 0.5e0 THEN 1 END) AS n_above_half FROM a""")
 def cpt_summary(spark, d):
-    """Spread of the folds' AUC; each fold's scores are ranked within the fold."""
-    from pyspark.sql import Window
-
+    """Spread of the folds' AUC; scores are counted by range in each fold."""
     rows = tables.classified(spark, d).withColumn("fold", F.col("doc_id") % 5)
-    w = Window.partitionBy("fold")
-    rows = rows.withColumn("rk", F.rank().over(w.orderBy("p")) + (F.count("*").over(Window.partitionBy("fold", "p")) - 1) / F.lit(2.0))
-    n = F.sum("y")
-    a = rows.groupBy("fold").agg(((F.sum(F.when(F.col("y") == 1, F.col("rk"))) - n * (n + 1) / 2.0) / F.nullif(n * F.sum(1 - F.col("y")), F.lit(0))).alias("auc"))
-    return _told(a.agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_sd"), F.count(F.when(F.col("auc") > 0.5, 1)).alias("n_above_half")))
+    return _told(sc.auc_summary(rows, "fold").select("auc_mean", "auc_sd", "n_above_half"))
 
 
 GRADES = """CASE WHEN a5 >= 60 AND a10 >= 85 AND a15 >= 95 THEN 'A' WHEN a5 >= 50 AND a10 >= 75 AND a15 >= 90 THEN 'B' WHEN a5 >= 40 AND a10 >= 65 AND a15 >= 85 THEN 'C' ELSE 'D' END"""

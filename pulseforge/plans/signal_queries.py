@@ -1,31 +1,100 @@
-"""Queries of the kernels, which SQL can't express; tests hold them against their definitions."""
+"""Queries of the kernels and iterative models, which SQL can't express; tests hold them against their definitions."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulseforge.operators import features as fx
-from pulseforge.operators import models, signals
+from pulseforge.functions.stats import settle
+from pulseforge.operators import engineer as en
+from pulseforge.operators import models, recordings, signals
+from pulseforge.operators import scoring as sc
 from pulseforge.plans.registry import query
 from pulseforge.sources import tables
 
+FS, NERVE_FS = 500.0, 2200.0
 
-def _synthetic(spark, d):
-    """A beat train for each user of the events table: rate and polarity follow from the user's id, noise from its values."""
+
+def _synthetic(spark, d, fs: float = FS, seconds: int = 20):
+    """A beat train for each user of the events table: rate and polarity follow from the user's id, noise from its values; raw leads ecg by a quarter of a second."""
     users = tables.read(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
-    fs, seconds = 250, 20
-    rows = users.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(fs * seconds - 1))))
+    rows = users.repartition("user_id").withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(int(fs * seconds) - 1))))
+    t = F.col("idx") / F.lit(fs)
     period = F.lit(0.7) + (F.col("user_id") % 5) * 0.1
-    phase = F.pmod(F.col("idx") / F.lit(float(fs)), period) - 0.3
-    pulse = F.exp(-F.pow(phase / 0.012, F.lit(2.0))) * F.when(F.col("user_id") % 2 == 0, 1.0).otherwise(-1.0)
-    wave = 0.15 * F.exp(-F.pow((phase - 0.25) / 0.04, F.lit(2.0)))
-    noise = 0.01 * F.sin(F.col("idx") * F.col("m"))
-    return rows.select(F.col("user_id").alias("rec"), F.col("idx").cast("long").alias("idx"), (pulse + wave + noise).alias("x"))
+
+    def wave(late):
+        phase = F.pmod(t - late, period) - 0.3
+        pulse = F.exp(-F.pow(phase / 0.012, F.lit(2.0))) * F.when(F.col("user_id") % 2 == 0, 1.0).otherwise(-1.0)
+        return pulse + 0.15 * F.exp(-F.pow((phase - 0.25) / 0.04, F.lit(2.0))) + 0.01 * F.sin(F.col("idx") * F.col("m"))
+
+    return rows.select(F.col("user_id").alias("rec"), F.col("idx").cast("long").alias("sample_idx"), wave(F.lit(0.25)).alias("ecg"), wave(F.lit(0.0)).alias("raw"))
+
+
+def _nerve(spark, d, seconds: int = 3):
+    """A carrier of 700 Hz, modulated by each user's own frequency, with mains."""
+    users = tables.read(spark, d, "events").select("user_id").distinct()
+    rows = users.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(int(NERVE_FS * seconds) - 1))))
+    t = F.col("idx") / F.lit(NERVE_FS)
+    pi2 = F.lit(2 * 3.141592653589793)
+    slow = 1 + 0.8 * F.sin(pi2 * (1 + F.col("user_id") % 4) * t)
+    return rows.select(F.col("user_id").alias("rec"), F.col("idx").cast("long").alias("sample_idx"), (0.01 * slow * F.sin(pi2 * 700 * t) + 0.05 * F.sin(pi2 * 60 * t)).alias("skna"))
 
 
 @query("rpeaks")
 def rpeaks(spark, d):
-    return signals.rpeaks(_synthetic(spark, d), 250.0)
+    return signals.rpeaks(_synthetic(spark, d), FS, idx="sample_idx", x="ecg")
+
+
+@query("filter_chain")
+def filter_chain(spark, d):
+    """Energy of the detector's filter chain: its greatest value and where, by recording."""
+    import numpy as np
+
+    def kernel(c):
+        energy = signals.filter_chain(c["ecg"], FS)["energy"]
+        return [{"n": len(energy), "at": int(np.argmax(energy)), "top": float(energy.max()), "mean": float(energy.mean())}]
+
+    return recordings.each_recording(_synthetic(spark, d), "rec", "sample_idx", ["ecg"], "n long, at long, top double, mean double", kernel)
+
+
+@query("stage_one")
+def stage_one(spark, d):
+    return recordings.stage_one(_synthetic(spark, d), FS, raw="raw")
+
+
+@query("quality_report")
+def quality_report(spark, d):
+    return recordings.quality_report(recordings.stage_one(_synthetic(spark, d), FS), FS)
+
+
+@query("ecg_windows")
+def ecg_windows(spark, d):
+    return recordings.ecg_windows(_synthetic(spark, d), FS, 10.0, 5.0, raw="raw")
+
+
+@query("skna_windows")
+def skna_windows(spark, d):
+    return recordings.nerve_windows(_nerve(spark, d), NERVE_FS, 2.0, 1.0)
+
+
+@query("feature_report")
+def feature_report(spark, d):
+    rows = recordings.ecg_windows(_synthetic(spark, d), FS, 10.0, 10.0).where("status = 'ok'")
+    return recordings.report(rows, recordings.ECG_FEATURES)
+
+
+@query("beat_vectors")
+def beat_vectors(spark, d):
+    return recordings.beat_vectors(_synthetic(spark, d), FS, {"ecg": 64, "raw": 16})
+
+
+@query("label_beats")
+def label_beats(spark, d):
+    """Beats with readings every five seconds, as events give them."""
+    beats = recordings.beat_vectors(_synthetic(spark, d), FS, {"ecg": 8}).where("status = 'ok'").drop("vec", "status")
+    sig = tables.signal(spark, d).where("idx < 4")
+    readings = sig.select("rec", (F.col("idx") * 5.0).alias("t"), (F.col("x") + 120).alias("SBP"), (F.col("x") / 2 + 80).alias("DBP"))
+    return recordings.label_beats(beats, readings, ["SBP", "DBP"])
 
 
 @query("lf_hf")
@@ -36,37 +105,76 @@ def lf_hf(spark, d):
 
 
 def _design(spark, d):
-    rows = fx.temporal(tables.signal(spark, d), ["x"], "rec", ["idx"], 3)
-    person = (F.col("rec") % 8).alias("person")
-    return rows.select("rec", "idx", person, "x", "x_rm3", "x_rs3", "x_slope", F.lead("x").over(_next()).alias("y")).where("y is not null")
-
-
-def _next():
-    from pyspark.sql import Window
+    """Windows of four samples of all recordings: their features, and the mean (y) and spread (z) of the next window."""
+    sig = tables.signal(spark, d).withColumn("w", F.floor(F.col("idx") / 4).cast("long"))
+    rows = sig.groupBy("rec", "w").agg(F.avg("x").alias("mean"), F.avg(F.abs("x")).alias("aSKNA"), F.stddev_pop("x").alias("rmsSKNA"), F.max("x").alias("top"), F.max("t").alias("t"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("rec").orderBy("w")
+    rows = rows.withColumns({"y": F.lead("mean").over(ahead), "z": F.lead("rmsSKNA").over(ahead), "person": F.col("rec") % 8})
+    return rows.where("y is not null and n = 4")
 
-    return Window.partitionBy("rec").orderBy("idx")
 
-
-COLS = ["x", "x_rm3", "x_rs3", "x_slope"]
+COLS = ["mean", "aSKNA", "rmsSKNA", "top"]
 
 
 @query("mlp_loso")
 def mlp_loso(spark, d):
-    return models.loso(_design(spark, d), COLS, "y", "person", ["rec", "idx"], model="network")
+    return models.loso(_design(spark, d), COLS, "y", "person", ["rec", "w"], model="network")
+
+
+@query("mlp_classifier")
+def mlp_classifier(spark, d):
+    rows = _design(spark, d).withColumn("y", (F.col("y") > F.col("mean")).cast("int"))
+    return models.loso(rows, COLS, "y", "person", ["rec", "w"], model="classifier", alpha=1.0)
 
 
 @query("logistic_loso")
 def logistic_loso(spark, d):
-    rows = _design(spark, d).withColumn("y", (F.col("x_rm3") > 0).cast("int"))
-    return models.loso(rows, ["x", "x_rs3", "x_slope"], "y", "person", ["rec", "idx"])
+    """Out-of-fold probabilities; the threshold comes from training rows of label 0 of the first half of each cycle."""
+    rows = _design(spark, d).withColumns({"y": (F.col("y") > F.col("mean")).cast("int"), "early": F.pmod(F.col("t") / 3600, F.lit(10.0)) < 4.5})
+    return models.loso_logistic(rows, COLS, "y", "person", ["rec", "w"], rest="early")
+
+
+@query("cpt_sanity_auc")
+def cpt_sanity_auc(spark, d):
+    """Pooled AUC and average precision of a logistic model on the amplitude features alone."""
+    rows = _design(spark, d).withColumn("y", (F.col("y") > F.col("mean")).cast("int"))
+    told = sc.auc_summary(models.loso_logistic(rows, ["aSKNA", "rmsSKNA"], "y", "person", ["rec", "w"]).withColumn("y", F.col("y").cast("long")), "person")
+    return told.select(*[settle(F.col(c), 4).alias(c) for c in ("auc_pooled", "ap_pooled", "auc_mean")])
+
+
+@query("nested_loso")
+def nested_loso(spark, d):
+    return models.nested_loso(_design(spark, d), COLS, ["y", "z"], "person", "t", ["rec", "w"], models.architectures("3,4x2"), "offset", 86_400.0, steps=40)
 
 
 @query("personalize")
 def personalize(spark, d):
-    rows = _design(spark, d).withColumn("order", F.col("rec") * 10_000 + F.col("idx"))
+    rows = _design(spark, d)
+    rows = rows.withColumn("order", F.row_number().over(Window.partitionBy("person").orderBy("rec", "w")))
     return models.personalise(rows, COLS, "y", "person", "order")
 
 
+def _curves(spark, d):
+    return models.learning_curve(_design(spark, d).withColumn("order", F.col("rec") * 1_000_000 + F.col("w")), COLS, ["y", "z"], "person", "order", (5,), 10, 50)
+
+
+@query("learning_curve")
+def learning_curve(spark, d):
+    return _curves(spark, d)
+
+
+@query("curve_summary")
+def curve_summary(spark, d):
+    by_iter, ends = en.curve_summary(_curves(spark, d))
+    return by_iter.join(F.broadcast(ends.select("channel", "gap", "wins", "n_folds")), "channel")  # two rows
+
+
+@query("ablation_arms")
+def ablation_arms(spark, d):
+    rows = _design(spark, d)
+    return models.ablation(rows, {"level": ["mean", "top"], "spread": ["aSKNA", "rmsSKNA"], "all": COLS}, "y", "person", ["rec", "w"])
+
+
 @query("mutual_info")
 def mutual_info(spark, d):
     return models.information_by_fold(_design(spark, d), COLS, "y", "person")

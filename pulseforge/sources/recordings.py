@@ -62,9 +62,31 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(folder.alias("subject"), ((F.col("Time_start_min") + F.col("Time_end_min")) / 2 * 60).alias("t"), "SBP", "DBP")
 
 
-def aligned_pair(left: DataFrame, right: DataFrame, rec: str = "rec") -> DataFrame:
-    """Samples of two channels at the same index; a longer one is cut."""
-    return left.join(right, [rec, "sample_idx"])
+def row_counts(spark: SparkSession, path: str) -> DataFrame:
+    """file and n_rows of recording text files: lines less the header, counted without parsing a value."""
+    rows = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    return rows.select("file", F.greatest(F.col("n") - HEADER_LINES, F.lit(0)).alias("n_rows"))
+
+
+def shifted(df: DataFrame, skip: Column, rec: str = "rec", idx: str = "sample_idx") -> DataFrame:
+    """Samples from the skip-th one on (a column of df), counted from 0 again."""
+    return df.withColumn(idx, F.col(idx) - skip).where(F.col(idx) >= 0)
+
+
+def aligned_pair(left: DataFrame, right: DataFrame, rec: str = "rec", offsets: DataFrame | None = None, fs: float | None = None) -> DataFrame:
+    """Samples of two channels at the same index; a longer one is cut.
+
+    offsets (rec, left_delay, right_delay, lead_in, in seconds) takes each channel's own delay and the common lead-in off
+    first, a row for each recording.
+    """
+    if offsets is None:
+        return left.join(right, [rec, "sample_idx"])
+
+    def own(df, delay):
+        skip = F.rint((F.col(delay)) * fs).cast("long") + F.rint(F.col("lead_in") * fs).cast("long")
+        return shifted(df.join(offsets.select(rec, delay, "lead_in"), rec), skip, rec).drop(delay, "lead_in")
+
+    return own(left, "left_delay").join(own(right, "right_delay"), [rec, "sample_idx"])
 
 
 def write_features(df: DataFrame, path: str, settings: list[str], rec: str = "recording") -> None:
@@ -75,15 +97,56 @@ def write_features(df: DataFrame, path: str, settings: list[str], rec: str = "re
     df.write.partitionBy(rec).mode("overwrite").parquet(path)
 
 
-def read_features(spark: SparkSession, path: str, names: list[str], usable: bool = False) -> DataFrame:
-    """Feature table whose features must be `names`, in any order; usable keeps usable rows only (a filter that reaches the scan)."""
+def read_features(spark: SparkSession, path: str, names: list[str], usable: bool = False, labels: list[str] | None = None) -> DataFrame:
+    """Feature table (Parquet, or CSV by its name) that holds the features `names` in this order, and the label columns.
+
+    A missing column or another order raises; usable keeps usable rows only (a filter that reaches the scan).
+    """
     df = spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
-    missing = [n for n in names if n not in df.columns]
+    missing = [n for n in [*names, *(labels or [])] if n not in df.columns]
     if missing:
         raise ValueError(f"the table lacks {missing}")
+    stored = [c for c in df.columns if c in set(names)]
+    if stored != list(names):
+        raise ValueError(f"the features stand in another order: {stored}")
     return df.where("usable") if usable else df
 
 
+SETTINGS = ["window_sec", "stride_sec", "analysis_fs", "label_mode"]
+
+
+def write_ecg_features(df: DataFrame, path: str, rec: str = "recording") -> None:
+    """Window table of the 19 ECG features with n_beats and lf_reliable."""
+    from pulseforge.operators.recordings import ECG_FEATURES
+
+    _write_family(df, path, ["n_beats", "lf_reliable"], ECG_FEATURES, rec)
+
+
+def write_nerve_features(df: DataFrame, path: str, rec: str = "recording") -> None:
+    """Window table of the 11 features of the nerve channel; an empty one is refused."""
+    from pulseforge.operators.recordings import NERVE_FEATURES
+
+    if df.isEmpty():
+        raise ValueError("there is nothing to write")
+    _write_family(df, path, [], NERVE_FEATURES, rec)
+
+
+def _write_family(df: DataFrame, path: str, extra: list[str], names: list[str], rec: str) -> None:
+    missing = [c for c in [*extra, *names, *SETTINGS] if c not in df.columns]
+    if missing:
+        raise ValueError(f"the table lacks {missing}")
+    rest = [c for c in df.columns if c not in {*extra, *names}]
+    write_features(df.select(*rest, *extra, *names), path, SETTINGS, rec)
+
+
+def pack_csv(spark: SparkSession, path: str, to: str, names: list[str], analysis_fs: float, label_mode: str, usable: bool = False) -> None:
+    """A CSV feature table as Parquet, with the window and stride that its own times tell."""
+    df = read_features(spark, path, names, usable)
+    told = window_settings(df).first()
+    df = df.withColumns({"window_sec": F.lit(told.window_sec), "stride_sec": F.lit(told.stride_sec), "analysis_fs": F.lit(analysis_fs), "label_mode": F.lit(label_mode)})
+    write_features(df, to, SETTINGS)
+
+
 def window_settings(df: DataFrame) -> DataFrame:
     """Window length and stride that the times of a feature table tell."""
     from pyspark.sql import Window
@@ -94,4 +157,5 @@ def window_settings(df: DataFrame) -> DataFrame:
 
 
 def append_history(df: DataFrame, path: str) -> None:
+    """Add the rows of a run to a table of runs."""
     df.write.mode("append").parquet(path)

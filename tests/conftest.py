@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,6 +11,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from pulseforge.session import local_session
 
-    session = local_session("tests", cores=4, partitions=4)
+    session = local_session("tests", cores=os.environ.get("TEST_CORES", "4"), partitions=4)
     yield session
     session.stop()

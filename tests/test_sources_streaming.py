@@ -34,6 +34,36 @@ def test_persons_and_tables(spark, tmp_path):
         rc.write_features(t, f"{tmp_path}/g", ["t_start"])
 
 
+def test_pairs_counts_readings_and_packs(spark, tmp_path):
+    for k, n in enumerate((20, 3)):
+        (tmp_path / f"r{k}.txt").write_text("\n".join(["h"] * 14 + ["0,1,2,3"] * n), encoding="latin1")
+    assert sorted(r.n_rows for r in rc.row_counts(spark, f"{tmp_path}/r*.txt").collect()) == [3, 20]
+    left = spark.createDataFrame([("a", i, float(i)) for i in range(10)], "rec string, sample_idx long, x double")
+    right = spark.createDataFrame([("a", i, float(-i)) for i in range(8)], "rec string, sample_idx long, y double")
+    assert rc.aligned_pair(left, right).count() == 8
+    off = spark.createDataFrame([("a", 0.3, 0.0, 0.1)], "rec string, left_delay double, right_delay double, lead_in double")
+    got = sorted((r.sample_idx, r.x, r.y) for r in rc.aligned_pair(left, right, offsets=off, fs=10.0).collect())
+    assert got == [(i, float(i + 4), float(-(i + 1))) for i in range(6)]
+    (tmp_path / "s1" / "windowing_labeling").mkdir(parents=True)
+    (tmp_path / "s1" / "windowing_labeling" / "bp_labels.csv").write_text("Time_start_min,Time_end_min,SBP,DBP\n0,1,120,80\n1,2,,70\n")
+    rows = sorted(tuple(r) for r in rc.read_readings(spark, f"{tmp_path}/*/windowing_labeling/bp_labels.csv").collect())
+    assert rows == [("s1", 30.0, 120.0, 80.0), ("s1", 90.0, None, 70.0)]
+    (tmp_path / "t.csv").write_text("recording,t_start,t_center,f,g,usable\nr,0,15,1,2,true\nr,5,20,3,4,false\n")
+    rc.pack_csv(spark, f"{tmp_path}/t.csv", f"{tmp_path}/packed", ["f", "g"], 500.0, "interp")
+    one = rc.read_features(spark, f"{tmp_path}/packed", ["f", "g"], usable=True).first()
+    assert (one.window_sec, one.stride_sec, one.f) == (30.0, 5.0, 1)
+    for names, labels in ((["g", "f"], None), (["f"], ["SBP"])):
+        with pytest.raises(ValueError):
+            rc.read_features(spark, f"{tmp_path}/packed", names, labels=labels)
+    with pytest.raises(ValueError):
+        rc.write_nerve_features(left.limit(0), f"{tmp_path}/n")
+    with pytest.raises(ValueError):
+        rc.write_ecg_features(left, f"{tmp_path}/n")
+    for _ in range(2):
+        rc.append_history(left, f"{tmp_path}/history")
+    assert spark.read.parquet(f"{tmp_path}/history").count() == 20
+
+
 def test_streams(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(r, i, float(v), bool(v > 0)) for r in (1, 2) for i, v in enumerate(rng.normal(size=40))]
