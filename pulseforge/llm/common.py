@@ -148,16 +148,17 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def remove(spark: SparkSession, df: DataFrame | None) -> None:
-    """Delete the files that cut() wrote for df."""
-    if df is None:
-        return
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def remove(*frames: DataFrame | None) -> None:
+    """Delete what cut() wrote for frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "cut_path", None):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def crc_fold(col: str = "doc_id"):
@@ -192,6 +193,12 @@ class MemberBits:
         """A value's place in the bitmap."""
         return F.pmod(F.xxhash64(F.col(col) if isinstance(col, str) else col), F.lit(1 << self.bits))
 
+    def hits(self, slots):
+        """Which of the slots (a numpy array) may be members'; for kernels."""
+        import numpy as np
+
+        return ((self.sent.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+
     def keep(self, df: DataFrame, col: str) -> DataFrame:
         """Rows of df whose col may be a member."""
         import pyarrow as pa

@@ -116,17 +116,23 @@ def components(edges: DataFrame, cut=common.cut) -> DataFrame:
     """
     labels, edges = None, cut(edges.where("a <> b").select("a", "b").distinct(), "edges")
     while not edges.isEmpty():
+        old = [edges]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
         for _ in range(2):
             high = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
             up = cut(up.join(high, "p", "left").select("a", F.coalesce("q", "p").alias("p")), "up")
-        labels = up.select(F.col("a").alias("id"), F.col("p").alias("comp")) if labels is None else cut(
-            labels.join(up.select(F.col("a").alias("comp"), "p"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")), "labels"
-        )
+            old.append(up)
+        if labels is None:
+            labels = up.select(F.col("a").alias("id"), F.col("p").alias("comp"))
+            labels.cut_path = old.pop().cut_path  # they are the last of `up`
+        else:
+            old.append(labels)
+            labels = cut(labels.join(up.select(F.col("a").alias("comp"), "p"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")), "labels")
         a = up.select("a", F.col("p").alias("pa"))
         b = up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         edges = cut(edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        common.remove(*old)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     return labels
@@ -161,7 +167,7 @@ class Linker:
         """id, n_shingles, component_id of every row."""
         rows = common.cut(sketch(self.docs, "id", "text"), "sketch")
         full = rows.where("id is not null and mark is not null")
-        self.reps = common.cut(full.groupBy("mark").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "reps")
+        self.reps = common.cut(full.groupBy("mark").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.max("n").alias("n")), "reps")
         bands = self.reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.xxhash64(b, F.expr("sig").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
         leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
         self.members = common.cut(bands.join(leaders, "key"), "members")
@@ -189,8 +195,11 @@ class Linker:
         """comps (id, comp of every class) with the components joined that the verified links connect."""
         end = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
         edges = tried.where("linked").join(end("a"), "a").join(end("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        up = components(edges).select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        return common.cut(comps.distinct().join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), "comps")
+        labels = components(edges)
+        up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        out = common.cut(comps.distinct().join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), "comps")
+        common.remove(labels, comps)
+        return out
 
     def screen(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that the comparison of signatures leaves, with the marks of both."""
@@ -212,20 +221,23 @@ class Linker:
         """id, mark and compressed text of the ids (and perhaps of a few others)."""
         bits = common.MemberBits(ids, "id")
 
-        def work(parts):
+        def work(batches):
             import pyarrow as pa
             import xxhash
             import zstandard
 
             pack = zstandard.ZstdCompressor(3)
-            for keys, texts in parts:
-                mark = []
-                for t in texts:
+            for keys, texts, slots in common.arrays(batches, ["id", "text", "slot"], most=common.CHUNK_CHARS // 4):
+                hit = pa.array(bits.hits(slots.to_numpy(zero_copy_only=False)))
+                mark, packed = [], []
+                for t in texts.filter(hit).to_pylist():
                     s = shingles(t)
                     mark.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(mark, pa.binary()), pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], names=["id", "mark", "z"])
+                    packed.append(pack.compress((t or "").encode("utf-8", "surrogatepass")))
+                yield pa.RecordBatch.from_arrays([keys.filter(hit), pa.array(mark, pa.binary()), pa.array(packed, pa.binary())], names=["id", "mark", "z"])
 
-        found = common.map_rows(bits.keep(self.docs, "id"), ["id", "text"], work, "id long, mark binary, z binary")
+        rows = self.docs.where("id is not null").select("id", "text", bits.slot("id").alias("slot"))
+        found = rows.mapInArrow(common.lean(work), "id long, mark binary, z binary")
         return found.where("mark is not null").dropDuplicates(["id", "mark"])
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -250,7 +262,9 @@ class Linker:
 
         joined = pairs.join(side("a"), ["a", "ma"]).join(side("b"), ["b", "mb"]).select("a", "b", "ma", "za", "mb", "zb")
         found = joined.mapInArrow(common.lean(run), "a long, b long, linked boolean")
-        return common.cut(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+        out = common.cut(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+        common.remove(texts, pairs)
+        return out
 
     def across(self, comps: DataFrame, exact: bool = False) -> DataFrame:
         """Pairs of members of a bucket in different components: asker, matches, a, b and their marks.
@@ -259,14 +273,23 @@ class Linker:
         comparison of signatures leaves are verified on the full sets inside the block's task, each pair in the first band
         that it shares, and one linked pair for each member and other component is returned.
         """
-        rows = self.members.join(comps, "id").select("key", "band", "id", "comp")
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("comp", "id").alias("main")).where("low <> high")
-        rows = rows.join(mixed.select("key", "size", "main"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        # members of the leader's component stand in blocks; all others stand in blocks too and also ask every block, in
-        # blocks (turns) themselves: a group holds a block that stands and a block that asks, whatever the bucket's size
-        every, own = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        stand = rows.select("key", own.alias("block"), every.alias("turn"), F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind"), "band", "id", "comp")
-        ask = rows.where("comp <> main").select("key", every.alias("block"), own.alias("turn"), F.lit(2).alias("kind"), "band", "id", "comp")
+        # linked sets differ in size by less than a factor, so a member asks its own size class and the two beside it
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / NEED) + 1e-9).cast("int").alias("cls")
+        rows = self.members.join(comps, "id").join(self.reps.select("id", size), "id").select("key", "band", "id", "comp", "cls")
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("main")).where("low <> high")
+        rows = rows.join(mixed.select("key", "main"), "key")
+        # members of the leader's component stand; all others stand too and also ask
+        kind = F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind")
+        stand = rows.select("key", "cls", kind, "band", "id", "comp")
+        ask = rows.where("comp <> main").select("key", F.explode(F.array(*[F.col("cls") + k for k in (-1, 0, 1)])).alias("cls"), F.lit(2).alias("kind"), "band", "id", "comp")
+        # both sides are dealt to blocks: a group holds a block that stands and a block that asks, whatever the bucket's size
+        count = lambda side, name: side.groupBy("key", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        blocks = common.cut(count(stand, "blocks").join(count(ask, "turns"), ["key", "cls"]), "blocks")
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        names = ["key", "cls", "block", "turn", "kind", "band", "id", "comp"]
+        stand = stand.join(blocks, ["key", "cls"]).withColumn("block", own("blocks")).withColumn("turn", every("turns")).select(*names)
+        ask = ask.join(blocks, ["key", "cls"]).withColumn("turn", own("turns")).withColumn("block", every("blocks")).select(*names)
         need = self.need
         dealt = stand.unionByName(ask).join(self.reps.select("id", "mark", "sig"), "id")
         if exact:
@@ -275,7 +298,7 @@ class Linker:
         else:
             dealt = dealt.withColumn("z", F.lit(None).cast("binary"))
         parts = int(self.reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(parts, "key", "block", "turn").sortWithinPartitions("key", "block", "turn", "kind").select("key", "block", "turn", "kind", "band", "id", "comp", "mark", "sig", "z")
+        dealt = dealt.repartition(parts, *names[:4]).sortWithinPartitions(*names[:5]).select(*names, "mark", "sig", "z")
 
         def compare(group, shingles_of):
             """Survivors between the asking and the standing rows of one block."""
@@ -321,10 +344,10 @@ class Linker:
 
             at, group, found = None, [], []
             for t in batches:
-                for key, block, turn, *row in zip(*(t.column(i).to_pylist() for i in range(10)), strict=True):
-                    if (key, block, turn) != at:
+                for key, size, block, turn, *row in zip(*(t.column(i).to_pylist() for i in range(11)), strict=True):
+                    if (key, size, block, turn) != at:
                         found += compare(group, sets.of)
-                        at, group = (key, block, turn), []
+                        at, group = (key, size, block, turn), []
                         if len(found) > 5000:
                             yield out(found)
                             found = []
