@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from pulseforge.llm import bpe, common
 
 #: Length classes of a window, tokens that a lot holds, and the id that ends a document.
-CLASSES, LOT, END_ID = 64, 4 << 20, 1
+CLASSES, LOT, END_ID = 64, 2 << 20, 1
+#: Characters of text that are encoded at once.
+CHUNK = 2 << 20
 
 
 def combinations(classes: int = CLASSES, depth: int = 3) -> np.ndarray:
@@ -241,7 +243,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = common.map_rows(rows, ["key", "text"], work, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long", bpe.LOT_CHARS)
+    out = common.map_rows(rows, ["key", "text"], work, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long", CHUNK)
     return out.withColumnRenamed("key", id_col)
 
 
