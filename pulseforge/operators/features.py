@@ -144,6 +144,19 @@ def feature_stats(df: DataFrame, cols: list[str], target: str, person: str) -> D
     return pooled.join(within, "feature", "left").select("feature", "finite_share", F.col("q")[0].alias("median"), F.col("q")[1].alias("p5"), F.col("q")[2].alias("p95"), "r_pooled", "r_within")
 
 
+#: What features may be ranked by (columns of feature_stats).
+RANKINGS = ["r_pooled", "r_within", "finite_share", "median", "p5", "p95"]
+
+
+def top_features(stats: DataFrame, key: str = "r_pooled", k: int = 5) -> DataFrame:
+    """The k features of the greatest magnitude of `key`, nulls and NaN last, ties in the order of names, with rank."""
+    if key not in RANKINGS:
+        raise ValueError(f"no such ranking: {key}")
+    size = finite(F.abs(F.col(key)))
+    top = stats.withColumn("__s", size).orderBy(F.desc_nulls_last("__s"), "feature").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("__s"), "feature"))).drop("__s")  # k rows
+
+
 def drop_recordings(df: DataFrame, rec: str, tokens: list[str]) -> DataFrame:
     """Drop recordings whose name equals or holds a token; a token that matches none raises."""
     name = F.col(rec).cast("string")

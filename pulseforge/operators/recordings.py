@@ -223,6 +223,28 @@ def beat_vectors(df: DataFrame, fs: float, lengths: dict[str, int] | None = None
     return each_recording(df, rec, idx, sorted({*lengths, beat_channel}), schema, kernel)
 
 
+def stage_two(df: DataFrame, fs: float, m: int = 12, stride: int = 1, rec: str = "rec", **how) -> tuple[DataFrame, DataFrame]:
+    """Beat vectors of every recording (failed ones with their status), and the sequences of m kept beats as arrays of beat_idx: rec, idx, seq."""
+    from pulseforge.operators import windows
+
+    beats = beat_vectors(df, fs, rec=rec, **how)
+    rows = beats.where("status = 'ok'").select(F.col(rec).alias("rec"), F.col("beat_idx").alias("idx"), "keep")
+    return beats, windows.sequences(rows, m, stride).withColumnRenamed("rec", rec)
+
+
+def usable_sequences(sequences: DataFrame, beats: DataFrame, rec: str = "rec") -> DataFrame:
+    """Sequences all of whose beats are usable (see label_beats)."""
+    good = beats.where("usable").select(rec, F.col("beat_idx").alias("b"))
+    each = sequences.select(rec, "idx", F.explode("seq").alias("b")).join(good, [rec, "b"]).groupBy(rec, "idx").agg(F.count("*").alias("n"))
+    return sequences.join(each, [rec, "idx"]).where(F.col("n") == F.size("seq")).drop("n")
+
+
+def write_beats(beats: DataFrame, sequences: DataFrame, path: str, rec: str = "rec") -> None:
+    """path/beats: each beat once, by recording; path/sequences: arrays of beat indices."""
+    beats.write.partitionBy(rec).mode("overwrite").parquet(f"{path}/beats")
+    sequences.write.mode("overwrite").parquet(f"{path}/sequences")
+
+
 def label_beats(beats: DataFrame, readings: DataFrame, values: list[str], rec: str = "rec", t: str = "t_center_sec", mode: str = "interp") -> DataFrame:
     """Beats with interpolated (or nearest) readings, and usable: the readings are valid and the beat is kept."""
     from pulseforge.operators import labels

@@ -191,10 +191,8 @@ def corr_matrix(spark, d):
 SELECT feature, {r('r')} AS r, CAST(row_number() OVER (ORDER BY {r('r')} DESC NULLS LAST, feature) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""")
 def topk_features(spark, d):
     stats = fx.feature_stats(_wide(spark, d), COMPONENTS, "y", "person")
-    top = stats.select("feature", settle(F.abs("r_pooled")).alias("r")).orderBy(F.desc_nulls_last("r"), "feature").limit(5)
-    from pyspark.sql import Window
-
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("r"), "feature")))  # five rows
+    told = stats.withColumn("r_pooled", settle(F.abs("r_pooled")))
+    return fx.top_features(told, "r_pooled", 5).select("feature", F.col("r_pooled").alias("r"), "rank")
 
 
 _F4 = "(PARTITION BY rec ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"

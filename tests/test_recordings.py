@@ -60,7 +60,7 @@ def test_kernels_equal_dataframe_forms(spark):
         assert np.allclose([more[w][n] for n in ("mobility", "complexity", "entropy", "fractal_dimension", "autocorrelation")], want)
 
 
-def test_beat_vectors_and_labels(spark):
+def test_beat_vectors_and_labels(spark, tmp_path):
     fs = 500
     ecg, other = train(60, fs, 12), np.random.default_rng(0).normal(size=12 * fs)
     df = samples(spark, {"a": (ecg, other)})
@@ -73,6 +73,12 @@ def test_beat_vectors_and_labels(spark):
     readings = spark.createDataFrame([("a", 2.0, 120.0, 80.0), ("a", 4.0, 130.0, float("nan"))], "rec string, t double, SBP double, DBP double")
     beats = recordings.beat_vectors(df, fs, {"ecg": 8}).drop("vec", "status")
     told = recordings.label_beats(beats, readings, ["SBP", "DBP"]).collect()
+    vectors, seqs = recordings.stage_two(df, fs, 3, 2, lengths={"ecg": 8})
+    recordings.write_beats(vectors, seqs, f"{tmp_path}/beats")
+    found = spark.read.parquet(f"{tmp_path}/beats/sequences").collect()
+    assert [list(r.seq) for r in sorted(found, key=lambda r: r.idx)][:2] == [[0, 1, 2], [2, 3, 4]] and spark.read.parquet(f"{tmp_path}/beats/beats").count() == len(rows)
+    some = beats.withColumn("usable", F.col("beat_idx") != 3)
+    assert all(3 not in r.seq for r in recordings.usable_sequences(seqs, some).collect()) and recordings.usable_sequences(seqs, some).count() == len(found) - 1
     assert len(told) == len(rows) and all(r.usable for r in told if r.t_center_sec < 12) and {r.DBP for r in told} == {80.0}
 
 
@@ -101,6 +107,14 @@ def test_expanding_quantiles_and_long_recordings(spark):
     assert all((r.z is None) == (v is None) for r, v in zip(out, z, strict=True)) and len(out) == 8000
 
 
+def test_rankings(spark):
+    stats = spark.createDataFrame([("a", 0.1, None), ("b", -0.9, 0.2), ("c", float("nan"), 0.3), ("d", 0.9, 0.1)], "feature string, r_pooled double, r_within double")
+    assert [r.feature for r in fx.top_features(stats, "r_pooled", 3).orderBy("rank").collect()] == ["b", "d", "a"]
+    assert fx.top_features(stats, "r_within", 4).where("rank = 4").first().feature == "a"
+    with pytest.raises(ValueError):
+        fx.top_features(stats, "other")
+
+
 def test_range_quantiles(spark):
     rng = np.random.default_rng(3)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 2000), np.round(rng.standard_cauchy(2000), 1), strict=True)] + [(9, 5.0), (8, None), (8, float("nan")), (7, 1.0), (7, 2.0)]
