@@ -273,15 +273,20 @@ class Linker:
         comparison of signatures leaves are verified on the full sets inside the block's task, each pair in the first band
         that it shares, and one linked pair for each member and other component is returned.
         """
-        # linked sets differ in size by less than a factor, so a member asks its own size class and the two beside it
-        size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / NEED) + 1e-9).cast("int").alias("cls")
-        rows = self.members.join(comps, "id").join(self.reps.select("id", size), "id").select("key", "band", "id", "comp", "cls")
+        # linked sets differ in size by less than a factor; a class is two factors wide, so a member asks its own class and
+        # that beside its half of it
+        step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / NEED) + 1e-9).cast("int").alias("step")
+        rows = self.members.join(comps, "id").join(self.reps.select("id", step), "id")
+        rows = rows.select("key", "band", "id", "comp", F.floor(F.col("step") / 2).cast("int").alias("cls"), F.when(F.col("step") % 2 == 0, -1).otherwise(1).alias("beside"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("main")).where("low <> high")
-        rows = rows.join(mixed.select("key", "main"), "key")
+        rows = common.cut(rows.join(mixed.select("key", "main"), "key"), "mixed")
+        schema = "asker long, matches int, a long, b long, ma binary, mb binary"
+        if rows.isEmpty():
+            return rows.sparkSession.createDataFrame([], schema)
         # members of the leader's component stand; all others stand too and also ask
         kind = F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind")
         stand = rows.select("key", "cls", kind, "band", "id", "comp")
-        ask = rows.where("comp <> main").select("key", F.explode(F.array(*[F.col("cls") + k for k in (-1, 0, 1)])).alias("cls"), F.lit(2).alias("kind"), "band", "id", "comp")
+        ask = rows.where("comp <> main").select("key", F.explode(F.array(F.col("cls"), F.col("cls") + F.col("beside"))).alias("cls"), F.lit(2).alias("kind"), "band", "id", "comp")
         # both sides are dealt to blocks: a group holds a block that stands and a block that asks, whatever the bucket's size
         count = lambda side, name: side.groupBy("key", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
         blocks = common.cut(count(stand, "blocks").join(count(ask, "turns"), ["key", "cls"]), "blocks")
@@ -355,7 +360,7 @@ class Linker:
             found += compare(group, sets.of)
             yield out(found)
 
-        return dealt.mapInArrow(common.lean(run), "asker long, matches int, a long, b long, ma binary, mb binary")
+        return dealt.mapInArrow(common.lean(run), schema)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,3 +103,16 @@ def test_pruning_bounds():
     assert (nd.survive(x, y, need) >= 0).mean() > 0.999
     far = np.where(rng.random(x.shape) < 0.4, x, x + 1)
     assert (nd.survive(x, far, need) >= 0).mean() < 0.01
+
+
+def test_size_classes_lose_no_link():
+    """Sizes whose ratio allows a link: each of two members asks the class of the other."""
+    import math
+
+    def place(n):
+        step = math.floor(math.log(n) / math.log(100 / nd.NEED) + 1e-9)
+        return step // 2, {step // 2, step // 2 + (-1 if step % 2 == 0 else 1)}
+
+    for n in range(1, 1500):
+        for m in range(n, 4 * n // 3 + 1):
+            assert place(m)[0] in place(n)[1] and place(n)[0] in place(m)[1], (n, m)
