@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, languages, licences, linededup, neardup, packing, topk, toxicity, warc
+from pulseforge.llm import bpe, fingerprints, infill, languages, licences, linededup, neardup, packing, topk, toxicity, warc
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,8 +15,10 @@ QUERIES: dict = {
     "op8_bpe": bpe.op8_bpe,
     "op9_neardup": neardup.op9_neardup,
     "op10_warc": warc.op10_warc,
+    "op12_infill": infill.op12_infill,
 }
 ORACLES: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_infill": infill.OP12_SQL,
 }
