@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseforge.llm import bpe, fingerprints, infill, languages, licences, linededup, neardup, packing, topk, toxicity, warc
+from pulseforge.llm import bpe, fingerprints, infill, languages, licences, linededup, neardup, negatives, packing, quality, topk, toxicity, warc
 
 QUERIES: dict = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,10 +15,13 @@ QUERIES: dict = {
     "op8_bpe": bpe.op8_bpe,
     "op9_neardup": neardup.op9_neardup,
     "op10_warc": warc.op10_warc,
+    "op11_quality": quality.op11_quality,
     "op12_infill": infill.op12_infill,
+    "op13_negatives": negatives.op13_negatives,
 }
 ORACLES: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
     "op10_warc": warc.OP10_SQL,
     "op12_infill": infill.OP12_SQL,
+    "op13_negatives": negatives.OP13_SQL,
 }
