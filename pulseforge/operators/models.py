@@ -1,7 +1,6 @@
-"""Leave-one-person-out models whose fit is iterative: logistic regression, small networks, personalised heads, mutual information.
+"""Leave-one-person-out models: ridge and logistic regression by sums, the networks' numerics, mutual information.
 
-Rows are exploded to (fold, row) with the held-out person marked, and each fold is one group of applyInPandas; scaler,
-threshold and ranking are fitted on the fold's training rows only.
+Scaler, threshold and ranking are fitted on a fold's training rows only. networks.py fits the networks of all folds together.
 """
 
 from __future__ import annotations
@@ -17,13 +16,17 @@ def scaler(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.mean(0), np.where(s > 0, s, 1.0)
 
 
-def minimise(f, w: np.ndarray, steps: int = 200, memory: int = 10, tol: float = 1e-7) -> np.ndarray:
-    """L-BFGS with backtracking; f gives value and gradient."""
-    value, grad = f(w)
+def descend(w: np.ndarray, steps: int = 200, memory: int = 10, tol: float = 1e-7, ftol: float = 0.0):
+    """L-BFGS with backtracking as a generator: yields points, is sent (value, gradient) there, and returns (point, steps, converged).
+
+    It has converged once no component of the gradient exceeds tol, or a step gains no more than ftol of the value (of 1,
+    if that is more). Whoever drives it may evaluate the points of many searches in one pass over the rows.
+    """
+    value, grad = yield w
     past: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(steps):
+    for done in range(steps):
         if np.abs(grad).max() < tol:
-            break
+            return w, done, True
         q, alphas = grad.copy(), []
         for s, y in reversed(past):
             a = s @ q / (s @ y)
@@ -40,17 +43,35 @@ def minimise(f, w: np.ndarray, steps: int = 200, memory: int = 10, tol: float =
             q, slope = grad, grad @ grad
         while step > 1e-12:
             new = w - step * q
-            value2, grad2 = f(new)
+            value2, grad2 = yield new
             if value2 <= value - 1e-4 * step * slope:
                 break
             step /= 2
         else:
-            break
+            return w, done, False
         s, y = new - w, grad2 - grad
         if s @ y > 1e-12:
             past = [*past, (s, y)][-memory:]
+        gain = value - value2
         w, value, grad = new, value2, grad2
-    return w
+        if gain <= ftol * max(abs(value), abs(value + gain), 1.0):
+            return w, done + 1, True
+    return w, steps, bool(np.abs(grad).max() < tol)
+
+
+def descended(f, walk) -> tuple[np.ndarray, int, bool]:
+    """What the search `walk` returns when f answers it."""
+    point = next(walk)
+    while True:
+        try:
+            point = walk.send(f(point))
+        except StopIteration as end:
+            return end.value
+
+
+def minimise(f, w: np.ndarray, steps: int = 200, memory: int = 10, tol: float = 1e-7, ftol: float = 0.0) -> np.ndarray:
+    """The point that descend() finds; f gives value and gradient."""
+    return descended(f, descend(w, steps, memory, tol, ftol))[0]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 2000) -> np.ndarray:
@@ -68,6 +89,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 2000
     return minimise(loss, np.zeros(x.shape[1] + 1), steps)
 
 
+#: Least gain of a step, as a share of the value, with which a network's fit goes on.
+FTOL = 2.220446049250313e-09
+
 ACTIVATIONS = {
     # value, and slope by that value
     "logistic": (lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500))), lambda h: h * (1 - h)),
@@ -91,11 +115,12 @@ def architectures(spec: str) -> list[tuple[int, ...]]:
 class Network:
     """Hidden layers of one kind of units, and linear outputs (task regression) or one logistic output (task classes)."""
 
-    def __init__(self, inputs: int, hidden: int | tuple[int, ...], outputs: int, alpha: float = 0.01, seed: int = 0, activation: str = "logistic", task: str = "regression", solver: str = "lbfgs", rate: float = 1e-3, early_stopping: bool = False):
+    def __init__(self, inputs: int, hidden: int | tuple[int, ...], outputs: int, alpha: float = 0.01, seed: int = 0, activation: str = "logistic", task: str = "regression", solver: str = "lbfgs", rate: float = 1e-3, early_stopping: bool = False, tol: float = 1e-4):
         rng = np.random.default_rng(seed)
         sizes = [inputs, *((hidden,) if isinstance(hidden, int) else hidden), outputs]
         self.shapes = [s for a, b in zip(sizes, sizes[1:], strict=False) for s in ((a, b), (b,))]
-        self.settings = {"hidden": hidden, "alpha": alpha, "seed": seed, "activation": activation, "task": task, "solver": solver, "rate": rate, "early_stopping": early_stopping}
+        self.settings = {"hidden": hidden, "alpha": alpha, "seed": seed, "activation": activation, "task": task, "solver": solver, "rate": rate, "early_stopping": early_stopping, "tol": tol}
+        self.tol = tol
         self.alpha, self.activation, self.task, self.solver, self.rate, self.early_stopping, self.seed = alpha, activation, task, solver, rate, early_stopping and solver != "lbfgs", seed
         gain = 2 if activation == "logistic" else 6
         bounds = [np.sqrt(gain / (a + b)) for a, b in zip(sizes, sizes[1:], strict=False) for _ in range(2)]
@@ -122,30 +147,35 @@ class Network:
         out = self.hidden(x) @ c + d
         return ACTIVATIONS["logistic"][0](out) if self.task == "classes" else out
 
-    def loss(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Half the mean squared error (mean log-loss for classes) with the L2 penalty, and its gradient."""
-        n, parts = len(x), self.parts(w)
-        values = self.layers(x, w)
+    def sums(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Half the squared errors (log-losses for classes) of all rows, and the gradient of that sum."""
+        parts, values = self.parts(w), self.layers(x, w)
         out = values[-1] @ parts[-2] + parts[-1]
         if self.task == "classes":
-            value = float((np.logaddexp(0, out) - y * out).sum() / n)
-            back = (ACTIVATIONS["logistic"][0](out) - y) / n
+            value, back = float((np.logaddexp(0, out) - y * out).sum()), ACTIVATIONS["logistic"][0](out) - y
         else:
-            back = (out - y) / n
-            value = float(((out - y) ** 2).sum() / (2 * n))
+            value, back = float(((out - y) ** 2).sum() / 2), out - y
         grads: list[np.ndarray] = []
         for k in range(len(parts) // 2 - 1, -1, -1):
-            a = parts[2 * k]
-            grads = [values[k].T @ back + self.alpha * a / n, back.sum(0), *grads]
-            value += self.alpha * float((a**2).sum()) / (2 * n)
+            grads = [values[k].T @ back, back.sum(0), *grads]
             if k:
-                back = back @ a.T * ACTIVATIONS[self.activation][1](values[k])
+                back = back @ parts[2 * k].T * ACTIVATIONS[self.activation][1](values[k])
         return value, np.concatenate([g.ravel() for g in grads])
 
+    def penalised(self, w: np.ndarray, value: float, grad: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+        """Mean and gradient from the sums over n rows, with the L2 penalty of all weights but the intercepts."""
+        matrices = np.concatenate([np.full(int(np.prod(s)), len(s) == 2) for s in self.shapes])
+        held = np.where(matrices, w, 0.0)
+        return (value + self.alpha * float(held @ held) / 2) / n, (grad + self.alpha * held) / n
+
+    def loss(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Half the mean squared error (mean log-loss for classes) with the L2 penalty, and its gradient."""
+        return self.penalised(w, *self.sums(w, x, y), len(x))
+
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 1000) -> Network:
         """lbfgs over all rows, or adam or sgd over batches of 200; early stopping (adam, sgd) holds out a tenth of the rows and ends ten epochs after the best."""
         if self.solver == "lbfgs":
-            self.w = minimise(lambda w: self.loss(w, x, y), self.w, steps)
+            self.w = minimise(lambda w: self.loss(w, x, y), self.w, steps, tol=self.tol, ftol=FTOL)
             return self
         rng = np.random.default_rng(self.seed)
         order = rng.permutation(len(x))
@@ -282,84 +312,13 @@ def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], m
     """Out-of-fold predictions: keys, person, y, p, thr (threshold at the training rows' false-positive rate; null for regression).
 
     model: logistic, classifier (a network with log-loss) or network (regression). The threshold comes from training rows
-    of label 0, of those only the ones where the column `rest` is true if it is given.
-    """
-    import pandas as pd
-
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        test = pdf["__test"].to_numpy()
-        pdf = pdf.sort_values(keys)
-        test = pdf["__test"].to_numpy()
-        x, target = np.nan_to_num(pdf[cols].to_numpy(float)), pdf[y].to_numpy(float)
-        out = pdf.loc[test, [*keys, person, y]].copy()
-        if test.all():
-            return out.assign(p=np.nan, thr=np.nan)
-        mean, dev = scaler(x[~test])
-        z = (x - mean) / dev
-        if model in ("logistic", "classifier"):
-            if model == "logistic":
-                w = fit_logistic(z[~test], target[~test])
-                p = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -500, 500)))
-            else:
-                p = Network(len(cols), hidden, 1, alpha, task="classes").fit(z[~test], target[~test][:, None]).predict(z)[:, 0]
-            quiet = ~test & (target == 0)
-            if rest:
-                quiet &= pdf[rest].fillna(False).to_numpy(bool)
-            thr = float(np.quantile(p[quiet], 1 - fpr)) if quiet.any() else np.nan
-        else:
-            m, s = scaler(target[~test][:, None])
-            net = Network(len(cols), hidden, 1, alpha).fit(z[~test], (target[~test][:, None] - m) / s)
-            p, thr = (net.predict(z) * s + m)[:, 0], np.nan
-        return out.assign(p=p[test], thr=thr)
-
-    kinds = dict(df.dtypes)
-    rows = folds(df.select(*keys, person, y, *cols, *([rest] if rest else [])), person)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, person, y]) + ", p double, thr double"
-    return rows.groupBy("__fold").applyInPandas(kernel, schema)
-
-
-def personalise(df: DataFrame, cols: list[str], y: str, person: str, order: str, hidden: int = 10, calibration: int = 3, steps: int = 1000) -> DataFrame:
-    """Per person: error on the last 40 % of rows before and after tuning the head of a network fitted on all others, with controls.
-
-    Controls: zero (mean of the first `calibration` rows), amean (mean of the first half) and bias only. Also the
-    correlation of tuned predictions and truth and the ratio of their deviations. The head is tuned on the first half and
-    stopped on the next tenth; without rows there the last of the first half take their place. Persons with fewer than
-    three rows in a slice give no row.
+    of label 0, of those only the ones where the column `rest` is true if it is given. A person without others has nulls.
     """
-    import pandas as pd
-
-    names = ["person", "n_test", "mae_pre", "mae_post", "mae_zero", "mae_amean", "mae_bias", "r", "sd_ratio", "best_epoch"]
+    from pulseforge.operators import networks
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([person, order])
-        test = pdf["__test"].to_numpy()
-        x, target = np.nan_to_num(pdf[cols].to_numpy(float)), pdf[[y]].to_numpy(float)
-        own = np.flatnonzero(test)
-        place = np.arange(len(own)) / max(1, len(own))
-        a, v, t = own[place < 0.5], own[(place >= 0.5) & (place < 0.6)], own[place >= 0.6]
-        if not len(v) and len(a) >= 4:
-            cut = int(np.ceil(0.85 * (len(a) - 1)))
-            a, v = a[:cut], a[cut:]
-        if min(len(a), len(v), len(t)) < 3 or test.all():
-            return pd.DataFrame(columns=names)
-        mean, dev = scaler(x[~test])
-        z = (x - mean) / dev
-        m, s = scaler(target[~test])
-        u = (target - m) / s
-        net = Network(len(cols), hidden, 1).fit(z[~test], u[~test], steps)
-        tuned, epoch = tune_head(net, z[a], u[a], z[v], u[v])
-        biased, _ = tune_head(net, z[a], u[a], z[v], u[v], bias_only=True)
-        err = lambda p: float(np.abs(p * s + m - target[t]).mean())
-        post = tuned.predict(z[t]) * s + m
-        sd = float(target[t].std())
-        r = float(np.corrcoef(post[:, 0], target[t][:, 0])[0, 1]) if sd > 0 and post.std() > 0 else np.nan
-        row = [key[0], len(t), err(net.predict(z[t])), err(tuned.predict(z[t])), float(np.abs(target[own[:calibration]].mean() - target[t]).mean()), float(np.abs(target[a].mean() - target[t]).mean()), err(biased.predict(z[t])), r, float(post.std() / sd) if sd > 0 else np.nan, epoch]
-        return pd.DataFrame([row], columns=names)
-
-    kind = dict(df.dtypes)[person]
-    rows = folds(df.select(person, order, y, *cols), person)
-    schema = f"person {kind}, n_test long, " + ", ".join(f"{n} double" for n in names[2:-1]) + ", best_epoch long"
-    return rows.groupBy("__fold").applyInPandas(kernel, schema)
+    if model == "logistic":
+        return loso_logistic(df, cols, y, person, keys, fpr, rest)
+    return networks.loso(df, cols, y, person, keys, model, hidden, alpha, fpr, rest)
 
 
 def information_by_fold(df: DataFrame, cols: list[str], y: str, person: str) -> DataFrame:
@@ -489,99 +448,19 @@ def newton_logistic(df: DataFrame, cols: list[str], y: str, person: str, c: floa
 
 def loso_logistic(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], fpr: float = 0.05, rest: str | None = None) -> DataFrame:
     """Out-of-fold probabilities and thresholds like loso(model="logistic"), without a fold meeting in one task: keys, person, y, p, thr."""
-    from pulseforge.functions import ranges
+    from pulseforge.operators import networks
 
     people, raw = newton_logistic(df, cols, y, person)
     spark, kind = df.sparkSession, dict(df.dtypes)[person]
-    fits = spark.createDataFrame([(p, w.tolist()) for p, w in zip(people, raw, strict=True)], f"{person} {kind}, __w array<double>")
-    x = F.array(*[F.col(c).cast("double") for c in cols], F.lit(1.0))
-    chance = lambda w: 1 / (1 + F.exp(-F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))
     quiet = df.where((F.col(y) == 0) & (F.col(rest) if rest else F.lit(True)))
-    every = F.array(*[F.struct(F.lit(p).cast(kind).alias("fold"), F.array(*map(F.lit, w.tolist())).alias("w")) for p, w in zip(people, raw, strict=True)])
-    scores = quiet.select(person, x.alias("__x"), F.explode(every).alias("f")).where(F.col(person) != F.col("f.fold"))
-    scores = scores.select(F.col("f.fold").alias(person), (1 / (1 + F.exp(-F.aggregate(F.zip_with("__x", "f.w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))).alias("p"))
-    cuts = ranges.quantiles(scores, [person], "p", [1 - fpr]).select(person, F.col("q")[0].alias("thr"))
-    return df.join(fits, person).join(cuts, person, "left").select(*keys, person, y, chance(F.col("__w")).alias("p"), "thr")
-
-
-def nested_loso(df: DataFrame, cols: list[str], targets: list[str], person: str, t: str, keys: list[str], specs: list[tuple[int, ...]], mode: str = "none", calibration: float = 60.0, alpha: float = 0.01, steps: int = 1000) -> DataFrame:
-    """Out-of-fold predictions of networks whose architecture is chosen inside each fold by an inner leave-one-person-out (the first of the least mean error).
-
-    Returns keys, person, picked, and by target <t>_true, <t>_pred and <t>_zero (what it has to beat: the calibration value
-    with mode offset, else the training mean). With mode offset each person's values are taken less the mean of the first
-    `calibration` of their time. One group for each fold; a single spec isn't searched for.
-    """
-    import pandas as pd
-
-    def offsets(values, times, who):
-        out = np.zeros_like(values)
-        if mode == "offset":
-            for p in np.unique(who):
-                mine = who == p
-                early = mine & (times <= times[mine].min() + calibration)
-                out[mine] = values[early if early.sum() >= 3 else mine].mean(0)
-        return out
-
-    def fitted(x, y, off, spec):
-        mean, dev = scaler(x)
-        net = Network(x.shape[1], spec, y.shape[1], alpha).fit((x - mean) / dev, y - off, steps)
-        return lambda v: net.predict((v - mean) / dev)
-
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(keys)
-        test, who, times = pdf["__test"].to_numpy(), pdf[person].to_numpy(), pdf[t].to_numpy(float)
-        x, y = np.nan_to_num(pdf[cols].to_numpy(float)), pdf[targets].to_numpy(float)
-        off = offsets(y, times, who)
-        out = pdf.loc[test, [*keys, person]].copy()
-        best = specs[0] if len(specs) == 1 else None
-        if best is None:
-            least = np.inf
-            for spec in specs:
-                errors = []
-                for p in np.unique(who[~test]):
-                    inner, held = ~test & (who != p), who == p
-                    if inner.any():
-                        errors.append(np.abs(fitted(x[inner], y[inner], off[inner], spec)(x[held]) + off[held] - y[held]).mean())
-                mae = float(np.mean(errors)) if errors else np.inf
-                if best is None or mae < least:
-                    best, least = spec, mae
-        out["picked"] = "x".join(map(str, best))
-        alone = test.all()
-        pred = np.full((test.sum(), len(targets)), np.nan) if alone else fitted(x[~test], y[~test], off[~test], best)(x[test]) + off[test]
-        base = off[test] if mode == "offset" else np.broadcast_to(y[~test].mean(0) if not alone else np.nan, pred.shape)
-        for j, c in enumerate(targets):
-            out[f"{c}_true"], out[f"{c}_pred"], out[f"{c}_zero"] = y[test][:, j], pred[:, j], base[:, j]
-        return out
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, person]) + ", picked string, " + ", ".join(f"`{c}_{s}` double" for c in targets for s in ("true", "pred", "zero"))
-    return folds(df.select(*dict.fromkeys([*keys, person, t, *targets, *cols])), person).groupBy("__fold").applyInPandas(kernel, schema)
-
-
-def learning_curve(df: DataFrame, cols: list[str], targets: list[str], person: str, order: str, hidden: tuple[int, ...] = (10,), step: int = 20, most: int = 200, alpha: float = 0.01) -> DataFrame:
-    """fold, iter, split (train, held-out), channel, mae and base (error of the training mean; null for train) of networks that are fitted on, `step` steps at a time."""
-    import pandas as pd
-
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([person, order])
-        test = pdf["__test"].to_numpy()
-        x, y = np.nan_to_num(pdf[cols].to_numpy(float)), pdf[targets].to_numpy(float)
-        rows = []
-        if not test.all():
-            mean, dev = scaler(x[~test])
-            z = (x - mean) / dev
-            base = np.abs(y[~test].mean(0) - y[test]).mean(0)
-            net = Network(len(cols), hidden, len(targets), alpha)
-            for it in range(step, most + 1, step):
-                net.fit(z[~test], y[~test], step)
-                err = np.abs(net.predict(z) - y)
-                for j, c in enumerate(targets):
-                    rows.append((key[0], it, "train", c, float(err[~test, j].mean()), None))
-                    rows.append((key[0], it, "held-out", c, float(err[test, j].mean()), float(base[j])))
-        return pd.DataFrame(rows, columns=["fold", "iter", "split", "channel", "mae", "base"])
-
-    kind = dict(df.dtypes)[person]
-    return folds(df.select(*dict.fromkeys([person, order, *targets, *cols])), person).groupBy("__fold").applyInPandas(kernel, f"fold {kind}, iter long, split string, channel string, mae double, base double")
+    packed = networks.pack(quiet, cols, [], person, people)
+    thr = networks.fold_quantiles(packed, len(people), lambda k, x: 1 / (1 + np.exp(-np.clip(x @ raw[k][:-1] + raw[k][-1], -500, 500))), 1 - fpr)
+    packed.unpersist()
+    none = len(people) < 2
+    fits = spark.createDataFrame([(p, None if none else w.tolist(), None if np.isnan(t) else float(t)) for p, w, t in zip(people, raw, thr, strict=True)], f"{person} {kind}, __w array<double>, thr double")
+    x = F.array(*[F.col(c).cast("double") for c in cols], F.lit(1.0))
+    chance = 1 / (1 + F.exp(-F.aggregate(F.zip_with(x, "__w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))
+    return df.join(fits, person).select(*keys, person, y, chance.alias("p"), "thr")
 
 
 def ablation(df: DataFrame, sets: dict[str, list[str]], y: str, person: str, keys: list[str], models: tuple[str, ...] = ("ridge",), norm: str = "none") -> DataFrame:

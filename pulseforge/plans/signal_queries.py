@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseforge.functions.stats import settle
 from pulseforge.operators import engineer as en
-from pulseforge.operators import models, recordings, signals
+from pulseforge.operators import models, networks, recordings, signals
 from pulseforge.operators import scoring as sc
 from pulseforge.plans.registry import query
 from pulseforge.sources import tables
@@ -15,29 +15,36 @@ from pulseforge.sources import tables
 FS, NERVE_FS = 500.0, 2200.0
 
 
-def _synthetic(spark, d, fs: float = FS, seconds: int = 20):
-    """A beat train for each user of the events table: rate and polarity follow from the user's id, noise from its values; raw leads ecg by a quarter of a second."""
-    users = tables.read(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
-    rows = users.repartition("user_id").withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(int(fs * seconds) - 1))))
-    t = F.col("idx") / F.lit(fs)
-    period = F.lit(0.7) + (F.col("user_id") % 5) * 0.1
+def _spread(spark, d):
+    """Samples of the events table, dealt by recording to a fixed number of tasks: a few rows become many, and kernels are dear."""
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return tables.signal(spark, d).select("rec", "idx", "x").repartition(parts, "rec")
+
+
+def _synthetic(spark, d, fs: float = FS):
+    """A beat for each event, whose value gives the interval up to it and the height of its wave; polarity follows from the recording, and raw leads ecg by a quarter of a second."""
+    so_far = Window.partitionBy("rec").orderBy("idx")
+    gap = F.lit(0.5) + F.col("x") / 2000.0
+    beats = _spread(spark, d).withColumn("gap", F.round(gap * fs).cast("long"))
+    beats = beats.withColumn("end", F.sum("gap").over(so_far))
+    rows = beats.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gap") - 1)))
+    t = F.col("at") / F.lit(fs)
 
     def wave(late):
-        phase = F.pmod(t - late, period) - 0.3
-        pulse = F.exp(-F.pow(phase / 0.012, F.lit(2.0))) * F.when(F.col("user_id") % 2 == 0, 1.0).otherwise(-1.0)
-        return pulse + 0.15 * F.exp(-F.pow((phase - 0.25) / 0.04, F.lit(2.0))) + 0.01 * F.sin(F.col("idx") * F.col("m"))
+        phase = t - late - 0.1
+        pulse = F.exp(-F.pow(phase / 0.012, F.lit(2.0))) * F.when(F.col("rec") % 2 == 0, 1.0).otherwise(-1.0)
+        return pulse + (0.12 + F.col("x") / 10_000.0) * F.exp(-F.pow((phase - 0.2) / 0.03, F.lit(2.0))) + 0.01 * F.sin(F.col("at") * F.col("x"))
 
-    return rows.select(F.col("user_id").alias("rec"), F.col("idx").cast("long").alias("sample_idx"), wave(F.lit(0.25)).alias("ecg"), wave(F.lit(0.0)).alias("raw"))
+    return rows.select("rec", (F.col("end") - F.col("gap") + F.col("at")).alias("sample_idx"), wave(F.lit(0.1)).alias("ecg"), wave(F.lit(0.0)).alias("raw"))
 
 
-def _nerve(spark, d, seconds: int = 3):
-    """A carrier of 700 Hz, modulated by each user's own frequency, with mains."""
-    users = tables.read(spark, d, "events").select("user_id").distinct()
-    rows = users.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(int(NERVE_FS * seconds) - 1))))
-    t = F.col("idx") / F.lit(NERVE_FS)
+def _nerve(spark, d, slot: int = 110):
+    """A carrier of 700 Hz with mains; each event sets the carrier's height for a twentieth of a second."""
+    rows = _spread(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(slot - 1)))).withColumn("sample_idx", F.col("idx") * slot + F.col("k"))
+    t = F.col("sample_idx") / F.lit(NERVE_FS)
     pi2 = F.lit(2 * 3.141592653589793)
-    slow = 1 + 0.8 * F.sin(pi2 * (1 + F.col("user_id") % 4) * t)
-    return rows.select(F.col("user_id").alias("rec"), F.col("idx").cast("long").alias("sample_idx"), (0.01 * slow * F.sin(pi2 * 700 * t) + 0.05 * F.sin(pi2 * 60 * t)).alias("skna"))
+    height = 0.01 + F.col("x") / 20_000.0
+    return rows.select("rec", "sample_idx", (height * F.sin(pi2 * 700 * t) + 0.05 * F.sin(pi2 * 60 * t)).alias("skna"))
 
 
 @query("rpeaks")
@@ -105,12 +112,11 @@ def lf_hf(spark, d):
 
 
 def _design(spark, d):
-    """Windows of four samples of all recordings: their features, and the mean (y) and spread (z) of the next window."""
-    sig = tables.signal(spark, d).withColumn("w", F.floor(F.col("idx") / 4).cast("long"))
-    rows = sig.groupBy("rec", "w").agg(F.avg("x").alias("mean"), F.avg(F.abs("x")).alias("aSKNA"), F.stddev_pop("x").alias("rmsSKNA"), F.max("x").alias("top"), F.max("t").alias("t"), F.count("*").alias("n"))
-    ahead = Window.partitionBy("rec").orderBy("w")
-    rows = rows.withColumns({"y": F.lead("mean").over(ahead), "z": F.lead("rmsSKNA").over(ahead), "person": F.col("rec") % 8})
-    return rows.where("y is not null and n = 4")
+    """All samples of all recordings that have a next one: features of the last four samples, the next sample (y) and how far it lies from their mean (z)."""
+    order = Window.partitionBy("rec").orderBy("idx")
+    last = order.rowsBetween(-3, 0)
+    rows = tables.signal(spark, d).select("rec", "idx", "t", "x", F.avg("x").over(last).alias("mean"), F.avg(F.abs("x")).over(last).alias("aSKNA"), F.stddev_pop("x").over(last).alias("rmsSKNA"), F.max("x").over(last).alias("top"), F.lead("x").over(order).alias("y"))
+    return rows.where("y is not null").withColumns({"z": F.abs(F.col("y") - F.col("mean")), "person": F.col("rec") % 8})
 
 
 COLS = ["mean", "aSKNA", "rmsSKNA", "top"]
@@ -118,61 +124,68 @@ COLS = ["mean", "aSKNA", "rmsSKNA", "top"]
 
 @query("mlp_loso")
 def mlp_loso(spark, d):
-    return models.loso(_design(spark, d), COLS, "y", "person", ["rec", "w"], model="network")
+    return models.loso(_design(spark, d), COLS, "y", "person", ["rec", "idx"], model="network")
 
 
 @query("mlp_classifier")
 def mlp_classifier(spark, d):
     rows = _design(spark, d).withColumn("y", (F.col("y") > F.col("mean")).cast("int"))
-    return models.loso(rows, COLS, "y", "person", ["rec", "w"], model="classifier", alpha=1.0)
+    return models.loso(rows, COLS, "y", "person", ["rec", "idx"], model="classifier", alpha=1.0)
 
 
 @query("logistic_loso")
 def logistic_loso(spark, d):
     """Out-of-fold probabilities; the threshold comes from training rows of label 0 of the first half of each cycle."""
     rows = _design(spark, d).withColumns({"y": (F.col("y") > F.col("mean")).cast("int"), "early": F.pmod(F.col("t") / 3600, F.lit(10.0)) < 4.5})
-    return models.loso_logistic(rows, COLS, "y", "person", ["rec", "w"], rest="early")
+    return models.loso_logistic(rows, COLS, "y", "person", ["rec", "idx"], rest="early")
 
 
 @query("cpt_sanity_auc")
 def cpt_sanity_auc(spark, d):
     """Pooled AUC and average precision of a logistic model on the amplitude features alone."""
     rows = _design(spark, d).withColumn("y", (F.col("y") > F.col("mean")).cast("int"))
-    told = sc.auc_summary(models.loso_logistic(rows, ["aSKNA", "rmsSKNA"], "y", "person", ["rec", "w"]).withColumn("y", F.col("y").cast("long")), "person")
+    told = sc.auc_summary(models.loso_logistic(rows, ["aSKNA", "rmsSKNA"], "y", "person", ["rec", "idx"]).withColumn("y", F.col("y").cast("long")), "person")
     return told.select(*[settle(F.col(c), 4).alias(c) for c in ("auc_pooled", "ap_pooled", "auc_mean")])
 
 
 @query("nested_loso")
 def nested_loso(spark, d):
-    return models.nested_loso(_design(spark, d), COLS, ["y", "z"], "person", "t", ["rec", "w"], models.architectures("3,4x2"), "offset", 86_400.0, steps=40)
+    return networks.nested_loso(_design(spark, d), COLS, ["y", "z"], "person", "t", ["rec", "idx"], models.architectures("3,4x2"), "offset", 86_400.0)
+
+
+def _personal(spark, d):
+    return networks.personalise(_design(spark, d), COLS, ["y", "z"], "person", "rec", "t", calibration=86_400.0)
 
 
 @query("personalize")
 def personalize(spark, d):
-    rows = _design(spark, d)
-    rows = rows.withColumn("order", F.row_number().over(Window.partitionBy("person").orderBy("rec", "w")))
-    return models.personalise(rows, COLS, "y", "person", "order")
+    return _personal(spark, d)[0]
+
+
+@query("personal_predictions")
+def personal_predictions(spark, d):
+    return _personal(spark, d)[1]
 
 
-def _curves(spark, d):
-    return models.learning_curve(_design(spark, d).withColumn("order", F.col("rec") * 1_000_000 + F.col("w")), COLS, ["y", "z"], "person", "order", (5,), 10, 50)
+def _curves(spark, d, mode):
+    return networks.learning_curve(_design(spark, d), COLS, ["y", "z"], "person", (5,), 20, 200, mode=mode, t="t", calibration=86_400.0)
 
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    return _curves(spark, d)
+    return _curves(spark, d, "offset")
 
 
 @query("curve_summary")
 def curve_summary(spark, d):
-    by_iter, ends = en.curve_summary(_curves(spark, d))
+    by_iter, ends = en.curve_summary(_curves(spark, d, "none"))
     return by_iter.join(F.broadcast(ends.select("channel", "gap", "wins", "n_folds")), "channel")  # two rows
 
 
 @query("ablation_arms")
 def ablation_arms(spark, d):
     rows = _design(spark, d)
-    return models.ablation(rows, {"level": ["mean", "top"], "spread": ["aSKNA", "rmsSKNA"], "all": COLS}, "y", "person", ["rec", "w"])
+    return models.ablation(rows, {"level": ["mean", "top"], "spread": ["aSKNA", "rmsSKNA"], "all": COLS}, "y", "person", ["rec", "idx"])
 
 
 @query("mutual_info")
