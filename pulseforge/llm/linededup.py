@@ -11,7 +11,8 @@ windows always have the same one. The windows that follow each other with one fi
 
 So a word goes exactly if it stands in a line of at least LEAST words that is an earlier line, or in a window of RUN
 words that stands earlier: in a text of a smaller id, or in the same text before it (windows of one text may overlap).
-Only numbers are shuffled, besides the texts that have something to extend or to delete.
+Lines and windows are equal if 96 bits of the xxh3-128 of their folded bytes are. Only numbers are shuffled, besides the
+texts that have something to extend or to delete.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a column of texts: starts and ends in bytes, hashes, and the texts' bounds in words."""
 
-    #: Odd bases of the sums that hash bytes to words and words to stretches (two of these).
-    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+    #: Odd bases of the sums that hash bytes to words and words to rolling lines.
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
     _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     _bytes = _mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -97,19 +98,30 @@ class Words:
             s, e = self.starts[lo:hi] - a, self.ends[lo:hi] - a
             words[lo:hi] = (sums[e] - sums[s]) * down[s]
         words = _mix(words + (self.ends - self.starts).astype(np.uint64))
-        self.sums = []
-        for base in self.BASES[1:]:
-            up, down = self.powers(base, n)
-            self.sums.append((np.concatenate([[np.uint64(0)], np.cumsum(words * up[:n])]), down))
-
-    def content(self, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hashes of the words from lo to before hi."""
-        sums, down = self.sums[which]
+        up, down = self.powers(self.BASES[1], n)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[:n])]), down
+        # the words with one blank behind each
+        size = self.ends - self.starts
+        self.begin = np.cumsum(size + 1) - size - 1
+        inside = folded != 0
+        self.compact = np.zeros(int(size.sum()) + n, np.uint8)
+        self.compact[np.arange(int(size.sum())) + np.repeat(np.arange(n), size)] = folded[inside]
+
+    def rolling(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the words from lo to before hi, by sums; they only choose fingerprints, and equal ones needn't be equal words."""
+        sums, down = self.sums
         return _mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
-    def check(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """A second hash of 32 bits; content and check together tell stretches apart."""
-        return (self.content(lo, hi, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def digests(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of the xxh3-128 of the folded bytes of the words from lo to before hi, with one blank between words; together they tell stretches apart."""
+        import xxhash
+
+        if not len(lo):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        view, digest = memoryview(self.compact), xxhash.xxh3_128_digest
+        told = b"".join([digest(view[i:j]) for i, j in zip(self.begin[lo].tolist(), (self.begin[hi - 1] + self.ends[hi - 1] - self.starts[hi - 1]).tolist(), strict=True)])
+        both = np.frombuffer(told, np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), (both[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Word ranges of the lines of at least LEAST words."""
@@ -127,7 +139,7 @@ class Words:
         if n < RUN:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.arange(n - LINE + 1)
-        h = self.content(at, at + LINE)
+        h = self.rolling(at, at + LINE)
         key = h >> PLACE << PLACE | at.astype(np.uint64)
         width, done = RUN - LINE + 1, 1
         while done < width:
@@ -144,12 +156,12 @@ class Words:
 
 
 def marks(words: Words) -> tuple[np.ndarray, ...]:
-    """content, check, fingerprint (0 for lines), lo and hi of all lines and stretches, in words of the whole column, and whether an equal one stands earlier in the same text."""
+    """digests, fingerprint (0 for lines), lo and hi of all lines and stretches, in words of the whole column, and whether an equal one stands earlier in the same text."""
     a, b = words.lines()
     s, e, f = words.stretches()
     lo, hi = np.concatenate([a, s]), np.concatenate([b, e])
     f = np.concatenate([np.zeros(len(a), np.uint64), np.maximum(f, np.uint64(1)) if len(f) else f])
-    h, c = words.content(lo, hi), words.check(lo, hi)
+    h, c = words.digests(lo, hi)
     return h, c, f, lo, hi, repeated_inside(words.doc[lo] if len(lo) else lo, lo, h, c, f != 0)
 
 
@@ -164,7 +176,7 @@ def repeated_inside(doc: np.ndarray, lo: np.ndarray, h: np.ndarray, c: np.ndarra
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """Lines and stretches: content h, check c, fingerprint f (null for lines), id, th, lo, hi. Rows without h are repeated inside their text."""
+    """Lines and stretches: digests h and c, fingerprint f (null for lines), id, th, lo, hi. Rows without h are repeated inside their text."""
 
     def run(batches):
         import pyarrow as pa
@@ -187,7 +199,7 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """Windows of RUN words inside the parts (lo, hi) of each text: content h, check c, id, th, lo. Rows without h are repeated inside their text."""
+    """Windows of RUN words inside the parts (lo, hi) of each text: digests h and c, id, th, lo. Rows without h are repeated inside their text."""
 
     def run(batches):
         import pyarrow as pa
@@ -199,7 +211,7 @@ def _windows(rows: DataFrame) -> DataFrame:
             at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             doc = np.repeat(doc, n)
             lo = at + words.bounds[doc]
-            h, c = words.content(lo, lo + RUN), words.check(lo, lo + RUN)
+            h, c = words.digests(lo, lo + RUN)
             own = repeated_inside(doc, lo, h, c, np.zeros(len(lo), bool))
             doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays(

@@ -138,5 +138,19 @@ def test_winnow_guarantee_and_hashes():
     w = ld.Words(pa.array(["Ab, cd ef\nab", None, "", "AB CD", "ef ab"]))
     assert w.bounds.tolist() == [0, 4, 4, 4, 6, 8]
     lo = np.array([0, 4])
-    assert len(set(w.content(lo, lo + 2).tolist())) == 1 and len(set(w.check(lo, lo + 2).tolist())) == 1
-    assert len(set(w.content(np.arange(8), np.arange(8) + 1).tolist())) == 3
+    assert len(set(w.digests(lo, lo + 2)[0].tolist())) == 1 and len(set(w.digests(lo, lo + 2)[1].tolist())) == 1
+    assert len(set(w.digests(np.arange(8), np.arange(8) + 1)[0].tolist())) == 3
+
+
+def test_lines_that_sums_of_powers_take_for_equal(spark):
+    """Words and lines in the order of the Thue-Morse sequence and its complement collide in every sum of odd powers; they aren't equal and stay."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = "".join("xy"[k] for k in bits), "".join("yx"[k] for k in bits)
+    long_a, long_b = " ".join(("rot", "blau")[k] for k in bits), " ".join(("blau", "rot")[k] for k in bits)
+    docs = [(1, f"{a} red car"), (2, f"{b} red car"), (3, long_a), (4, long_b), (5, f"{a} red car\nmore")]
+    got = {r.doc_id: (r.text, r.words_removed) for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2] == (docs[1][1], 0) and got[1] == (docs[0][1], 0) and got[3][1] < 1024 and got[5] == ("more", 3)
+    check(docs, [tuple(r) for r in ld.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()])
+    words = ld.Words(pa.array([long_a, long_b, a, b]))
+    h, c = words.digests(words.bounds[:-1], words.bounds[1:])
+    assert len(set(h.tolist())) == 4 and len(set(c.tolist())) == 4
