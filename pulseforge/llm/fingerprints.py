@@ -49,34 +49,35 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return common.map_rows(rows, ["key", "text"], work, f"key {kind}, fingerprint string").withColumnRenamed("key", id_col)
 
 
-def groups(df: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(df: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
     """Group of each row of prints (id_col, fingerprint): the smallest id whose canonical text has the same bytes.
 
     Returns id_col, fingerprint, group_id for rows whose group holds another id; all other rows are groups of their own.
     Large buckets are split into salts, each with a copy of the bucket's first text. What differs from it (a collision)
-    is compared again among itself until nothing is left. Rows without id have no group.
+    is compared again among itself until nothing is left. Rows without id have no group. Rows of one id with different
+    fingerprints each have a group of their own; a repeated row counts once. `bits` is that of the fingerprints.
     """
     spark = df.sparkSession
     distinct = prints.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "fingerprint").distinct()
     buckets = distinct.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = common.cut(distinct.join(buckets, "fingerprint"), "members")
-    bits = common.MemberBits(members, "id")
-    rows = bits.keep(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    rows = common.MemberBits(members, "id").keep(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
 
     def work(parts):
         import pyarrow as pa
 
         for keys, texts in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([canonical(t) for t in texts], pa.binary())], names=["id", "canon"])
+            made = [canonical(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([digest(c, bits) for c in made]), pa.array(made, pa.binary())], names=["id", "fingerprint", "canon"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    canon = common.map_rows(rows, ["id", "text"], work, f"id {kind}, canon binary").dropDuplicates(["id"])
+    canon = common.map_rows(rows, ["id", "text"], work, f"id {kind}, fingerprint string, canon binary").dropDuplicates(["id", "fingerprint"])
     left, found, used = members, None, []
     while True:
         salted = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS))))
-        texts = salted.join(canon, "id")
+        texts = salted.join(canon, ["id", "fingerprint"])
         heads = left.where("id = first").select("fingerprint", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS)) - 1)).alias("salt"))
-        heads = heads.join(canon.withColumnRenamed("canon", "head"), "id").drop("id")
+        heads = heads.join(canon.withColumnRenamed("canon", "head"), ["id", "fingerprint"]).drop("id")
         told = common.cut(texts.join(heads, ["fingerprint", "salt"]).select("id", "fingerprint", "first", (F.col("canon") == F.col("head")).alias("same")), "told")
         same = told.where("same").select(F.col("id").alias(id_col), "fingerprint", F.col("first").alias("group_id"))
         found = same if found is None else found.unionByName(same)

@@ -45,7 +45,7 @@ def test_collisions_and_hot_groups(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     prints = fp.fingerprints(df, bits=3)
     assert prints.select("fingerprint").distinct().count() <= 8
-    got = {r.doc_id: r.group_id for r in fp.groups(df, prints).collect()}
+    got = {r.doc_id: r.group_id for r in fp.groups(df, prints, bits=3).collect()}
     assert [got.get(i, i) for i in range(200)] == [texts.index(t) for t in texts]
 
 
@@ -54,3 +54,11 @@ def test_repeated_rows_and_null_ids(spark):
     out = fp.edited_fingerprints(df)
     assert out.count() == 5 and out.agg(F.countDistinct("fingerprint")).first()[0] == 2
     assert {(r.doc_id, r.group_id) for r in fp.groups(df, fp.fingerprints(df)).collect()} == {(1, 1), (2, 1)}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each (id, fingerprint) has the group of its own text."""
+    df = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "alpha"), (3, "beta"), (3, "beta"), (4, "gamma"), (4, "delta"), (0, "delta")], "doc_id long, text string")
+    names = {fp.digest(t.encode()): t for t in ("alpha", "beta", "gamma", "delta")}
+    got = sorted((r.doc_id, names[r.fingerprint], r.group_id) for r in fp.groups(df, fp.fingerprints(df)).collect())
+    assert got == [(0, "delta", 0), (1, "alpha", 1), (1, "beta", 1), (2, "alpha", 1), (3, "beta", 1), (4, "delta", 0)]
