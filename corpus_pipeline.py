@@ -38,10 +38,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    found = neardup.near_duplicates(docs)
-    gone = common.cut(found.where("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """One document, that of the smallest id, of each group of near-duplicates; rows without id, text or words stay, and of rows of one id only the one with a partner goes."""
+    return neardup.without_copies(docs).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ from pulseforge.llm import common
 WORDS, NEED = 5, 75
 #: Hashes of a signature, rows of a band, hashes that are compared at a time, and the probability that a true pair is dropped at a step.
 HASHES, ROWS, STEP, MISS = 128, 4, 32, 1e-5
-#: Members of a block of a band bucket, and passes in which each member gets only its best candidate of another component.
-BLOCK, PASSES = 256, 2
+#: Members of a block of a band bucket, shingles of its members, and passes in which each member gets only its best candidate of another component.
+BLOCK, FILL, PASSES = 1024, 1 << 20, 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -89,23 +89,23 @@ def survive(x: np.ndarray, y: np.ndarray, need: dict[int, int]) -> np.ndarray:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (size of the set), mark (digest of the set; null if it is empty) and signature of each row."""
+    """id, th (hash of the text), n (size of the set), mark (digest of the set; null if it is empty) and signature of each row."""
 
     def work(parts):
         import pyarrow as pa
         import xxhash
 
-        for keys, texts in parts:
+        for keys, ths, texts in parts:
             sets = list(map(shingles, texts))
             full = [s for s in sets if len(s)]
             sigs = iter(signatures(full) if full else ())
             sig = [next(sigs).tobytes() if len(s) else None for s in sets]
             mark = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(map(len, sets)), pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "mark", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(map(len, sets)), pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary()), pa.array(ths, pa.int64())], names=["id", "n", "mark", "sig", "th"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return common.map_rows(rows, ["id", "text"], work, f"id {kind}, n long, mark binary, sig binary", common.CHUNK_CHARS // 4)
+    return common.map_rows(rows, ["id", "th", "text"], work, f"id {kind}, n long, mark binary, sig binary, th long", common.CHUNK_CHARS // 4)
 
 
 def components(edges: DataFrame, cut=common.cut) -> DataFrame:
@@ -164,7 +164,7 @@ class Linker:
         self.need = least_matches()
 
     def run(self) -> DataFrame:
-        """id, n_shingles, component_id of every row."""
+        """id, th (xxhash64 of the text), n_shingles, component_id of every row."""
         rows = common.cut(sketch(self.docs, "id", "text"), "sketch")
         full = rows.where("id is not null and mark is not null")
         self.reps = common.cut(full.groupBy("mark").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.max("n").alias("n")), "reps")
@@ -187,9 +187,9 @@ class Linker:
         if not links.isEmpty():
             comps = self.absorb(comps, links)
         classes = self.reps.select("mark", "id").join(comps, "id", "left").select("mark", F.coalesce("comp", "id").alias("found"))
-        named = rows.where("mark is not null").join(classes, "mark", "left").select("id", "n", "found")
-        alone = rows.where("mark is null").select("id", "n", F.lit(None).cast("long").alias("found"))
-        return named.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"))
+        named = rows.where("mark is not null").join(classes, "mark", "left").select("id", "th", "n", "found")
+        alone = rows.where("mark is null").select("id", "th", "n", F.lit(None).cast("long").alias("found"))
+        return named.unionByName(alone).select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"))
 
     def absorb(self, comps: DataFrame, tried: DataFrame) -> DataFrame:
         """comps (id, comp of every class) with the components joined that the verified links connect."""
@@ -276,8 +276,8 @@ class Linker:
         # linked sets differ in size by less than a factor; a class is two factors wide, so a member asks its own class and
         # that beside its half of it
         step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / NEED) + 1e-9).cast("int").alias("step")
-        rows = self.members.join(comps, "id").join(self.reps.select("id", step), "id")
-        rows = rows.select("key", "band", "id", "comp", F.floor(F.col("step") / 2).cast("int").alias("cls"), F.when(F.col("step") % 2 == 0, -1).otherwise(1).alias("beside"))
+        rows = self.members.join(comps, "id").join(self.reps.select("id", "n", step), "id")
+        rows = rows.select("key", "band", "id", "comp", "n", F.floor(F.col("step") / 2).cast("int").alias("cls"), F.when(F.col("step") % 2 == 0, -1).otherwise(1).alias("beside"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("main")).where("low <> high")
         rows = common.cut(rows.join(mixed.select("key", "main"), "key"), "mixed")
         schema = "asker long, matches int, a long, b long, ma binary, mb binary"
@@ -285,10 +285,10 @@ class Linker:
             return rows.sparkSession.createDataFrame([], schema)
         # members of the leader's component stand; all others stand too and also ask
         kind = F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind")
-        stand = rows.select("key", "cls", kind, "band", "id", "comp")
-        ask = rows.where("comp <> main").select("key", F.explode(F.array(F.col("cls"), F.col("cls") + F.col("beside"))).alias("cls"), F.lit(2).alias("kind"), "band", "id", "comp")
-        # both sides are dealt to blocks: a group holds a block that stands and a block that asks, whatever the bucket's size
-        count = lambda side, name: side.groupBy("key", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        stand = rows.select("key", "cls", kind, "band", "id", "comp", "n")
+        ask = rows.where("comp <> main").select("key", F.explode(F.array(F.col("cls"), F.col("cls") + F.col("beside"))).alias("cls"), F.lit(2).alias("kind"), "band", "id", "comp", "n")
+        # both sides are dealt to blocks: a group holds a block that stands and a block that asks, whatever the bucket's size and texts
+        count = lambda side, name: side.groupBy("key", "cls").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / FILL)).cast("int").alias(name))
         blocks = common.cut(count(stand, "blocks").join(count(ask, "turns"), ["key", "cls"]), "blocks")
         own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -370,7 +370,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingle. Rows of one id count as one document with several texts; a row without id has no component. An empty table
     gives no rows; other columns are ignored.
     """
-    return Linker(df, id_col, text_col).run().withColumnRenamed("id", id_col)
+    return Linker(df, id_col, text_col).run().drop("th").withColumnRenamed("id", id_col)
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that are no near-duplicate of one with a smaller id; rows without text or id stay.
+
+    Rows of one id are told apart by their texts: only the one that has a partner goes.
+    """
+    found = Linker(df, id_col, text_col).run()
+    gone = common.cut(found.where("id <> component_id").select("id", "th").distinct(), "gone")
+    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    return df.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

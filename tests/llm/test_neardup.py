@@ -116,3 +116,11 @@ def test_size_classes_lose_no_link():
     for n in range(1, 1500):
         for m in range(n, 4 * n // 3 + 1):
             assert place(m)[0] in place(n)[1] and place(n)[0] in place(m)[1], (n, m)
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    same, other = "a b c d e f g h i j k l", "q r s t u v w x y z and more of it"
+    rows = [(1, same), (2, same), (2, other), (3, other + " more"), (None, same), (4, None), (4, ""), (5, same), (5, same)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, th string, n int")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in nd.without_copies(df).select("doc_id", "text").collect())
+    assert kept == sorted([("1", same), ("2", other), ("None", same), ("4", "None"), ("4", "")])
