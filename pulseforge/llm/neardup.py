@@ -22,7 +22,7 @@ WORDS, NEED = 5, 75
 #: Hashes of a signature, rows of a band, hashes that are compared at a time, and the probability that a true pair is dropped at a step.
 HASHES, ROWS, STEP, MISS = 128, 4, 32, 1e-5
 #: Members of a block of a band bucket, shingles of its members, and passes in which each member gets only its best candidate of another component.
-BLOCK, FILL, PASSES = 1024, 1 << 20, 2
+BLOCK, FILL, PASSES = 1024, 1 << 20, 1
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -168,7 +168,7 @@ class Linker:
         rows = common.cut(sketch(self.docs, "id", "text"), "sketch")
         full = rows.where("id is not null and mark is not null")
         self.reps = common.cut(full.groupBy("mark").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.max("n").alias("n")), "reps")
-        bands = self.reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.xxhash64(b, F.expr("sig").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
+        bands = self.reps.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.xxhash64(b, F.expr("sig").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
         leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
         self.members = common.cut(bands.join(leaders, "key"), "members")
         shared = self.members.where("id <> leader").groupBy("id", "leader").count()
@@ -275,35 +275,43 @@ class Linker:
         """
         # linked sets differ in size by less than a factor; a class is two factors wide, so a member asks its own class and
         # that beside its half of it
-        step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / NEED) + 1e-9).cast("int").alias("step")
-        rows = self.members.join(comps, "id").join(self.reps.select("id", "n", step), "id")
-        rows = rows.select("key", "band", "id", "comp", "n", F.floor(F.col("step") / 2).cast("int").alias("cls"), F.when(F.col("step") % 2 == 0, -1).otherwise(1).alias("beside"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("main")).where("low <> high")
-        rows = common.cut(rows.join(mixed.select("key", "main"), "key"), "mixed")
+        rows = self.members.join(comps, "id")
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("main"), F.count("*").alias("held"), F.sum("n").alias("filled")).where("low <> high")
+        rows = rows.join(mixed.select("key", "main", "held", "filled"), "key")
+        if "sig" not in rows.columns:  # the signatures of what stands in mixed buckets, for all passes
+            rows = rows.join(self.reps.select("id", "mark", "sig"), "id")
+        rows = common.cut(rows, "mixed")
+        # components only grow, so other buckets are never mixed again
+        self.members = rows.drop("comp", "main", "held", "filled")
         schema = "asker long, matches int, a long, b long, ma binary, mb binary"
         if rows.isEmpty():
             return rows.sparkSession.createDataFrame([], schema)
+        step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / NEED) + 1e-9).cast("int")
+        rows = rows.withColumns({"cls": F.floor(step / 2).cast("int"), "beside": F.when(step % 2 == 0, -1).otherwise(1), "small": (F.col("held") <= BLOCK) & (F.col("filled") <= FILL)})
         # members of the leader's component stand; all others stand too and also ask
         kind = F.when(F.col("comp") == F.col("main"), 0).otherwise(1).alias("kind")
-        stand = rows.select("key", "cls", kind, "band", "id", "comp", "n")
-        ask = rows.where("comp <> main").select("key", F.explode(F.array(F.col("cls"), F.col("cls") + F.col("beside"))).alias("cls"), F.lit(2).alias("kind"), "band", "id", "comp", "n")
-        # both sides are dealt to blocks: a group holds a block that stands and a block that asks, whatever the bucket's size and texts
-        count = lambda side, name: side.groupBy("key", "cls").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / FILL)).cast("int").alias(name))
+        own_names = ["band", "id", "comp", "mark", "sig"]
+        stand = rows.select("key", "cls", kind, *own_names, "n", "small")
+        ask = rows.where("comp <> main").select("key", F.explode(F.array(F.col("cls"), F.col("cls") + F.col("beside"))).alias("cls"), F.lit(2).alias("kind"), *own_names, "n", "small")
+        names = ["key", "cls", "block", "turn", "kind", *own_names]
+        one = lambda side: side.where("small").withColumns({"block": F.lit(0), "turn": F.lit(0)}).select(*names)
+        # both sides of a larger bucket are dealt to blocks: a group holds a block that stands and a block that asks, whatever the bucket's size and texts
+        big = lambda side: side.where("not small")
+        count = lambda side, name: big(side).groupBy("key", "cls").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / FILL)).cast("int").alias(name))
         blocks = common.cut(count(stand, "blocks").join(count(ask, "turns"), ["key", "cls"]), "blocks")
         own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        names = ["key", "cls", "block", "turn", "kind", "band", "id", "comp"]
-        stand = stand.join(blocks, ["key", "cls"]).withColumn("block", own("blocks")).withColumn("turn", every("turns")).select(*names)
-        ask = ask.join(blocks, ["key", "cls"]).withColumn("turn", own("turns")).withColumn("block", every("blocks")).select(*names)
+        stands = big(stand).join(blocks, ["key", "cls"]).withColumn("block", own("blocks")).withColumn("turn", every("turns")).select(*names)
+        asks = big(ask).join(blocks, ["key", "cls"]).withColumn("turn", own("turns")).withColumn("block", every("blocks")).select(*names)
         need = self.need
-        dealt = stand.unionByName(ask).join(self.reps.select("id", "mark", "sig"), "id")
+        dealt = one(stand).unionByName(one(ask)).unionByName(stands).unionByName(asks)
         if exact:
             dealt = common.cut(dealt, "dealt")
             dealt = dealt.join(common.cut(self.texts(dealt.select("id").distinct()), "texts"), ["id", "mark"])
         else:
             dealt = dealt.withColumn("z", F.lit(None).cast("binary"))
         parts = int(self.reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(parts, *names[:4]).sortWithinPartitions(*names[:5]).select(*names, "mark", "sig", "z")
+        dealt = dealt.repartition(parts, *names[:4]).sortWithinPartitions(*names[:5]).select(*names, "z")
 
         def compare(group, shingles_of):
             """Survivors between the asking and the standing rows of one block."""
