@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_LINES, DEFAULT_FS = 14, 10_000.0
-CHANNELS = ["Time_raw", "CH1", "CH40", "CH41"]
+from pulseforge.sources import text_scan
+from pulseforge.sources.text_scan import CHANNELS, HEADER_LINES
 
 
 def person_key(subject: Column) -> Column:
@@ -20,38 +20,16 @@ def person_by_map(df: DataFrame, people: DataFrame, subject: str = "subject") ->
     return rows.withColumn("person", F.when(F.col("person").isNull(), F.raise_error(F.concat(F.lit("no person for "), F.col(subject).cast("string")))).otherwise(F.col("person")))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and place; a file's lines are numbered within the file by their byte order."""
-    rows = spark.read.option("encoding", "ISO-8859-1").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    return rows
-
-
-def read_recordings(spark: SparkSession, path: str, channels: list[str] | None = None, start: float = 0.0, duration: float | None = None, delay: float = 0.0) -> DataFrame:
+def read_recordings(spark: SparkSession, path: str, channels: list[str] | None = None, start: float = 0.0, duration: float | None = None, delay: float = 0.0, index: list[dict] | None = None) -> DataFrame:
     """Samples of recording text files: file, sample_idx, fs and the wanted channels.
 
     Fourteen header lines are skipped; the sample rate comes from `<x> ms` in them, else 10 kHz; numbers that can't be
-    read and NaN become 0; `delay` seconds are dropped first, then the slice from `start` is taken. Lines are split and
-    parsed by Spark, block by block: line numbers come from counts of the blocks before, so no file is read by one task.
+    read and NaN become 0, lines without a comma give no row; `delay` seconds are dropped first, then the slice from
+    `start` is taken. Files are read by blocks of bytes, and only those blocks that the slice needs. `index` is what
+    text_scan.line_index() gave for the path; without it, it is made by one pass that counts line ends.
     """
-    from pyspark.sql import Window
-
-    wanted = channels or CHANNELS[1:]
-    lines = _lines(spark, path)
-    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rows = lines.join(counts.select("file", "block", "first", "base"), ["file", "block"]).withColumn("line", F.col("base") + F.col("id") - F.col("first"))
-    ms = F.regexp_extract("value", "([0-9.]+)\\s*ms", 1)
-    rate = rows.where(F.col("line") < HEADER_LINES).groupBy("file").agg(F.max_by(F.when(ms != "", 1000.0 / F.expr("try_cast(regexp_extract(value, '([0-9.]+)\\\\s*ms', 1) as double)")), F.when(ms != "", -F.col("line"))).alias("fs"))
-    body = rows.where(F.col("line") >= HEADER_LINES).join(rate, "file", "left").withColumn("fs", F.coalesce("fs", F.lit(DEFAULT_FS)))
-    cells = F.split("value", ",")
-    value = lambda c: F.coalesce(F.nanvl(F.expr(f"try_cast(trim(get(split(value, ','), {CHANNELS.index(c)})) as double)"), F.lit(0.0)), F.lit(0.0))
-    skip = F.round(F.lit(delay) * F.col("fs")).cast("long") + F.round(F.lit(start) * F.col("fs")).cast("long")
-    idx = F.col("line") - HEADER_LINES - skip
-    out = body.where(F.size(cells) > 1).withColumn("sample_idx", idx).where("sample_idx >= 0")
-    if duration is not None:
-        out = out.where(F.col("sample_idx") < F.round(F.lit(duration) * F.col("fs")))
-    return out.select("file", "sample_idx", "fs", *[value(c).alias(c) for c in wanted])
+    index = text_scan.line_index(spark, path) if index is None else index
+    return text_scan.samples(spark, index, channels or CHANNELS[1:], start, duration, delay)
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
