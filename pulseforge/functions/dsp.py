@@ -50,7 +50,11 @@ def response(sections: list[np.ndarray], f: np.ndarray, fs: float) -> np.ndarray
 
 
 def _biquad(s: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """One section, blocks of samples at a time: within a block the response to input and state is a matrix product."""
+    return section(s, x, state)[0]
+
+
+def section(s: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section's output and last state, blocks of samples at a time: within a block the response to input and state is a matrix product."""
     size = 64
     b0, b1, b2, _, a1, a2 = s
     h = np.zeros(size)
@@ -79,6 +83,26 @@ def _biquad(s: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
             z = np.array([b1 * v[-1] - a1 * last + b2 * before_v - a2 * before_y, b2 * v[-1] - a2 * last])
         else:
             z = np.array([b1 * v[-1] - a1 * last + z[1], b2 * v[-1] - a2 * last])
+    return out, z
+
+
+def cascade(sections: list[np.ndarray], x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Output and last state (two numbers for each section) of all sections after each other, from a state."""
+    y, out = np.asarray(x, float), np.empty(2 * len(sections))
+    for k, s in enumerate(sections):
+        y, out[2 * k : 2 * k + 2] = section(s, y, state[2 * k : 2 * k + 2])
+    return y, out
+
+
+def steady_state(sections: list[np.ndarray], level: float) -> np.ndarray:
+    """The state in which each section would be if the input had been `level` forever."""
+    out = np.empty(2 * len(sections))
+    for k, s in enumerate(sections):
+        b, a = s[:3], s[3:]
+        gain = b.sum() / a.sum() if abs(a.sum()) > 1e-300 else 0.0
+        z1 = b[2] - a[2] * gain
+        out[2 * k : 2 * k + 2] = np.array([b[1] - a[1] * gain + z1, z1]) * level
+        level = gain * level
     return out
 
 

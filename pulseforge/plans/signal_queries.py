@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseforge.functions.stats import settle
 from pulseforge.operators import engineer as en
-from pulseforge.operators import models, networks, recordings, signals
+from pulseforge.operators import models, networks, recordings, signals, split
 from pulseforge.operators import scoring as sc
 from pulseforge.plans.registry import query
 from pulseforge.sources import tables
@@ -64,6 +64,17 @@ def filter_chain(spark, d):
     return recordings.each_recording(_synthetic(spark, d), "rec", "sample_idx", ["ecg"], "n long, at long, top double, mean double", kernel)
 
 
+@query("split_filters")
+def split_filters(spark, d):
+    """Each recording's high-passed signal and beat band, filtered in chunks of 4,096 samples: number of samples, and deviation and greatest value of both."""
+    chunks = split.chunked(_synthetic(spark, d), x="ecg", size=4096)
+    out = None
+    for name, rows in (("slow", split.high_pass(chunks, FS)), ("band", split.beat_band(chunks, FS))):
+        told = split.samples(rows).groupBy("rec").agg(F.count("*").alias("n"), F.stddev_pop("x").alias(f"sd_{name}"), F.max("x").alias(f"top_{name}"))
+        out = told if out is None else out.join(told, ["rec", "n"])
+    return out
+
+
 @query("stage_one")
 def stage_one(spark, d):
     return recordings.stage_one(_synthetic(spark, d), FS, raw="raw")

@@ -38,3 +38,10 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, DIR).count() > 0
+
+
+@pytest.mark.parametrize("name", ["stage_one", "ecg_windows", "skna_windows", "beat_vectors"])
+def test_recordings_are_ok(spark, name):
+    """A recording that fails gives a row too, so their share is looked at."""
+    shares = registry.QUERIES[name](spark, DIR).groupBy("status").count().collect()
+    assert {r["status"] for r in shares} == {"ok"}, shares
