@@ -179,3 +179,44 @@ def rectified(band: DataFrame, fs: float, tau: float = 0.01, rec: str = "rec", x
     """The band's absolute values through the leaky integrator, over chunks."""
     a = 1 / fs / (tau + 1 / fs)
     return forward(band.withColumn(x, F.transform(x, F.abs)), [np.array([a, 0.0, 0.0, 1.0, -(1 - a), 0.0])], rec, x)
+
+
+def delay(df: DataFrame, fs: float, most: float, rec: str = "rec", idx: str = "sample_idx", x: str = "x", y: str = "y", size: int = CHUNK) -> DataFrame:
+    """rec, lag (samples by which y is behind x), delay (seconds) and r (the correlation there): the best lag within `most` seconds.
+
+    What dsp.cross_delay() gives for the whole recording: values less their means, no wrap-around, of equal lags the
+    smallest. A chunk of x meets the samples of y within reach of it, sums of products of all lags come from one transform
+    in the task, and Spark adds them by lag. Nulls and NaN count as 0, missing samples as the mean, channels without
+    spread have lag 0 and r 0.
+    """
+    reach = int(most * fs)
+    kind = dict(df.dtypes)[rec]
+    value = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = df.select(rec, F.col(idx).cast("long").alias("__i"), value(x).alias("__x"), value(y).alias("__y"))
+    stats = rows.groupBy(rec).agg(F.min("__i").alias("__low"), F.max("__i").alias("__high"), F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"), (F.count("*") * F.stddev_pop("__x") * F.stddev_pop("__y")).alias("__norm"))
+    rows = rows.join(stats, rec).select(rec, (F.col("__i") - F.col("__low")).alias("i"), (F.col("__x") - F.col("__mx")).alias("x"), (F.col("__y") - F.col("__my")).alias("y"), (F.col("__high") - F.col("__low")).alias("last"))
+    chunk = lambda i: F.floor(i / size).cast("long")
+    near = F.sequence(chunk(F.greatest(F.col("i") - reach, F.lit(0))), chunk(F.least(F.col("i") + reach, F.col("last"))))
+    dealt = rows.select(rec, F.explode(near).alias("chunk"), F.struct("i", "x", "y").alias("s"))
+    held = dealt.groupBy(rec, "chunk").agg(F.collect_list("s").alias("s")).select(rec, "chunk", "s.i", "s.x", "s.y")  # at most size + 2 x reach samples
+
+    def run(batches):
+        import pyarrow as pa
+
+        n = 1 << (2 * size + 2 * reach).bit_length()
+        for b in batches:
+            for k in range(b.num_rows):  # a row is a chunk of many samples
+                at = b.column(1)[k].as_py() * size
+                i, a, c = (np.asarray(b.column(j)[k].values) for j in (2, 3, 4))
+                own, far = np.zeros(size), np.zeros(size + 2 * reach)
+                mine = (i >= at) & (i < at + size)
+                own[i[mine] - at] = a[mine]
+                far[i - at + reach] = c
+                sums = np.fft.irfft(np.fft.rfft(far, n) * np.conj(np.fft.rfft(own, n)), n)[: 2 * reach + 1]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=[rec, "sums"])
+
+    sums = held.mapInArrow(run, f"`{rec}` {kind}, sums array<double>").select(rec, F.posexplode("sums").alias("at", "c"))
+    lags = sums.groupBy(rec, (F.col("at") - reach).cast("long").alias("lag")).agg(F.sum("c").alias("c")).join(stats.select(rec, "__norm", (F.col("__high") - F.col("__low")).alias("__last")), rec)
+    best = lags.where(F.abs("lag") <= F.col("__last")).groupBy(rec).agg(F.max(F.struct("c", (-F.col("lag")).alias("l"))).alias("b"), F.first("__norm").alias("norm"))
+    lag = F.when(F.col("norm") > 0, -F.col("b.l")).otherwise(F.lit(0).cast("long"))
+    return best.select(rec, lag.alias("lag"), (lag / F.lit(float(fs))).alias("delay"), F.when(F.col("norm") > 0, F.col("b.c") / F.col("norm")).otherwise(0.0).alias("r"))

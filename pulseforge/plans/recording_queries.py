@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseforge.functions.stats import settle
 from pulseforge.operators import engineer as en
-from pulseforge.operators import models, recordings
+from pulseforge.operators import models, recordings, split
 from pulseforge.plans.registry import NN, SIG, query, r
 from pulseforge.sources import tables
 
@@ -137,3 +138,14 @@ def graded_predictions(spark, d):
 def catalog(spark, d):
     names = tables.signal(spark, d).select("rec").distinct().select(F.concat(F.lit("s"), "rec", F.when(F.col("rec") % 3 == 0, "_session1").when(F.col("rec") % 3 == 1, "_full").otherwise("")).alias("subject"))
     return names.withColumns({"person": en.person_key(F.col("subject")), "excluded": F.col("subject").isin("s3_session1")})
+
+
+@query("channel_lag", f"""WITH {SIG}, f AS (SELECT rec, idx, x, avg(x) OVER (PARTITION BY rec ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS y FROM sig),
+m AS (SELECT rec, avg(x) AS mx, avg(y) AS my, count(*) * stddev_pop(x) * stddev_pop(y) AS norm FROM f GROUP BY rec),
+c AS (SELECT a.rec, b.idx - a.idx AS lag, sum((a.x - mx) * (b.y - my)) AS c, max(norm) AS norm FROM f a JOIN f b ON b.rec = a.rec AND b.idx - a.idx BETWEEN -8 AND 8 JOIN m ON m.rec = a.rec GROUP BY 1, 2)
+SELECT rec, CASE WHEN max(norm) > 0 THEN arg_max(lag, c) ELSE 0 END AS lag, {r('CASE WHEN max(norm) > 0 THEN max(c) / max(norm) ELSE 0e0 END')} AS r FROM c GROUP BY rec""")
+def channel_lag(spark, d):
+    """How far a trailing mean of five samples comes behind its signal, within eight samples."""
+    last = Window.partitionBy("rec").orderBy("idx").rowsBetween(-4, 0)
+    rows = tables.signal(spark, d).select("rec", "idx", "x", F.avg("x").over(last).alias("y"))
+    return split.delay(rows, 1.0, 8.0, idx="idx", size=4096).select("rec", "lag", settle(F.col("r")).alias("r"))

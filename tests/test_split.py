@@ -62,3 +62,26 @@ def test_a_long_recording_is_many_tasks(spark, data):
     odd = spark.createDataFrame([(1, 0, None), (1, 1, float("nan")), (1, 2, 1.0)], "rec int, sample_idx long, x double")
     assert gathered(split.forward(split.chunked(odd, size=2), dsp.butter(2, 1.0, 10.0)))[1].tolist() == pytest.approx(dsp.sosfilt(dsp.butter(2, 1.0, 10.0), np.array([0.0, 0.0, 1.0])).tolist())
     assert split.high_pass(split.chunked(df.limit(0)), 500.0).count() == 0
+
+
+@pytest.mark.parametrize("size", [16, 300, 10_000])
+def test_delay_of_chunks_equals_that_of_the_whole(spark, size):
+    rng = np.random.default_rng(4)
+    told, rows = {}, []
+    for r, (n, late) in {"a": (900, 37), "b": (700, -21), "c": (40, 3), "d": (2, 0), "e": (1, 0), "f": (50, 0)}.items():
+        base = np.cumsum(rng.normal(size=n + 100)) * (r != "f") + 5
+        x, y = base[50 : 50 + n], base[50 - late : 50 - late + n] + 0.1 * rng.normal(size=n) + 3
+        if n > 60:
+            x[7], y[9] = np.nan, np.nan
+        told[r] = np.nan_to_num(x), np.nan_to_num(y)
+        rows += [(r, i + 1000, None if np.isnan(u) and i % 2 else float(u), float(v)) for i, (u, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "rec string, sample_idx long, x double, y double").repartition(5)
+    got = {r.rec: r for r in split.delay(df, 10.0, 6.0, size=size).collect()}
+    assert set(got) == set(told)
+    for r, (x, y) in told.items():
+        lag, c = dsp.cross_delay(x, y, 10.0, 6.0)
+        if x.std() == 0 or len(x) == 1:
+            assert (got[r].lag, got[r].r) == (0, 0.0)
+        else:
+            assert abs(got[r].delay - lag) < 1e-12 and abs(got[r].r - c) < 1e-9 and got[r].lag == round(lag * 10)
+    assert split.delay(df.limit(0), 10.0, 6.0).count() == 0
