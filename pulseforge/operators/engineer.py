@@ -214,13 +214,73 @@ def graded_arms(df: DataFrame) -> DataFrame:
     return sc.standards(rows, "e", ["target", "arm"]).join(iso, ["target", "arm"])
 
 
+def _found(spark: SparkSession, where: str, **options) -> DataFrame | None:
+    """The table at a path or pattern, None where no file is."""
+    from pyspark.errors import AnalysisException
+
+    reader = spark.read.options(**options)
+    try:
+        return reader.parquet(where) if where.endswith(".parquet") else reader.csv(where, header=True, inferSchema=True)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def pooled_predictions(spark: SparkSession, path: str, pattern: str = "fold_*/predictions.csv") -> DataFrame:
-    """Predictions of a file, or of all folds of a run's folder, with fold (the folder's name)."""
-    where = path if re.search(r"\.(csv|parquet)$", path) else f"{path}/{pattern}"
-    rows = spark.read.csv(where, header=True, inferSchema=True) if where.endswith(".csv") else spark.read.parquet(where)
+    """Predictions of a file, or of all folds of a run's folder, with fold (the folder's name).
+
+    A folder where nothing fits the pattern gives the files of the pattern's last name at any depth; if there are none
+    either, this raises FileNotFoundError.
+    """
+    single = re.search(r"\.(csv|parquet)$", path)
+    rows = _found(spark, path if single else f"{path}/{pattern}")
+    if rows is None and not single:
+        rows = _found(spark, path, recursiveFileLookup=True, pathGlobFilter=pattern.rsplit("/", 1)[-1])
+    if rows is None:
+        raise FileNotFoundError(f"no predictions in {path}")
     return rows.withColumn("fold", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+def zero_delta_bar(spark: SparkSession, path: str, summary: str = "loso_summary.csv", targets: list[str] = TARGETS) -> DataFrame | None:
+    """target and zero_delta, the mean over folds of the errors of the calibration value, from a run's summary; None without the file or its columns."""
+    rows = _found(spark, f"{path}/{summary}")
+    names = {t: f"MAE_{t}_baseline_calib" for t in targets}
+    if rows is None or not set(names.values()) <= set(rows.columns):
+        return None
+    bars = F.array(*[F.struct(F.lit(t).alias("target"), F.avg(F.col(c).cast("double")).alias("zero_delta")) for t, c in names.items()])
+    return rows.agg(bars.alias("b")).select(F.inline("b"))
+
+
+def pooled_runs(spark: SparkSession, paths: list[str], pattern: str = "fold_*/predictions.csv") -> tuple[DataFrame, DataFrame | None]:
+    """Predictions of several files and run folders as one table (columns that one lacks are null), and the first folder's zero-delta bar that there is.
+
+    A folder without predictions adds nothing, as long as some path has any; a named file must be there.
+    """
+    from functools import reduce
+
+    tables, bar = [], None
+    for path in paths:
+        single = re.search(r"\.(csv|parquet)$", path)
+        try:
+            tables.append(pooled_predictions(spark, path, pattern))
+        except FileNotFoundError:
+            if single:
+                raise
+        if bar is None and not single:
+            bar = zero_delta_bar(spark, path)
+    if not tables:
+        raise FileNotFoundError(f"no predictions in {', '.join(paths)}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables), bar
+
+
+def graded_runs(spark: SparkSession, paths: list[str], pattern: str = "fold_*/predictions.csv") -> DataFrame:
+    """graded_arms() of several runs together, with overall (both ISO criteria) and zero_delta, the bar of the calibration value (null without one)."""
+    rows, bar = pooled_runs(spark, paths, pattern)
+    told = graded_arms(rows).withColumn("overall", F.col("criterion1") & F.col("criterion2"))
+    return told.withColumn("zero_delta", F.lit(None).cast("double")) if bar is None else told.join(F.broadcast(bar), "target", "left")  # a row for each target
+
+
 def fine_tune_columns(df: DataFrame, cap: int, targets: list[str] = TARGETS) -> DataFrame:
     """margin_<t> (own mean less tuned), flat_<t> (spread of the predictions over that of the truth) and truncated (the best epoch is at the cap)."""
     new = {}
