@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseforge.functions import ranges
 from pulseforge.functions.stats import try_ratio
+from pulseforge.operators.ceilings import block_of
 
 # The limit of the spread of persons' mean errors by the size of the mean error (ISO 81060-2).
 ISO_LIMITS = [(0.0, 6.95), (0.5, 6.87), (1.0, 6.71), (1.5, 6.47), (2.0, 6.15), (2.5, 5.76), (3.0, 5.29), (3.5, 4.73), (4.0, 4.08), (4.5, 3.34), (5.0, 2.49)]
@@ -74,14 +75,14 @@ def temporal_split(df: DataFrame, rec: str, order: list[str], adapt: float = 0.5
 
 
 def blocked_cv_mean(df: DataFrame, rec: str, order: list[str], blocks: int = 5, gap: int = 1, y: str = "y", least_block: int = 3, least_train: int = 10) -> DataFrame:
-    """Contiguous blocks; each is predicted (p) by the mean of the rows more than `gap` rows away from it.
+    """Contiguous blocks (block k begins at place floor(k * n / blocks)); each is predicted (p) by the mean of the rows more than `gap` rows away from it.
 
     Sums up to each row, taken at the edges of a block, give the training sums, so no pair of rows is compared. Blocks of
     fewer than least_block rows, or with fewer than least_train training rows, have no prediction.
     """
     w = Window.partitionBy(rec)
     rows = df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
-    rows = rows.withColumn("block", F.least(F.lit(blocks - 1), F.floor(F.col("__i") * blocks / F.col("__n"))).cast("int"))
+    rows = rows.withColumn("block", block_of(F.col("__i"), F.col("__n"), blocks))
     ahead = w.orderBy("__i")
     near = F.struct(F.sum(y).over(ahead.rowsBetween(-gap, -1)).alias("s"), F.count(y).over(ahead.rowsBetween(-gap, -1)).alias("c"))
     far = F.struct(F.sum(y).over(ahead.rowsBetween(1, gap)).alias("s"), F.count(y).over(ahead.rowsBetween(1, gap)).alias("c"))

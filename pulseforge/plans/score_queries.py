@@ -83,7 +83,7 @@ def drift(spark, d):
 
 
 @query("blocked_cv_mean", f"""WITH {SIG}, i AS (SELECT rec, x AS y, row_number() OVER (PARTITION BY rec ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY rec) AS n FROM sig),
-b AS (SELECT *, least(4, CAST(floor(i * 5 / n) AS INTEGER)) AS block FROM i), g AS (SELECT rec, block, min(i) AS lo, max(i) AS hi, count(*) AS m FROM b GROUP BY 1, 2),
+b AS (SELECT *, CAST(((i + 1) * 5 - 1) // n AS INTEGER) AS block FROM i), g AS (SELECT rec, block, min(i) AS lo, max(i) AS hi, count(*) AS m FROM b GROUP BY 1, 2),
 m AS (SELECT g.rec, g.block, CASE WHEN m >= 3 AND count(o.y) >= 10 THEN avg(o.y) END AS p FROM g JOIN b o ON o.rec = g.rec AND (o.i < g.lo - 2 OR o.i > g.hi + 2) GROUP BY g.rec, g.block, m)
 SELECT b.rec, b.block, count(*) AS n, {r('avg(abs(p - y))')} AS mae FROM b JOIN m ON m.rec = b.rec AND m.block = b.block GROUP BY 1, 2""")
 def blocked_cv_mean(spark, d):
