@@ -286,26 +286,35 @@ def neighbour_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     return told
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
-    """Nearest-neighbour estimate of the mutual information of two columns in nats, at least 0 (ranks break ties, so it is deterministic)."""
+def digamma(v: np.ndarray | float) -> np.ndarray:
+    """Derivative of the logarithm of the gamma function for numbers of at least 1: six steps up, then the asymptotic series."""
+    v = np.asarray(v, float)
+    w = v + 6
+    series = np.log(w) - 1 / (2 * w) - 1 / (12 * w**2) + 1 / (120 * w**4) - 1 / (252 * w**6)
+    return series - sum(1 / (v + i) for i in range(6))
+
+
+#: Of a neighbour's distance, what counts as nearer: the neighbour itself never does, however its distance was rounded.
+NEARER = 1 - 1e-9
+
+
+def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, ties: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Nearest-neighbour estimate of the mutual information of two columns in nats, at least 0.
+
+    Values are standardised; 1e-10 of the tie-breakers (numbers from 0 to 1; by default the ranks) is added to them.
+    """
     n = len(x)
     if n <= k + 1:
         return 0.0
-    x, y = ((v - v.mean()) / (v.std() or 1.0) + 1e-10 * np.argsort(np.argsort(v, kind="stable")) for v in (x.astype(float), y.astype(float)))
-    gamma = lambda v: np.log(v) - 1 / (2 * v) - 1 / (12 * v**2)
+    u, v = ties if ties else (np.argsort(np.argsort(w, kind="stable")) for w in (x, y))
+    x, y = ((w - w.mean()) / (w.std() or 1.0) + 1e-10 * t for w, t in ((x.astype(float), u), (y.astype(float), v)))
     total = 0.0
-    r = neighbour_distances(x, y, k)
+    r = neighbour_distances(x, y, k) * NEARER
     for v in (x, y):
         own = np.sort(v)
         count = np.searchsorted(own, v + r, "left") - np.searchsorted(own, v - r, "right")
-        total -= gamma(np.maximum(count, 1).astype(float)).sum()
-    return max(0.0, float(gamma(float(n)) + gamma(float(k)) + total / n))
-
-
-def folds(df: DataFrame, person: str) -> DataFrame:
-    """Each row once for every fold (person), with __test for the held-out ones. Persons are few; the explode is by their array, and a fixed number of partitions keeps folds from being merged into one task."""
-    people = df.select(person).distinct()
-    return df.join(F.broadcast(people.agg(F.collect_set(person).alias("__all")))).withColumn("__fold", F.explode("__all")).drop("__all").withColumn("__test", F.col(person) == F.col("__fold")).repartition(64, "__fold")
+        total -= digamma(np.maximum(count, 1)).sum()
+    return max(0.0, float(digamma(n) + digamma(k) + total / n))
 
 
 def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], model: str = "logistic", hidden: int | tuple[int, ...] = 10, alpha: float = 0.01, fpr: float = 0.05, rest: str | None = None) -> DataFrame:
@@ -321,18 +330,6 @@ def loso(df: DataFrame, cols: list[str], y: str, person: str, keys: list[str], m
     return networks.loso(df, cols, y, person, keys, model, hidden, alpha, fpr, rest)
 
 
-def information_by_fold(df: DataFrame, cols: list[str], y: str, person: str) -> DataFrame:
-    """fold, feature, mi: mutual information of each column with the target on the fold's training rows."""
-    import pandas as pd
-
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[~pdf["__test"]].sort_values([y, *cols])
-        return pd.DataFrame({"fold": [key[0]] * len(cols), "feature": cols, "mi": [mutual_information(train[c].to_numpy(), train[y].to_numpy()) for c in cols]})
-
-    kind = dict(df.dtypes)[person]
-    return folds(df.select(person, y, *cols), person).groupBy("__fold").applyInPandas(kernel, f"fold {kind}, feature string, mi double")
-
-
 def person_moments(df: DataFrame, columns: list[str], person: str) -> DataFrame:
     """person, n and moments: sums of the products of (1, columns), row by row of that square matrix.
 

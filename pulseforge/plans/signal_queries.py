@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseforge.functions.stats import settle
 from pulseforge.operators import engineer as en
-from pulseforge.operators import models, networks, recordings, signals, split
+from pulseforge.operators import information, models, networks, recordings, signals, split
 from pulseforge.operators import scoring as sc
 from pulseforge.plans.registry import query
 from pulseforge.sources import tables
@@ -201,4 +201,4 @@ def ablation_arms(spark, d):
 
 @query("mutual_info")
 def mutual_info(spark, d):
-    return models.information_by_fold(_design(spark, d), COLS, "y", "person")
+    return information.information(_design(spark, d), COLS, "y", "person")
