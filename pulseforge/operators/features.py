@@ -134,18 +134,28 @@ def long_form(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     return df.unpivot(keys, cols, "feature", "value")
 
 
-def feature_stats(df: DataFrame, cols: list[str], target: str, person: str) -> DataFrame:
-    """For each column: share of finite values, median, 5th and 95th percentile, pooled correlation with the target, and the median of the correlations within persons (of more than four rows)."""
+def feature_stats(df: DataFrame, cols: list[str], target: str, person: str, information: bool = False) -> DataFrame:
+    """For each column: share of finite values, median, 5th and 95th percentile, pooled correlation with the target, and the median of the correlations within persons (of more than four rows).
+
+    information=True adds mi, the mutual information with the target; values that aren't finite count as the column's median there.
+    """
     rows = long_form(df, cols, [person, target]).withColumn("value", finite(F.col("value")))
     pooled = rows.groupBy("feature").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("finite_share"), safe_corr(F.col("value"), F.col(target)).alias("r_pooled"))
     pooled = pooled.join(ranges.quantiles(rows, ["feature"], "value", [0.5, 0.05, 0.95]).select("feature", "q"), "feature", "left")
     own = rows.groupBy("feature", person).agg(safe_corr(F.col("value"), F.col(target)).alias("r"), F.count("value").alias("n")).where("n > 4")
     within = own.groupBy("feature").agg(quantile("r", 0.5).alias("r_within"))
-    return pooled.join(within, "feature", "left").select("feature", "finite_share", F.col("q")[0].alias("median"), F.col("q")[1].alias("p5"), F.col("q")[2].alias("p95"), "r_pooled", "r_within")
+    out = pooled.join(within, "feature", "left").select("feature", "finite_share", F.col("q")[0].alias("median"), F.col("q")[1].alias("p5"), F.col("q")[2].alias("p95"), "r_pooled", "r_within")
+    if not information:
+        return out
+    from pulseforge.operators import information as mutual
+
+    middle = {r["feature"]: r["median"] for r in out.select("feature", "median").collect()}  # a number for each column
+    filled = df.withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.lit(middle.get(c))) for c in cols})
+    return out.join(F.broadcast(mutual.information(filled, cols, target).drop("fold")), "feature", "left")
 
 
 #: What features may be ranked by (columns of feature_stats).
-RANKINGS = ["r_pooled", "r_within", "finite_share", "median", "p5", "p95"]
+RANKINGS = ["r_pooled", "r_within", "mi", "finite_share", "median", "p5", "p95"]
 
 
 def top_features(stats: DataFrame, key: str = "r_pooled", k: int = 5) -> DataFrame:

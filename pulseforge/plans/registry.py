@@ -40,4 +40,4 @@ def r(x: str, digits: int = 6) -> str:
     return f"round({x} + 1e-9, {digits})"
 
 
-from pulseforge.plans import ceiling_queries, event_queries, feature_queries, recording_queries, score_queries, signal_queries, window_queries  # noqa: E402, F401
+from pulseforge.plans import ablation_queries, ceiling_queries, event_queries, feature_queries, recording_queries, score_queries, signal_queries, window_queries  # noqa: E402, F401
