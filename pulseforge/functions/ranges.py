@@ -33,6 +33,43 @@ def ranged(df: DataFrame, col: str, name: str = "range", parts: int | None = Non
     return add
 
 
+def ranged_by(df: DataFrame, by: list[str], col: str, name: str = "range", parts: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Like ranged(), with cut points of each group: only groups of more than a part of all rows are cut, the others are range 0.
+
+    At most `parts` groups are that large, and they have at most 2 * parts cut points together, so these are numbers on the
+    driver and a small broadcast. Groups whose key is null aren't cut.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*by, F.col(col).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    part = F.greatest(F.sum("__n") / F.lit(float(parts)), F.lit(1.0)).alias("__part")
+    hot = sizes.crossJoin(F.broadcast(sizes.agg(part))).where("__n > __part").select(*by, F.ceil(F.col("__n") / F.col("__part")).cast("int").alias("__k")).collect() if parts > 1 else []
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    cuts = []
+    if hot:
+        pieces = spark.createDataFrame(hot, f"{schema}, __k int")
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        found = rows.join(F.broadcast(pieces), by).groupBy(*by).agg(F.first("__k").alias("__k"), F.percentile_approx("x", shares, 20 * parts).alias("__q"))
+        step = lambda i: F.greatest(F.floor(i * F.lit(parts) / F.col("__k")).cast("int"), F.lit(1))
+        told = F.transform(F.sequence(F.lit(1), F.col("__k") - 1), lambda i: F.element_at("__q", F.least(step(i), F.lit(parts - 1))))
+        cuts = found.where("__k > 1").select(*by, F.array_sort(F.array_distinct(told)).alias("__cuts")).collect()
+    if not cuts:
+        return lambda frame: frame.withColumn(name, F.lit(0))
+    fixed = spark.createDataFrame(cuts, f"{schema}, __cuts array<double>")
+
+    def add(frame: DataFrame) -> DataFrame:
+        x = F.col(col).cast("double")
+        upto = lambda those: F.size(F.filter(those, lambda c: c <= x))
+        every = F.filter("__cuts", lambda c, i: i % 32 == 0)  # each 32nd cut point, then those behind the last of them
+        frame = frame.join(F.broadcast(fixed), by, "left").withColumn("__i", F.when(F.col("__cuts").isNotNull(), upto(every)).otherwise(0))
+        inside = F.when(F.col("__i") > 0, (F.col("__i") - 1) * 32 + upto(F.slice("__cuts", (F.col("__i") - 1) * 32 + 1, F.lit(32)))).otherwise(0)
+        return frame.withColumn(name, inside.cast("int")).drop("__cuts", "__i")
+
+    return add
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
     """by, n and q (array of the interpolated quantiles qs of value), exact, without a group meeting in one task.
 
@@ -40,7 +77,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> Data
     range's values are put in order. Nulls and NaN take no part; groups without a value give no row.
     """
     counts = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)").groupBy(*by, "__v").agg(F.count("*").alias("__c"))
-    counts = ranged(counts, "__v", "__r")(counts)
+    counts = (ranged_by(counts, by, "__v", "__r") if by else ranged(counts, "__v", "__r"))(counts)
     sums = counts.groupBy(*by, "__r").agg(F.sum("__c").alias("__s"))
     key = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     sums = sums.withColumns({"__n": F.sum("__s").over(key), "__b": F.sum("__s").over(key.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))}).withColumn("__b", F.coalesce("__b", F.lit(0)))
