@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(name: str = "pulseforge", cores: str | int | None = None, partitions: int = 8) -> SparkSession:
-    """A local session with UTC time, adaptive execution and few shuffle partitions."""
+    """A local session with UTC time, adaptive execution, few shuffle partitions and RocksDB for the state of streams."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -16,6 +16,7 @@ def local_session(name: str = "pulseforge", cores: str | int | None = None, part
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", os.environ.get("PULSEFORGE_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")
