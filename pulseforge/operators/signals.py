@@ -79,6 +79,7 @@ class Levels:
     def __init__(self, signal: float, noise: float, fs: float):
         self.signal, self.noise, self.fs = signal, noise, fs
         self.beats: list[int] = []
+        self.since: list[tuple[int, float, float]] = []  # peaks after the last beat
         self.recent: list[int] = []
         self.regular: list[int] = []
         self.usual: float | None = None
@@ -101,11 +102,28 @@ class Levels:
                 self.regular = [*self.regular, gap][-8:]
             self.usual = float(np.clip(np.mean(self.regular or self.recent), 0.3 * self.fs, 2.0 * self.fs))
         self.beats.append(i)
+        self.since = [p for p in self.since if p[0] > i]
         self.signal, self.steep = 0.125 * height + 0.875 * self.signal, steep
 
     def pass_over(self, height: float) -> None:
         self.noise = 0.125 * height + 0.875 * self.noise
 
+    def meet(self, i: int, height: float, steep: float, search_back: bool) -> None:
+        """The next peak; a long gap before it is searched first."""
+        if search_back and self.beats and self.usual and i - self.beats[-1] > SEARCH_BACK * self.usual:
+            clear = max(1, round(REFRACTORY * self.fs))
+            gap = [p for p in self.since if self.beats[-1] + clear <= p[0] < i - clear]
+            if gap:
+                best = max(gap, key=lambda p: (p[1], -p[0]))
+                if best[1] > self.threshold / 2 and not self.t_wave(best[0], best[2]):
+                    self.take(*best)
+        if height > self.threshold and not self.t_wave(i, steep):
+            self.take(i, height, steep)
+        else:
+            self.pass_over(height)
+            if search_back:
+                self.since.append((i, height, steep))
+
 
 def decide(energy: np.ndarray, fs: float, search_back: bool = False) -> np.ndarray:
     """Indices of beats among the peaks of the energy, by two running levels (signal and noise) and a threshold between them.
@@ -126,20 +144,100 @@ def decide(energy: np.ndarray, fs: float, search_back: bool = False) -> np.ndarr
     change = np.abs(np.diff(energy))
     steep = {i: float(change[max(0, i - reach) : i].max(initial=0.0)) for i in at.tolist()}
     for i in at.tolist():
-        if search_back and state.beats and state.usual and i - state.beats[-1] > SEARCH_BACK * state.usual:
-            gap = at[(at >= state.beats[-1] + clear) & (at < i - clear)]
-            if len(gap):
-                j = int(gap[np.argmax(energy[gap])])
-                if energy[j] > state.threshold / 2 and not state.t_wave(j, steep[j]):
-                    state.take(j, float(energy[j]), steep[j])
-        height = float(energy[i])
-        if height > state.threshold and not state.t_wave(i, steep[i]):
-            state.take(i, height, steep[i])
-        else:
-            state.pass_over(height)
+        state.meet(i, float(energy[i]), steep[i], search_back)
     return np.array(state.beats, int)
 
 
+class BeatStream:
+    """decide() over chunks of the energy as they arrive: push() tells the beats that later samples can't change.
+
+    A peak is settled once no later one can be the taller within the refractory time; until then it is held back, with a
+    tail of the energy. Levels start from the first ten seconds, at the first push that settles a peak after them (decide()
+    takes the whole recording where these hold fewer than five peaks). Peaks above `limit` are artefacts; decide() sets that
+    limit from all peaks. What is kept doesn't grow with the recording, but with search_back for the peaks since the last beat.
+    """
+
+    def __init__(self, fs: float, limit: float | None = None, search_back: bool = False):
+        self.fs, self.limit, self.search_back = fs, limit, search_back
+        self.base, self.tail, self.early = 0, [], []  # place of the tail's first sample; the tail; energy of the first ten seconds
+        self.open: list[list] = []  # peaks: place, height, steepness, and whether it stays (None: not known yet)
+        self.waiting: list[tuple[int, float, float]] = []  # settled peaks before the levels are set
+        self.levels: Levels | None = None
+        self.after = -1  # the last peak that is settled
+
+    def push(self, energy: np.ndarray, last: bool = False) -> list[int]:
+        """The beats (places from the first sample on) that these samples settle; last: no more will come."""
+        clear, reach, ten = max(1, round(REFRACTORY * self.fs)), max(1, round(0.075 * self.fs)), int(10 * self.fs)
+        if self.levels is None:
+            self.early = [*self.early, *np.asarray(energy, float)[: max(1, ten) - len(self.early)].tolist()]
+        x = np.concatenate([self.tail, np.asarray(energy, float)])
+        end = self.base + len(x)
+        seen = self.open[-1][0] if self.open else -1
+        change = np.abs(np.diff(x))
+        for i in dsp.find_peaks(x, 1).tolist():
+            if i + self.base > seen:
+                self.open.append([i + self.base, float(x[i]), float(change[max(0, i - reach) : i].max(initial=0.0)), None])
+        step = np.flatnonzero(np.diff(x))
+        # a peak that has begun lies after the last step that isn't flat; a new one can lie there at the earliest
+        begun = int(step[-1]) if len(step) else 0
+        cut = max(0, min(begun, len(x) - 1) - reach - 1)
+        frontier = end if last else self.base + begun + 1
+        self.tail, self.base = x[cut:].tolist(), self.base + cut
+        for k in sorted(range(len(self.open)), key=lambda k: (self.open[k][1], self.open[k][0]), reverse=True):
+            at, height, _, known = self.open[k]
+            if known is not None:
+                continue
+            taller = [p[3] for p in self.open if abs(p[0] - at) < clear and (p[1], p[0]) > (height, at)]
+            if any(taller):
+                self.open[k][3] = False
+            elif None not in taller and (last or at + clear <= frontier):
+                self.open[k][3] = True
+        unknown = next((k for k, p in enumerate(self.open) if p[3] is None), len(self.open))
+        told = [tuple(p[:3]) for p in self.open[:unknown] if p[3]]
+        done = [p for p in told if p[0] > self.after]
+        if unknown:
+            self.after = max(self.after, self.open[unknown - 1][0])
+        edge = (self.open[unknown][0] if unknown < len(self.open) else frontier) - clear
+        self.open = [p for k, p in enumerate(self.open) if k >= unknown or p[0] > edge or k == len(self.open) - 1]
+        self.waiting += [p for p in done if self.limit is None or p[1] <= self.limit]
+        if self.levels is None:
+            if not (last or (self.waiting and self.waiting[-1][0] >= ten)):
+                return []
+            heights = [p[1] for p in self.waiting if p[0] < ten]
+            heights = heights if len(heights) >= 5 else [p[1] for p in self.waiting]
+            if not heights:
+                return []
+            self.levels = Levels(float(np.percentile(heights, 75)), float(np.median(self.early)), self.fs)
+            self.early = []
+        before = len(self.levels.beats)
+        for p in self.waiting:
+            self.levels.meet(*p, self.search_back)
+        self.waiting = []
+        beats = self.levels.beats[before:]
+        self.levels.beats = self.levels.beats[-1:]
+        return beats
+
+    def dump(self) -> str:
+        """The state as text; numbers keep all their digits."""
+        import json
+
+        return json.dumps(self.__dict__ | {"levels": self.levels and self.levels.__dict__})
+
+    @classmethod
+    def load(cls, text: str) -> BeatStream:
+        import json
+
+        held = json.loads(text)
+        out = cls(held["fs"])
+        out.__dict__.update(held)
+        out.waiting = [tuple(p) for p in held["waiting"]]
+        if held["levels"]:
+            out.levels = Levels(0.0, 0.0, held["fs"])
+            out.levels.__dict__.update(held["levels"])
+            out.levels.since = [tuple(p) for p in out.levels.since]
+        return out
+
+
 def spans_of(x: np.ndarray, at: np.ndarray, fs: float, scale: float) -> list[tuple[int, int]]:
     """50 ms to both sides of each coarse beat on the full-rate grid."""
     half = max(1, round(0.05 * fs))

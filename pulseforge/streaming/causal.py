@@ -138,6 +138,30 @@ def _windowed(rows: DataFrame, rec: str, order: str, x: str, window: int, schema
     return rows.groupBy(rec).applyInPandasWithState(step, schema, "seen array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def beats(stream: DataFrame, fs: float, rec: str = "rec", order: str = "idx", energy: str = "energy", limit: float | None = None, search_back: bool = False) -> DataFrame:
+    """rec and at (value of `order`) of each beat, as soon as later samples can't change it (signals.BeatStream).
+
+    Rows are the detector's energy (signals.filter_chain), a sample each, and must arrive in order from batch to batch and
+    without gaps; batches of any size give the same beats. Null and NaN energy counts as 0.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    from pulseforge.operators.signals import BeatStream
+
+    def step(key, batches: Iterator, state: GroupState):
+        import pandas as pd
+
+        batch = pd.concat(list(batches)).sort_values(order, kind="stable")
+        first, text = state.get if state.exists else (int(batch[order].iloc[0]), None)
+        held = BeatStream.load(text) if text else BeatStream(fs, limit, search_back)
+        found = held.push(batch[energy].fillna(0.0).to_numpy(float))
+        state.update((first, held.dump()))
+        yield pd.DataFrame({rec: [key[0]] * len(found), "at": [first + i for i in found]})
+
+    kinds = dict(stream.dtypes)
+    return stream.select(rec, order, F.col(energy).cast("double").alias(energy)).groupBy(rec).applyInPandasWithState(step, f"{rec} {kinds[rec]}, at long", "first long, held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_alarm(stream: DataFrame, n: int, rec: str = "rec", order: str = "idx", flag: str = "flag") -> DataFrame:
     """A row when the run of flags of a recording first reaches n; the state is the length of the open run."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
