@@ -52,10 +52,11 @@ def zero_delta(spark, d):
 @query("gap_to_baseline", f"""WITH {OFFSET}, {"own AS (SELECT person, sum(y) AS s, count(y) AS n FROM pred GROUP BY 1), tot AS (SELECT sum(s) AS ss, sum(n) AS nn FROM own), m AS (SELECT p.person, avg(abs(off - y)) AS zero, avg(abs((ss - s) / nullif(nn - n, 0) - y)) AS train FROM pred p JOIN o USING (person) JOIN own USING (person), tot GROUP BY 1)"}
 SELECT person, {r('zero - train')} AS gap, CASE WHEN zero < train THEN 'BEATS' ELSE 'does not beat' END AS verdict FROM m""")
 def gap_to_baseline(spark, d):
-    """Gap of the calibration value to the mean of the others, and whether it is strictly better."""
+    """Gap of the calibration value to the mean of the others, and whether it is strictly better: by more than the sums' rounding, so equal means never beat each other."""
     rows = sc.loso_baselines(sc.calibration_offset(tables.predictions(spark, d), 120.0))
-    m = rows.groupBy("person").agg(F.avg(F.abs(F.col("offset") - F.col("y"))).alias("zero"), F.avg(F.abs(F.col("train_mean") - F.col("y"))).alias("train"))
-    return m.select("person", settle(F.col("zero") - F.col("train")).alias("gap"), F.when(F.col("zero") < F.col("train"), "BEATS").otherwise("does not beat").alias("verdict"))
+    m = rows.groupBy("person").agg(F.avg(F.abs(F.col("offset") - F.col("y"))).alias("zero"), F.avg(F.abs(F.col("train_mean") - F.col("y"))).alias("train"), F.count("*").alias("n"))
+    rounding = F.col("n") * F.lit(2.0**-52) * (F.col("zero") + F.col("train"))
+    return m.select("person", settle(F.col("zero") - F.col("train")).alias("gap"), F.when(F.col("train") - F.col("zero") > rounding, "BEATS").otherwise("does not beat").alias("verdict"))
 
 
 @query("loso_ridge_1d", f"""WITH {SIG}, s AS (SELECT person, count(*) AS n, sum(t / 86400) AS sx, sum(x) AS sy, sum((t / 86400) * (t / 86400)) AS sxx, sum((t / 86400) * x) AS sxy FROM sig GROUP BY 1),

@@ -54,3 +54,21 @@ def test_runs_and_grades(spark):
     assert got[1] == ("A", "A", True) and got[2][0] == "D" and got[2][2] is False and got[3] == ("N/A", "N/A", False)
     lim = spark.createDataFrame([(x,) for x in (0.0, 0.25, 5.0, 5.01, -5.0)], "m double").select(scoring.iso_limit(F.col("m"))).collect()
     assert [round(r[0], 6) for r in lim] == [6.95, 6.91, 2.49, 0.0, 2.49]
+
+
+def test_equal_errors_do_not_beat(spark, tmp_path):
+    """Arms that both lie between a person's two middle values have equal errors, however their sums round; a smaller error is a win."""
+    from pulseforge.plans.registry import QUERIES
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for p in range(60):
+        half = int(rng.integers(5, 60))
+        values = rng.permutation([*rng.uniform(0.05, 0.2, half), *rng.uniform(0.8, 0.95, half)])
+        rows += [(p, i, p, float(v)) for i, v in enumerate(values)]
+    rows += [(60, i, 60, 0.1) for i in range(8)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").withColumn("l_shipdate", F.to_timestamp_ntz(F.lit("2020-01-01 00:00:00")))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    told = {r.person: (r.gap, r.verdict) for r in QUERIES["gap_to_baseline"](spark, str(tmp_path)).collect()}
+    assert told.pop(60)[1] == "BEATS"
+    assert set(told.values()) == {(0.0, "does not beat")} and len(told) == 60
