@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -53,37 +54,52 @@ def _biquad(s: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     return section(s, x, state)[0]
 
 
-def section(s: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One section's output and last state, blocks of samples at a time: within a block the response to input and state is a matrix product."""
-    size = 64
-    b0, b1, b2, _, a1, a2 = s
-    h = np.zeros(size)
-    basis = np.zeros((2, size))
-    for k, (impulse, z) in enumerate(((1.0, (0.0, 0.0)), (0.0, (1.0, 0.0)), (0.0, (0.0, 1.0)))):
-        z0, z1 = z
-        for i in range(size):
+#: Samples of a block of the recursion.
+BLOCK = 32
+
+
+@lru_cache(maxsize=64)
+def _block(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """A block's response to its samples (a matrix), to the two numbers of the state before it, and how these move the state after it."""
+    told = []
+    for impulse, z0, z1 in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)):
+        row = []
+        for i in range(BLOCK):
             v = impulse if i == 0 else 0.0
             y = b0 * v + z0
             z0, z1 = b1 * v - a1 * y + z1, b2 * v - a2 * y
-            if k == 0:
-                h[i] = y
-            else:
-                basis[k - 1, i] = y
-    toeplitz = np.array([[h[i - j] if i >= j else 0.0 for j in range(size)] for i in range(size)])
-    out = np.empty(len(x))
-    z = state.astype(float).copy()
-    for lo in range(0, len(x), size):
-        v = x[lo : lo + size]
-        n = len(v)
-        y = toeplitz[:n, :n] @ v + z[0] * basis[0, :n] + z[1] * basis[1, :n]
-        out[lo : lo + n] = y
-        last = y[-1]
-        before_v, before_y = (v[-2], y[-2]) if n > 1 else (None, None)
-        if n > 1:
-            z = np.array([b1 * v[-1] - a1 * last + b2 * before_v - a2 * before_y, b2 * v[-1] - a2 * last])
-        else:
-            z = np.array([b1 * v[-1] - a1 * last + z[1], b2 * v[-1] - a2 * last])
-    return out, z
+            row.append(y)
+        told.append((row, z0, z1))
+    h = np.array(told[0][0])
+    lag = np.arange(BLOCK)[None, :] - np.arange(BLOCK)[:, None]
+    return np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0), np.array([told[1][0], told[2][0]]), [told[1][1], told[2][1], told[1][2], told[2][2]]
+
+
+def section(s: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section's output and last state. All blocks' responses to their samples are one matrix product; only the two numbers of the state go from block to block."""
+    b0, b1, b2, _, a1, a2 = s.tolist()
+    own, free, (m00, m01, m10, m11) = _block(b0, b1, b2, a1, a2)
+    x = np.asarray(x, float)
+    n = len(x)
+    whole = n // BLOCK
+    z0, z1 = map(float, state)
+    out = np.empty(n)
+    if whole:
+        v = x[: whole * BLOCK].reshape(whole, BLOCK)
+        y = v @ own
+        adds0 = (b1 * v[:, -1] - a1 * y[:, -1] + b2 * v[:, -2] - a2 * y[:, -2]).tolist()
+        adds1 = (b2 * v[:, -1] - a2 * y[:, -1]).tolist()
+        before = []
+        for p, q in zip(adds0, adds1, strict=True):
+            before.append((z0, z1))
+            z0, z1 = m00 * z0 + m01 * z1 + p, m10 * z0 + m11 * z1 + q
+        y += np.array(before) @ free
+        out[: whole * BLOCK] = y.ravel()
+    for i, v in enumerate(x[whole * BLOCK :].tolist(), whole * BLOCK):
+        y = b0 * v + z0
+        z0, z1 = b1 * v - a1 * y + z1, b2 * v - a2 * y
+        out[i] = y
+    return out, np.array([z0, z1])
 
 
 def cascade(sections: list[np.ndarray], x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,16 +160,16 @@ def resample_poly(x: np.ndarray, up: int, down: int, beta: float = 5.0) -> np.nd
     n = np.arange(-half, half + 1)
     taps = np.sinc(n / most) / most * np.kaiser(2 * half + 1, beta)
     taps *= up / taps.sum()
-    size = -(-len(x) * up // down)
-    at = np.arange(size) * down
-    out = np.zeros(size)
-    for k in range(-(-(2 * half + 1) // up)):
-        # the input sample that lies k steps back from the newest one within the filter's reach
-        newest = (at + half) // up
-        src = newest - k
-        tap = at + half - src * up
-        ok = (src >= 0) & (src < len(x)) & (tap >= 0) & (tap <= 2 * half)
-        out[ok] += x[src[ok]] * taps[tap[ok]]
+    size, reach = -(-len(x) * up // down), -(-(2 * half + 1) // up)
+    wide = np.concatenate([np.zeros(reach), x, np.zeros(half // up + down + 1)])
+    out = np.empty(size)
+    for phase in range(min(up, size)):
+        # outputs at every up-th place use the same taps, on input samples that lie `down` apart
+        newest, tap = divmod(phase * down + half, up)
+        own = taps[tap::up][::-1]
+        count = -(-(size - phase) // up)
+        first = newest + reach - len(own) + 1
+        out[phase::up] = np.lib.stride_tricks.sliding_window_view(wide[first : first + (count - 1) * down + len(own)], len(own))[::down] @ own
     return out
 
 
@@ -176,13 +192,10 @@ def resample_fft(x: np.ndarray, n: int) -> np.ndarray:
 def analytic_envelope(x: np.ndarray) -> np.ndarray:
     """Magnitude of the analytic signal."""
     n = len(x)
-    spec = np.fft.fft(x)
-    weight = np.zeros(n)
-    weight[0] = 1
-    weight[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        weight[n // 2] = 1
-    return np.abs(np.fft.ifft(spec * weight))
+    spec = np.zeros(n, complex)
+    spec[: n // 2 + 1] = np.fft.rfft(x)
+    spec[1 : (n + 1) // 2] *= 2
+    return np.abs(np.fft.ifft(spec))
 
 
 def periodogram(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
@@ -217,11 +230,14 @@ def find_peaks(x: np.ndarray, distance: int = 1) -> np.ndarray:
     at = np.flatnonzero(step)
     rise = np.flatnonzero((step[at[:-1]] > 0) & (step[at[1:]] < 0)) if len(at) > 1 else np.zeros(0, int)
     peaks = (at[rise] + 1 + at[rise + 1]) // 2
+    if distance <= 1:
+        return peaks
     keep = np.ones(len(peaks), bool)
-    for k in np.argsort(x[peaks], kind="stable")[::-1]:
+    lo, hi = (np.searchsorted(peaks, peaks + d).tolist() for d in (1 - distance, distance))
+    for k in np.argsort(x[peaks], kind="stable")[::-1].tolist():
         if keep[k]:
-            near = (np.abs(peaks - peaks[k]) < distance) & (np.arange(len(peaks)) != k)
-            keep[near] = False
+            keep[lo[k] : hi[k]] = False
+            keep[k] = True
     return peaks[keep]
 
 

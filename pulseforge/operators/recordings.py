@@ -2,19 +2,20 @@
 
 A recording is one group of applyInPandas, and recordings run in parallel. A recording that fails gives one row whose
 `status` tells why, so the others aren't lost; rows of a recording that works have the status ok. Inputs have a row for
-each sample: rec, sample_idx and the channels.
+each sample: rec, sample_idx and the channels; or they are Made.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseforge.functions import dsp, kernels
+from pulseforge.functions import dsp, kernels, steps
 from pulseforge.functions.stats import quantile
 from pulseforge.operators import signals
 
@@ -29,16 +30,52 @@ GRID = "window_idx long, t_start_sec double, t_center_sec double, t_raw_center_s
 ANALYSIS_FS, HR_LEAST, HR_MOST = 500.0, 30.0, 200.0
 
 
-def each_recording(df: DataFrame, rec: str, idx: str, cols: list[str], schema: str, kernel: Callable) -> DataFrame:
+@dataclass(frozen=True)
+class Made:
+    """Recordings whose samples are made in the task that needs them, so that neither a shuffle nor a sort carries samples.
+
+    rows has a few rows for each recording, which `order` puts in order; make(columns by name, channels wanted) gives the
+    channels' samples of such rows, one row's after the other's. span (columns, needed by split.chunked alone) is the place of a
+    row's first sample and their number. Operators take one wherever they take a row for each sample.
+    """
+
+    rows: DataFrame
+    order: str
+    columns: list[str]
+    make: Callable
+    span: tuple[str, str] | None = None
+
+
+def grouped(df: DataFrame | Made, rec: str, idx: str, cols: list[str]) -> tuple[DataFrame, Callable]:
+    """Rows for a group of each recording, and a function from a group's pandas table to its channels with `idx`, in order."""
+    if isinstance(df, Made):
+        order, columns, make = df.order, df.columns, df.make
+
+        def channels(pdf):
+            pdf = pdf.sort_values(order)
+            out = make({c: pdf[c].to_numpy() for c in columns}, cols)
+            return out | {idx: np.arange(len(next(iter(out.values()))))}
+
+        return df.rows.select(*dict.fromkeys([rec, order, *columns])), channels
+
+    def read(pdf):
+        pdf = pdf.sort_values(idx)
+        return {c: pdf[c].to_numpy() for c in [*cols, idx]}
+
+    return df.select(rec, idx, *cols), read
+
+
+def each_recording(df: DataFrame | Made, rec: str, idx: str, cols: list[str], schema: str, kernel: Callable) -> DataFrame:
     """kernel(samples by column name, in order) -> list of dicts, for each recording, as rec, the schema's columns and status."""
     import pandas as pd
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    rows, channels = grouped(df, rec, idx, cols)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
+        held = channels(pdf)
         try:
-            rows = kernel({c: np.nan_to_num(pdf[c].to_numpy(float)) for c in cols})
+            rows = kernel({c: np.nan_to_num(held[c].astype(float)) for c in cols})
             status = "ok"
         except Exception as e:  # one bad recording must not end the others
             rows, status = [dict.fromkeys(names)], f"{type(e).__name__}: {e}"[:200]
@@ -47,8 +84,7 @@ def each_recording(df: DataFrame, rec: str, idx: str, cols: list[str], schema: s
         out["status"] = status
         return out
 
-    kind = dict(df.dtypes)[rec]
-    return df.select(rec, idx, *cols).groupBy(rec).applyInPandas(run, f"{rec} {kind}, {schema}, status string")
+    return rows.groupBy(rec).applyInPandas(run, f"{rec} {dict(rows.dtypes)[rec]}, {schema}, status string")
 
 
 def clock_offset(delay: Column, start: Column, lead_in: Column) -> Column:
@@ -72,7 +108,7 @@ def first_beats(x: np.ndarray, raw: np.ndarray | None, fs: float, start: float,
     return {"x": x, "beats": beats, "upright": signals.upright(x, signals.spans_of(x, beats, fs, 1.0)), "delay_sec": delay, "delay_r": r, "leadin_sec": lead, "clock_offset_sec": delay + start + lead}
 
 
-def stage_one(df: DataFrame, fs: float, rec: str = "rec", idx: str = "sample_idx", x: str = "ecg", raw: str | None = None, start: float = 0.0, trim_lead_in: bool = False, corner: float | None = 0.08, search_back: bool = False) -> DataFrame:
+def stage_one(df: DataFrame | Made, fs: float, rec: str = "rec", idx: str = "sample_idx", x: str = "ecg", raw: str | None = None, start: float = 0.0, trim_lead_in: bool = False, corner: float | None = 0.08, search_back: bool = False) -> DataFrame:
     """Beats of every recording with its clock: rec, delay_sec, delay_r, leadin_sec, clock_offset_sec, upright, n_samples, beats (array of sample numbers), status.
 
     With a raw channel the delay of x behind it is estimated and taken off if their correlation is at least a half.
@@ -98,6 +134,7 @@ def quality_report(stage: DataFrame, fs: float, rec: str = "rec") -> DataFrame:
     """By recording: beats, heart rate and intervals within 30-200 per minute, duration of two intervals, status; and the length that suits the longest 99th percentile of all recordings."""
     from pulseforge.operators import windows
 
+    stage = steps.cut(stage, "stage")  # read three times below
     nn = beat_rows(stage, fs, rec).where("nn is not null").withColumnRenamed(rec, "rec")
     stats = windows.beat_stats(nn, 60 / HR_MOST, 60 / HR_LEAST).withColumnRenamed("rec", rec)
     top = stats.agg(F.max("p99").alias("longest"))
@@ -137,7 +174,7 @@ def grid(n: int, fs: float, window: float, stride: float):
         yield {"window_idx": k, "t_start_sec": lo / fs, "t_center_sec": (lo + size / 2) / fs}, lo, lo + size
 
 
-def ecg_windows(df: DataFrame, fs: float, window: float = 30.0, stride: float = 5.0, rec: str = "rec", idx: str = "sample_idx", x: str = "ecg", raw: str | None = None, norm: str = "none", trim_lead_in: bool = False, corner: float | None = 0.08) -> DataFrame:
+def ecg_windows(df: DataFrame | Made, fs: float, window: float = 30.0, stride: float = 5.0, rec: str = "rec", idx: str = "sample_idx", x: str = "ecg", raw: str | None = None, norm: str = "none", trim_lead_in: bool = False, corner: float | None = 0.08) -> DataFrame:
     """The 19 features of sliding windows: rec, window grid, n_beats, lf_reliable, ECG_FEATURES, status. norm: none, or recording (unit deviation)."""
     if norm not in ("none", "recording"):
         raise ValueError(f"no such normalisation: {norm}")
@@ -159,7 +196,7 @@ def ecg_windows(df: DataFrame, fs: float, window: float = 30.0, stride: float =
     return each_recording(df, rec, idx, [x, *([raw] if raw else [])], schema, kernel)
 
 
-def nerve_windows(df: DataFrame, fs: float, window: float = 30.0, stride: float = 5.0, rec: str = "rec", idx: str = "sample_idx", x: str = "skna", offset: float = 0.0, norm: str = "none", detrend: bool = False) -> DataFrame:
+def nerve_windows(df: DataFrame | Made, fs: float, window: float = 30.0, stride: float = 5.0, rec: str = "rec", idx: str = "sample_idx", x: str = "skna", offset: float = 0.0, norm: str = "none", detrend: bool = False) -> DataFrame:
     """The 11 features of sliding windows of the nerve channel (millivolts): rec, window grid, NERVE_FEATURES, status."""
 
     def kernel(c):
@@ -178,6 +215,7 @@ def report(df: DataFrame, cols: list[str]) -> DataFrame:
     from pulseforge.functions import ranges
     from pulseforge.functions.stats import finite
 
+    df = steps.cut(df.select(*cols), "report")  # each look at the values below would compute the windows again
     rows = df.unpivot([], cols, "feature", "value").withColumn("value", finite(F.col("value")))
     share = rows.groupBy("feature").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("finite_share"))
     q = ranges.quantiles(rows, ["feature"], "value", [0.5, 0.05, 0.95])
@@ -193,7 +231,7 @@ def layout(lengths: dict[str, int]) -> dict[str, tuple[int, int]]:
     return out
 
 
-def beat_vectors(df: DataFrame, fs: float, lengths: dict[str, int] | None = None, rec: str = "rec", idx: str = "sample_idx", beat_channel: str = "ecg", how: str = "fft", norm: str = "recording", least: float = 0.5, most: float = 2.5) -> DataFrame:
+def beat_vectors(df: DataFrame | Made, fs: float, lengths: dict[str, int] | None = None, rec: str = "rec", idx: str = "sample_idx", beat_channel: str = "ecg", how: str = "fft", norm: str = "recording", least: float = 0.5, most: float = 2.5) -> DataFrame:
     """A row for each three consecutive beats: rec, beat_idx, p0, p1, p2, t_center_sec, dur, keep (duration within bounds), vec (array<float>: the channels resampled to their lengths, then the duration).
 
     norm: recording or segment (mean 0, deviation 1; a deviation of 0 counts as 1), or none. Sequences of beats are

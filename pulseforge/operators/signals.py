@@ -370,17 +370,21 @@ def dominant_frequency(x: np.ndarray, fs: float = 100.0) -> float:
 
 
 def rpeaks(df: DataFrame, fs: float, rec: str = "rec", idx: str = "idx", x: str = "x", search_back: bool = False) -> DataFrame:
-    """Beats of every recording: rec, beat_idx, sample_idx, amp, rr (seconds). Groups without a beat give no rows."""
+    """Beats of every recording: rec, beat_idx, sample_idx, amp, rr (seconds). Groups without a beat give no rows. df may be recordings.Made."""
     import pandas as pd
 
+    from pulseforge.operators.recordings import grouped
+
+    rows, channels = grouped(df, rec, idx, [x])
+
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        at = detect(pdf[x].to_numpy(), fs, search_back=search_back)
+        c = channels(pdf)
+        at = detect(c[x], fs, search_back=search_back)
         rr = np.concatenate([[np.nan], np.diff(at) / fs]) if len(at) else np.zeros(0)
-        return pd.DataFrame({rec: [key[0]] * len(at), "beat_idx": np.arange(len(at)), "sample_idx": pdf[idx].to_numpy()[at], "amp": pdf[x].to_numpy()[at], "rr": rr})
+        return pd.DataFrame({rec: [key[0]] * len(at), "beat_idx": np.arange(len(at)), "sample_idx": c[idx][at], "amp": c[x][at], "rr": rr})
 
-    kind = dict(df.dtypes)[rec]
-    return df.select(rec, idx, x).groupBy(rec).applyInPandas(kernel, f"{rec} {kind}, beat_idx long, sample_idx long, amp double, rr double")
+    kind = dict(rows.dtypes)[rec]
+    return rows.groupBy(rec).applyInPandas(kernel, f"{rec} {kind}, beat_idx long, sample_idx long, amp double, rr double")
 
 
 def spectral_windows(nn: DataFrame, rec: str = "rec", w: str = "w", t: str = "t", value: str = "nn") -> DataFrame:

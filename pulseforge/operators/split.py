@@ -9,24 +9,75 @@ beat band; 1e-8 for a high-pass of 0.08 Hz at 500 Hz, where poles lie close to o
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseforge.functions import dsp
+from pulseforge.operators.recordings import Made
 
 #: Samples of a chunk.
 CHUNK = 1 << 17
 
 
-def chunked(df: DataFrame, rec: str = "rec", idx: str = "sample_idx", x: str = "x", size: int = CHUNK) -> DataFrame:
+def _lists(told: list) -> "pa.ListArray":  # noqa: F821
+    """Arrays of numbers as a column."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, told)]), pa.int32()), pa.array(np.concatenate([np.zeros(0), *told])))
+
+
+def chunked(df: DataFrame | Made, rec: str = "rec", idx: str = "sample_idx", x: str = "x", size: int = CHUNK) -> DataFrame:
     """rec, chunk, start (first sample's index) and x (array, in the order of idx); nulls and NaN count as 0."""
+    if isinstance(df, Made):
+        return _pieced(df, rec, x, size)
     value = F.coalesce(F.nanvl(F.col(x).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = df.select(rec, F.floor(F.col(idx) / size).cast("long").alias("chunk"), F.struct(F.col(idx).cast("long").alias("i"), value.alias("v")).alias("s"))
     held = rows.groupBy(rec, "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most `size` samples
     return held.select(rec, "chunk", F.col("s")[0]["i"].alias("start"), F.transform("s", lambda s: s["v"]).alias("x"))
 
 
+def _pieced(made: Made, rec: str, x: str, size: int) -> DataFrame:
+    """chunked() of made samples: a row's samples are made where it lies and go to their chunks as pieces."""
+    columns, make, (start, length), kind = made.columns, made.make, made.span, dict(made.rows.dtypes)[rec]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in dict.fromkeys([*columns, start, length])}
+                v, lo, n = np.nan_to_num(make({m: c[m] for m in columns}, [x])[x]), c[start], c[length]
+                who, at = np.asarray(b.column(rec).dictionary_encode().indices), np.cumsum(n) - n
+                # rows that follow each other in a recording are cut together
+                heads = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (lo[1:] != lo[:-1] + n[:-1])])
+                first, place, row = [], [], []
+                for h, end in zip(heads.tolist(), [*at[heads[1:]].tolist(), len(v)], strict=True):
+                    edges = np.arange((lo[h] // size + 1) * size, lo[h] + end - at[h], size)
+                    first.append(np.r_[lo[h], edges])
+                    place.append(first[-1] - lo[h] + at[h])
+                    row.append(np.full(len(first[-1]), h))
+                first, place = np.concatenate(first), np.concatenate(place)
+                held = pa.ListArray.from_arrays(pa.array(np.r_[place, len(v)], pa.int32()), pa.array(v))
+                yield pa.RecordBatch.from_arrays([b.column(rec).take(pa.array(np.concatenate(row))), pa.array(first // size), pa.array(first), held], names=[rec, "chunk", "i", "v"])
+
+    pieces = made.rows.select(*dict.fromkeys([rec, start, length, *columns])).mapInArrow(run, f"`{rec}` {kind}, chunk long, i long, v array<double>")
+    held = pieces.groupBy(rec, "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))  # at most `size` samples
+    return held.select(rec, "chunk", F.col("s")[0]["i"].alias("start"), F.flatten("s.v").alias("x"))
+
+
+def spread(chunks: DataFrame, rec: str = "rec", x: str = "x") -> DataFrame:
+    """rec, n, sd (population deviation) and top (greatest value) of a recording's samples, from a few numbers of each chunk."""
+    kind = dict(chunks.dtypes)[rec]
+    told = _map(chunks.select(rec, x), lambda row: (row[rec], len(row[x]), float(row[x].mean()), float(((row[x] - row[x].mean()) ** 2).sum()), float(row[x].max())), f"{rec} {kind}, n long, mean double, q double, top double")
+    held = told.groupBy(rec).agg(F.sum("n").alias("n"), F.max("top").alias("top"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__m"), F.collect_list(F.struct("n", "mean", "q")).alias("__c"))  # a few numbers for each chunk
+    squares = F.aggregate("__c", F.lit(0.0), lambda a, c: a + c["q"] + c["n"] * (c["mean"] - F.col("__m")) * (c["mean"] - F.col("__m")))
+    return held.select(rec, "n", F.sqrt(squares / F.col("n")).alias("sd"), "top")
+
+
 def samples(chunks: DataFrame, rec: str = "rec", idx: str = "sample_idx", x: str = "x") -> DataFrame:
     """The chunks' samples: rec, idx and x; indices without gaps within a chunk."""
     return chunks.select(rec, "start", F.posexplode(x).alias("at", x)).select(rec, (F.col("start") + F.col("at")).alias(idx), x)
@@ -41,14 +92,39 @@ def _map(df: DataFrame, work, schema: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
+            held, many = [], 0
             for i in range(b.num_rows):  # a row is a chunk of many samples
                 row = {n: np.asarray(b.column(k)[i].values) if n in arrays and b.column(k)[i].is_valid else b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
-                out = work(row)
-                yield pa.RecordBatch.from_arrays([pa.array([v.tolist() if isinstance(v, np.ndarray) and v.ndim == 0 else v], type=pa.list_(pa.float64()) if isinstance(v, np.ndarray) else b.column(names[0]).type if k == 0 else None) for k, v in enumerate(out)], names=names)
+                held.append(work(row))
+                many += sum(len(v) for v in held[-1] if isinstance(v, np.ndarray))
+                if many >= CHUNK or i == b.num_rows - 1:
+                    told = [_lists(list(c)) if isinstance(c[0], np.ndarray) else pa.array(list(c), b.column(names[0]).type if k == 0 else None) for k, c in enumerate(zip(*held, strict=True))]
+                    yield pa.RecordBatch.from_arrays(told, names=names)
+                    held, many = [], 0
 
     return df.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=4096)
+def _moves(keys: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How n samples of silence move the state of these sections, and what the response to it adds to the state backwards.
+
+    With A the move of one sample, B what an input of 1 adds and C the output, these are A^n and the sum of A^i B C A^i over
+    i < n, both from their halves.
+    """
+    sections = [np.array(s) for s in keys]
+    size = 2 * len(sections)
+    if n == 1:
+        told = [dsp.cascade(sections, np.zeros(1), e) for e in np.eye(size)]
+        return np.column_stack([z for _, z in told]), np.outer(dsp.cascade(sections, np.ones(1), np.zeros(size))[1], [y[0] for y, _ in told])
+    half, back = _moves(keys, n // 2)
+    ahead, back = half @ half, back + half @ back @ half
+    if n % 2:
+        one, added = _moves(keys, 1)
+        ahead, back = one @ ahead, added + one @ back @ one
+    return ahead, back
+
+
 def zero_phase(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec", x: str = "x") -> DataFrame:
     """chunks with x filtered forwards and backwards with odd extension, as dsp.filtfilt() does with the whole recording.
 
@@ -56,7 +132,7 @@ def zero_phase(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec",
     numbers for each chunk.
     """
     pad, size = 3 * (2 * len(sections) + 1), 2 * len(sections)
-    kind = dict(chunks.dtypes)[rec]
+    kind, keys = dict(chunks.dtypes)[rec], tuple(tuple(s.tolist()) for s in sections)
 
     def told(row):
         """What a chunk adds to the state from rest, forwards and then backwards, and its ends."""
@@ -83,22 +159,10 @@ def zero_phase(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec",
         before, after = 2 * head[0] - head[own:0:-1], (2 * tail[-1] - tail[-2 : -own - 2 : -1]) if own else np.zeros(0)
         level = before[0] if own else head[0]
         _, state = dsp.cascade(sections, before, dsp.steady_state(sections, level))
-        matrices: dict = {}
-
-        def moves(n):
-            """State after n samples of silence, and what that response adds backwards, for each state of one unit."""
-            if n not in matrices:
-                ahead, back = np.empty((size, size)), np.empty((size, size))
-                for k in range(size):
-                    y, ahead[:, k] = dsp.cascade(sections, np.zeros(n), np.eye(size)[k])
-                    _, back[:, k] = dsp.cascade(sections, y[::-1], np.zeros(size))
-                matrices[n] = ahead, back
-            return matrices[n]
-
         ins = []
         for r in rows:
             ins.append(state)
-            state = moves(r["n"])[0] @ state + np.array(r["adds"][:size])
+            state = _moves(keys, r["n"])[0] @ state + np.array(r["adds"][:size])
         # backwards: from the end of the extension
         end, _ = dsp.cascade(sections, after, state)
         start = dsp.steady_state(sections, end[-1] if own else 0.0)
@@ -106,7 +170,7 @@ def zero_phase(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec",
         backs = []
         for r, ahead in zip(reversed(rows), reversed(ins), strict=True):
             backs.append(state)
-            state = moves(r["n"])[0] @ state + np.array(r["adds"][size:]) + moves(r["n"])[1] @ ahead
+            state = _moves(keys, r["n"])[0] @ state + np.array(r["adds"][size:]) + _moves(keys, r["n"])[1] @ ahead
         out = [np.concatenate([a, b]).tolist() for a, b in zip(ins, reversed(backs), strict=True)]
         return pa.table([pa.array([key[0].as_py()] * len(rows), key[0].type), pa.array([r["chunk"] for r in rows]), pa.array([n] * len(rows)), pa.array(out, pa.list_(pa.float64()))], names=[rec, "chunk", "total", "state"])
 
@@ -125,7 +189,7 @@ def zero_phase(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec",
 
 def forward(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec", x: str = "x") -> DataFrame:
     """chunks with x filtered once from rest, as dsp.sosfilt() does with the whole recording (such as the leaky integrator)."""
-    size, kind = 2 * len(sections), dict(chunks.dtypes)[rec]
+    size, kind, keys = 2 * len(sections), dict(chunks.dtypes)[rec], tuple(tuple(s.tolist()) for s in sections)
 
     def told(row):
         return row[rec], row["chunk"], len(row[x]), dsp.cascade(sections, row[x], np.zeros(size))[1]
@@ -133,12 +197,10 @@ def forward(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec", x:
     def states(key, table):
         import pyarrow as pa
 
-        rows, matrices, state, ins = sorted(table.to_pylist(), key=lambda r: r["chunk"]), {}, np.zeros(size), []
+        rows, state, ins = sorted(table.to_pylist(), key=lambda r: r["chunk"]), np.zeros(size), []
         for r in rows:
             ins.append(state.tolist())
-            if r["n"] not in matrices:
-                matrices[r["n"]] = np.column_stack([dsp.cascade(sections, np.zeros(r["n"]), e)[1] for e in np.eye(size)])
-            state = matrices[r["n"]] @ state + np.array(r["adds"])
+            state = _moves(keys, r["n"])[0] @ state + np.array(r["adds"])
         return pa.table([pa.array([key[0].as_py()] * len(rows), key[0].type), pa.array([r["chunk"] for r in rows]), pa.array(ins, pa.list_(pa.float64()))], names=[rec, "chunk", "state"])
 
     adds = _map(chunks.select(rec, "chunk", x), told, f"{rec} {kind}, chunk long, n long, adds array<double>")

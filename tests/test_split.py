@@ -85,3 +85,32 @@ def test_delay_of_chunks_equals_that_of_the_whole(spark, size):
         else:
             assert abs(got[r].delay - lag) < 1e-12 and abs(got[r].r - c) < 1e-9 and got[r].lag == round(lag * 10)
     assert split.delay(df.limit(0), 10.0, 6.0).count() == 0
+
+
+def test_made_samples_give_the_chunks_of_rows(spark):
+    """Samples made in the task give the same chunks and recordings as a row for each, and no exchange or sort holds a row for each sample."""
+    from pulseforge.operators import recordings
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for r in range(5):
+        sizes = rng.integers(1, 30, 12)
+        values = rng.normal(size=12)
+        rows += [(f"r{r}", k, int(sizes[:k].sum()), int(n), float(v)) for k, (n, v) in enumerate(zip(sizes, values, strict=True))]
+    df = spark.createDataFrame(rows, "rec string, k int, at long, n long, v double").repartition(3)  # rows of a recording are far apart
+    flats = {}
+    for rec, k, _, n, v in rows:
+        flats.setdefault(rec, []).append(v + np.arange(n))
+
+    def single(c, wanted):
+        return {name: np.concatenate([np.full(n, v) + np.arange(n) for n, v in zip(c["n"], c["v"], strict=True)]) for name in wanted}
+
+    made = recordings.Made(df, "k", ["n", "v"], single, ("at", "n"))
+    got = gathered(split.chunked(made, x="x", size=32))
+    assert all(np.array_equal(got[r], np.concatenate(v)) for r, v in flats.items()) and len(got) == 5
+    told = {r.rec: r for r in split.spread(split.chunked(made, x="x", size=32)).collect()}
+    for r, v in flats.items():
+        v = np.concatenate(v)
+        assert told[r].n == len(v) and abs(told[r].sd - v.std()) < 1e-12 and told[r].top == v.max()
+    each = recordings.each_recording(made, "rec", "sample_idx", ["x"], "n long, s double", lambda c: [{"n": len(c["x"]), "s": float(c["x"].sum())}])
+    assert {r.rec: (r.n, round(r.s, 9)) for r in each.collect()} == {r: (sum(map(len, v)), round(float(np.concatenate(v).sum()), 9)) for r, v in flats.items()}
