@@ -78,3 +78,32 @@ def test_strips_split_a_value_that_many_rows_share():
 def test_digamma():
     euler = 0.5772156649015329
     assert abs(models.digamma(1.0) + euler) < 1e-9 and abs(models.digamma(4.0) - (1 + 1 / 2 + 1 / 3 - euler)) < 1e-9
+
+
+def test_strips_settle_nearly_all_rows(spark, monkeypatch):
+    """Only rows whose neighbours may lie beyond their strip's margin go on from it."""
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=3000)
+    df = spark.createDataFrame([(int(i % 4), float(v), float(v + 0.3 * rng.normal())) for i, v in enumerate(y)], "person long, y double, a double")
+    left, cut = [], inf.cut
+
+    def seen(rows, tag):
+        out = cut(rows, tag)
+        if "s" in out.columns:
+            left.append(out.where("s is null").select("rid").distinct().count())
+        return out
+
+    monkeypatch.setattr(inf, "cut", seen)
+    alike(told(inf.information(df, ["a"], "y", "person", parts=4)), explicit(df, ["a"], "y", "person"))
+    assert len(left) == 1 and left[0] < 300
+
+
+def test_neighbours_equal_all_pairs():
+    rng = np.random.default_rng(7)
+    x, y = np.round(rng.normal(size=400), 2), rng.normal(size=400)
+    for k in (1, 3, 12, 399):
+        near, far = models.neighbours(x, y, k)
+        away = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+        np.fill_diagonal(away, np.inf)
+        want = np.sort(away, 1)[:, :k]
+        assert np.array_equal(np.sort(np.take_along_axis(away, near, 1), 1), want) and np.array_equal(far, want[:, -1])
