@@ -242,20 +242,30 @@ def find_peaks(x: np.ndarray, distance: int = 1) -> np.ndarray:
 
 
 def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Not-a-knot interpolation, from four points on."""
+    """Not-a-knot interpolation, from four points on; x and at ascend. The ends' conditions are put into the next rows, which leaves three diagonals."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * (d[i] - d[i - 1])
-    a[0, :3] = -h[1], h[0] + h[1], -h[0]
-    a[-1, -3:] = -h[-1], h[-2] + h[-1], -h[-2]
-    m = np.linalg.solve(a, b)
-    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    u, v = at - x[k], x[k + 1] - at
-    return (m[k] * v**3 + m[k + 1] * u**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * v + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u
+    h = np.diff(x)
+    d = np.diff(y) / h
+    b = 6 * np.diff(d)
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    mid[0], up[0], b[0] = h[0] + 2 * h[1], h[1] - h[0], b[0] * h[1] / (h[0] + h[1])
+    mid[-1], low[-1], b[-1] = h[-1] + 2 * h[-2], h[-2] - h[-1], b[-1] * h[-2] / (h[-1] + h[-2])
+    low, mid, up, b = low.tolist(), mid.tolist(), up.tolist(), b.tolist()
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        b[i] -= f * b[i - 1]
+    b[-1] /= mid[-1]
+    for i in range(n - 4, -1, -1):
+        b[i] = (b[i] - up[i] * b[i + 1]) / mid[i]
+    m = np.array([b[0] + (b[0] - b[1]) * h[0] / h[1], *b, b[-1] + (b[-1] - b[-2]) * h[-1] / h[-2]])
+    # the points at[...] of an interval are consecutive; those outside belong to the first and last one
+    edges = np.searchsorted(at, x[1:-1], "left")
+    count = np.diff(edges, prepend=0, append=len(at))
+    u = at - np.repeat(x[:-1], count)
+    third, second, first = (m[1:] - m[:-1]) / (6 * h), m[:-1] / 2, d - h * (2 * m[:-1] + m[1:]) / 6
+    return ((np.repeat(third, count) * u + np.repeat(second, count)) * u + np.repeat(first, count)) * u + np.repeat(y[:-1], count)
 
 
 def leaky(x: np.ndarray, fs: float, tau: float = 0.01) -> np.ndarray:

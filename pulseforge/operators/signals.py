@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pulseforge.functions import dsp
 
@@ -329,17 +330,19 @@ def delineate(x: np.ndarray, beats: np.ndarray, fs: float, up: bool = True) -> d
 
 
 def lf_hf(nn_ms: np.ndarray, at: np.ndarray) -> tuple[float, float, float, bool]:
-    """Power of the intervals in [0.04, 0.15) and [0.15, 0.40) Hz, their ratio, and whether the span is long enough for the lower band."""
-    if len(nn_ms) < 4:
+    """Power of the intervals in [0.04, 0.15) and [0.15, 0.40) Hz, their ratio, and whether the span is long enough for the lower band; times that don't ascend have none."""
+    if len(nn_ms) < 4 or not (np.diff(at) > 0).all():
         return math.nan, math.nan, math.nan, False
     span = at[-1] - at[0]
     grid = np.arange(at[0], at[-1], 0.25)
     if len(grid) < 8:
         return math.nan, math.nan, math.nan, False
     y = dsp.cubic_spline(at, nn_ms, grid)
-    y = y - np.polyval(np.polyfit(grid, y, 1), grid)
+    i = np.arange(len(y)) - (len(y) - 1) / 2
+    y = y - y.mean() - i * (i @ y / (i @ i))
     f, p = dsp.welch(y, 4.0, min(len(y), round(4 * span)))
-    bands = [float(np.trapezoid(p[m], f[m])) if (m := (f >= a) & (f < b)).sum() > 1 else math.nan for a, b in ((0.04, 0.15), (0.15, 0.40))]
+    first, middle, last = np.searchsorted(f, (0.04, 0.15, 0.40)).tolist()
+    bands = [float(np.trapezoid(p[a:b], f[a:b])) if b - a > 1 else math.nan for a, b in ((first, middle), (middle, last))]
     return bands[0], bands[1], bands[0] / bands[1] if bands[1] else math.nan, span >= 2 / 0.04
 
 
@@ -388,13 +391,27 @@ def rpeaks(df: DataFrame, fs: float, rec: str = "rec", idx: str = "idx", x: str
 
 
 def spectral_windows(nn: DataFrame, rec: str = "rec", w: str = "w", t: str = "t", value: str = "nn") -> DataFrame:
-    """LF and HF power of each window of intervals (seconds)."""
-    import pandas as pd
+    """LF and HF power of each window of intervals (seconds); intervals without a time or a value take no part.
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        lf, hf, ratio, ok = lf_hf(pdf[value].to_numpy() * 1000, pdf[t].to_numpy())
-        return pd.DataFrame({rec: [key[0]], w: [key[1]], "LF_power": [lf], "HF_power": [hf], "LF_HF_ratio": [ratio], "lf_reliable": [bool(ok)]})
+    A window is a row with its intervals, and a task takes its windows a batch at a time.
+    """
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column(2)
+            at, value_ms = (x.to_numpy(zero_copy_only=False).astype(float) * unit for x, unit in zip(lists.flatten().flatten(), (1, 1000), strict=True))
+            edges = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            told = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                x, v = at[lo:hi], value_ms[lo:hi]
+                have = np.flatnonzero(~np.isnan(x) & ~np.isnan(v))
+                order = have[np.argsort(x[have], kind="stable")]
+                told.append(lf_hf(v[order], x[order]))
+            powers = [pa.array(np.array(c, float), from_pandas=True) for c in list(zip(*told, strict=True))[:3]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *powers, pa.array([bool(r[3]) for r in told])], names=[rec, w, "LF_power", "HF_power", "LF_HF_ratio", "lf_reliable"])
 
     kinds = dict(nn.dtypes)
-    return nn.select(rec, w, t, value).groupBy(rec, w).applyInPandas(kernel, f"{rec} {kinds[rec]}, {w} {kinds[w]}, LF_power double, HF_power double, LF_HF_ratio double, lf_reliable boolean")
+    rows = nn.groupBy(rec, w).agg(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"))).alias("x"))
+    return rows.mapInArrow(kernel, f"{rec} {kinds[rec]}, {w} {kinds[w]}, LF_power double, HF_power double, LF_HF_ratio double, lf_reliable boolean")

@@ -183,3 +183,25 @@ def test_fits_have_the_steps_of_the_reference(monkeypatch):
     models.fit_logistic(np.ones((4, 1)), np.array([0.0, 1, 0, 1]))
     models.Network(1, 2, 1).fit(np.ones((4, 1)), np.ones((4, 1)))
     assert given == [2000, 1000]
+
+
+def test_spectral_windows_equal_single_ones(spark):
+    """Windows of several recordings in any order of rows; too few intervals, missing values and coinciding times give nulls or leave intervals out, and stop nothing."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for r, n in enumerate((3, 4, 9, 32, 32, 90)):
+        for w in range(3):
+            at = np.cumsum(rng.uniform(0.4, 2.5, n)) + 100 * w
+            nn = rng.uniform(0.5, 1.5, n)
+            want[r, w] = signals.lf_hf(nn * 1000, at)
+            rows += [(r, w, float(a), float(v)) for a, v in zip(at, nn, strict=True)]
+            rows += [(r, w, None, 1.0), (r, w, float(at[1]), None)]
+    rows += [(9, 0, float(t // 2), 1.0 + t / 100) for t in range(32)] + [(9, 1, None, None)]
+    want[9, 0] = want[9, 1] = (np.nan,) * 3 + (False,)
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "rec long, w long, t double, nn double")
+    got = {(r.rec, r.w): r for r in signals.spectral_windows(df).collect()}
+    assert got.keys() == want.keys() and got[4, 0].HF_power > 0 and got[5, 0].lf_reliable
+    for k, told in want.items():
+        numbers = [np.nan if v is None else v for v in (got[k].LF_power, got[k].HF_power, got[k].LF_HF_ratio)]
+        assert np.allclose(numbers, told[:3], rtol=1e-9, equal_nan=True) and got[k].lf_reliable == told[3]
+        assert not any(v is not None and np.isnan(v) for v in (got[k].LF_power, got[k].HF_power, got[k].LF_HF_ratio))
