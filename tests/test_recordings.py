@@ -186,3 +186,56 @@ def test_names_catalog_and_predictions(spark, tmp_path):
     curves = spark.createDataFrame([("a", i, s, "SBP", 5.0 - i / 10, 4.5) for i in (10, 20) for s in ("train", "held-out")] + [("b", i, "held-out", "SBP", 9.0, 4.5) for i in (10, 20)], "fold string, iter long, split string, channel string, mae double, base double")
     by, ends = en.curve_summary(curves)
     assert by.where("iter = 20 and split = 'held-out'").first().mean == 6.0 and (ends.first().wins, ends.first().n_folds) == (1, 2)
+
+
+def test_expanding_groups_equal_single_recordings(spark):
+    """Recordings of every length, many of the same and alone, with missing, infinite, constant and repeated values, also when a recording spans batches."""
+    rng = np.random.default_rng(8)
+    recs = [rng.normal(size=n) for n in [1] * 3 + [2] * 4 + [5] * 40 + [12] * 30 + [40] * 11 + [64, 300]]
+    for k, odd in ((3, np.nan), (8, np.inf), (9, np.nan), (60, -np.inf)):
+        recs[k][len(recs[k]) // 2] = odd
+    recs[10][:], recs[11][:4], recs[12] = 2.5, 1.0, np.round(recs[12])
+    edges = np.append(0, np.cumsum([len(x) for x in recs]))
+    for strict in (False, True):
+        with np.errstate(invalid="ignore"):
+            got = expanding.scaled_groups(np.concatenate(recs), edges, 10, 4, strict)
+            want = [expanding.scaled(x, 10, 4, strict) for x in recs]
+        assert np.array_equal(got, np.concatenate(want), equal_nan=True)
+    rows = [(None if r == 5 else f"s{r}", i, float(v)) for r, x in enumerate(recs) for i, v in enumerate(x) if np.isfinite(v)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "rec string, i long, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        told = fx.normalise(df, ["x"], "rec", ["i"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {(r.rec, r.i): r.x for r in told}
+    assert len(told) == len(by) == len(rows)
+    for r, x in enumerate(recs):
+        keep = np.flatnonzero(np.isfinite(x))
+        assert [by[None if r == 5 else f"s{r}", i] for i in keep] == expanding.scaled(x[keep], 10, 4, False).tolist()
+
+
+def test_engineer_reads_its_tables_once(spark):
+    rng = np.random.default_rng(9)
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("ecg", "skna")}
+
+    def counted(df, name):
+        def run(batches):
+            for b in batches:
+                seen[name].add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    rows = [(f"s{r}", r, w, 30.0 * w, *map(float, rng.uniform(1, 3, 3)), 12, 120.0, 80.0, True, True) for r in range(3) for w in range(20)]
+    plain = spark.createDataFrame(rows, "Subject_ID string, Recording long, window_idx long, t_center_sec double, meanNN double, SDNN double, RMSSD double, n_beats int, SBP double, DBP double, usable boolean, label_valid boolean")
+    # a recording without any value of a column, and one that lacks a value
+    gone = F.when((F.col("Recording") != 1) & ~((F.col("Recording") == 2) & (F.col("window_idx") == 4)), F.col("RMSSD"))
+    skna = plain.select(*en.KEY, "t_center_sec", (F.col("meanNN") * 2).alias("aSKNA"), F.col("SDNN").alias("varSKNA"))
+    df, cols, _ = en.engineer(counted(plain.withColumn("RMSSD", gone), "ecg"), counted(skna, "skna"), "none", pruned=False)
+    got = {(r.Recording, r.window_idx): r.RMSSD for r in df.collect()}
+    assert len(got) == 60 and {n: a.value for n, a in seen.items()} == {"ecg": 60, "skna": 60}
+    x = np.array([r[6] for r in rows]).reshape(3, 20)
+    there = np.ones((3, 20), bool)
+    there[1], there[2, 4] = False, False
+    assert got[1, 0] == got[1, 19] == np.median(x[there]) and got[2, 4] == np.median(x[2][there[2]]) and got[0, 3] == x[0, 3]
