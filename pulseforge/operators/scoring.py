@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseforge.functions import ranges
 from pulseforge.functions.stats import try_ratio
+from pulseforge.functions.steps import cut
 from pulseforge.operators.ceilings import block_of
 
 # The limit of the spread of persons' mean errors by the size of the mean error (ISO 81060-2).
@@ -96,15 +97,24 @@ def blocked_cv_mean(df: DataFrame, rec: str, order: list[str], blocks: int = 5,
     return rows.drop("__i", "__n", "__near", "__far").join(means, [rec, "block"])
 
 
+def score_counts(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+    """Positives (pos) and negatives (neg) of each distinct score (of each group)."""
+    return df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+
+
 def cumulated(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """Distinct scores (of each group) in descending order with positives and negatives so far (tp, fp) and in all (n_pos, n_neg).
+    """Distinct scores (of each group) in descending order with positives and negatives so far (tp, fp) and in all (n_pos, n_neg)."""
+    return cumulated_counts(score_counts(df, y, p, by or []), p, by or [])
+
+
+def cumulated_counts(counts: DataFrame, p: str, by: list[str]) -> DataFrame:
+    """cumulated() of what score_counts() gives.
 
     Scores are dealt to ranges with fixed cut points; sums within a range come from a window and those of the ranges above
-    from a table with a row for each range, so that no window runs over all scores.
+    from a table with a row for each range, so that no window runs over all scores. The counts are written once, as they are read three times.
     """
-    by = by or []
-    counts = df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    counts = ranges.ranged(df, p, "part")(counts)
+    counts = counts if hasattr(counts, "cut_path") else cut(counts, "scores")
+    counts = ranges.ranged(counts, p, "part")(counts)
     parts = counts.groupBy(*by, "part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     above = group.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
@@ -114,24 +124,38 @@ def cumulated(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None =
     return rows.select(*by, p, "pos", "neg", (F.col("tp") + F.col("a0")).alias("tp"), (F.col("fp") + F.col("b0")).alias("fp"), "n_pos", "n_neg")
 
 
+def area(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Area under the ROC curve (of each group) of cumulated rows, and the aggregates `more`; ties count half."""
+    part = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
+    told = rows.groupBy(*by).agg(F.sum(part).alias("a"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), *more)
+    return told.withColumn("auc", try_ratio(F.col("a"), F.col("n_pos") * F.col("n_neg"))).drop("a")
+
+
+def gained() -> Column:
+    """Average precision of cumulated rows: the recall gained by a score times the precision there, added up."""
+    return F.sum(try_ratio(F.col("pos"), F.col("n_pos")) * F.col("tp") / (F.col("tp") + F.col("fp")))
+
+
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve (of each group); ties count half."""
-    rows = cumulated(df, y, p, by)
-    area = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
-    return rows.groupBy(*(by or [])).agg(F.sum(area).alias("a"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg")).select(*(by or []), try_ratio(F.col("a"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    return area(cumulated(df, y, p, by), by or []).select(*(by or []), "auc", "n_pos", "n_neg")
 
 
 def auc_summary(df: DataFrame, fold: str, y: str = "y", p: str = "p") -> DataFrame:
-    """Mean and sample deviation of the folds' AUC, how many folds are above a half, and the pooled AUC and average precision: one row."""
-    each = roc_auc(df, y, p, [fold]).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_sd"), F.count(F.when(F.col("auc") > 0.5, 1)).alias("n_above_half"))
-    pooled = roc_auc(df, y, p).select(F.col("auc").alias("auc_pooled"))
-    return each.join(F.broadcast(pooled)).join(F.broadcast(average_precision(df, y, p).select(F.col("ap").alias("ap_pooled"))))  # one row each
+    """Mean and sample deviation of the folds' AUC, how many folds are above a half, and the pooled AUC and average precision: one row.
+
+    The rows are read once; the pooled counts add up those of the folds.
+    """
+    counts = cut(score_counts(df, y, p, [fold]), "folds")
+    each = area(cumulated_counts(counts, p, [fold]), [fold]).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_sd"), F.count(F.when(F.col("auc") > 0.5, 1)).alias("n_above_half"))
+    every = counts.groupBy(p).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pooled = area(cumulated_counts(every, p, []), [], gained().alias("ap_pooled")).select(F.col("auc").alias("auc_pooled"), "ap_pooled")
+    return each.join(F.broadcast(pooled))  # one row each
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Sum over distinct scores of the recall gained times the precision there."""
-    rows = cumulated(df, y, p)
-    return rows.agg(F.sum(try_ratio(F.col("pos"), F.col("n_pos")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"), F.max(F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("prevalence"))
+    return cumulated(df, y, p).agg(gained().alias("ap"), F.max(F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("prevalence"))
 
 
 def roc_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulseforge.operators import models, networks, signals
+from pulseforge.operators import models, networks, scoring, signals
 from pulseforge.plans import signal_queries
 
 
@@ -205,3 +205,36 @@ def test_spectral_windows_equal_single_ones(spark):
         numbers = [np.nan if v is None else v for v in (got[k].LF_power, got[k].HF_power, got[k].LF_HF_ratio)]
         assert np.allclose(numbers, told[:3], rtol=1e-9, equal_nan=True) and got[k].lf_reliable == told[3]
         assert not any(v is not None and np.isnan(v) for v in (got[k].LF_power, got[k].HF_power, got[k].LF_HF_ratio))
+
+
+def test_logistic_scores_read_their_rows_once(spark):
+    """The rows are made once, whatever the number of steps; weights equal a fit on the other persons, also far from zero, and AUC and precision their definitions."""
+    rng = np.random.default_rng(12)
+    n = 600
+    who, a, b = rng.integers(0, 5, n), rng.normal(size=n), 1e6 + 3 * rng.normal(size=n)
+    y = (a + (b - 1e6) / 3 + rng.normal(size=n) > 0.3).astype(int)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(int(p), i, float(u), float(v), int(t)) for i, (p, u, v, t) in enumerate(zip(who, a, b, y, strict=True))]
+    df = spark.createDataFrame(rows, "person long, i long, a double, b double, y long").repartition(3)
+    told = models.loso_logistic(df.mapInArrow(counted, df.schema), ["a", "b"], "y", "person", ["i"], fpr=None)
+    got = scoring.auc_summary(told, "person").first()
+    p = {r.i: (r.p, r.thr) for r in told.collect()}
+    assert seen.value == n and all(t is None for _, t in p.values())
+    p = np.array([p[i][0] for i in range(n)])
+    x = np.column_stack([a, b - 1e6])
+    for k in range(5):
+        mean, dev = models.scaler(x[who != k])
+        z = (x - mean) / dev
+        w = models.fit_logistic(z[who != k], y[who != k].astype(float))
+        assert np.abs(1 / (1 + np.exp(-(z[who == k] @ w[:-1] + w[-1]))) - p[who == k]).max() < 1e-4
+    auc = lambda s, t: np.mean((s[t == 1][:, None] > s[t == 0]) + 0.5 * (s[t == 1][:, None] == s[t == 0]))
+    hits = y[np.argsort(-p)]
+    precision = (np.cumsum(hits) / np.arange(1, n + 1))[hits == 1].mean()
+    each = [auc(p[who == k], y[who == k]) for k in range(5)]
+    assert np.allclose([got.auc_pooled, got.ap_pooled, got.auc_mean, got.auc_sd], [auc(p, y), precision, np.mean(each), np.std(each, ddof=1)], atol=1e-12) and got.n_above_half == 5
