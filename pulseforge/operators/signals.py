@@ -330,13 +330,15 @@ def delineate(x: np.ndarray, beats: np.ndarray, fs: float, up: bool = True) -> d
 
 
 def lf_hf(nn_ms: np.ndarray, at: np.ndarray) -> tuple[float, float, float, bool]:
-    """Power of the intervals in [0.04, 0.15) and [0.15, 0.40) Hz, their ratio, and whether the span is long enough for the lower band; times that don't ascend have none."""
-    if len(nn_ms) < 4 or not (np.diff(at) > 0).all():
+    """Power of the intervals in [0.04, 0.15) and [0.15, 0.40) Hz, their ratio, and whether the span is long enough for the lower band; times that coincide have no powers."""
+    if len(nn_ms) < 4:
         return math.nan, math.nan, math.nan, False
     span = at[-1] - at[0]
     grid = np.arange(at[0], at[-1], 0.25)
     if len(grid) < 8:
         return math.nan, math.nan, math.nan, False
+    if not (np.diff(at) > 0).all():
+        return math.nan, math.nan, math.nan, span >= 2 / 0.04
     y = dsp.cubic_spline(at, nn_ms, grid)
     i = np.arange(len(y)) - (len(y) - 1) / 2
     y = y - y.mean() - i * (i @ y / (i @ i))

@@ -197,7 +197,9 @@ def test_spectral_windows_equal_single_ones(spark):
             rows += [(r, w, float(a), float(v)) for a, v in zip(at, nn, strict=True)]
             rows += [(r, w, None, 1.0), (r, w, float(at[1]), None)]
     rows += [(9, 0, float(t // 2), 1.0 + t / 100) for t in range(32)] + [(9, 1, None, None)]
+    rows += [(9, 2, float(4 * (t // 2)), 1.0 + t / 100) for t in range(32)]
     want[9, 0] = want[9, 1] = (np.nan,) * 3 + (False,)
+    want[9, 2] = (np.nan,) * 3 + (True,)
     df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "rec long, w long, t double, nn double")
     got = {(r.rec, r.w): r for r in signals.spectral_windows(df).collect()}
     assert got.keys() == want.keys() and got[4, 0].HF_power > 0 and got[5, 0].lf_reliable
