@@ -9,6 +9,8 @@ beat band; 1e-8 for a high-pass of 0.08 Hz at 500 Hz, where poles lie close to o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +22,8 @@ from pulseforge.operators.recordings import Made
 
 #: Samples of a chunk.
 CHUNK = 1 << 17
+#: Chunks of at most this many samples tell what they add to a state by one matrix product.
+SHORT = 1 << 13
 
 
 def _lists(told: list) -> "pa.ListArray":  # noqa: F821
@@ -32,50 +36,71 @@ def _lists(told: list) -> "pa.ListArray":  # noqa: F821
 def chunked(df: DataFrame | Made, rec: str = "rec", idx: str = "sample_idx", x: str = "x", size: int = CHUNK) -> DataFrame:
     """rec, chunk, start (first sample's index) and x (array, in the order of idx); nulls and NaN count as 0."""
     if isinstance(df, Made):
-        return _pieced(df, rec, x, size)
+        rows, read = _source(dealt(df, rec, x, size), rec, x)
+        return _map(rows, lambda row: (row[rec], row["chunk"], row["start"], read(row)), f"{rec} {dict(rows.dtypes)[rec]}, chunk long, start long, x array<double>")
     value = F.coalesce(F.nanvl(F.col(x).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = df.select(rec, F.floor(F.col(idx) / size).cast("long").alias("chunk"), F.struct(F.col(idx).cast("long").alias("i"), value.alias("v")).alias("s"))
     held = rows.groupBy(rec, "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most `size` samples
     return held.select(rec, "chunk", F.col("s")[0]["i"].alias("start"), F.transform("s", lambda s: s["v"]).alias("x"))
 
 
-def _pieced(made: Made, rec: str, x: str, size: int) -> DataFrame:
-    """chunked() of made samples: a row's samples are made where it lies and go to their chunks as pieces."""
-    columns, make, (start, length), kind = made.columns, made.make, made.span, dict(made.rows.dtypes)[rec]
+@dataclass(frozen=True)
+class Dealt:
+    """Chunks of made samples that hold what makes them, so that no shuffle, join or sort carries samples: rows has rec, chunk, start and, as arrays, the columns of the rows that reach into the chunk. zero_phase(), forward() and spread() take one in the place of chunks; each of their tasks makes its chunks' samples."""
 
-    def run(batches):
-        import pyarrow as pa
+    rows: DataFrame
+    read: Callable
+
+
+def dealt(made: Made, rec: str = "rec", x: str = "x", size: int = CHUNK) -> Dealt:
+    """Made rows dealt to the chunks that they reach into, at most `size` for each. A row that reaches into several chunks is made in each of them, so rows should be short beside `size`."""
+    make, (at, length) = made.make, made.span
+    columns = [c for c in dict.fromkeys([at, length, *made.columns]) if c != rec]
+    lo, n = F.col(at), F.col(length)
+    near = F.sequence(F.floor(lo / size).cast("long"), F.floor((lo + n - 1) / size).cast("long"))
+    rows = made.rows.where(n > 0).select(rec, F.explode(near).alias("chunk"), F.struct(*[F.col(c).alias(f"__{c}") for c in columns]).alias("s"))
+    held = rows.groupBy(rec, "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most `size` rows
+    start = F.greatest(F.col("s")[0][f"__{at}"].cast("long"), F.col("chunk") * size)
+
+    def read(row):
+        first, lengths = row[f"__{at}"], row[f"__{length}"]
+        v = np.nan_to_num(make({c: np.full(len(first), row[rec]) if c == rec else row[f"__{c}"] for c in made_columns}, [x])[x])
+        low = row["chunk"] * size
+        return v[max(0, low - int(first[0])) : len(v) - max(0, int(first[-1] + lengths[-1]) - low - size)]
+
+    made_columns = made.columns
+    return Dealt(held.select(rec, "chunk", start.alias("start"), *[F.col("s")[f"__{c}"].alias(f"__{c}") for c in columns]), read)
+
+
+def _source(chunks: DataFrame | Dealt, rec: str, x: str) -> tuple[DataFrame, Callable]:
+    """The chunks' rows, and what gives a row's samples."""
+    return (chunks.rows, chunks.read) if isinstance(chunks, Dealt) else (chunks.select(rec, "chunk", "start", x), lambda row: row[x])
+
+
+def _told(v: np.ndarray) -> tuple[float, float, float]:
+    """Mean, sum of squares about it, and greatest value."""
+    mean = v.mean()
+    return float(mean), float(((v - mean) ** 2).sum()), float(v.max())
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
-                c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in dict.fromkeys([*columns, start, length])}
-                v, lo, n = np.nan_to_num(make({m: c[m] for m in columns}, [x])[x]), c[start], c[length]
-                who, at = np.asarray(b.column(rec).dictionary_encode().indices), np.cumsum(n) - n
-                # rows that follow each other in a recording are cut together
-                heads = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (lo[1:] != lo[:-1] + n[:-1])])
-                first, place, row = [], [], []
-                for h, end in zip(heads.tolist(), [*at[heads[1:]].tolist(), len(v)], strict=True):
-                    edges = np.arange((lo[h] // size + 1) * size, lo[h] + end - at[h], size)
-                    first.append(np.r_[lo[h], edges])
-                    place.append(first[-1] - lo[h] + at[h])
-                    row.append(np.full(len(first[-1]), h))
-                first, place = np.concatenate(first), np.concatenate(place)
-                held = pa.ListArray.from_arrays(pa.array(np.r_[place, len(v)], pa.int32()), pa.array(v))
-                yield pa.RecordBatch.from_arrays([b.column(rec).take(pa.array(np.concatenate(row))), pa.array(first // size), pa.array(first), held], names=[rec, "chunk", "i", "v"])
-
-    pieces = made.rows.select(*dict.fromkeys([rec, start, length, *columns])).mapInArrow(run, f"`{rec}` {kind}, chunk long, i long, v array<double>")
-    held = pieces.groupBy(rec, "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))  # at most `size` samples
-    return held.select(rec, "chunk", F.col("s")[0]["i"].alias("start"), F.flatten("s.v").alias("x"))
-
-
-def spread(chunks: DataFrame, rec: str = "rec", x: str = "x") -> DataFrame:
+
+def _joined(each: DataFrame, names: dict[str, str], rec: str) -> DataFrame:
+    """rec, n, and for each name sd and top of the chunks' n, mean_<i>, q_<i> and top_<i>."""
+    parts = [F.struct("n", *[F.col(f"{c}_{i}").alias(c) for c in ("mean", "q")]) for i in names]
+    held = each.groupBy(rec).agg(F.sum("n").alias("n"), *[x for i, part in zip(names, parts, strict=True) for x in (F.max(f"top_{i}").alias(f"__t{i}"), (F.sum(F.col("n") * F.col(f"mean_{i}")) / F.sum("n")).alias(f"__m{i}"), F.collect_list(part).alias(f"__c{i}"))])  # a few numbers for each chunk
+    squares = lambda i: F.aggregate(f"__c{i}", F.lit(0.0), lambda a, c: a + c["q"] + c["n"] * (c["mean"] - F.col(f"__m{i}")) * (c["mean"] - F.col(f"__m{i}")))
+    return held.select(rec, "n", *[x for i, name in names.items() for x in (F.sqrt(squares(i) / F.col("n")).alias(f"sd_{name}"), F.col(f"__t{i}").alias(f"top_{name}"))])
+
+
+def spread(chunks: DataFrame | Dealt, rec: str = "rec", x: str = "x") -> DataFrame:
     """rec, n, sd (population deviation) and top (greatest value) of a recording's samples, from a few numbers of each chunk."""
-    kind = dict(chunks.dtypes)[rec]
-    told = _map(chunks.select(rec, x), lambda row: (row[rec], len(row[x]), float(row[x].mean()), float(((row[x] - row[x].mean()) ** 2).sum()), float(row[x].max())), f"{rec} {kind}, n long, mean double, q double, top double")
-    held = told.groupBy(rec).agg(F.sum("n").alias("n"), F.max("top").alias("top"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__m"), F.collect_list(F.struct("n", "mean", "q")).alias("__c"))  # a few numbers for each chunk
-    squares = F.aggregate("__c", F.lit(0.0), lambda a, c: a + c["q"] + c["n"] * (c["mean"] - F.col("__m")) * (c["mean"] - F.col("__m")))
-    return held.select(rec, "n", F.sqrt(squares / F.col("n")).alias("sd"), "top")
+    rows, read = _source(chunks, rec, x)
+
+    def told(row):
+        v = read(row)
+        return row[rec], len(v), *_told(v)
+
+    each = _map(rows, told, f"{rec} {dict(rows.dtypes)[rec]}, n long, mean_0 double, q_0 double, top_0 double")
+    return _joined(each, {"0": ""}, rec).withColumnsRenamed({"sd_": "sd", "top_": "top"})
 
 
 def samples(chunks: DataFrame, rec: str = "rec", idx: str = "sample_idx", x: str = "x") -> DataFrame:
@@ -125,74 +150,145 @@ def _moves(keys: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
     return ahead, back
 
 
-def zero_phase(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec", x: str = "x") -> DataFrame:
-    """chunks with x filtered forwards and backwards with odd extension, as dsp.filtfilt() does with the whole recording.
-
-    A recording of one sample stays as it is. One shuffle deals the samples to chunks; what is shuffled again has a few
-    numbers for each chunk.
+@lru_cache(maxsize=64)
+def _powers(keys: tuple, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By i < n: A^i and A^i B, and by m <= n the sum of A^k B h_k over k < m, where h is the response to an impulse; in long doubles, as poles may lie close to one."""
+    sections, size = [np.array(s) for s in keys], 2 * len(keys)
+    p, step = np.eye(size, dtype=np.longdouble)[None], _moves(keys, 1)[0].astype(np.longdouble)
+    while len(p) < n:
+        p, step = np.concatenate([p, p @ step]), step @ step
+    first, ahead = dsp.cascade(sections, np.ones(1), np.zeros(size))
+    ahead = p[:n] @ ahead.astype(np.longdouble)
+    h = np.r_[first, ahead[:-1] @ np.array([dsp.cascade(sections, np.zeros(1), e)[0][0] for e in np.eye(size)], np.longdouble)]
+    return p[:n], ahead, np.concatenate([np.zeros((1, size)), np.cumsum(ahead * h[:, None], 0)])
+
+
+@lru_cache(maxsize=64)
+def _adding(keys: tuple, n: int) -> np.ndarray:
+    """The matrix that gives what n samples add to the state from rest, forwards and then backwards."""
+    p, ahead, sums = _powers(keys, 1 << (n - 1).bit_length())
+    return np.hstack([ahead[:n][::-1], np.einsum("iab,ib->ia", p[:n], sums[n:0:-1])]).T.astype(float)
+
+
+def _adds(keys: tuple, v: np.ndarray) -> np.ndarray:
+    """What a chunk adds to the state from rest, forwards and then backwards: one product for short chunks."""
+    if 0 < len(v) <= SHORT:
+        return _adding(keys, len(v)) @ v
+    sections, size = [np.array(s) for s in keys], 2 * len(keys)
+    y, ahead = dsp.cascade(sections, v, np.zeros(size))
+    return np.concatenate([ahead, dsp.cascade(sections, y[::-1], np.zeros(size))[1]])
+
+
+def _states(keys: tuple, rows: list[dict], adds: list[np.ndarray]) -> list[np.ndarray]:
+    """State before each chunk of a recording, forwards and backwards, from the chunks' adds; rows have n, head and tail in the order of chunks."""
+    sections, size, n = [np.array(s) for s in keys], 2 * len(keys), sum(r["n"] for r in rows)
+    pad = _pad(keys)
+    head, tail = [], []
+    for r in rows:
+        if len(head) <= pad:
+            head += r["head"]
+    for r in reversed(rows):
+        if len(tail) <= pad:
+            tail = r["tail"] + tail
+    own = min(pad, n - 1)
+    head, tail = np.array(head), np.array(tail)
+    before, after = 2 * head[0] - head[own:0:-1], (2 * tail[-1] - tail[-2 : -own - 2 : -1]) if own else np.zeros(0)
+    level = before[0] if own else head[0]
+    _, state = dsp.cascade(sections, before, dsp.steady_state(sections, level))
+    ins = []
+    for r, add in zip(rows, adds, strict=True):
+        ins.append(state)
+        state = _moves(keys, r["n"])[0] @ state + add[:size]
+    # backwards: from the end of the extension
+    end, _ = dsp.cascade(sections, after, state)
+    start = dsp.steady_state(sections, end[-1] if own else 0.0)
+    _, state = dsp.cascade(sections, end[::-1], start)
+    backs = []
+    for r, add, ahead in zip(reversed(rows), reversed(adds), reversed(ins), strict=True):
+        backs.append(state)
+        state = _moves(keys, r["n"])[0] @ state + add[size:] + _moves(keys, r["n"])[1] @ ahead
+    return [np.concatenate([a, b]) for a, b in zip(ins, reversed(backs), strict=True)]
+
+
+def _pad(keys: tuple) -> int:
+    return 3 * (2 * len(keys) + 1)
+
+
+def _placed(chunks: DataFrame | Dealt, filters: list[tuple], rec: str, x: str) -> DataFrame:
+    """The chunks' rows with total (samples of the recording) and state: those of all filters, forwards and backwards, before the chunk.
+
+    One pass over the samples serves all filters; what is shuffled again has a few numbers for each chunk.
     """
-    pad, size = 3 * (2 * len(sections) + 1), 2 * len(sections)
-    kind, keys = dict(chunks.dtypes)[rec], tuple(tuple(s.tolist()) for s in sections)
+    rows, read = _source(chunks, rec, x)
+    kind, most = dict(rows.dtypes)[rec], max(map(_pad, filters))
 
     def told(row):
-        """What a chunk adds to the state from rest, forwards and then backwards, and its ends."""
-        v = row[x]
-        y, ahead = dsp.cascade(sections, v, np.zeros(size))
-        _, back = dsp.cascade(sections, y[::-1], np.zeros(size))
-        return row[rec], row["chunk"], len(v), np.concatenate([ahead, back]), v[: pad + 1].copy(), v[-pad - 1 :].copy()
+        v = read(row)
+        return row[rec], row["chunk"], len(v), np.concatenate([_adds(keys, v) for keys in filters]), v[: most + 1].copy(), v[-most - 1 :].copy()
 
     def states(key, table):
-        """Each chunk's state before it, forwards and backwards, from the adds of a recording's chunks."""
         import pyarrow as pa
 
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        n = sum(r["n"] for r in rows)
-        head, tail = [], []
-        for r in rows:
-            if len(head) <= pad:
-                head += r["head"]
-        for r in reversed(rows):
-            if len(tail) <= pad:
-                tail = r["tail"] + tail
-        own = min(pad, n - 1)
-        head, tail = np.array(head), np.array(tail)
-        before, after = 2 * head[0] - head[own:0:-1], (2 * tail[-1] - tail[-2 : -own - 2 : -1]) if own else np.zeros(0)
-        level = before[0] if own else head[0]
-        _, state = dsp.cascade(sections, before, dsp.steady_state(sections, level))
-        ins = []
-        for r in rows:
-            ins.append(state)
-            state = _moves(keys, r["n"])[0] @ state + np.array(r["adds"][:size])
-        # backwards: from the end of the extension
-        end, _ = dsp.cascade(sections, after, state)
-        start = dsp.steady_state(sections, end[-1] if own else 0.0)
-        _, state = dsp.cascade(sections, end[::-1], start)
-        backs = []
-        for r, ahead in zip(reversed(rows), reversed(ins), strict=True):
-            backs.append(state)
-            state = _moves(keys, r["n"])[0] @ state + np.array(r["adds"][size:]) + _moves(keys, r["n"])[1] @ ahead
-        out = [np.concatenate([a, b]).tolist() for a, b in zip(ins, reversed(backs), strict=True)]
-        return pa.table([pa.array([key[0].as_py()] * len(rows), key[0].type), pa.array([r["chunk"] for r in rows]), pa.array([n] * len(rows)), pa.array(out, pa.list_(pa.float64()))], names=[rec, "chunk", "total", "state"])
-
-    def filtered(row):
-        v, state = row[x], row["state"]
-        if row["total"] < 2:
-            return row[rec], row["chunk"], row["start"], v.copy()
-        y, _ = dsp.cascade(sections, v, state[:size])
-        back, _ = dsp.cascade(sections, y[::-1], state[size:])
-        return row[rec], row["chunk"], row["start"], back[::-1].copy()
-
-    adds = _map(chunks.select(rec, "chunk", x), told, f"{rec} {kind}, chunk long, n long, adds array<double>, head array<double>, tail array<double>")
+        adds = np.array([r["adds"] for r in rows])
+        ends = np.cumsum([4 * len(keys) for keys in filters])
+        out = np.hstack([_states(keys, rows, list(adds[:, end - 4 * len(keys) : end])) for keys, end in zip(filters, ends, strict=True)])
+        return pa.table([pa.array([key[0].as_py()] * len(rows), key[0].type), pa.array([r["chunk"] for r in rows]), pa.array([sum(r["n"] for r in rows)] * len(rows)), pa.array(out.tolist(), pa.list_(pa.float64()))], names=[rec, "chunk", "total", "state"])
+
+    adds = _map(rows, told, f"{rec} {kind}, chunk long, n long, adds array<double>, head array<double>, tail array<double>")
     found = adds.groupBy(rec).applyInArrow(states, f"{rec} {kind}, chunk long, total long, state array<double>")  # a few numbers for each chunk
-    return _map(chunks.join(found, [rec, "chunk"]).select(rec, "chunk", "start", "total", "state", x), filtered, f"{rec} {kind}, chunk long, start long, {x} array<double>")
+    return rows.join(found, [rec, "chunk"])
+
+
+def _filtered(keys: tuple, v: np.ndarray, state: np.ndarray, total: int) -> np.ndarray:
+    """A chunk's samples, filtered from its states."""
+    if total < 2:
+        return v.copy()
+    sections, size = [np.array(s) for s in keys], 2 * len(keys)
+    y, _ = dsp.cascade(sections, v, state[:size])
+    return dsp.cascade(sections, y[::-1], state[size:])[0][::-1].copy()
+
+
+def _keys(sections: list[np.ndarray]) -> tuple:
+    return tuple(tuple(s.tolist()) for s in sections)
+
+
+def zero_phase(chunks: DataFrame | Dealt, sections: list[np.ndarray], rec: str = "rec", x: str = "x") -> DataFrame:
+    """chunks with x filtered forwards and backwards with odd extension, as dsp.filtfilt() does with the whole recording.
+
+    A recording of one sample stays as it is. One shuffle deals the samples to chunks, or the rows that make them; what is
+    shuffled again has a few numbers for each chunk.
+    """
+    keys, read = _keys(sections), _source(chunks, rec, x)[1]
+    placed = _placed(chunks, [keys], rec, x)
+    work = lambda row: (row[rec], row["chunk"], row["start"], _filtered(keys, read(row), row["state"], row["total"]))
+    return _map(placed, work, f"{rec} {dict(placed.dtypes)[rec]}, chunk long, start long, {x} array<double>")
 
 
-def forward(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec", x: str = "x") -> DataFrame:
+def spreads(chunks: DataFrame | Dealt, filters: dict[str, list[np.ndarray]], rec: str = "rec", x: str = "x") -> DataFrame:
+    """rec, n, and sd_<name> and top_<name> of each filter: spread() of what zero_phase() gives, in two passes for all filters, and no filtered sample leaves its task."""
+    keys, read = [_keys(f) for f in filters.values()], _source(chunks, rec, x)[1]
+    placed = _placed(chunks, keys, rec, x)
+    ends = np.cumsum([4 * len(k) for k in keys]).tolist()
+
+    def told(row):
+        v = read(row)
+        parts = [_told(_filtered(k, v, row["state"][end - 4 * len(k) : end], row["total"])) for k, end in zip(keys, ends, strict=True)]
+        return row[rec], len(v), *[c for part in parts for c in part]
+
+    names = [f"{c}_{i}" for i in range(len(keys)) for c in ("mean", "q", "top")]
+    each = _map(placed, told, f"{rec} {dict(placed.dtypes)[rec]}, n long, " + ", ".join(f"{c} double" for c in names))
+    return _joined(each, {str(i): name for i, name in enumerate(filters)}, rec)
+
+
+def forward(chunks: DataFrame | Dealt, sections: list[np.ndarray], rec: str = "rec", x: str = "x") -> DataFrame:
     """chunks with x filtered once from rest, as dsp.sosfilt() does with the whole recording (such as the leaky integrator)."""
-    size, kind, keys = 2 * len(sections), dict(chunks.dtypes)[rec], tuple(tuple(s.tolist()) for s in sections)
+    rows, read = _source(chunks, rec, x)
+    size, kind, keys = 2 * len(sections), dict(rows.dtypes)[rec], tuple(tuple(s.tolist()) for s in sections)
 
     def told(row):
-        return row[rec], row["chunk"], len(row[x]), dsp.cascade(sections, row[x], np.zeros(size))[1]
+        v = read(row)
+        return row[rec], row["chunk"], len(v), dsp.cascade(sections, v, np.zeros(size))[1]
 
     def states(key, table):
         import pyarrow as pa
@@ -203,20 +299,28 @@ def forward(chunks: DataFrame, sections: list[np.ndarray], rec: str = "rec", x:
             state = _moves(keys, r["n"])[0] @ state + np.array(r["adds"])
         return pa.table([pa.array([key[0].as_py()] * len(rows), key[0].type), pa.array([r["chunk"] for r in rows]), pa.array(ins, pa.list_(pa.float64()))], names=[rec, "chunk", "state"])
 
-    adds = _map(chunks.select(rec, "chunk", x), told, f"{rec} {kind}, chunk long, n long, adds array<double>")
+    adds = _map(rows, told, f"{rec} {kind}, chunk long, n long, adds array<double>")
     found = adds.groupBy(rec).applyInArrow(states, f"{rec} {kind}, chunk long, state array<double>")
-    work = lambda row: (row[rec], row["chunk"], row["start"], dsp.cascade(sections, row[x], row["state"])[0])
-    return _map(chunks.join(found, [rec, "chunk"]).select(rec, "chunk", "start", "state", x), work, f"{rec} {kind}, chunk long, start long, {x} array<double>")
+    work = lambda row: (row[rec], row["chunk"], row["start"], dsp.cascade(sections, read(row), row["state"])[0])
+    return _map(rows.join(found, [rec, "chunk"]), work, f"{rec} {kind}, chunk long, start long, {x} array<double>")
+
+
+def high_pass_sections(fs: float, corner: float = 0.08) -> list[np.ndarray]:
+    return dsp.butter(2, corner, fs, "high")
+
+
+def beat_band_sections(fs: float) -> list[np.ndarray]:
+    return dsp.butter(2, (5.0, 15.0), fs, "band")
 
 
-def high_pass(chunks: DataFrame, fs: float, corner: float = 0.08, rec: str = "rec", x: str = "x") -> DataFrame:
+def high_pass(chunks: DataFrame | Dealt, fs: float, corner: float = 0.08, rec: str = "rec", x: str = "x") -> DataFrame:
     """signals.high_pass() over chunks."""
-    return zero_phase(chunks, dsp.butter(2, corner, fs, "high"), rec, x)
+    return zero_phase(chunks, high_pass_sections(fs, corner), rec, x)
 
 
-def beat_band(chunks: DataFrame, fs: float, rec: str = "rec", x: str = "x") -> DataFrame:
+def beat_band(chunks: DataFrame | Dealt, fs: float, rec: str = "rec", x: str = "x") -> DataFrame:
     """The beat detector's band of 5-15 Hz over chunks."""
-    return zero_phase(chunks, dsp.butter(2, (5.0, 15.0), fs, "band"), rec, x)
+    return zero_phase(chunks, beat_band_sections(fs), rec, x)
 
 
 def nerve_band(chunks: DataFrame, fs: float, norm: str = "none", reference: float = 4.73, rec: str = "rec", x: str = "x") -> DataFrame:

@@ -1,5 +1,7 @@
 """Filters over split recordings against those over whole ones."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -114,3 +116,46 @@ def test_made_samples_give_the_chunks_of_rows(spark):
         assert told[r].n == len(v) and abs(told[r].sd - v.std()) < 1e-12 and told[r].top == v.max()
     each = recordings.each_recording(made, "rec", "sample_idx", ["x"], "n long, s double", lambda c: [{"n": len(c["x"]), "s": float(c["x"].sum())}])
     assert {r.rec: (r.n, round(r.s, 9)) for r in each.collect()} == {r: (sum(map(len, v)), round(float(np.concatenate(v).sum()), 9)) for r, v in flats.items()}
+
+
+@pytest.mark.parametrize("size", [7, 40, 4096])
+def test_filters_of_dealt_rows_shuffle_no_samples(spark, size):
+    """Filters over rows dealt to chunks equal those over whole recordings, and no exchange holds more than the rows' columns and the chunks' states."""
+    from pulseforge.operators import recordings
+
+    rng = np.random.default_rng(5)
+    rows, flats = [], {}
+    for r in range(4):
+        at = 0
+        for k in range([1, 2, 30, 90][r]):
+            n, v = int(rng.integers(1, 60)) if r else 1, float(rng.normal())
+            rows.append((r, k, at, n, v))
+            flats.setdefault(r, []).append(v * np.cos(np.arange(n) / 9))
+            at += n
+        rows.append((r, 1000, at, 0, 5.0))  # without samples
+    df = spark.createDataFrame(rows, "rec int, k int, at long, n long, v double").repartition(3)
+
+    def make(c, wanted):
+        return {name: np.concatenate([v * np.cos(np.arange(n) / 9) for n, v in zip(c["n"], c["v"], strict=True)]) for name in wanted}
+
+    def carried(frame):
+        """Columns that exchanges and sorts hold."""
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        parts = re.findall(r"\(\d+\) (?:Exchange|Sort)\s*\nInput \[\d+\]: \[(.*)\]", frame._jdf.queryExecution().explainString(mode))
+        return {c.split("#")[0].strip() for part in parts for c in part.split(",")}
+
+    made = recordings.Made(df, "k", ["n", "v"], make, ("at", "n"))
+    chunks = split.dealt(made, x="x", size=size)
+    filters = {"slow": split.high_pass_sections(500.0, 2.0), "band": split.beat_band_sections(500.0)}
+    told = split.spreads(chunks, filters)
+    assert "chunk" in carried(told) and "x" not in carried(told)
+    assert "x" in carried(split.beat_band(split.chunked(made, x="x", size=size), 500.0))  # a join of samples
+    got = {r.rec: r for r in told.collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    single = {name: gathered(split.zero_phase(chunks, f)) for name, f in filters.items()}
+    for r, parts in flats.items():
+        v = np.concatenate(parts)
+        for name, f in filters.items():
+            want = dsp.filtfilt(f, v)
+            assert np.abs(single[name][r] - want).max() < 1e-9
+            assert got[r].n == len(v) and abs(got[r][f"sd_{name}"] - want.std()) < 1e-9 and abs(got[r][f"top_{name}"] - want.max()) < 1e-9
