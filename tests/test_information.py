@@ -107,3 +107,30 @@ def test_neighbours_equal_all_pairs():
         np.fill_diagonal(away, np.inf)
         want = np.sort(away, 1)[:, :k]
         assert np.array_equal(np.sort(np.take_along_axis(away, near, 1), 1), want) and np.array_equal(far, want[:, -1])
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_distances_of_all_folds_equal_explicit_ones(copies):
+    """To the bit, in any order of rows, with persons whose absence leaves few of a row's nearest rows; and the scaled values come with them."""
+    rng = np.random.default_rng(8)
+    m, k, people = 400, 3, 6
+    x, y, p = np.round(rng.gamma(2, 60, m), 1), np.round(rng.gamma(2, 40, m)), np.minimum(rng.integers(0, 9, m), people - 1)
+    x, y, p = (np.repeat(c, copies) for c in (x, y, p))
+    p[x < 60] = 2  # crowds of one person
+    rid = rng.integers(-(2**62), 2**62, len(x))
+    scale, n = np.empty((1, 2, people, 2)), np.empty((1, people))
+    for j in range(people):
+        use = p != j
+        n[0, j] = use.sum()
+        for axis, c in enumerate((x, y)):
+            scale[0, axis, j] = c[use].mean(), c[use].std()
+    plan = inf.Plan(k, list(range(people)), scale, n, [(np.zeros(0), np.zeros(0))])
+    for order in (np.arange(len(x)), np.argsort(x, kind="stable")):
+        told = list(plan.distances(0, rid[order], x[order], y[order], p[order]))
+        assert [t[0] for t in told] == list(range(people))
+        for j, r, a, b in told:
+            u, v = (plan.scaled(0, axis, j, c[order], rid[order]) for axis, c in enumerate((x, y)))
+            assert np.array_equal(a, u) and np.array_equal(b, v)
+            use = p[order] != j
+            away = np.maximum(np.abs(u[use][:, None] - u[use]), np.abs(v[use][:, None] - v[use]))
+            assert np.array_equal(r[use], np.sort(away, 1)[:, k]) and np.isnan(r[~use]).all()
